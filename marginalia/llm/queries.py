@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, licenses, mixing
+from . import exact, langid, licenses, mixing, quality_model, rules
 
 
 def queries() -> dict:
     return {
+        "op4_quality_model": quality_model.op4_quality_model,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_source_mix": mixing.op7_source_mix,
+        "op8_quality_rules": rules.op8_quality_rules,
+        "op9_language_id": langid.op9_language_id,
         "op10_license_digests": licenses.op10_license_digests,
     }
 
