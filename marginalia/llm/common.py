@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_parquet(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: as cut(), smaller for wide rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column that hold about `limit` bytes each; a longer text is alone in its range."""
     sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
