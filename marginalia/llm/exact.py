@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, mix64, text_or_empty
 
 #: Digests of a snapshot to a bucket, on average: what one task holds to build or to ask a filter.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 1_000
 #: Slots (a power of two) of the fixed bit map that tells which texts may have an equal one.
 SCREEN_BITS = 24
 
