@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact, mixing
+from marginalia.llm import bpe, exact, langid, minhash, mixing
 from marginalia.llm.common import documents, shared_dir
 
+#: The least share of the best language for a document to stay.
+LEAST_SHARE = 0.3
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is in the one column of ids."""
+    ids = ids.toDF("wanted_id_").distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id_"]), "left_semi")
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those of no letters, and those that no language explains, go."""
+    found = langid.identify_languages(docs)
+    return _only(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id"))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the one with the largest id."""
+    """One document of each group of equal texts stays: the one with the largest id. Even ids are the snapshot."""
     odd = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == 1
-    found = exact.exact_dedup(docs.where(~odd), docs.where(odd)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
+    return _only(docs, exact.exact_dedup(docs.where(~odd), docs.where(odd)).where("kept").select("doc_id"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, 0.8); so do all without words or an id."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id_"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies").distinct()
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_number")).drop("copy_number")
+    taken = mixing.mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id_")).agg(F.max("copies").alias("copies_"))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id_"]))
+    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*[docs[c] for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, with_ids=True)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mix", mix)]
+STAGES = [("language ID", identify), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("mix", mix), ("byte-level BPE", encode)]
+#: Language models, MinHash components and BPE merges aren't SQL: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet and read again by the next."""
-    folder = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    folder = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, langid, licenses, mixing, quality_model, rules
+from . import bpe, exact, langid, licenses, minhash, mixing, quality_model, rules, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.op2_byte_bpe,
+        "op3_token_files": tokenfile.op3_token_files,
         "op4_quality_model": quality_model.op4_quality_model,
+        "op5_near_duplicates": minhash.op5_near_duplicates,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_quality_rules": rules.op8_quality_rules,
