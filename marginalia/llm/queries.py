@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, langid, licenses, minhash, mixing, quality_model, rules, tokenfile
+from . import bpe, exact, langid, licenses, minhash, mixing, quality_model, repeats, rules, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op1_repeated_strings": repeats.op1_repeated_strings,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_token_files": tokenfile.op3_token_files,
         "op4_quality_model": quality_model.op4_quality_model,
