@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from marginalia.plans import relational
+
+MODULES: list = [relational]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
