@@ -113,7 +113,7 @@ class Bpe:
             tokens = np.delete(tokens, places + 1)
         return tokens.tolist()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], sure: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each); each match of the pattern is a piece of its own."""
         found = [self.pattern.findall(x) for x in texts]
         known = self.pieces

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct chunks that a worker keeps before it starts anew.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 500_000
 #: A space after something that is no white space always begins a token.
 _SURE = re.compile(r"(?<=\S)(?= )")
 
@@ -16,12 +16,14 @@ _SURE = re.compile(r"(?<=\S)(?= )")
 class ChunkTable:
     """Ids of distinct chunks, filled by `encode`, a function from strings to (flat ids, ids of each).
 
+    encode is also told of which strings the only white space is the space that they begin with.
+
     The tokenizers' pattern lets a token hold a space only as its first character or amid white space. So a text may be
     cut before every space, unless white space precedes it and white space or the end follows; a text with such a space
     is cut only after characters that are no white space.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
@@ -34,28 +36,26 @@ class ChunkTable:
         self.unsure = np.zeros(0, bool)
         self.texts: list[str] = []
 
-    def _add(self, chunks: list[tuple[bool, str]]) -> None:
-        texts = [" " + x if spaced else x for spaced, x in chunks]
-        flat, sizes = self.encode(texts)
+    def _add(self, plain: list[str], spaced: list[str]) -> None:
+        texts = plain + [" " + x for x in spaced]
+        sure = [False] * len(plain) + [x != "" and x.strip() is x for x in spaced]  # only its first character is white space
+        flat, sizes = self.encode(texts, sure)
         first = len(self.texts)
-        for i, (spaced, x) in enumerate(chunks):
-            (self.spaced if spaced else self.plain)[x] = first + i
+        self.plain.update(zip(plain, range(first, first + len(plain))))
+        self.spaced.update(zip(spaced, range(first + len(plain), first + len(texts))))
         self.texts += texts
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
         self.ids = np.append(self.ids, flat.astype(np.uint32))
         self.sizes = np.append(self.sizes, sizes)
-        self.unsure = np.append(self.unsure, [spaced and (not x or x[0].isspace()) for spaced, x in chunks])
+        self.unsure = np.append(self.unsure, [False] * len(plain) + [x == "" or x[0].isspace() for x in spaced])
 
-    def _numbers(self, lists: list[tuple[list[str], list[str]]]) -> list[list[int]]:
+    def _numbers(self, lists: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
         """Numbers of each text's chunks; a text is (chunks without a leading space, chunks after one)."""
-        new: dict[tuple[bool, str], None] = {}
-        for plain, spaced in lists:
-            new.update(((False, x), None) for x in plain if x not in self.plain)
-            if not all(map(self.spaced.__contains__, spaced)):
-                new.update(((True, x), None) for x in spaced if x not in self.spaced)
-        if new:
-            self._add(list(new))
-        return [[*map(self.plain.__getitem__, plain), *map(self.spaced.__getitem__, spaced)] for plain, spaced in lists]
+        plain = list(set().union(*(x for x, _ in lists)).difference(self.plain))
+        spaced = list(set().union(*(x for _, x in lists)).difference(self.spaced))
+        if plain or spaced:
+            self._add(plain, spaced)
+        return [np.array([*map(self.plain.__getitem__, a), *map(self.spaced.__getitem__, b)], np.int64) for a, b in lists]
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's chunks, in order."""
@@ -65,10 +65,11 @@ class ChunkTable:
         for text in texts:
             parts = text.split(" ")
             lists.append((parts[:1] if parts[0] else [], parts[1:]))
-        found = [np.array(x, np.int64) for x in self._numbers(lists)]
-        odd = [i for i, x in enumerate(found) if len(x) and self.unsure[x].any()]
-        for i, x in zip(odd, self._numbers([(_SURE.split(texts[i]), []) for i in odd])):
-            found[i] = np.array(x, np.int64)
+        found = self._numbers(lists)
+        if self.unsure.any():
+            odd = [i for i, x in enumerate(found) if len(x) and self.unsure[x].any()]
+            for i, x in zip(odd, self._numbers([(_SURE.split(texts[i]), []) for i in odd])):
+                found[i] = x
         return found
 
     def gather(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -92,11 +92,11 @@ def encode_blocks(flat: np.ndarray, sizes: np.ndarray, percentile: float = PERCE
         low = offsets[rows] & np.uint32((1 << int(w)) - 1)
         body = np.hstack([head, _pack(low, int(w))])
         out[places[rows][:, None] + np.arange(body.shape[1])] = body
-    for row in np.flatnonzero(exceptions):
-        spot = np.flatnonzero(wide[row])
-        tail = spot.astype(np.uint8).tobytes() + wide[row, spot].astype("<u4").tobytes()
-        start = places[row] + lengths[row] - len(tail)
-        out[start : start + len(tail)] = np.frombuffer(tail, np.uint8)
+    row, spot = np.nonzero(wide)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    tail = (places + lengths - 5 * exceptions)[row]
+    out[tail + turn] = spot
+    out[(tail + exceptions[row] + 4 * turn)[:, None] + np.arange(4)] = wide[row, spot].astype("<u4")[:, None].view(np.uint8)
     raw = out.tobytes()
     edges = np.append(0, last)
     starts = np.append(places, len(out))
@@ -118,10 +118,11 @@ def decode_blocks(payloads: list[bytes], index: list[bytes], sizes: np.ndarray)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         grid[rows] = _unpack(raw[starts[rows][:, None] + 6 + np.arange(w * BLOCK // 8)], int(w))
-    for row in np.flatnonzero(exceptions):
-        n, at = exceptions[row], starts[row] + 6 + width[row] * BLOCK // 8
-        spot = raw[at : at + n]
-        grid[row, spot] |= raw[at + n : at + 5 * n].copy().view("<u4") << np.uint32(width[row])
+    row = np.repeat(np.arange(len(starts)), exceptions)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    tail = (starts + 6 + width * BLOCK // 8)[row]
+    high = raw[(tail + exceptions[row] + 4 * turn)[:, None] + np.arange(4)].copy().view("<u4").reshape(-1)
+    grid[row, raw[tail + turn]] |= high << width[row].astype(np.uint32)
     grid += base[:, None]
     blocks = -(-sizes // BLOCK)
     ends = np.cumsum(sizes)
@@ -148,25 +149,26 @@ def _table(path: str) -> tuple:
     for token, i in own.get_vocab().items():
         widths[i] = len(token)
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # chunks that begin with a space and no more white space are told apart by their bytes, so many share a call
-        runs: list[list[str]] = [[]]
-        for x in chunks:
-            if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace():
-                if len(runs[-1]) == JOINED:
-                    runs.append([])
-                runs[-1].append(x)
-            else:
-                runs += [[x], []]
-        runs = [r for r in runs if r]
-        flats, sizes = [], []
-        for run, found in zip(runs, own.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(found.ids, np.int64)
-            ends = np.cumsum([len(x.encode("utf-8", "replace")) for x in run])
-            at = np.searchsorted(np.cumsum(widths[ids]), ends, side="right") if len(run) > 1 else np.array([len(ids)])
-            flats.append(ids)
-            sizes.append(np.diff(at, prepend=0))
-        return np.concatenate([np.zeros(0, np.int64), *flats]).astype(np.uint32), np.concatenate([np.zeros(0, np.int64), *sizes])
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int64) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(chunks: list[str], sure: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        # chunks that are a space and what is no white space can be told apart by their bytes, so many share a call
+        some = [x for x, yes in zip(chunks, sure) if yes]
+        runs = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+        joined = ids_of(["".join(r) for r in runs])
+        lengths = np.array([len(x.encode("utf-8", "replace")) for x in some], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *joined])
+        last = np.searchsorted(np.cumsum(widths[flat]), np.cumsum(lengths), side="right")
+        rest = ids_of([x for x, yes in zip(chunks, sure) if not yes])
+        yes = np.array(sure, bool)
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[yes] = np.diff(last, prepend=0)
+        sizes[~yes] = [len(x) for x in rest]
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        out[np.repeat(yes, sizes)] = flat
+        out[np.repeat(~yes, sizes)] = np.concatenate([np.zeros(0, np.int64), *rest])
+        return out, sizes
 
     return ChunkTable(encode), special, own
 
