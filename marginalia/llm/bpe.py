@@ -21,6 +21,8 @@ from .common import documents, slices
 #: Bytes of the pieces that one recursive query contracts, and of the longest piece that it is given.
 QUERY_BYTES = 200_000
 LONG_PIECE = 256
+#: Distinct pieces, and chunks, that a worker keeps before it starts anew.
+KEPT_PIECES = 400_000
 #: What DuckDB may use in a worker.
 MEMORY = "300MB"
 
@@ -118,7 +120,7 @@ class Bpe:
         found = [self.pattern.findall(x) for x in texts]
         known = self.pieces
         new = list({p for own in found for p in own}.difference(known))
-        if len(known) + len(new) > 400_000:
+        if len(known) + len(new) > KEPT_PIECES:
             known.clear()
             new = list({p for own in found for p in own})
         short: list[tuple[str, bytes]] = []
@@ -161,7 +163,7 @@ class Bpe:
 @lru_cache(maxsize=2)
 def _tables(path: str, pattern: str) -> tuple[Bpe, ChunkTable, list[bytes]]:
     bpe = Bpe(path, pattern)
-    return bpe, ChunkTable(bpe.encode), []
+    return bpe, ChunkTable(bpe.encode, KEPT_PIECES), []
 
 
 def _encode(path: str, pattern: str, with_ids: bool):
@@ -173,9 +175,9 @@ def _encode(path: str, pattern: str, with_ids: bool):
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 numbers = table.numbers([t or "" for t in part.column(1).to_pylist()])
-                if len(decoded) > len(table.texts):
+                if len(decoded) > table.count:
                     decoded.clear()
-                if len(decoded) < len(table.texts):
+                if len(decoded) < table.count:
                     done = len(decoded)
                     fresh = table.ids[table.starts[done] :] if done < len(table.starts) else table.ids[:0]
                     decoded += bpe.decode(fresh, table.sizes[done:])

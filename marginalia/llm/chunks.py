@@ -4,72 +4,75 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
 #: Distinct chunks that a worker keeps before it starts anew.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 1_000_000
 #: A space after something that is no white space always begins a token.
 _SURE = re.compile(r"(?<=\S)(?= )")
 
 
+class _Numbered(dict):
+    """Numbers of keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class ChunkTable:
     """Ids of distinct chunks, filled by `encode`, a function from strings to (flat ids, ids of each).
 
-    encode is also told of which strings the only white space is the space that they begin with.
-
-    The tokenizers' pattern lets a token hold a space only as its first character or amid white space. So a text may be
-    cut before every space, unless white space precedes it and white space or the end follows; a text with such a space
-    is cut only after characters that are no white space.
+    The tokenizers' pattern lets a token hold a space only as its first character or amid white space, and a line end only
+    amid white space. So a text may be cut before every space and line end, unless white space precedes it and white
+    space or the end follows; a text with such a place is cut only at spaces after what is no white space. encode is also
+    told of which strings the only white space is the one character that they begin with.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str], list[bool]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_CHUNKS):
+        self.encode, self.kept = encode, kept
         self.clear()
 
     def clear(self) -> None:
-        self.spaced: dict[str, int] = {}  # by what follows the space
-        self.plain: dict[str, int] = {}
+        self.known = _Numbered()  # by what follows the space, or from the line end on; a chunk without either is in a tuple
+        self.count = 0
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.unsure = np.zeros(0, bool)
-        self.texts: list[str] = []
 
-    def _add(self, plain: list[str], spaced: list[str]) -> None:
-        texts = plain + [" " + x for x in spaced]
-        sure = [False] * len(plain) + [x != "" and x.strip() is x for x in spaced]  # only its first character is white space
-        flat, sizes = self.encode(texts, sure)
-        first = len(self.texts)
-        self.plain.update(zip(plain, range(first, first + len(plain))))
-        self.spaced.update(zip(spaced, range(first + len(plain), first + len(texts))))
-        self.texts += texts
+    def _fill(self) -> None:
+        """Encode the chunks that have got numbers since the last time."""
+        new = list(islice(reversed(self.known), len(self.known) - self.count))[::-1]
+        if not new:
+            return
+        plain = [type(x) is tuple for x in new]
+        rest = [x[0] if p else x[1:] if x[:1] == "\n" else x for x, p in zip(new, plain)]
+        texts = [x[0] if p else x if x[:1] == "\n" else " " + x for x, p in zip(new, plain)]
+        flat, sizes = self.encode(texts, [not p and x != "" and x.strip() is x for x, p in zip(rest, plain)])
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
         self.ids = np.append(self.ids, flat.astype(np.uint32))
         self.sizes = np.append(self.sizes, sizes)
-        self.unsure = np.append(self.unsure, [False] * len(plain) + [x == "" or x[0].isspace() for x in spaced])
-
-    def _numbers(self, lists: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
-        """Numbers of each text's chunks; a text is (chunks without a leading space, chunks after one)."""
-        plain = list(set().union(*(x for x, _ in lists)).difference(self.plain))
-        spaced = list(set().union(*(x for _, x in lists)).difference(self.spaced))
-        if plain or spaced:
-            self._add(plain, spaced)
-        return [np.array([*map(self.plain.__getitem__, a), *map(self.spaced.__getitem__, b)], np.int64) for a, b in lists]
+        self.unsure = np.append(self.unsure, [not p and (x == "" or x[0].isspace()) for x, p in zip(rest, plain)])
+        self.count = len(self.known)
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's chunks, in order."""
-        if len(self.texts) > KEPT_CHUNKS:
+        if self.count > self.kept:
             self.clear()
-        lists = []
+        number, found = self.known.__getitem__, []
         for text in texts:
-            parts = text.split(" ")
-            lists.append((parts[:1] if parts[0] else [], parts[1:]))
-        found = self._numbers(lists)
+            parts = text.replace("\n", " \n").split(" ")
+            parts[0] = (parts[0],)
+            found.append(np.array([*map(number, parts if parts[0] != ("",) else parts[1:])], np.int64))
+        self._fill()
         if self.unsure.any():
-            odd = [i for i, x in enumerate(found) if len(x) and self.unsure[x].any()]
-            for i, x in zip(odd, self._numbers([(_SURE.split(texts[i]), []) for i in odd])):
-                found[i] = x
+            for i, x in enumerate(found):
+                if len(x) and self.unsure[x].any():
+                    found[i] = np.array([number((part,)) for part in _SURE.split(texts[i])], np.int64)
+            self._fill()
         return found
 
     def gather(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
