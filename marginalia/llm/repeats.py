@@ -76,7 +76,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
 def _select(length: int, gram: int):
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), 2 << 20):
                 texts = as_bytes(batch.column(1).slice(start, stop - start))
                 hashed, _, anchor, owner = anchors(texts, length, gram)
                 first = np.flatnonzero(np.diff(anchor, prepend=-1))  # an anchor serves windows in a row
@@ -94,7 +94,7 @@ def _contexts(length: int, gram: int):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, stop in slices(batch.column(1)):
+            for begin, stop in slices(batch.column(1), 2 << 20):
                 part = batch.slice(begin, stop - begin)
                 texts = as_bytes(part.column(1))
                 tags = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
@@ -291,7 +291,7 @@ def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     for batch in batches:
-        for start, stop in slices(batch.column(1)):
+        for start, stop in slices(batch.column(1), 2 << 20):
             part = batch.slice(start, stop - start)
             out = []
             for text, spans, copied in zip(as_bytes(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
