@@ -18,9 +18,12 @@ def align_spans(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     spans: span_id, chunk_id, start_offset, quote; chunks: chunk_id, content.
     """
     joined = spans.join(chunks.select("chunk_id", "content"), "chunk_id")
-    hit = lambda p: F.substring(F.col("content"), p + 1, F.length("quote")) == F.col("quote")
-    last = F.length("content") - F.length("quote")
-    at = F.when((last >= 0) & (F.length("quote") > 0), F.filter(F.sequence(F.lit(0), last), hit)).otherwise(F.array().cast("array<int>"))
+    # the text cut before each occurrence, overlapping ones too: a piece begins where those before it end
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(F.col("quote"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.when(F.length("quote") > 0, F.split(F.col("content"), literal)).otherwise(F.array("content"))
+    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
+    starts = F.filter(F.arrays_zip(pieces.alias("p"), begins.alias("b")), lambda z: F.startswith(z.getField("p"), F.col("quote")) & (F.length("quote") > 0))
+    at = F.transform(starts, lambda z: z.getField("b"))
     far = F.transform("places", lambda p: F.abs(p - F.col("start_offset")))
     placed = joined.withColumn("places", at).withColumn("near", F.array_min(far))
     best = F.filter("places", lambda p: F.abs(p - F.col("start_offset")) == F.col("near"))

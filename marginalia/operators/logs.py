@@ -17,10 +17,10 @@ def price_usage(events: DataFrame, rates: DataFrame) -> DataFrame:
     An event without a rate is unpriced and has no cost; absent token counts count as none. The card has a row a model and
     is broadcast.
     """
-    card = rates.select("provider", "model", *[F.col(c).cast("decimal(20,10)").alias(f"_{c}") for c in ("input", "cached", "output", "embedding")], F.lit(True).alias("_known"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,0)") if c in events.columns else F.lit(0).cast("decimal(18,0)")
-    fresh = F.greatest(n("input_tokens") - n("cached_input_tokens"), F.lit(0).cast("decimal(18,0)"))
-    price = lambda tokens, rate: tokens * F.coalesce(F.col(rate), F.lit(0)) / MILLION
+    card = rates.select("provider", "model", *[F.col(c).cast("decimal(14,8)").alias(f"_{c}") for c in ("input", "cached", "output", "embedding")], F.lit(True).alias("_known"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(12,0)") if c in events.columns else F.lit(0).cast("decimal(12,0)")
+    fresh = F.greatest(n("input_tokens") - n("cached_input_tokens"), F.lit(0).cast("decimal(12,0)"))
+    price = lambda tokens, rate: tokens * F.coalesce(F.col(rate), F.lit(0)) / F.lit(MILLION).cast("decimal(7,0)")
     cost = price(fresh, "_input") + price(n("cached_input_tokens"), "_cached") + price(n("output_tokens"), "_output") + price(n("embedding_tokens"), "_embedding")
     joined = events.join(F.broadcast(card), ["provider", "model"], "left")
     priced = joined.withColumn("cost_status", F.when(F.col("_known"), "priced").otherwise("unpriced")).withColumn("cost_amount", F.when(F.col("_known"), cost.cast("decimal(20,10)")))
