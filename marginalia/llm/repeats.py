@@ -130,9 +130,16 @@ def _contexts(length: int, gram: int):
                 sent = np.zeros(len(strings), bool)
                 sent[list(seen.values())] = True
                 doc = owner[lows]
-                for some, context in ((np.flatnonzero(again), False), (np.flatnonzero(sent), True)):
-                    columns = [hashed[anchor[lows[some]]].view(np.int64), keys[doc[some]], tags[doc[some]], froms[some] - starts[doc[some]], untils[some] - froms[some]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([strings[i] if context else None for i in some], pa.binary())], names)
+                known = np.flatnonzero(again)
+                if len(known):  # as runs, dealt by document, since no gram has to meet them
+                    run = np.flatnonzero(np.diff(doc[known], prepend=-1) | (froms[known] > np.append(-1, untils[known][:-1])))
+                    until = np.append(untils[known][run[1:] - 1], untils[known[-1]])
+                    of = doc[known][run]
+                    columns = [keys[of], keys[of], tags[of], froms[known][run] - starts[of], until - froms[known][run]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary())], names)
+                of = doc[sent]
+                columns = [hashed[anchor[lows[sent]]].view(np.int64), keys[of], tags[of], froms[sent] - starts[of], untils[sent] - froms[sent]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x for x, yes in zip(strings, sent) if yes], pa.binary())], names)
 
     return found
 
