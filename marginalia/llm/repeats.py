@@ -11,13 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, slices, text_or_empty
+from .common import as_bytes, cut, documents, slices, text_or_empty
 
 #: Bytes of the shortest repeat, and of the grams of which each window of that length selects one.
 LENGTH = 200
 GRAM = 40
 #: Bytes of contexts that one suffix array holds, besides those of one gram.
 ARRAY_BYTES = 6 << 20
+#: Documents of a gram beyond which its contexts are cut into WIDTH windows each and counted instead of sorted.
+HOT_DOCUMENTS = 20_000
+WIDTH = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -89,8 +92,14 @@ def _select(length: int, gram: int):
     return selected
 
 
-def _contexts(length: int, gram: int):
-    names = ["gram", "key", "tag", "start", "size", "context"]
+def _listed(lists: pa.Array) -> np.ndarray:
+    """[row, value] of all values of a list column."""
+    own = np.repeat(np.arange(len(lists)), [len(x) if x.is_valid else 0 for x in lists])
+    return np.stack([own, lists.flatten().to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+
+
+def _contexts(length: int, gram: int, width: int):
+    names = ["gram", "key", "tag", "start", "size", "context", "hot"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,23 +108,27 @@ def _contexts(length: int, gram: int):
                 texts = as_bytes(part.column(1))
                 tags = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
                 texts = [b"" if spare and tag in spare else t for t, tag, spare in zip(texts, tags.tolist(), part.column(3).to_pylist())]
-                keys, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
+                keys = part.column(0).to_numpy(zero_copy_only=False)
                 hashed, windows, anchor, owner = anchors(texts, length, gram)
                 if not len(windows):
                     continue
-                own = np.repeat(np.arange(len(texts)), [len(x) if x.is_valid else 0 for x in lists])
-                known = np.stack([own, lists.flatten().to_numpy(zero_copy_only=False)], axis=1)
+                known, crowded = _listed(part.column(2)), _listed(part.column(4))
                 first = np.flatnonzero(np.diff(anchor, prepend=-1))
                 mine = np.stack([owner[first], hashed[anchor[first]].view(np.int64)], axis=1)
-                kind = np.unique(np.concatenate([known, mine]), axis=0, return_inverse=True)[1].reshape(-1)
-                lone = ~np.isin(kind[len(known) :], kind[: len(known)])
+                kind = np.unique(np.concatenate([known, crowded, mine]), axis=0, return_inverse=True)[1].reshape(-1)
+                own = kind[len(known) + len(crowded) :]
+                spread = lambda x: np.repeat(x, np.diff(np.append(first, len(anchor))))
                 # a window whose anchor occurs once can't repeat
-                open_ = ~np.repeat(lone, np.diff(np.append(first, len(anchor))))
+                open_ = spread(np.isin(own, kind[: len(known)]))
+                hot = spread(np.isin(own, kind[len(known) : len(known) + len(crowded)]))
                 at = np.flatnonzero(open_)
                 if not len(at):
                     continue
-                breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(anchor[at]) != 0) | (np.diff(owner[at]) != 0))
+                # windows of a crowded gram are cut by their distance from the anchor, so equal ones are cut alike
+                bucket = np.where(hot[at], (anchor[at] - windows[at]) // width, -1)
+                breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(anchor[at]) != 0) | (np.diff(owner[at]) != 0) | (np.diff(bucket) != 0))
                 lows, highs = at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)]
+                bucket = bucket[np.append(0, breaks + 1)]
                 whole = b"".join(texts)
                 starts = np.cumsum([0, *map(len, texts)])
                 froms, untils = windows[lows], windows[highs] + length
@@ -136,10 +149,14 @@ def _contexts(length: int, gram: int):
                     until = np.append(untils[known][run[1:] - 1], untils[known[-1]])
                     of = doc[known][run]
                     columns = [keys[of], keys[of], tags[of], froms[known][run] - starts[of], until - froms[known][run]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary())], names)
-                of = doc[sent]
-                columns = [hashed[anchor[lows[sent]]].view(np.int64), keys[of], tags[of], froms[sent] - starts[of], untils[sent] - froms[sent]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x for x, yes in zip(strings, sent) if yes], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary()), pa.array(np.zeros(len(run), bool))], names)
+                of, place = doc[sent], anchor[lows[sent]]
+                meets, near = hashed[place].view(np.int64).copy(), bucket[sent]
+                for i in np.flatnonzero(near >= 0):  # what all windows of such a cut share
+                    core = whole[place[i] - near[i] * width : place[i] - (near[i] + 1) * width + 1 + length]
+                    meets[i] = xxhash.xxh3_64_intdigest(core) - (1 << 63)
+                columns = [meets, keys[of], tags[of], froms[sent] - starts[of], untils[sent] - froms[sent]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x for x, yes in zip(strings, sent) if yes], pa.binary()), pa.array(near >= 0)], names)
 
     return found
 
@@ -258,27 +275,59 @@ def _scan(length: int):
     return scanned
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _windows(length: int):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, t, a + i, c[i : i + length]) for k, t, a, c in zip(*(x.to_pylist() for x in batch.columns)) for i in range(len(c) - length + 1)]
+            both = np.array([divmod(xxhash.xxh3_128_intdigest(r[3]), 1 << 64) for r in rows], np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [both[:, 0], both[:, 1], *(np.array([r[i] for r in rows], np.int64) for i in range(3))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["one", "two", "key", "tag", "start"])
+
+    return spread
+
+
+def _crowded(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeats among the cut contexts of crowded grams, found by counting: no task gathers what shares a gram.
+
+    Cuts that share their core and are all equal repeat as wholes. Where cuts of a core differ, each of their few windows
+    is counted by a 128-bit hash. Counts combine before the shuffle, and joins with them are split by AQE.
+    """
+    marked = contexts.select("gram", F.xxhash64("context").alias("whole"), "key", "tag", "start", "size", "context")
+    cores = marked.groupBy("gram").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = marked.join(cores.select("gram", "a", "b"), "gram")
+    mixed = judged.where("a <> b").select("key", "tag", "start", "context").mapInArrow(_windows(length), "one long, two long, key long, tag long, start long")
+    often = mixed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    single = mixed.join(often, ["one", "two"]).select("key", "tag", "start", F.lit(length).cast("long").alias("size"))
+    return judged.where("a = b").select("key", "tag", "start", "size").unionByName(single)
+
+
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS, width: int = WIDTH) -> DataFrame:
     """Maximal repeats of `length` bytes or more across and within documents, with all occurrences.
 
     Returns key (doc_id, null as the least long), tag (a hash of the text), start, size, and the repeat (a hash of its
     bytes), its parent in the interval tree, and its occurrences. Rows without a repeat are contexts that occur twice as
     wholes. Every window of `length` bytes selects one gram, its anchor, by content. Anchors that occur in one text only,
-    and once there, can't be in a repeat; grams of two texts keep theirs. Around these the text that may repeat is cut
-    out, so that each window is in one context; contexts meet others of their gram, sorted, and an enhanced suffix array
-    over them is scanned with a stack. Occurrences are maximal within their contexts; adjoining ones overlap, so a longer
-    repeat is a row of occurrences. Copies of a whole text are left to the caller: only one of them is read here.
+    and once there, can't be in a repeat. Around the others the text that may repeat is cut out, so that each window is
+    in one context; contexts meet others of their gram, sorted, and an enhanced suffix array over them is scanned with a
+    stack. Occurrences are maximal within their contexts; adjoining ones overlap, so a longer repeat is a row of
+    occurrences. A gram of over `hot_documents` documents is too much for one task: its contexts are cut finer and
+    counted, and their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
     """
     plain = keyed(docs, id_col, text_col)
     chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, twice boolean")
-    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("twice").alias("twice"))
-    common = seen.where("a <> b or twice").select("gram")
-    wanted = chosen.select("gram", "key").join(common, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
+    common = cut(seen.where("a <> b or twice").select("gram", (F.col("n") > hot_documents).alias("crowded")))
+    wanted = chosen.select("gram", "key").join(common, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("crowded"), F.col("gram"))).alias("crowded"))
     spare = copies(docs, id_col, text_col).where("key <> first").groupBy("key").agg(F.collect_set("tag").alias("spare"))
-    wanted = wanted.join(spare, "key", "left")
-    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram), "gram long, key long, tag long, start long, size long, context binary")
-    met = contexts.repartition("gram").sortWithinPartitions("gram")
-    return met.mapInArrow(_scan(length), "key long, tag long, start long, size long, repeat long, parent long, occurrences long")
+    wanted = wanted.join(spare, "key", "left").select("key", "grams", "spare", "crowded")
+    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram, width), "gram long, key long, tag long, start long, size long, context binary, hot boolean")
+    crowd = None
+    if not common.where("crowded").isEmpty():
+        crowd = _crowded(contexts.where("hot"), length)
+        contexts = contexts.where("not hot")
+    met = contexts.drop("hot").repartition("gram").sortWithinPartitions("gram")
+    found = met.mapInArrow(_scan(length), "key long, tag long, start long, size long, repeat long, parent long, occurrences long")
+    return found if crowd is None else found.unionByName(crowd, allowMissingColumns=True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,7 +372,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """Each document without the bytes that a string of `length` bytes covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. Repeats are those of repeated_strings(); a text that other
@@ -333,7 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     each other, and with another text they are documents of their own. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    spans = repeated_strings(docs, length, gram, id_col, text_col)
+    spans = repeated_strings(docs, length, gram, id_col, text_col, hot_documents)
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("tag", "start", "size")).alias("spans"))
     whole = copies(docs, id_col, text_col).where(F.col("size") >= length).groupBy("key").agg(F.collect_set("tag").alias("copied"))
     joined = keyed(docs, id_col, text_col).join(spans.join(whole, "key", "full"), "key", "left")

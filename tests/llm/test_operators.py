@@ -26,9 +26,9 @@ def labels(spark):
     return spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
 
 
-@pytest.mark.parametrize("length,gram", [(60, 12), (200, 40)])
-def test_repeats(docs, length, gram):
-    got = sorted(tuple(r) for r in repeats.remove_repeats(docs, length, gram).collect())
+@pytest.mark.parametrize("length,gram,hot", [(60, 12, 20_000), (200, 40, 20_000), (60, 12, 2), (60, 12, 8)])
+def test_repeats(docs, length, gram, hot):
+    got = sorted(tuple(r) for r in repeats.remove_repeats(docs, length, gram, hot_documents=hot).collect())
     assert got == without_repeats(ROWS, length)
 
 
