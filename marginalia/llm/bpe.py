@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 from pathlib import Path
 
 import duckdb
@@ -15,16 +16,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, Numbered
 from .common import documents, slices
 
 #: Bytes of the pieces that one recursive query contracts, and of the longest piece that it is given.
 QUERY_BYTES = 200_000
 LONG_PIECE = 256
 #: Distinct pieces, and chunks, that a worker keeps before it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 350_000
 #: What DuckDB may use in a worker.
-MEMORY = "300MB"
+MEMORY = "150MB"
 
 ENCODE = f"""
 WITH RECURSIVE state(word, tokens, done) AS (
@@ -81,7 +82,7 @@ class Bpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self._table("merges", pa.table({"pair": self.keys, "rank": self.values}))
         self._table("vocabulary", pa.table({"rank": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}))
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -115,35 +116,52 @@ class Bpe:
             tokens = np.delete(tokens, places + 1)
         return tokens.tolist()
 
-    def encode(self, texts: list[str], sure: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids of each); each match of the pattern is a piece of its own."""
-        found = [self.pattern.findall(x) for x in texts]
-        known = self.pieces
-        new = list({p for own in found for p in own}.difference(known))
-        if len(known) + len(new) > KEPT_PIECES:
-            known.clear()
-            new = list({p for own in found for p in own})
-        short: list[tuple[str, bytes]] = []
-        for piece in new:
+    def _fill(self) -> None:
+        """Ids of the pieces that have got numbers since the last time."""
+        new = list(islice(reversed(self.number), len(self.number) - len(self.sizes)))[::-1]
+        found: list[list[int] | None] = [None] * len(new)
+        short: list[tuple[int, bytes]] = []
+        for i, piece in enumerate(new):
             word = piece.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(word)
             if rank is not None:
-                known[piece] = (rank,)
+                found[i] = [rank]
             elif len(word) > LONG_PIECE:
-                known[piece] = tuple(self._contract(word))
+                found[i] = self._contract(word)
             else:
-                short.append((piece, word))
+                short.append((i, word))
         start = total = 0
         for i in range(len(short) + 1):
             if i == len(short) or total > QUERY_BYTES:
                 if start < i:
-                    for (piece, _), tokens in zip(short[start:i], self._query([w for _, w in short[start:i]])):
-                        known[piece] = tuple(tokens)
+                    for (k, _), tokens in zip(short[start:i], self._query([w for _, w in short[start:i]])):
+                        found[k] = tokens
                 start, total = i, 0
             if i < len(short):
                 total += len(short[i][1])
-        ids = [[t for p in own for t in known[p]] for own in found]
-        return np.array([t for own in ids for t in own], np.uint32), np.array([len(own) for own in ids], np.int64)
+        sizes = np.array([len(x) for x in found], np.int64)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def encode(self, texts: list[str], sure: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each); each match of the pattern is a piece of its own."""
+        if len(self.number) > KEPT_PIECES:
+            self._forget()
+        number, split = self.number.__getitem__, self.pattern.findall
+        lists = [[*map(number, split(x))] for x in texts]
+        self._fill()
+        every = np.fromiter(chain.from_iterable(lists), np.int64)
+        sizes = self.sizes[every]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[every] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.append(0, ends)[np.cumsum([len(x) for x in lists])] if lists else np.zeros(0, np.int64)
+        return self.ids[at], np.diff(np.append(0, total))
+
+    def _forget(self) -> None:
+        self.number = Numbered()
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""

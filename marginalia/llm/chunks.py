@@ -9,12 +9,12 @@ from itertools import islice
 import numpy as np
 
 #: Distinct chunks that a worker keeps before it starts anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 800_000
 #: A space after something that is no white space always begins a token.
 _SURE = re.compile(r"(?<=\S)(?= )")
 
 
-class _Numbered(dict):
+class Numbered(dict):
     """Numbers of keys in the order in which they are first asked for."""
 
     def __missing__(self, key):
@@ -36,7 +36,7 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbered()  # by what follows the space, or from the line end on; a chunk without either is in a tuple
+        self.known = Numbered()  # by what follows the space, or from the line end on; a chunk without either is in a tuple
         self.count = 0
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)

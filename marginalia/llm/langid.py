@@ -21,7 +21,7 @@ PIECE = 8
 PRIOR = 0.1
 SURE_WORDS = 20
 #: Words whose scores a worker keeps, the longest word that is scored together with others, and words scored at once.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 LONG_WORD = 200
 AT_ONCE = 4096
 
@@ -185,7 +185,7 @@ def _learn(path: str):
                 own = seen.setdefault(lang, {})
                 for w in _words(text):
                     own[w] = own.get(w, 0) + 1
-                if sum(map(len, seen.values())) > KEPT_WORDS // 2:
+                if sum(map(len, seen.values())) > KEPT_WORDS:
                     settle()
         if seen:
             settle()
@@ -213,7 +213,24 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return langs, np.append(np.round(counts / counts.sum(0), 15), np.zeros((1, len(langs))), axis=0)
 
 
-_scored: dict[tuple, dict[bytes, np.ndarray]] = {}
+class _Scores:
+    """Log probabilities of the words that a worker has met: a row number for each word, and the rows."""
+
+    def __init__(self, languages: int):
+        self.number: dict[bytes, int] = {}
+        self.rows = np.zeros((0, languages))
+
+    def of(self, pieces: Pieces, weights: np.ndarray, lists: list[list[bytes]]) -> list[np.ndarray]:
+        every = set().union(*lists)
+        if len(self.number) + len(every) > KEPT_WORDS:
+            self.number, self.rows = {}, self.rows[:0]
+        new = list(every.difference(self.number))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.rows = np.vstack([self.rows, _log_sums(pieces, weights, new)])
+        return [self.rows[list(map(self.number.__getitem__, own))].sum(0) for own in lists]
+
+
+_scores: dict[tuple, _Scores] = {}
 
 
 def _predict(langs: list[str], weights: np.ndarray, path: str):
@@ -221,26 +238,21 @@ def _predict(langs: list[str], weights: np.ndarray, path: str):
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
-        if mark not in _scored:
-            _scored.clear()
-        known = _scored.setdefault(mark, {})
+        if mark not in _scores:
+            _scores.clear()
+        known = _scores.setdefault(mark, _Scores(weights.shape[1]))
         for batch in batches:
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
                 texts = part.column(2).to_pylist()
                 lists = [_words(t or "") for t in texts]
-                new = list({w for own in lists for w in own}.difference(known))
-                if len(known) + len(new) > KEPT_WORDS:
-                    known.clear()
-                    new = list({w for own in lists for w in own})
-                known.update(zip(new, _log_sums(pieces, weights, new)))
+                totals = known.of(pieces, weights, lists)
                 preds, scores = [], []
-                for text, own in zip(texts, lists):
+                for text, own, total in zip(texts, lists, totals):
                     if not langs or not text or not _has_letter(text):
                         preds.append("und")
                         scores.append(0.0)
                         continue
-                    total = np.sum([known[w] for w in own], axis=0) if own else np.zeros(len(langs))
                     chance = np.exp((total - total.max()) * min(1.0, SURE_WORDS / max(1, len(own))))
                     preds.append(langs[int(np.argmax(chance))])
                     scores.append(float(chance.max() / chance.sum()))
