@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import corpus, knowledge, relational, streams
+from marginalia.plans import corpus, intake, knowledge, relational, streams
 
-MODULES: list = [relational, corpus, knowledge, streams]
+MODULES: list = [relational, corpus, knowledge, streams, intake]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
