@@ -297,12 +297,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that in pieces that meet each other. Only texts that have a candidate are shuffled.
 
     Documents without words or with null text have no shingles and are linked with nothing, not with each other either.
-    Ties: rows that repeat a doc_id count as one document if their texts are equal, else the id is linked through each.
+    Ties: rows that repeat a doc_id each get their row; one of equal texts has the id's component, one of another text
+    that of its own set.
     Null doc_ids are left out. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_parquet(plain.mapInArrow(_sign(words, bands, rows, seed), "doc_id long, n_shingles long, same binary, bands array<long>"))
-    classes = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first"))
+    classes = cut(signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first")))  # read twice, and joins with a table are split where copies are many
     own = signed.where("same is not null").select("doc_id", "same", "bands").join(classes, "same")
     firsts = own.where("doc_id = first")
     banded = firsts.select("doc_id", F.posexplode("bands").alias("band", "code")).select("doc_id", "code").distinct()
@@ -318,10 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = small
     if not totals.where(F.col("total") > block_shingles).isEmpty():
         links = links.unionByName(_large_blocks(dealt.where(F.col("total") > block_shingles), percent, piece_shingles))
-    copies = own.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    parts = connected_components(links.unionByName(copies))
-    parts = parts.select(F.col("id").alias("doc_id"), F.col("root"))
-    out = signed.select("doc_id", "n_shingles").join(parts, "doc_id", "left")
+    parts = connected_components(links).select(F.col("id").alias("first"), F.col("root"))
+    firsts_root = cut(classes.join(parts, "first", "left").select("same", F.coalesce("root", "first").alias("root")))
+    out = signed.select("doc_id", "n_shingles", "same").join(firsts_root, "same", "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
 
