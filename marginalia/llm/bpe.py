@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, Numbered
-from .common import documents, slices
+from .common import alone, documents, hold, slices
 
 #: Bytes of the pieces that one recursive query contracts, and of the longest piece that it is given.
 QUERY_BYTES = 200_000
@@ -188,7 +188,9 @@ def _encode(path: str, pattern: str, with_ids: bool):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe")
         bpe, table, decoded = _tables(path, pattern)
+        hold("bpe", _tables.cache_clear)
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,20 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Tell how to drop what an operator keeps in a Python worker between tasks."""
+    _held[name] = drop
+
+
+def alone(name: str) -> None:
+    """Drop what other operators keep in this worker: workers outlive jobs, and their memory is an executor's."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 

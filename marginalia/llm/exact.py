@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, mix64, text_or_empty
+from .common import alone, cut, documents, mix64, text_or_empty
 
 #: Digests of a snapshot to a bucket, on average: what one task holds to build or to ask a filter.
 BUCKET_ROWS = 1_000
@@ -75,6 +75,7 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _ask(batch: pa.Table, filters: pa.Table) -> pa.Table:
+    alone("exact")
     maybe = np.zeros(batch.num_rows, bool)
     if batch.num_rows and filters.num_rows:
         row = filters.slice(0, 1).to_pylist()[0]
@@ -104,6 +105,7 @@ def _kept_rows(bits: int, held: dict[int, bytes]):
         table[number * 4096 : (number + 1) * 4096] = np.frombuffer(piece, np.uint8)[: len(table)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("exact")
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             yield batch.filter(pa.array((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["slot"])

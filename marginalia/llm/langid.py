@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import alone, documents, hold, slices
 
 #: Longest piece in bytes; pieces of the vocabulary up to that length, with every single byte, cover any text.
 PIECE = 8
@@ -167,6 +167,7 @@ def _prior_weights(pieces: Pieces) -> np.ndarray:
 
 def _learn(path: str):
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("languages")
         pieces = pieces_of(path)
         weights = _prior_weights(pieces)
         seen: dict[str, dict[bytes, int]] = {}
@@ -237,7 +238,9 @@ def _predict(langs: list[str], weights: np.ndarray, path: str):
     mark = (path, tuple(langs), zlib.crc32(weights.tobytes()))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("languages")
         pieces = pieces_of(path)
+        hold("languages", _scores.clear)
         if mark not in _scores:
             _scores.clear()
         known = _scores.setdefault(mark, _Scores(weights.shape[1]))

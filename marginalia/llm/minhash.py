@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, cut_parquet, documents, mix64, slices
+from .common import alone, as_bytes, cut, cut_parquet, documents, mix64, slices
 
 #: Words of a shingle and the similarity of a link as a percentage.
 WORDS = 5
@@ -67,6 +67,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int) -> np.n
 
 def _sign(words: int, bands: int, rows: int, seed: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near duplicates")
         for batch in batches:
             for start, stop in slices(batch.column(1), 1 << 20):
                 sets = shingle_sets(as_bytes(batch.column(1).slice(start, stop - start)), words)
@@ -183,12 +184,14 @@ def _sets_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 
 def _resolve_block(percent: int, table: pa.Table) -> pa.Table:
+    alone("near duplicates")
     ids = table["doc_id"].to_numpy()
     return pa.table({"a": pa.array(ids), "b": pa.array(resolve(ids, _sets_of(table["shingles"]), percent))})
 
 
 def _shingle(words: int):
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near duplicates")
         for batch in batches:
             for start, stop in slices(batch.column(2), 1 << 20):
                 part = batch.slice(start, stop - start)

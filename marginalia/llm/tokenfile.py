@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable
-from .common import documents, shared_dir, slices
+from .common import alone, documents, hold, shared_dir, slices
 
 #: Ids of a block, the share of a block's offsets that its width must hold, and the id that ends a document.
 BLOCK = 128
@@ -175,7 +175,9 @@ def _table(path: str) -> tuple:
 
 def _write(path: str, end_id: int, percentile: float):
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("tokens")
         table, special, own = _table(path)
+        hold("tokens", _table.cache_clear)
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, stop in slices(batch.column(1)):
