@@ -148,6 +148,7 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray
 
     A set is compared with all others at once. Only sets outside the largest component need comparing: two sets of
     different components are then never both uncompared. It begins with the set whose shingles the block has most often.
+    Sets left out for a component that is not the largest in the end are compared after all.
     """
     block, n = _Block(sets), len(sets)
     root = np.arange(n)
@@ -162,17 +163,22 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray
     waiting = sorted(range(n), key=lambda i: -weight[i])
     size = np.ones(n, np.int64)
     largest = None
-    for i in waiting:
-        if largest is not None and top(i) == top(largest):
-            continue
-        for j in block.linked(sets[i], percent):
-            a, b = top(i), top(int(j))
-            if a != b:
-                a, b = (a, b) if size[a] >= size[b] else (b, a)
-                root[b] = a
-                size[a] += size[b]
-        if largest is None or size[top(i)] > size[top(largest)]:
-            largest = i
+    while waiting:
+        spared = []
+        for i in waiting:
+            if largest is not None and top(i) == top(largest):
+                spared.append(i)
+                continue
+            for j in block.linked(sets[i], percent):
+                a, b = top(i), top(int(j))
+                if a != b:
+                    a, b = (a, b) if size[a] >= size[b] else (b, a)
+                    root[b] = a
+                    size[a] += size[b]
+            if largest is None or size[top(i)] > size[top(largest)]:
+                largest = i
+        # all that were spared must lie in one component; another round compares those of the others
+        waiting = spared if any(top(i) != top(largest) for i in spared) else []
     tops = np.array([top(i) for i in range(n)], np.int64)
     low = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(low, tops, ids)

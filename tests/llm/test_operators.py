@@ -141,6 +141,28 @@ def test_resolve_needs_no_pairs():
     assert (minhash.resolve(np.arange(len(sets)), sets, 80) == low).all()
 
 
+def test_resolve_revision_trees():
+    """Clusters joined by few links, where the largest component changes on the way: all pairs say the same."""
+    rng = np.random.default_rng(7)
+    for _ in range(600):
+        n = int(rng.choice([40, 80]))
+        fresh = lambda k: rng.integers(0, 2**62, k).astype(np.uint64)
+        sets = [np.unique(fresh(60))]
+        while len(sets) < n:
+            parent = sets[rng.integers(len(sets)) if rng.random() < 0.5 else -1]
+            k = int(rng.integers(1, 9))
+            sets.append(np.unique(np.concatenate([rng.permutation(parent)[k:], fresh(k)])))
+        keys, at = np.unique(np.concatenate(sets), return_inverse=True)
+        member = np.zeros((n, len(keys)), np.float32)
+        member[np.repeat(np.arange(n), [len(s) for s in sets]), at] = 1
+        both, sizes = (member @ member.T).astype(int), np.array([len(s) for s in sets])
+        linked = 100 * both >= 80 * (sizes[:, None] + sizes - both)
+        low = np.arange(n)
+        while (now := np.where(linked, low, n).min(axis=1)).tolist() != low.tolist():
+            low = now
+        assert (minhash.resolve(np.arange(n), sets, 80) == low).all()
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(i, i + 1) for i in range(1000, 1040)]
