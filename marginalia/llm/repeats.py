@@ -23,7 +23,9 @@ HOT_DOCUMENTS = 20_000
 WIDTH = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACE = np.uint64((1 << 24) - 1)
+#: Bytes whose places are told apart beside a hash.
+PART = 1 << 24
+_PLACE = np.uint64(PART - 1)
 
 
 def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -70,10 +72,16 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     hashed = _hashes(raw, gram)
-    least = _least((hashed & ~_PLACE) | np.arange(len(raw), dtype=np.uint64), length - gram + 1)
+    # a place is packed beside the hash, so more bytes than it can tell apart are read in overlapping parts
+    wide = length - gram + 1
+    least = np.zeros(len(raw) - wide + 1, np.int64)
+    for begin in range(0, len(least), PART - wide + 1):
+        part = hashed[begin : begin + PART] & ~_PLACE
+        found = _least(part | np.arange(len(part), dtype=np.uint64), wide) & _PLACE
+        least[begin : begin + len(found)] = found.astype(np.int64) + begin
     owner = np.repeat(np.arange(len(texts)), room)
     windows = np.arange(room.sum()) + np.repeat(ends - sizes - (np.cumsum(room) - room), room)
-    return hashed, windows, (least[windows] & _PLACE).astype(np.int64), owner
+    return hashed, windows, least[windows], owner
 
 
 def _select(length: int, gram: int):

@@ -40,6 +40,17 @@ def test_repeats_ids(spark):
     assert got == sorted((i if i > 0 else -1, *r) for i, *r in without_repeats([(i or -1, *r) for i, *r in rows], 80))
 
 
+def test_repeats_beyond_16_mib(spark):
+    """A repeat near the end of a text of over 2**24 bytes, with another document and within the text."""
+    draw = lambda seed, n: np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    size, shared, twice = (1 << 24) + 300_000, "<" + draw(1, 300) + ">", "[" + draw(2, 250) + "]"
+    long = draw(3, size) + shared + draw(4, 1000) + twice + draw(5, 1000) + twice + "."
+    rows = [(1, long, None, None, None), (2, "0" + shared + "1", None, None, None)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(frame(spark, rows)).collect()}
+    rest = long.replace(shared, "").replace(twice, "")
+    assert got == {1: (len(long) - len(rest), 3, hashlib.sha256(rest.encode()).hexdigest()), 2: (len(shared), 1, hashlib.sha256(b"01").hexdigest())}
+
+
 def test_interval_tree():
     nodes, leaves = repeats.interval_tree([b"xxabcdefghijkl1", b"yyabcdefghijkl2", b"zzabcdefghixkl3"], 8)
     found = {(n, k) for n, k, _, _ in nodes}
