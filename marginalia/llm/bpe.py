@@ -179,9 +179,9 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def _tables(path: str, pattern: str) -> tuple[Bpe, ChunkTable, list[bytes]]:
+def _tables(path: str, pattern: str) -> tuple[Bpe, ChunkTable]:
     bpe = Bpe(path, pattern)
-    return bpe, ChunkTable(bpe.encode, KEPT_PIECES), []
+    return bpe, ChunkTable(bpe.encode, KEPT_PIECES)
 
 
 def _encode(path: str, pattern: str, with_ids: bool):
@@ -189,14 +189,13 @@ def _encode(path: str, pattern: str, with_ids: bool):
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("bpe")
-        bpe, table, decoded = _tables(path, pattern)
+        bpe, table = _tables(path, pattern)
         hold("bpe", _tables.cache_clear)
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 numbers = table.numbers([t or "" for t in part.column(1).to_pylist()])
-                if len(decoded) > table.count:
-                    decoded.clear()
+                decoded = table.decoded  # after numbers(), which may begin a new one
                 if len(decoded) < table.count:
                     done = len(decoded)
                     fresh = table.ids[table.starts[done] :] if done < len(table.starts) else table.ids[:0]

@@ -42,6 +42,7 @@ class ChunkTable:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.unsure = np.zeros(0, bool)
+        self.decoded: list[bytes] = []  # of the first chunks, for callers that decode; goes with them
 
     def _fill(self) -> None:
         """Encode the chunks that have got numbers since the last time."""

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,17 @@ def test_chunks_join_to_the_text():
         assert [flat[b - n : b].tobytes().decode("utf-32-le") for b, n in zip(ends, sizes)] == part
 
 
+def test_decodings_go_with_their_chunks(monkeypatch):
+    """A slice that makes the worker's chunks begin anew and has more of them than the one before."""
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 50)
+    bpe._tables.cache_clear()
+    texts = [" ".join(f"{name}{i}" for i in range(n)) for name, n in [("a", 60), ("b", 90), ("c", 120), ("d", 10), ("e", 60)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    made = [b.column(3)[0].as_py() for b in bpe._encode(bpe.default_path(), bpe.default_pattern(), False)(iter(batches))]
+    bpe._tables.cache_clear()
+    assert made == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 @pytest.mark.parametrize("high", [1, 3, 300, 50_257, 2**32])
 def test_blocks(high):
     rng = np.random.default_rng(high)
