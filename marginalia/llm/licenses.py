@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
+from .license_texts import TEXTS
 
 #: Published licence texts and notices by SPDX identifier.
 LICENSES = {
@@ -70,6 +71,15 @@ You should have received a copy of the GNU General Public License along with thi
         "Licensed under CC BY-NC 4.0.",
     ],
 }
+_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS"""
+LICENSES["BSD-3-Clause"] = [LICENSES["BSD-2-Clause"][0].replace("THIS SOFTWARE IS", _CLAUSE, 1)]
+_END = "END OF TERMS AND CONDITIONS"
+for _name, _text in TEXTS.items():
+    LICENSES.setdefault(_name, []).append(_text)
+    if _END in _text:  # many copies leave out what follows the terms: how to apply them
+        LICENSES[_name].append(_text[: _text.index(_END) + len(_END)])
 #: Spellings that count as equal, each with the one that stands for both.
 SPELLINGS = [
     ("licence", "license"),

@@ -332,6 +332,23 @@ def test_licenses(spark):
     assert sorted((r.doc_id, r.license_id, r.is_license) for r in found) == [(1, "MIT", True), (2, None, False), (3, "MIT", True), (4, None, False), (5, None, False), (6, "CC-BY-NC-4.0", True), (6, "CC-BY-NC-4.0", True)]
 
 
+def test_full_licenses(spark):
+    """Documents that are exactly a standard licence, set in other lines and cases, without the how-to, and cut short."""
+    want = {"Apache-2.0": "Version 2.0, January 2004", "GPL-2.0-only": "Version 2, June 1991", "GPL-3.0-only": "Version 3, 29 June 2007", "LGPL-2.1-only": "Version 2.1, February 1999", "LGPL-3.0-only": "Version 3, 29 June 2007", "MPL-2.0": "Mozilla Public License Version 2.0", "BSD-3-Clause": "Neither the name of the copyright holder"}
+    rows, names = [], {}
+    for i, (name, mark) in enumerate(want.items()):
+        text = max(licenses.LICENSES[name], key=lambda t: (mark in t, len(t)))
+        assert mark in text
+        for k, t in enumerate([text, text.upper().replace("\n", "\r\n  "), text[:-200]]):
+            rows.append((10 * i + k, t, None, None, None))
+            names[10 * i + k] = name if k < 2 else None
+        if "END OF TERMS" in text:
+            rows.append((10 * i + 5, text.split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n", None, None, None))
+            names[10 * i + 5] = name
+    found = licenses.scan_licenses(frame(spark, rows), licenses.digests(spark)).collect()
+    assert {r.doc_id: r.license_id for r in found} == names
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
