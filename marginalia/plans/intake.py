@@ -25,12 +25,20 @@ def active_corpus(spark, d):
 
 
 def scan_population(spark, d):
-    """The population of each brand, and whether it was read in full."""
+    """The population of one brand in discovery mode, cut at 20 rows, and whether it was read in full."""
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("resource"))
     rows, complete = S.scan_population(part, "Brand#11", "discovery", 20)
     return rows.select("record_id", "resource").join(complete.select("resource", "expected", "enumerated", "complete"), "resource")
 
 
+def scan_populations(spark, d):
+    """The population of each brand, read in full."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("resource"))
+    rows, complete = S.scan_populations(part)
+    complete = complete.withColumnRenamed("resource", "of")
+    return rows.join(complete, F.col("resource").eqNullSafe(F.col("of"))).select("record_id", "resource", "expected", "enumerated", "complete")
+
+
 def classify_files(spark, d):
     """Pages as files of four kinds."""
     k = F.col("page_id") % 4
@@ -96,10 +104,12 @@ def identity_history(spark, d):
     return K.identity_history(ops, ["user_id"], "event_id").select("user_id", "event_id", "step")
 
 
-QUERIES = {f.__name__: f for f in (active_corpus, scan_population, classify_files, graph_artifacts, parse_extractions, orphan_refs, nodes_per_generation, plan_reindex, advance_claims, artifact_lineage, identity_history)}
+QUERIES = {f.__name__: f for f in (active_corpus, scan_population, scan_populations, classify_files, graph_artifacts, parse_extractions, orphan_refs, nodes_per_generation, plan_reindex, advance_claims, artifact_lineage, identity_history)}
 
 ORACLE = {
     "active_corpus": "SELECT source AS workspace_id, doc_id AS document_id FROM documents WHERE doc_id % 3 = 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
+    "scan_populations": """SELECT p_partkey AS record_id, p_brand AS resource, count(*) OVER (PARTITION BY p_brand) AS expected,
+count(*) OVER (PARTITION BY p_brand) AS enumerated, true AS complete FROM part""",
     "scan_population": """SELECT p_partkey AS record_id, p_brand AS resource, n AS expected, least(n, 20) AS enumerated, n <= 20 AS complete
         FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_brand = 'Brand#11') WHERE r <= 20""",
     "classify_files": """SELECT '/in/' || page_id || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.exe' ELSE '.md' END AS path, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' ELSE 'md' END AS extension,

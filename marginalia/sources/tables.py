@@ -43,6 +43,12 @@ def scan_population(entities: DataFrame, resource: str, mode: str = "exhaustive"
     return rows, total.select(F.lit(resource).alias("resource"), F.lit(mode).alias("mode"), "expected", got.cast("long").alias("enumerated"), (got == F.col("expected")).alias("complete"))
 
 
+def scan_populations(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, completeness) of every resource, each read in full; a null resource is one of its own."""
+    total = entities.groupBy("resource").agg(F.count(F.lit(1)).alias("expected"))
+    return entities, total.select("resource", F.lit("exhaustive").alias("mode"), "expected", F.col("expected").alias("enumerated"), F.lit(True).alias("complete"))
+
+
 def read_text_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of text files: line ends as line feeds, empty files rejected."""
     files = spark.read.option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", True).text(path, wholetext=True)

@@ -68,6 +68,14 @@ def test_conversations(spark):
     assert [(r.focus, r.recent) for r in L.carry_focus(turns).orderBy("turn").collect()] == [("e1", []), ("e1", ["e1"]), (None, ["e1"])]
 
 
+def test_scan_populations(spark):
+    """Every resource, a null one and repeated records too, without a cut."""
+    rows = [(i, "ab"[i % 2]) for i in range(50)] + [(1, "b"), (99, None)]
+    found, state = S.scan_populations(spark.createDataFrame(rows, "record_id long, resource string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows))
+    assert {tuple(r) for r in state.collect()} == {("a", "exhaustive", 25, 25, True), ("b", "exhaustive", 26, 26, True), (None, "exhaustive", 1, 1, True)}
+
+
 def test_active_corpus(spark):
     docs = spark.createDataFrame([("w", "d1", "v2", None), ("w", "d2", "v3", "x"), ("u", "d3", "v4", None)], "workspace_id string, document_id string, active_version_id string, deleted_at string").withColumn("title", F.lit("t"))
     chunks = spark.createDataFrame([("w", "d1", "v1", "old"), ("w", "d1", "v2", "new"), ("w", "d2", "v3", "gone"), ("u", "d3", "v4", "other")], "workspace_id string, document_id string, version_id string, chunk_id string")
