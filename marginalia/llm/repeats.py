@@ -310,7 +310,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS, width: int = WIDTH) -> DataFrame:
-    """Maximal repeats of `length` bytes or more across and within documents, with all occurrences.
+    """Spans of the repeats of `length` bytes or more across and within documents, and groups of some of them.
 
     Returns key (doc_id, null as the least long), tag (a hash of the text), start, size, and the repeat (a hash of its
     bytes), its parent in the interval tree, and its occurrences. Rows without a repeat are contexts that occur twice as
@@ -320,6 +320,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     stack. Occurrences are maximal within their contexts; adjoining ones overlap, so a longer repeat is a row of
     occurrences. A gram of over `hot_documents` documents is too much for one task: its contexts are cut finer and
     counted, and their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
+
+    Groups are partial: of equal contexts of one slice only one enters the tree, and their runs carry no repeat id, so
+    `occurrences` counts less than there are, depends on how rows are dealt to tasks, and a passage whose copies all lie
+    in one slice has no group. The spans that repeats cover are whole.
     """
     plain = keyed(docs, id_col, text_col)
     chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, twice boolean")
