@@ -6,6 +6,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -15,15 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import alone, documents, hold, slices
 
-#: Longest piece in bytes; pieces of the vocabulary up to that length, with every single byte, cover any text.
-PIECE = 8
 #: Expected counts added to each piece, and scores are as sure as so many words can make them.
 PRIOR = 0.1
 SURE_WORDS = 20
-#: Words whose scores a worker keeps, the longest word that is scored together with others, and words scored at once.
-KEPT_WORDS = 150_000
-LONG_WORD = 200
-AT_ONCE = 4096
+#: Words that a worker keeps, bytes of the words that are scored at once, and positions after which sums are brought near 1.
+KEPT_WORDS = 300_000
+AT_ONCE = 1 << 20
+STEP = 12
+#: Languages that a model may have: a bound of what driver and tasks hold, which is a number a piece and language.
+LANGUAGES = 200
 
 #: ASCII that is no letter separates words.
 _APART = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -36,37 +37,72 @@ def vocabulary_path() -> str:
 
 
 class Pieces:
-    """The pieces of a rank file, without leading blanks, in lower case only, of up to PIECE bytes; found by their bytes."""
+    """The pieces of a rank file, of any length, without leading blanks, in lower case; with every single byte they cover any text.
+
+    They are found as a trie, level by level: of all places of many words at once, those go on that still begin a piece.
+    """
 
     def __init__(self, path: str):
         ranked = [base64.b64decode(line.split()[0]) for line in Path(path).read_bytes().splitlines()]
         own = {p.strip(b" ") for p in ranked}
-        own = {p for p in own if 0 < len(p) <= PIECE and p.decode("utf-8", "replace") == p.decode("utf-8", "replace").lower()}
+        own = {p for p in own if p and p == p.translate(_APART) and p.decode("utf-8", "replace") == p.decode("utf-8", "replace").lower()}
         self.pieces = sorted(own | {bytes([c]) for c in range(256)})
-        self.tables = []
-        for n in range(1, PIECE + 1):
-            keyed = sorted((int.from_bytes(p, "little"), i) for i, p in enumerate(self.pieces) if len(p) == n)
-            self.tables.append((np.array([k for k, _ in keyed], np.uint64), np.array([i for _, i in keyed], np.int64)))
+        nodes: dict[bytes, int] = {bytes([c]): c for c in range(256)}
+        steps = []
+        for p in self.pieces:
+            for n in range(2, len(p) + 1):
+                if p[:n] not in nodes:
+                    nodes[p[:n]] = len(nodes)
+                    steps.append((nodes[p[: n - 1]] << 8 | p[n - 1], nodes[p[:n]]))
+        self.piece = np.full(len(nodes), -1, np.int64)
+        for i, p in enumerate(self.pieces):
+            self.piece[nodes[p]] = i
+        keys, following = np.array(steps, np.int64).reshape(-1, 2).T
+        # steps from a node by a byte: a table of slots, with the steps of one slot in a row
+        self.bits = max(8, int(len(keys)).bit_length() + 3)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.following = np.append(keys[order], -1), np.append(following[order], -1)
+        self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1))
+        self.crowd = int(np.diff(self.first).max(initial=0))
 
     def __len__(self) -> int:
         return len(self.pieces)
 
-    def found(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """[word, end, length - 1] -> index of the piece that ends there, or -1; lengths of the words."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        wide = int(sizes.max()) if len(sizes) else 0
-        grid = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide).astype(np.uint64)
-        out = np.full((len(words), wide + 1, PIECE), -1, np.int64)
-        code = np.zeros_like(grid)
-        for n in range(1, min(PIECE, wide) + 1):
-            code = grid[:, : wide - n + 1] | (code[:, 1:] << np.uint64(8) if n > 1 else np.uint64(0))  # bytes from a start, little end first
-            keys, index = self.tables[n - 1]
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            hit = (keys[at] == code) & (np.arange(n, wide + 1)[None, :] <= sizes[:, None])
-            out[:, n:, n - 1] = np.where(hit, index[at], -1)
-        return out, sizes
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        at, stop = self.first[slot], self.first[slot + 1]
+        out = np.full(len(keys), -1, np.int64)
+        rows = np.flatnonzero(at < stop)
+        for _ in range(self.crowd):
+            if not len(rows):
+                break
+            hit = self.keys[at[rows]] == keys[rows]
+            out[rows[hit]] = self.following[at[rows[hit]]]
+            rows = rows[~hit]
+            at[rows] += 1
+            rows = rows[at[rows] < stop[rows]]
+        return out
+
+    def found(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1 on: (places, pieces) in words of one size; place = start * len(words) + word, ascending."""
+        n, size = len(words), len(words[0])
+        grid = np.frombuffer(b"".join(words), np.uint8).reshape(n, size).T.reshape(-1).astype(np.int64)
+        place, node = np.arange(n * size), grid
+        out = [(place, self.piece[node])]
+        for m in range(2, size + 1):
+            inside = place < n * (size - m + 1)
+            place = place[inside]
+            node = self._next(node[inside] << 8 | grid[place + n * (m - 1)])
+            place, node = place[node >= 0], node[node >= 0]
+            if not len(place):
+                break
+            whole = self.piece[node] >= 0
+            out.append((place[whole], self.piece[node[whole]]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -74,78 +110,74 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(found: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all segmentations of what precedes each position: [word, position, language], as numbers and powers of 2.
+def forward(found: list[tuple[np.ndarray, np.ndarray]], n: int, size: int, weights: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations of what precedes (with back: follows) each position: [position, word, language], and powers of 2.
 
-    weights: [piece, language], with a last row of zeros for no piece. Numbers are brought near 1 at each position.
+    found: the pieces of `n` words of `size` bytes; weights: [piece, language].
     """
-    n, wide = found.shape[:2]
-    sums = np.zeros((n, wide, weights.shape[1]))
-    power = np.zeros((n, wide), np.int64)
-    sums[:, 0] = 1
-    for i in range(1, wide):
-        most = min(PIECE, i)
-        parts = weights[found[:, i, :most]]  # -1 takes the last row
-        before = sums[:, i - most : i][:, ::-1]
-        shift = power[:, i - most : i][:, ::-1]
-        top = shift[:, 0]
-        value = np.einsum("wml,wml,wm->wl", parts, before, np.exp2(np.clip(shift - top[:, None], -900, 900)))
-        exponent = np.where(value.max(1) > 0, np.frexp(value.max(1))[1], 0)
-        sums[:, i] = np.ldexp(value, -exponent[:, None])
-        power[:, i] = top + exponent
+    sums = np.zeros((size + 1, n, weights.shape[1]))
+    power = np.zeros((size + 1, n), np.int64)
+    sums[size if back else 0] = 1
+    edges = [np.searchsorted(place, np.arange(0, n * (size + 1) + 1, n)) for place, _ in found]
+    for i in range(1, size + 1):
+        to = size - i if back else i
+        power[to] = power[to + 1 if back else to - 1]
+        for m in range(1, min(i, len(found)) + 1):
+            start, come = (to, to + m) if back else (to - m, to - m)
+            a, b = edges[m - 1][start], edges[m - 1][start + 1]
+            if a == b:
+                continue
+            row = found[m - 1][0][a:b] - start * n
+            part = weights[found[m - 1][1][a:b]] * sums[come, row]
+            if (i - 1) // STEP > (i - m) // STEP:  # sums were brought near 1 in between
+                part *= np.exp2((power[come] - power[to])[row].astype(float))[:, None]
+            sums[to, row] += part
+        if i % STEP == 0:
+            exponent = np.frexp(sums[to].max(1))[1]
+            sums[to] = np.ldexp(sums[to], -exponent[:, None])
+            power[to] += exponent
     return sums, power
 
 
+def _runs(words: list[bytes]) -> Iterator[list[int]]:
+    """Words of one size, so many that they have about AT_ONCE bytes."""
+    of: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        of.setdefault(len(w), []).append(i)
+    for size, own in of.items():
+        step = max(1, AT_ONCE // size)
+        for a in range(0, len(own), step):
+            yield own[a : a + step]
+
+
 def _log_sums(pieces: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     """log probability of each word under each language, over all its segmentations."""
     out = np.zeros((len(words), weights.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in _runs(words, order):
-        found, sizes = pieces.found([words[i] for i in at])
-        sums, power = forward(found, weights)
-        rows = np.arange(len(at))
-        out[at] = np.log(np.maximum(sums[rows, sizes], 1e-300)) + power[rows, sizes][:, None] * np.log(2)
+    for at in _runs(words):
+        some = [words[i] for i in at]
+        sums, power = forward(pieces.found(some), len(some), len(some[0]), weights)
+        out[at] = np.log(np.maximum(sums[-1], 1e-300)) + power[-1][:, None] * np.log(2)
     return out
 
 
-def _runs(words: list[bytes], order: list[int]) -> Iterator[list[int]]:
-    """Words of about the same length, as many as hold AT_ONCE * 16 bytes."""
-    start = 0
-    while start < len(order):
-        stop = start + 1
-        while stop < len(order) and (stop - start) * len(words[order[stop]]) < AT_ONCE * 16:
-            stop += 1
-        yield order[start:stop]
-        start = stop
-
-
 def _expected(pieces: Pieces, weights: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
     """Expected counts of each piece over all segmentations of the words under one weighting; times: [word, language]."""
-    total = np.zeros((len(pieces) + 1, times.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    mirrored = weights
-    for at in _runs(words, order):
-        found, sizes = pieces.found([words[i] for i in at])
-        n, wide = found.shape[:2]
-        ahead, power = forward(found, weights)
-        back = np.full((n, wide, PIECE), -1, np.int64)  # the same for the words from their ends
-        rows = np.arange(n)[:, None]
-        for m in range(1, PIECE + 1):
-            spot = sizes[:, None] - np.arange(m, wide)[None, :] + m  # a piece that begins where so many bytes remain
-            ok = (spot >= m) & (spot <= sizes[:, None])
-            back[:, m:, m - 1] = np.where(ok, found[rows, np.clip(spot, 0, wide - 1), m - 1], -1)
-        behind, back_power = forward(back, mirrored)
-        whole, whole_power = ahead[np.arange(n), sizes, 0], power[np.arange(n), sizes]
-        for m in range(1, min(PIECE, wide - 1) + 1):
-            ends = np.arange(m, wide)
-            piece = found[:, m:, m - 1]
-            rest = np.clip(sizes[:, None] - ends[None, :], 0, wide - 1)
-            up = power[:, : wide - m] + back_power[rows, rest] - whole_power[:, None]
-            share = ahead[:, : wide - m, 0] * weights[piece, 0] * behind[rows, rest, 0] / whole[:, None] * np.exp2(np.clip(up, -900, 900).astype(float))
-            word, end = np.nonzero(piece >= 0)
+    total = np.zeros((len(pieces), times.shape[1]))
+    for at in _runs(words):
+        some = [words[i] for i in at]
+        n, size = len(some), len(some[0])
+        found, often = pieces.found(some), times[at]
+        (ahead, up), (behind, down) = (forward(found, n, size, weights, back) for back in (False, True))
+        whole, whole_up = ahead[-1, :, 0], up[-1]
+        ahead, up, behind, down = (x.reshape(-1) for x in (ahead, up, behind, down))
+        for m, (place, piece) in enumerate(found, 1):
+            word = place % n
+            share = ahead[place] * weights[piece, 0] * behind[place + m * n] / whole[word]
+            if size >= STEP:
+                share *= np.exp2((up[place] + down[place + m * n] - whole_up[word]).astype(float))
             for k in range(times.shape[1]):
-                total[:, k] += np.bincount(piece[word, end], weights=share[word, end] * times[np.array(at)[word], k], minlength=len(total))
-    return total[:-1]
+                total[:, k] += np.bincount(piece, weights=share * often[word, k], minlength=len(total))
+    return total
 
 
 def _words(text: str) -> list[bytes]:
@@ -161,8 +193,8 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def _prior_weights(pieces: Pieces) -> np.ndarray:
-    """Before any text is seen, a piece of n bytes weighs 16 ** -n times a constant: long pieces count as likely as their parts."""
-    return np.append(np.array([[40.0 ** -(1 + 0.5 * (len(p) - 1))] for p in pieces.pieces]), [[0.0]], axis=0)
+    """Before any text is seen, a piece of n bytes weighs 40 ** -(1 + (n - 1) / 2): more than its bytes apart, less than a single one."""
+    return np.array([[40.0 ** -(1 + 0.5 * (len(p) - 1))] for p in pieces.pieces])
 
 
 def _learn(path: str):
@@ -182,12 +214,16 @@ def _learn(path: str):
             seen.clear()
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = seen.setdefault(lang, {})
-                for w in _words(text):
-                    own[w] = own.get(w, 0) + 1
-                if sum(map(len, seen.values())) > KEPT_WORDS:
-                    settle()
+            for start, stop in slices(batch.column(0)):
+                part = batch.slice(start, stop - start)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = seen.setdefault(lang, {})
+                    for w in _words(text):
+                        own[w] = own.get(w, 0) + 1
+                    if sum(map(len, seen.values())) > KEPT_WORDS:
+                        settle()
+                if len(sums) + len(seen) > LANGUAGES:
+                    raise ValueError(f"more than {LANGUAGES} languages")
         if seen:
             settle()
         for lang, column in sums.items():
@@ -202,16 +238,20 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     One step of expectation: every word's segmentations are weighted by a fixed prior over the vocabulary, and each
     language's expected counts of pieces become its piece probabilities. Tasks send a row for each language and piece
-    that they saw, combined by a sum, so the driver gets (languages x vocabulary) rows, whatever the input.
+    that they saw, combined by a sum, so the driver gets (languages x vocabulary) rows, whatever the input. More than
+    LANGUAGES languages fail the job, since a model holds a number for each piece and language.
     """
     path = path or vocabulary_path()
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = rows.mapInArrow(_learn(path), "lang string, piece long, expected double").groupBy("lang", "piece").agg(F.sum("expected").alias("expected")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counts = np.full((len(pieces_of(path)), len(langs)), PRIOR)
     of = {k: i for i, k in enumerate(langs)}
     np.add.at(counts, (found["piece"].to_numpy(), np.array([of[k] for k in found["lang"].to_pylist()], np.int64)), found["expected"].to_numpy())
-    return langs, np.append(np.round(counts / counts.sum(0), 15), np.zeros((1, len(langs))), axis=0)
+    counts = np.round(counts, 6)  # the order of sums doesn't show
+    return langs, counts / counts.sum(0)
 
 
 class _Scores:
@@ -223,8 +263,8 @@ class _Scores:
 
     def of(self, pieces: Pieces, weights: np.ndarray, lists: list[list[bytes]]) -> list[np.ndarray]:
         every = set().union(*lists)
-        if len(self.number) + len(every) > KEPT_WORDS:
-            self.number, self.rows = {}, self.rows[:0]
+        if len(self.number) > KEPT_WORDS:  # those that were met first are the most frequent
+            self.number, self.rows = dict(islice(self.number.items(), KEPT_WORDS // 2)), self.rows[: KEPT_WORDS // 2]
         new = list(every.difference(self.number))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.rows = np.vstack([self.rows, _log_sums(pieces, weights, new)])
