@@ -22,13 +22,15 @@ SEED = 7
 #: Bins of raw scores that calibration counts, and the least score that counts as label 1.
 BINS = 2000
 LEAST_SCORE = 0.3
+#: Vectors that one task of a tree of sums adds.
+FAN_IN = 16
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
 _POINTS = b".,;:!?"
-_MARKS = b"#*$%&|<>"
-_OTHER = b"\"'()[]{}@^_~`\\/+=-"
+_PAIRED = b"\"'()[]{}"
+_OTHER = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _POINTS + _PAIRED)
 STATISTICS = 24
 
 
@@ -43,7 +45,8 @@ def statistics(text: bytes) -> list[float]:
     top = often.most_common(1)[0][1] if often else 0
     pairs = Counter(zip(words, words[1:]))
     equal = sum(c for (a, b), c in pairs.items() if a == b)
-    marked = [w for w in words if w[-1:] in (b"#", b"*", b"$", b"%", b"&", b"|", b"!")]
+    ended = sum(w[-1] in _OTHER for w in words)
+    mixed = sum(not w.isalpha() and w.isalnum() and not w.isdigit() for w in words)
     lengths = [len(w) for w in words]
     sizes = [len(x) for x in lines]
     mean = share(sum(lengths), len(words))
@@ -58,16 +61,16 @@ def statistics(text: bytes) -> list[float]:
         share(upper, upper + lower),
         share(count(_DIGITS), n),
         share(count(_POINTS), n),
-        share(text.count(b"!"), len(words)),
-        share(count(_MARKS), n),
-        share(text.count(b"|"), len(words)),
+        share(count(_PAIRED), n),
         share(count(_OTHER), n),
+        share(count(bytes(range(32))) - text.count(b"\n"), n),
+        share(mixed, len(words)),
         share(count(bytes(range(128, 256))), n),
         share(len(often), len(words)),
         share(top, len(words)),
         share(len(pairs), max(1, len(words) - 1)),
         share(equal, len(words)),
-        share(len(marked), len(words)),
+        share(ended, len(words)),
         share(sum(x <= 3 for x in lengths), len(words)),
         share(len(lines) - len(set(lines)), len(lines)),
         np.log1p(share(sum(sizes), len(lines))),
@@ -119,7 +122,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, width: int, part) -> np.ndarray:
-    """The sum over all rows of part(stats, labels), a vector of `width` numbers: summed in each partition, then in a few tasks, then here."""
+    """The sum over all rows of part(stats, labels), a vector of `width` numbers: summed in each partition, then as a tree, then here."""
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -135,12 +138,15 @@ def _summed(rows: DataFrame, width: int, part) -> np.ndarray:
                 total += np.frombuffer(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = rows.select("stats", "label").mapInArrow(partly, "sums binary").repartition(4).mapInArrow(again, "sums binary")
+    sums, parts = rows.select("stats", "label").mapInArrow(partly, "sums binary"), rows.rdd.getNumPartitions()
+    while parts > FAN_IN:  # a tree: no task, nor the driver, adds more than FAN_IN vectors at a time
+        parts = -(-parts // FAN_IN)
+        sums = sums.repartition(parts).mapInArrow(again, "sums binary")
     return sum((np.frombuffer(r[0]) for r in sums.collect()), np.zeros(width))
 
 
 def isotonic(counts: np.ndarray, goods: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a non-decreasing step fit of goods over counts by bin, pooled adjacent violators; joined by lines."""
+    """Points of the non-decreasing fit of goods over counts by bin: adjacent violators are pooled, pools are joined by lines."""
     blocks: list[list[float]] = []
     for c, g, x in zip(counts, goods, at):
         if not c:
@@ -151,7 +157,7 @@ def isotonic(counts: np.ndarray, goods: np.ndarray, at: np.ndarray) -> tuple[np.
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
     if not blocks:
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    return np.array([b[2] / b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
+    return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, seed: int = SEED, bins: int = BINS) -> Model | None:
