@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, cut, documents, mix64, text_or_empty
+from .common import alone, cut, cut_parquet, documents, mix64, text_or_empty
 
 #: Digests of a snapshot to a bucket, on average: what one task holds to build or to ask a filter.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 250
 #: Slots (a power of two) of the fixed bit map that tells which texts may have an equal one.
 SCREEN_BITS = 24
+#: The most digests of different texts that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def _places(keys: np.ndarray, seed: int, segment: int, segments: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -87,16 +89,21 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
-    """A binary-fuse filter for each bucket of the distinct digests (hexadecimal) of an immutable snapshot."""
-    return digests.select(_bucket(buckets), "digest").groupBy("bucket").applyInArrow(_build, "bucket int, seed long, segment long, segments long, held binary")
+def snapshot_tables(digests: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(exact, filters) of an immutable snapshot's digests, one row each, in hexadecimal: written once, read by every batch.
+
+    exact has a bucket for each digest, beside its other columns; filters has a binary-fuse filter for each bucket.
+    """
+    exact = cut_parquet(digests.select(_bucket(buckets), *digests.columns))
+    kinds = "bucket int, seed long, segment long, segments long, held binary"
+    return exact, cut_parquet(exact.select("bucket", "digest").groupBy("bucket").applyInArrow(_build, kinds))
 
 
 def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The rows of `batch` (distinct digests) with `maybe`: false where the filter proves that the snapshot lacks the digest."""
+    """`batch` (distinct digests) with their bucket and `maybe`: false where the filter proves that the snapshot lacks the digest."""
     rows = batch.select(_bucket(buckets), *batch.columns)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_ask, f"{kinds}, maybe boolean").drop("bucket")
+    return rows.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_ask, f"{kinds}, maybe boolean")
 
 
 def _kept_rows(bits: int, held: dict[int, bytes]):
@@ -113,50 +120,65 @@ def _kept_rows(bits: int, held: dict[int, bytes]):
     return rows
 
 
-def exact_dedup(snapshot: DataFrame, incoming: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), bucket_rows: int = BUCKET_ROWS, screen_bits: int = SCREEN_BITS) -> DataFrame:
-    """Groups of equal texts over an immutable snapshot and a new batch.
+def dedup_batch(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text", digest=lambda text: F.sha2(text, 256), bucket_rows: int = BUCKET_ROWS, screen_bits: int = SCREEN_BITS) -> DataFrame:
+    """Groups of equal texts over an immutable snapshot and a new batch: the rows of `docs` where `incoming` is true.
 
-    Returns a row for each row of both: doc_id, in_snapshot, keep_id, group_size, kept, text_sha256. Of equal texts the
-    row with the largest doc_id stays. Equal texts within the batch are grouped separately first; each of its distinct
-    digests then asks the filter of its bucket, and only what the filter lets through is joined with the snapshot's exact
-    digests. Texts that may be equal are compared byte by byte: they are grouped by digest and text, combined before the
-    shuffle, so that of a text copied a thousand times each task sends one. Should different texts share a digest, each
-    text is a group of its own.
+    Returns a row for each row: doc_id, in_snapshot, keep_id, group_size, kept, text_sha256. Of equal texts the row with
+    the largest doc_id stays. Texts are digested once; the snapshot's distinct digests are written as exact buckets, with
+    a filter for each. Equal digests within the batch are grouped separately; each then asks the filter of its bucket.
+    What the filter rejects is new, and its group is that of the batch; only the rest joins the exact buckets. Where a
+    digest has several rows, their texts are compared byte by byte: the least and the greatest text of a digest, found
+    with partial results before the shuffle, are the same. Should they differ, rows of that digest are grouped by text.
 
     Null counts as empty text. Ties: rows that repeat a doc_id and its text count in group_size and all have its kept.
     Null doc_ids are smaller than others. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
-    spark = snapshot.sparkSession
     text = text_or_empty(text_col)
-    read = [side.select(F.col(id_col).alias("doc_id"), text.alias("text"), digest(text).alias("digest"), F.lit(first).alias("in_snapshot")) for side, first in ((snapshot, True), (incoming, False))]
-    old, new = (rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")) for rows in read)
-    buckets = max(1, -(-snapshot.count() // bucket_rows))
-    screened = screen(new, snapshot_filters(old, buckets), buckets)
-    other = screened.where("maybe").select("digest", F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
-    met = old.join(other, "digest", "full").select("digest", F.greatest("keep_id", "new_id").alias("keep_id"), (F.coalesce("group_size", F.lit(0)) + F.coalesce("new_size", F.lit(0))).alias("group_size"))
-    groups = met.unionByName(screened.where("not maybe").select("digest", "keep_id", "group_size")).where("group_size > 1")
-
-    # which texts to compare: a bit map of fixed size of the digests that occur twice (2 MB at 24 bits)
+    read = docs.select(F.col(id_col).alias("doc_id"), (~F.coalesce(incoming, F.lit(False))).alias("in_snapshot"), text.alias("text"), digest(text).alias("digest"))
+    marked = cut_parquet(read.select("doc_id", "in_snapshot", "digest", F.sha2("text", 256).alias("text_sha256")))  # a row a document, without texts
+    groups = marked.groupBy("in_snapshot", "digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    buckets = max(1, -(-marked.where("in_snapshot").count() // bucket_rows))
+    old, filters = snapshot_tables(groups.where("in_snapshot").drop("in_snapshot"), buckets)
+    screened = cut_parquet(screen(groups.where("not in_snapshot").drop("in_snapshot"), filters, buckets))
+    other = screened.where("maybe").select("bucket", "digest", F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
+    met = old.join(other, ["bucket", "digest"], "full").select("digest", F.greatest("keep_id", "new_id").alias("keep_id"), (F.coalesce("group_size", F.lit(0)) + F.coalesce("new_size", F.lit(0))).alias("group_size"))
+    found = cut(met.unionByName(screened.where("not maybe").select("digest", "keep_id", "group_size")).where("group_size > 1"))
+
+    # which texts to compare: a bit map of fixed size of the digests of several rows (2 MB at 24 bits)
     slot = F.pmod(F.xxhash64("digest"), F.lit(1 << screen_bits))
-    bits = groups.select((slot + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("number")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    bits = found.select((slot + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("number")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
     held = {r["number"] - 1: bytes(r["bits"]) for r in bits.collect()}
-    both = read[0].unionByName(read[1])
-    may = both.select("digest", "text", "doc_id", slot.alias("slot")).mapInArrow(_kept_rows(screen_bits, held), "digest string, text string, doc_id long")
-    compared = may.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    shared = compared.select("digest", F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("also"), "keep_id", "group_size").where("group_size > 1")
-    shared = cut(shared)  # a row for each repeated text
+    may = read.select("digest", "text", "doc_id", slot.alias("slot")).mapInArrow(_kept_rows(screen_bits, held), "digest string, text string, doc_id long")
+    unlike = cut(may.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"))
+
+    same = found.join(unlike, "digest", "left_anti")
+    out = _verdicts(marked.join(same, "digest", "left"))
+    if unlike.isEmpty():
+        return out
+    of = F.broadcast(unlike) if unlike.count() <= BROADCAST_ROWS else unlike
+    texts = may.join(of, "digest").groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    apart = read.join(of, "digest").join(texts, ["digest", "text"]).withColumn("text_sha256", F.sha2("text", 256))
+    return _verdicts(marked.join(unlike, "digest", "left_anti").join(same, "digest", "left")).unionByName(_verdicts(apart))
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
+    keep = F.when(F.coalesce("group_size", F.lit(1)) == 1, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return rows.select("doc_id", "in_snapshot", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def exact_dedup(snapshot: DataFrame, incoming: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """dedup_batch() of a snapshot and a batch that are tables of their own."""
+    pick = lambda side, new: side.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(new).alias("incoming"))
+    return dedup_batch(pick(snapshot, False).unionByName(pick(incoming, True)), F.col("incoming"), **options)
+
 
-    plain = both.select("doc_id", "in_snapshot", "digest", F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("also"))
-    joined = plain.join(shared, ["digest", "text_sha256", "also"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", "in_snapshot", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+def odd_ids(id_col: str = "doc_id") -> Column:
+    return F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(2)) == 1
 
 
 def op6_exact_dedup(spark, sf_dir) -> DataFrame:
     """Two loads of documents: the even ids are the snapshot, the odd ones the new batch."""
-    docs = documents(spark, sf_dir)
-    odd = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)) == 1
-    return exact_dedup(docs.where(~odd), docs.where(odd)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup_batch(documents(spark, sf_dir), odd_ids()).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """
