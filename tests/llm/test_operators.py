@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, exact, langid, licenses, minhash, mixing, quality_model, repeats, rules, tokenfile
@@ -144,6 +146,24 @@ def test_isotonic():
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
 
 
+@given(st.lists(st.tuples(st.integers(0, 200), st.floats(0, 1)), max_size=40))
+def test_isotonic_is_the_monotone_fit(bins):
+    counts, goods = np.array([c for c, _ in bins], float), np.array([round(c * p) for c, p in bins], float)
+    x, y = quality_model.isotonic(counts, goods, np.arange(float(len(bins))))
+    assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all() and ((y >= 0) & (y <= 1)).all()
+    used = [i for i in range(len(bins)) if counts[i]]
+    for i in used:  # the fit of each bin by the min-max formula
+        mean = lambda a, b: goods[a : b + 1].sum() / counts[a : b + 1].sum()
+        want = max(min(mean(a, b) for b in used if b >= i) for a in used if a <= i)
+        assert np.abs(y - want).min() < 1e-9
+
+
+def test_sums_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "FAN_IN", 2)
+    rows = spark.range(0, 100, 1, 9).select(F.array(F.col("id").cast("double")).alias("stats"), F.lit(1.0).alias("label"))
+    assert quality_model._summed(rows, 1, lambda x, y: x.sum(0)) == [4950.0]
+
+
 @pytest.mark.parametrize("kwargs", [{}, {"block_shingles": 150, "piece_shingles": 100}])
 def test_near_duplicates(docs, kwargs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=4, **kwargs).collect()}
@@ -208,6 +228,16 @@ def test_exact_dedup(docs, digest):
     assert sorted(tuple(r) for r in found.collect()) == want
 
 
+def test_screen_rejects_what_the_snapshot_lacks(spark):
+    """Filters let all digests of the snapshot through and hardly any other: only those reach the exact buckets."""
+    digest = F.sha2(F.col("id").cast("string"), 256).alias("digest")
+    old, filters = exact.snapshot_tables(spark.range(0, 4000).select(digest), 16)
+    asked = exact.screen(spark.range(3000, 9000).select("id", digest), filters, 16)
+    got = {r.id for r in asked.where("maybe").collect()}
+    assert asked.count() == 6000 and got >= set(range(3000, 4000)) and len(got) < 1000 + 0.02 * 5000
+    assert old.groupBy("bucket").count().count() == filters.count() == 16
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 10, 5000):
@@ -245,10 +275,33 @@ def test_mixing(spark, docs):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     for s, n in taken.items():
         assert abs(n - target[s]) <= max(n for r, n in zip(ROWS, size) if r[3] == s) / 2 + 1
+    for s in of:  # inclusion is proportional to size up to 1, and its words are what whole copies leave
+        own = [r for r in rows if r.source == s and r.size]
+        left = target[s] - int(target[s] // of[s]) * of[s] if of[s] else 0
+        assert sum(r.size * r.inclusion for r in own) == pytest.approx(left, abs=1e-6)
+        ratio = {round(r.inclusion / r.size, 12) for r in own if r.inclusion < 1}
+        assert len(ratio) <= 1 and all(r.size * min(ratio, default=0) >= 1 - 1e-9 for r in own if r.inclusion == 1 and ratio)
+        assert all(r.copies == int(target[s] // of[s]) + 1 for r in own if r.inclusion == 1)
     again = frame(spark, ROWS, 7)
     assert sorted(map(str, mixing.mix_sources(again, steps=3).collect())) == sorted(map(str, rows))
 
 
+def test_mixing_is_unequal(spark):
+    """Long documents are taken as much more often than short ones as their inclusion says; certain ones always."""
+    sizes = [2] * 3000 + [8] * 3001 + [400]
+    rows = [(i, "w " * n, None, "a" if i % 2 else "b", None) for i, n in enumerate(sizes)]
+    found = mixing.mix_sources(frame(spark, rows), share=0.3, seed="s").collect()
+    for source in "ab":
+        for n in (2, 8, 400):
+            own = [r for r in found if r.source == source and r.size == n]
+            if own:
+                assert {r.inclusion for r in own} == {own[0].inclusion}
+                assert np.mean([r.copies for r in own]) == pytest.approx(own[0].inclusion, abs=0.05)
+    assert [r.copies for r in found if r.size == 400] == [1]
+    other = mixing.mix_sources(frame(spark, rows), share=0.3, seed="t").where("copies > 0").collect()
+    assert {r.doc_id for r in other} != {r.doc_id for r in found if r.copies}
+
+
 def test_quality_rules(docs, labels):
     rows = rules.quality_rules(docs, labels).collect()
     got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows)
@@ -291,6 +344,64 @@ def test_language_id(docs):
             assert r.lang_pred in ("en", "de")
 
 
+def _languages_by_hand(rows):
+    """Each document's prediction from sums over segmentations in plain Python."""
+    pieces = set(langid.pieces_of(langid.vocabulary_path()).pieces)
+    most = max(map(len, pieces))
+    prior = lambda p: 40.0 ** -(1 + 0.5 * (len(p) - 1))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def cuts(word):
+        return [(a, b) for b in range(1, len(word) + 1) for a in range(max(0, b - most), b) if word[a:b] in pieces]
+
+    counts = {}
+    for i, text, lang, *_ in rows:
+        if fold(i) or text is None or lang is None:
+            continue
+        own = counts.setdefault(lang, {})
+        for word in langid._words(text):
+            ahead, behind = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+            spans = cuts(word)
+            for a, b in spans:
+                ahead[b] += ahead[a] * prior(word[a:b])
+            for a, b in sorted(spans, reverse=True):
+                behind[a] += prior(word[a:b]) * behind[b]
+            for a, b in spans:
+                own[word[a:b]] = own.get(word[a:b], 0) + ahead[a] * prior(word[a:b]) * behind[b] / ahead[-1]
+    langs, out = sorted(counts), {}
+    total = {k: sum(counts[k].values()) + 0.1 * len(pieces) for k in langs}
+    for i, text, *_ in rows:
+        words = langid._words(text or "")
+        if not any(map(str.isalpha, text or "")):
+            out[i] = ("und", 0.0)
+            continue
+        logs = []
+        for k in langs:
+            logs.append(0.0)
+            for word in words:
+                sums = [1.0] + [0.0] * len(word)
+                for a, b in cuts(word):
+                    sums[b] += sums[a] * (counts[k].get(word[a:b], 0) + 0.1) / total[k]
+                logs[-1] += np.log(sums[-1])
+        chance = np.exp((np.array(logs) - max(logs)) * min(1.0, 20 / max(1, len(words))))
+        out[i] = (langs[int(np.argmax(chance))], chance.max() / chance.sum())
+    return out
+
+
+def test_language_id_by_hand(spark):
+    rows = [(i, (t or "")[:150] if t is not None else None, *r) for i, t, *r in odd_rows(3, 60)] + [(900, "언어사람 über größte 中文字符" * 3, "de", None, None), (901, "언어사람 언어", "en", None, None)]
+    want = _languages_by_hand(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_languages(frame(spark, rows)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-6) for i in want)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit_languages(frame(spark, [(1, "one", "en", None, None), (2, "two", "de", None, None)], 2))
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     langs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
@@ -300,16 +411,15 @@ def test_language_accuracy(spark):
 
 def test_forward_sums_all_segmentations():
     pieces = langid.pieces_of(langid.vocabulary_path())
-    weights = np.random.default_rng(0).random((len(pieces) + 1, 2)) / 1000
-    weights[-1] = 0
+    weights = np.random.default_rng(0).random((len(pieces), 2)) / 1000
     index = {p: i for i, p in enumerate(pieces.pieces)}
-    words = [b"a", b"hello", "ñandú".encode(), b"internationalisation" * 9]
+    words = [b"a", b"hello", b"wordy", "ñandú".encode(), "언어사람".encode() * 4, b"thirteenlong", b"internationalisation" * 9]
     got = langid._log_sums(pieces, weights, words)
     for word, row in zip(words, got):
         for k in (0, 1):
             sums = [1.0] + [0.0] * len(word)
             for i in range(1, len(word) + 1):
-                sums[i] = sum(sums[i - n] * weights[index[word[i - n : i]], k] for n in range(1, min(8, i) + 1) if word[i - n : i] in index)
+                sums[i] = sum(sums[i - n] * weights[index[word[i - n : i]], k] for n in range(1, i + 1) if word[i - n : i] in index)
             if sums[-1] > 0:
                 assert row[k] == pytest.approx(np.log(sums[-1]), rel=1e-9)
     times = np.ones((len(words), 1))
