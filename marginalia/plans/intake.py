@@ -115,7 +115,7 @@ count(*) OVER (PARTITION BY p_brand) AS enumerated, true AS complete FROM part""
     "classify_files": """SELECT '/in/' || page_id || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.exe' ELSE '.md' END AS path, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' ELSE 'md' END AS extension,
         page_id % 2 = 1 AS accepted, CASE page_id % 4 WHEN 0 THEN 'content' WHEN 2 THEN 'extension' END AS reason FROM pages""",
     "graph_artifacts": "SELECT s_suppkey::VARCHAR AS id, s_name AS text, s_nationkey::VARCHAR AS nation, 2 AS n FROM supplier",
-    "parse_extractions": "SELECT o_orderkey::VARCHAR AS chunk_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'rejected' ELSE o_orderstatus END AS text, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS value FROM orders",
+    "parse_extractions": "SELECT o_orderkey AS chunk_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'rejected' ELSE o_orderstatus END AS text, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS value FROM orders",
     "orphan_refs": "SELECT DISTINCT l_orderkey AS owner, l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)",
     "nodes_per_generation": "SELECT c_nationkey AS generation_id, count(*) AS nodes FROM customer GROUP BY 1",
     "plan_reindex": """WITH s AS (SELECT user_id AS w, min(ts) FILTER (event_type = 'purchase') AS b, max(ts) FILTER (event_type = 'click') AS c FROM events GROUP BY 1),
