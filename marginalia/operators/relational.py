@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.sources.session import materialize
+
 
 def project(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Fields by new name: {name: field}."""
@@ -125,7 +127,8 @@ def rank_records(df: DataFrame, field: str, tie: str, way: str = "desc", top: in
     """Records with their rank by a field, nulls last.
 
     With keys, ranks are per group. A top list without keys is cut before it is ranked, so that only its rows meet. A
-    whole ranking is dealt by ranges of the order and ranks each range on its own, with the counts before it added.
+    whole ranking is dealt by ranges of the order, written once, and ranks each range on its own, with the counts before
+    it added: one row a range.
     """
     order = sort_keys([(field, way, "last")], tie)
     if by:
@@ -133,7 +136,8 @@ def rank_records(df: DataFrame, field: str, tie: str, way: str = "desc", top: in
         return ranked.where(F.col("rank") <= top) if top else ranked
     if top:
         return df.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # read twice, so it is written: a plan that samples its ranges anew, or prunes columns, would deal rows otherwise
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
