@@ -19,6 +19,10 @@ PERCENT = 80
 #: Bands of rows of minima: two sets of similarity 0.8 share no band once in 2 * 10**7 pairs, of 0.85 once in 10**9.
 BANDS, ROWS = 32, 4
 SEED = 11
+#: How far below the similarity of a link two signatures may agree: of links at 0.8 one in 5 * 10**8 is missed at 0.55.
+SLACK = 0.25
+#: Members of a band that one row of a comparison of signatures holds.
+PIECE_MEMBERS = 1_000
 #: Shingles of a block of candidates that one task compares; a larger block is compared in pieces.
 BLOCK_SHINGLES = 4_000_000
 #: Shingles of such a piece.
@@ -52,17 +56,19 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int) -> np.ndarray:
-    """A hash of each band of minima: [set, band]. Sets must not be empty."""
+def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each band of minima: [set, band], a byte of each minimum: [set, bands * rows]). Sets must not be empty."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     flat = np.concatenate(sets)
     times, plus = _hash_functions(bands * rows, seed)
     out = np.zeros((len(sets), bands), np.uint64)
+    minima = np.zeros((len(sets), bands * rows), np.uint8)
     for i in range(bands * rows):
         low = np.minimum.reduceat(flat * times[i] + plus[i], starts)
+        minima[:, i] = mix64(low) >> np.uint64(56)
         out[:, i // rows] = mix64(out[:, i // rows] * np.uint64(_FACTORS[8]) + low + np.uint64(i // rows + 1))
-    return out
+    return out, minima
 
 
 def _sign(words: int, bands: int, rows: int, seed: int):
@@ -73,15 +79,98 @@ def _sign(words: int, bands: int, rows: int, seed: int):
                 sets = shingle_sets(as_bytes(batch.column(1).slice(start, stop - start)), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bandings: list = [[]] * len(sets)
+                minima: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, signatures([sets[i] for i in full], bands, rows, seed).view(np.int64)):
-                        bandings[i] = row
+                    codes, low = signatures([sets[i] for i in full], bands, rows, seed)
+                    for i, row, own in zip(full, codes.view(np.int64), low):
+                        bandings[i], minima[i] = row, own.tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bandings, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "bands"])
+                columns = [batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bandings, pa.list_(pa.int64())), pa.array(minima, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "bands", "minima"])
 
     return signed
 
 
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int, slack: float) -> np.ndarray:
+    """Whether signatures agree well enough for a link; sizes alone may rule it out, exactly."""
+    agreed = (a == b).sum(axis=-1)
+    sizes = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return sizes & (agreed >= (percent / 100 - slack) * a.shape[-1])
+
+
+def _verify(width: int, percent: int, slack: float):
+    """(a, b, alike) of candidate pairs (a, b, size_a, size_b, minima_a, minima_b)."""
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near duplicates")
+        for batch in batches:
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = _alike(_bytes_of(batch.column(4), width), _bytes_of(batch.column(5), width), size_a, size_b, percent, slack)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "alike"])
+
+    return verified
+
+
+def _compare_bands(width: int, percent: int, slack: float):
+    """A forest (a, b) of the pairs with well agreeing signatures between the loose members and the members of each row."""
+
+    def fields(lists: pa.Array) -> list[tuple]:
+        flat = lists.flatten()
+        ids, sizes, minima = flat.field("doc_id").to_numpy(), flat.field("n_shingles").to_numpy(), _bytes_of(flat.field("minima"), width)
+        ends = np.cumsum([len(x) for x in lists])
+        return [(ids[a:b], sizes[a:b], minima[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near duplicates")
+        for batch in batches:
+            a, b = [], []
+            for (ids, sizes, minima), (others, other_sizes, other_minima) in zip(fields(batch.column(0)), fields(batch.column(1))):
+                for i, n, own in zip(others, other_sizes, other_minima):
+                    near = ids[_alike(minima, own, sizes, n, percent, slack)]
+                    a.append(near)
+                    b.append(np.full(len(near), i))
+            nodes, roots = _forest(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
+            apart = nodes != roots
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["a", "b"])
+
+    return compared
+
+
+def verified_links(firsts: DataFrame, width: int, percent: int, slack: float = SLACK, piece_members: int = PIECE_MEMBERS) -> DataFrame:
+    """Links (a, b) between sets that share a band and whose signatures agree, enough of them to connect all such pairs.
+
+    firsts: doc_id, n_shingles, bands, minima (a byte of each of `width` minima). Every member of a band is verified
+    against the least one. Members that don't agree with it are loose: they are verified against all members of that
+    band, in pieces of `piece_members`; what agrees with the least one is connected through it already.
+    """
+    sized = firsts.select("doc_id", "n_shingles", "minima")
+    banded = firsts.select("doc_id", F.posexplode("bands").alias("band", "code")).select("doc_id", "code").distinct()
+    least = banded.groupBy("code").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(banded.join(least, "code").where("doc_id <> low"))
+    pairs = met.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("minima").alias(f"minima_{side}")), side)
+    verified = cut(pairs.select("a", "b", "size_a", "size_b", "minima_a", "minima_b").mapInArrow(_verify(width, percent, slack), "a long, b long, alike boolean"))
+    links = verified.where("alike").select("a", "b")
+    # bands with a loose member and another one besides the least
+    apart = verified.where("not alike").select(F.col("a").alias("doc_id"), F.col("b").alias("low"))
+    loose = met.where("n > 2").join(apart, ["doc_id", "low"]).select("doc_id", "code").withColumn("loose", F.lit(True))
+    open_ = loose.select("code").distinct()
+    members = met.select("doc_id", "code", "n").join(open_, "code", "left_semi").join(loose, ["doc_id", "code"], "left").join(sized, "doc_id")
+    piece = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / piece_members)).cast("int")
+    row = F.struct("doc_id", "n_shingles", "minima")
+    packed = members.withColumn("piece", piece).groupBy("code", "piece").agg(F.max("n").alias("n"), F.collect_list(row).alias("held"), F.collect_list(F.when(F.col("loose"), row)).alias("loose"))
+    packed = cut_parquet(packed)
+    alone_ = packed.where(F.col("n") <= piece_members).where(F.size("loose") > 0).select("held", "loose")
+    several = packed.where(F.col("n") > piece_members)
+    crossed = several.select("code", "held").join(several.where(F.size("loose") > 0).select("code", "loose"), "code").select("held", "loose")
+    return links.unionByName(alone_.unionByName(crossed).mapInArrow(_compare_bands(width, percent, slack), "a long, b long"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each component. edges: (a, b) of longs.
 
@@ -95,7 +184,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small: every node and its smaller neighbours are linked to the least of them
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
         least = both.groupBy("a").agg(F.min("b").alias("low"))
-        least = least.select("a", F.least("a", "low").alias("low"))
+        # dealt by both columns, so that the join deals it anew and a task with a large star can be split
+        least = least.select("a", F.least("a", "low").alias("low")).repartition("a", "low")
         joined = both.join(least, "a")
         if large:
             moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -294,16 +384,17 @@ def _near_centre(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(np.full(len(linked), row["centre"]))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block_shingles: int = BLOCK_SHINGLES, piece_shingles: int = PIECE_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block_shingles: int = BLOCK_SHINGLES, piece_shingles: int = PIECE_SHINGLES, piece_members: int = PIECE_MEMBERS) -> DataFrame:
     """Components of documents linked by the similarity of their shingle sets.
 
     Returns doc_id, n_shingles, component_id, kept. Documents are linked if 100 * intersection >= `percent` * union of
     their sets of distinct shingles (`words` words; a shorter text is one shingle). Minima of bands * rows universal
     hashes are taken of each set; sets that share a band are candidates. Equal sets are one class from the start, so a
-    thousand copies are one candidate. Candidates are linked to the least of their band, never to each other, and
-    large-star and small-star steps make blocks of them; no link leaves a block. In its block every set is compared
-    exactly, on full sets, as far as components can depend on it: in one task up to `block_shingles` shingles, beyond
-    that in pieces that meet each other. Only texts that have a candidate are shuffled.
+    thousand copies are one candidate. Candidates are verified on their signatures: by verified_links(), with the least of
+    their band, and only those that don't agree with it with the others. Large-star and small-star steps make blocks of
+    what agrees; no link leaves a block. In its block every set is compared exactly, on full sets, as far as components
+    can depend on it: in one task up to `block_shingles` shingles, beyond that in pieces that meet each other. The same
+    steps make components of the links that this confirms. Only texts with a verified candidate are shuffled.
 
     Documents without words or with null text have no shingles and are linked with nothing, not with each other either.
     Ties: rows that repeat a doc_id each get their row; one of equal texts has the id's component, one of another text
@@ -311,14 +402,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null doc_ids are left out. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut_parquet(plain.mapInArrow(_sign(words, bands, rows, seed), "doc_id long, n_shingles long, same binary, bands array<long>"))
-    classes = cut(signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first")))  # read twice, and joins with a table are split where copies are many
-    own = signed.where("same is not null").select("doc_id", "same", "bands").join(classes, "same")
-    firsts = own.where("doc_id = first")
-    banded = firsts.select("doc_id", F.posexplode("bands").alias("band", "code")).select("doc_id", "code").distinct()
-    least = banded.groupBy("code").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "low")
-    candidates = banded.join(least, "code").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    blocks = cut(connected_components(candidates).select(F.col("id").alias("doc_id"), F.col("root").alias("block")))
+    signed = cut_parquet(plain.mapInArrow(_sign(words, bands, rows, seed), "doc_id long, n_shingles long, same binary, bands array<long>, minima binary"))
+    full = signed.where("same is not null")
+    classes = cut(full.groupBy("same").agg(F.min("doc_id").alias("first")))  # read twice, and joins with a table are split where copies are many
+    firsts = full.join(classes, "same").where("doc_id = first").select("doc_id", "n_shingles", "bands", "minima")
+    links = verified_links(firsts, bands * rows, percent, piece_members=piece_members)
+    blocks = cut(connected_components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("block")))
     sized = firsts.select("doc_id").join(blocks, "doc_id")
     members = plain.join(sized.select("doc_id", "block").distinct(), "doc_id").select("block", "doc_id", "text").mapInArrow(_shingle(words), "block long, doc_id long, shingles binary")
     members = cut_parquet(members)
