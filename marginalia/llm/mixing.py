@@ -15,6 +15,8 @@ SHARE = 1.5
 COPIES = 2
 #: Log odds are summed in so many steps a unit, so that no task has to order a whole source.
 STEPS = 256
+#: The most sources whose rows (six numbers and a name) are broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def uniform(column: Column, seed: str = "") -> Column:
@@ -94,6 +96,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("of", "source_size", "target", "whole", "left")
     )
     sources = cut(sources.join(scales(plain, sources), "of", "left"))  # a row a source
+    if sources.count() <= BROADCAST_SOURCES:  # no task then gathers a large source's documents; more sources are each smaller
+        sources = F.broadcast(sources)
     inclusion = F.when(F.col("left") <= 0, 0.0).when(F.col("size") > 0, F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("size"), F.lit(1.0)))).otherwise(0.0)
     placed = plain.join(sources, "of").withColumn("inclusion", inclusion)
     p = F.col("inclusion")
