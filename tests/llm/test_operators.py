@@ -164,6 +164,47 @@ def test_sums_as_a_tree(spark, monkeypatch):
     assert quality_model._summed(rows, 1, lambda x, y: x.sum(0)) == [4950.0]
 
 
+def _revisions(seed):
+    """Texts of trees of revisions, in long chains: links between neighbours, bands shared far beyond them."""
+    rng, rows = np.random.default_rng(seed), []
+    for tree in range(6):
+        texts = [[f"w{tree}_{x}" for x in rng.integers(0, 10**6, 70)]]
+        while len(texts) < 30:
+            words = list(texts[rng.integers(len(texts)) if rng.random() < 0.3 else -1])
+            for _ in range(rng.integers(1, 4)):
+                words[rng.integers(len(words))] = f"n{rng.integers(10**6)}"
+            texts.append(words)
+        rows += [" ".join(t) for t in texts]
+    return [(int(i), rows[k], None, None, None) for i, k in enumerate(rng.permutation(len(rows)))]
+
+
+@pytest.mark.parametrize("kwargs", [{}, {"piece_members": 3}, {"block_shingles": 300, "piece_shingles": 200}])
+def test_near_duplicates_of_revisions(spark, kwargs):
+    rows = _revisions(len(kwargs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), words=4, **kwargs).collect()}
+    assert got == components(rows, 4)
+
+
+def test_near_duplicates_recall(spark):
+    """All links of a whole table, by brute force."""
+    d = "/root/testdata/sf0.01"
+    want = components([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()], 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.op5_near_duplicates(spark, d).collect()} == want
+
+
+def test_verified_links_are_alike(spark):
+    """Sets that share a band and little else are not linked, whatever their band's least member is."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 100).astype(np.uint64)
+    keep = lambda n: np.unique(np.concatenate([base[:n], rng.integers(0, 2**62, 100 - n).astype(np.uint64)]))
+    sets = [keep(45) for _ in range(40)] + [keep(97) for _ in range(10)]
+    codes, low = minhash.signatures(sets, 32, 4, 11)
+    rows = [(i, len(s), codes[i].view(np.int64).tolist(), bytearray(low[i].tobytes())) for i, s in enumerate(sets)]
+    firsts = spark.createDataFrame(rows, "doc_id long, n_shingles long, bands array<long>, minima binary")
+    found = {(r.a, r.b) for r in minhash.verified_links(firsts, 128, 80, piece_members=7).collect()}
+    assert all(min(x) >= 40 for x in found) and len({i for x in found for i in x}) == 10
+
+
 @pytest.mark.parametrize("kwargs", [{}, {"block_shingles": 150, "piece_shingles": 100}])
 def test_near_duplicates(docs, kwargs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=4, **kwargs).collect()}
