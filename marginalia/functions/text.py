@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +17,27 @@ def tokens(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+    return text.str.normalize("NFKC")
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC")
+
+
+#: Titles that may precede a name.
+HONORIFICS = ("dr", "prof", "av", "mr", "mrs", "ms")
+
+
+def comparable_name(text: Column) -> Column:
+    """Composed, in lower case, trimmed, without one title at the front."""
+    title = rf"(?i)^(?:{'|'.join(HONORIFICS)})\.?\s+"
+    return F.lower(nfc(F.trim(F.regexp_replace(F.trim(text), title, ""))))
+
+
+def json_field(payload: Column, name: str) -> Column:
+    """A field of a JSON object as text; null where the payload doesn't parse or lacks it."""
+    return F.when(F.try_parse_json(payload).isNotNull(), F.get_json_object(payload, f"$.{name}"))
 
 
 def normalized_mention(text: Column, ascii_only: bool = False) -> Column:

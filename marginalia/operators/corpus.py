@@ -146,6 +146,14 @@ def corpus_fingerprint(docs: DataFrame, by: list[str], fields: list[str]) -> Dat
     return _set_fingerprint(docs.select(*by, row.alias("_row")), by, "_row")
 
 
+def stage_fingerprint(table: DataFrame, stage: str, generation: str) -> DataFrame:
+    """(stage, fingerprint): what a stage of a generation put out, as its name and a digest of the generation and all rows."""
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in sorted(table.columns)]), 256)
+    whole = _set_fingerprint(table.select(row.alias("_row")), [], "_row")
+    digest = F.sha2(F.concat(F.lit(f"{generation}:"), F.col("fingerprint")), 256)
+    return whole.select(F.lit(stage).alias("stage"), F.concat(F.lit(f"{stage}:"), digest).alias("fingerprint"))
+
+
 def curation_fingerprint(entities: DataFrame, aliases: DataFrame, operations: DataFrame) -> DataFrame:
     """The same for three tables at once, each under its kind: one row."""
     rows = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources.session import materialize
+
 MOST_HOPS = 10
 
 
@@ -32,8 +34,8 @@ def lookup_entities(entities: DataFrame, ids: DataFrame, evidence: DataFrame, ge
 def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", low: int = 1, high: int = 1, relation: str | None = None) -> DataFrame:
     """Paths of low to high hops from each start: start, nodes, edges, hops. No edge is twice in a path.
 
-    edges: edge_id, source, target, relation; starts: node. A hop is one join on the frontier's end; the plan has a
-    bounded number of them. incoming follows edges backwards, either both ways.
+    edges: edge_id, source, target, relation; starts: node. A hop is one join on the frontier's end; a frontier that another
+    hop follows is written first, so each hop is computed once. incoming follows edges backwards, either both ways.
     """
     if not 0 <= low <= high <= MOST_HOPS:
         raise ValueError(f"hops must be 0 <= low <= high <= {MOST_HOPS}")
@@ -47,6 +49,8 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", l
     for hop in range(1, high + 1):
         joined = frontier.withColumn("_from", F.element_at("nodes", -1)).join(steps, "_from").where(~F.array_contains("edges", F.col("edge_id")))
         frontier = joined.select("start", F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), F.lit(hop).alias("hops"))
+        if hop < high:
+            frontier = materialize(frontier)
         if hop >= low:
             found = frontier if found is None else found.unionByName(frontier)
     return found

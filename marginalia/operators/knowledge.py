@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalized_mention, stable_id
+from marginalia.sources.tables import write_scoped
 
 #: Stages that a generation must have ready.
 STAGES = ("snapshot", "extraction", "identity", "relations", "temporals", "events", "claims", "canonical_graph", "sparse_index", "dense_index", "extracted_graph")
@@ -224,8 +225,8 @@ def rank_names(mentions: DataFrame, chunks: DataFrame, threshold: float = 0.72,
     return ranked.select("mention_id", "name", "score", "rank", resolved.alias("resolved"))
 
 
-def replace_extracted(nodes: DataFrame, edges: DataFrame, generation: str) -> DataFrame:
-    """What keeps an extracted layer from being written: duplicate ids, missing ends, rows of other generations; none if it may."""
+def extracted_issues(nodes: DataFrame, edges: DataFrame, generation: str) -> DataFrame:
+    """(issue, id): what keeps an extracted layer from being written: duplicate ids, missing ends, rows of other generations; none if it may."""
     twice = nodes.groupBy("node").count().where("count > 1").select(F.lit("duplicate_node").alias("issue"), F.col("node").cast("string").alias("id"))
     edge_twice = edges.groupBy("edge_id").count().where("count > 1").select(F.lit("duplicate_edge").alias("issue"), F.col("edge_id").cast("string").alias("id"))
     ends = edges.select("edge_id", F.explode(F.array("source", "target")).alias("node")).join(nodes.select("node").distinct(), "node", "left_anti")
@@ -234,6 +235,18 @@ def replace_extracted(nodes: DataFrame, edges: DataFrame, generation: str) -> Da
     return twice.unionByName(edge_twice).unionByName(lost).unionByName(other)
 
 
+def replace_extracted(nodes: DataFrame, edges: DataFrame, generation: str, path: str) -> None:
+    """Put nodes and edges in place of the extracted layer of their generation at `path`; other generations stay as they are.
+
+    Nothing is written where extracted_issues() finds something. Partitions are overwritten dynamically.
+    """
+    found = extracted_issues(nodes, edges, generation).limit(5).collect()
+    if found:
+        raise ValueError("the layer can't be written: " + ", ".join(f"{r.issue} {r.id}" for r in found))
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        write_scoped(table.withColumn("generation_id", F.lit(generation)), f"{path}/{name}", ["generation_id"])
+
+
 def generation_ready(generations: DataFrame, stages: DataFrame, names: tuple[str, ...] = STAGES) -> DataFrame:
     """Whether each generation has all stages ready, from one input and with an output; active is the newest ready one of its workspace."""
     good = (F.col("state") == "ready") & (F.col("input_fingerprint") == F.col("source_fingerprint")) & F.col("output_fingerprint").isNotNull()

@@ -14,17 +14,19 @@ MILLION = 1_000_000
 def price_usage(events: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost of each usage event by a rate card (provider, model, input, cached, output, embedding: price of a million tokens).
 
-    An event without a rate is unpriced and has no cost; absent token counts count as none. The card has a row a model and
-    is broadcast.
+    An event without a rate is unpriced and has no cost; absent token counts count as none. Reasoning tokens are part of
+    the output; with a rate of their own (reasoning) they are priced by it, and the rest of the output by the output rate.
     """
-    card = rates.select("provider", "model", *[F.col(c).cast("decimal(14,8)").alias(f"_{c}") for c in ("input", "cached", "output", "embedding")], F.lit(True).alias("_known"))
+    parts = ("input", "cached", "output", "embedding", "reasoning")
+    card = rates.select("provider", "model", *[(F.col(c) if c in rates.columns else F.lit(None)).cast("decimal(14,8)").alias(f"_{c}") for c in parts], F.lit(True).alias("_known"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(12,0)") if c in events.columns else F.lit(0).cast("decimal(12,0)")
     fresh = F.greatest(n("input_tokens") - n("cached_input_tokens"), F.lit(0).cast("decimal(12,0)"))
     price = lambda tokens, rate: tokens * F.coalesce(F.col(rate), F.lit(0)) / F.lit(MILLION).cast("decimal(7,0)")
-    cost = price(fresh, "_input") + price(n("cached_input_tokens"), "_cached") + price(n("output_tokens"), "_output") + price(n("embedding_tokens"), "_embedding")
-    joined = events.join(F.broadcast(card), ["provider", "model"], "left")
+    thought = F.when(F.col("_reasoning").isNotNull(), F.least(n("reasoning_tokens"), n("output_tokens"))).otherwise(F.lit(0).cast("decimal(12,0)"))
+    cost = price(fresh, "_input") + price(n("cached_input_tokens"), "_cached") + price(n("output_tokens") - thought, "_output") + price(thought, "_reasoning") + price(n("embedding_tokens"), "_embedding")
+    joined = events.join(card, ["provider", "model"], "left")
     priced = joined.withColumn("cost_status", F.when(F.col("_known"), "priced").otherwise("unpriced")).withColumn("cost_amount", F.when(F.col("_known"), cost.cast("decimal(20,10)")))
-    return priced.drop("_input", "_cached", "_output", "_embedding", "_known")
+    return priced.drop("_input", "_cached", "_output", "_embedding", "_reasoning", "_known")
 
 
 def usage_totals(events: DataFrame, views: list[list[str]]) -> DataFrame:
@@ -46,12 +48,21 @@ def stage_cost(reports: DataFrame) -> DataFrame:
     return reports.groupBy("workspace_id", "stage").agg(F.sum(F.coalesce("estimated_cost_usd", F.lit(0.0))).alias("cost"))
 
 
-def catalog_overview(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counts of documents and chunks of each workspace; deleted documents don't count."""
+def catalog_overview(documents: DataFrame, chunks: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Counts of documents and chunks of each workspace, and with runs (workspace_id, state, at) its latest state; deleted documents don't count."""
     alive = documents.where("deleted_at is null")
     docs = alive.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("documents"))
     parts = chunks.join(alive.select("document_id"), "document_id", "left_semi").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("chunks"))
-    return docs.join(parts, "workspace_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    counts = docs.join(parts, "workspace_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    if runs is None:
+        return counts
+    last = runs.groupBy("workspace_id").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
+    return counts.join(last, "workspace_id", "left")
+
+
+def recent_documents(documents: DataFrame, n: int = 6) -> DataFrame:
+    """The n documents that were changed last, ties by id."""
+    return documents.where("deleted_at is null").orderBy(F.col("updated_at").desc_nulls_last(), "document_id").limit(n)
 
 
 def runs_by_state(runs: DataFrame, by: list[str], states: list[str], state: str = "state") -> DataFrame:
@@ -69,12 +80,19 @@ def nodes_per_generation(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("generation_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def ingestion_report(logical: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Of each source its sections, each with its count of chunks, in order."""
+def ingestion_report(logical: DataFrame, chunks: DataFrame, entities: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Of each source its sections, each with its count of chunks, in order; with entities (chunk_id, entity_id) and nodes
+    (entity_id) also with the distinct entities of its chunks and how many of these are in the graph."""
     sizes = chunks.groupBy("logical_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    joined = logical.join(sizes, "logical_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-    parts = F.sort_array(F.collect_list(F.struct("ordinal", "logical_id", "n_chunks")))
-    return joined.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_chunks").alias("n_chunks"), parts.alias("sections"))
+    joined, levels = logical.join(sizes, "logical_id", "left"), ["n_chunks"]
+    if entities is not None:
+        found = chunks.select("logical_id", "chunk_id").join(entities.select("chunk_id", "entity_id"), "chunk_id").select("logical_id", "entity_id").distinct()
+        known = nodes.select("entity_id").distinct().withColumn("_node", F.lit(1)) if nodes is not None else found.select("entity_id").limit(0).withColumn("_node", F.lit(1))
+        counts = found.join(known, "entity_id", "left").groupBy("logical_id").agg(F.count(F.lit(1)).alias("n_entities"), F.count("_node").alias("n_nodes"))
+        joined, levels = joined.join(counts, "logical_id", "left"), [*levels, "n_entities", "n_nodes"]
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in levels})
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", "logical_id", *levels)))
+    return joined.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_sections"), *[F.sum(c).alias(c) for c in levels], parts.alias("sections"))
 
 
 def memory_window(messages: DataFrame, n: int = 12, width: int = 500, by: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -91,12 +109,24 @@ def conversation_titles(messages: DataFrame, width: int = 72, by: str = "conv_id
     return first.select(by, F.when(F.length(line) > width, F.concat(F.rtrim(F.substring(line, 1, width - 1)), F.lit("…"))).otherwise(line).alias("title"))
 
 
-def carry_focus(turns: DataFrame, by: str = "conv_id", order: str = "turn", kind: str = "entity_type", entity: str = "entity_id", keep: int = 20) -> DataFrame:
-    """Turns with the focus they inherit: the last resolved entity of the type before them, and the last `keep` of the conversation."""
+def carry_focus(turns: DataFrame, by: str = "conv_id", order: str = "turn", kind: str = "entity_type", entity: str = "entity_id", keep: int = 20, period: str | None = None, periods: int = 10) -> DataFrame:
+    """Turns with the focus they inherit: the last resolved entity of the type before them, what the last `keep` turns resolved
+    and, with a period column, the last `periods` periods that the conversation has named, oldest first."""
     before = W.partitionBy(by, kind).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     recent = W.partitionBy(by).orderBy(order).rowsBetween(-keep, -1)
     carried = F.coalesce(F.col(entity), F.last(entity, ignorenulls=True).over(before))
-    return turns.withColumn("focus", carried).withColumn("recent", F.array_compact(F.collect_list(entity).over(recent)))
+    carried_on = turns.withColumn("focus", carried).withColumn("recent", F.array_compact(F.collect_list(entity).over(recent)))
+    if period is None:
+        return carried_on
+    # named periods are numbered, so that a frame of the last ones holds no more than it returns
+    turn = W.partitionBy(by).orderBy(order)
+    numbered = carried_on.withColumn("_n", F.count(period).over(turn.rowsBetween(W.unboundedPreceding, -1)))
+    held = F.collect_list(F.struct(F.col("_p").alias("n"), F.col(period).alias("v")))
+    marked = numbered.withColumn("_p", F.when(F.col(period).isNotNull(), F.col("_n") + 1))
+    named = marked.where(F.col("_p").isNotNull()).select(F.col(by).alias("_by"), F.col("_p"), period)
+    last = marked.select(F.col(by), F.col(order), "_n").join(named, (F.col(by) == F.col("_by")) & (F.col("_p") <= F.col("_n")) & (F.col("_p") > F.col("_n") - periods))
+    found = last.groupBy(by, order).agg(F.transform(F.sort_array(held), lambda x: x.getField("v")).alias("periods"))
+    return numbered.drop("_n").join(found, [by, order], "left").withColumn("periods", F.coalesce("periods", F.array().cast("array<string>")))
 
 
 #: Phrasings of question kinds, of Turkish and English questions, in the order they are tried.

@@ -89,6 +89,24 @@ def group_records(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+def group_members(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each record with the count of its group; null keys are groups too. Members stay rows, so a large group is in no one's memory."""
+    counts = group_records(df, keys).toDF(*[f"_{k}" for k in keys], "count")
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(counts[f"_{k}"])
+    return df.join(counts, on).drop(*[f"_{k}" for k in keys])
+
+
+def union_records(lists: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """Records of several lists by key, each key once: that of the first list that has it, and within a list the first by `order`."""
+    every = None
+    for turn, one in enumerate(lists):
+        tagged = one.withColumn("_turn", F.lit(turn))
+        every = tagged if every is None else every.unionByName(tagged)
+    return first_seen(every, keys, ["_turn", *order]).drop("_turn")
+
+
 def count_distinct(df: DataFrame, fields: list[str], by: list[str] | None = None) -> DataFrame:
     """Distinct combinations; one with nulls counts as a value."""
     return df.groupBy(*(by or [])).agg(F.count_distinct(F.struct(*fields)).alias("count_distinct"))
@@ -225,6 +243,16 @@ def mark_deleted(df: DataFrame, deleted: DataFrame, key: str, at: Column) -> Dat
     return joined.withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), at))).drop("_key", "_gone")
 
 
+def mark_cascade(documents: DataFrame, versions: DataFrame, logical: DataFrame, chunks: DataFrame, deleted: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables with deleted_at set for deleted documents (document_id) and all that belongs to them; set marks never move.
+
+    versions: version_id, document_id; logical: logical_id, version_id; chunks: chunk_id, version_id.
+    """
+    gone = deleted.select("document_id").distinct()
+    lost = versions.join(gone, "document_id", "left_semi").select("version_id").distinct()
+    return mark_deleted(documents, gone, "document_id", at), mark_deleted(versions, lost, "version_id", at), mark_deleted(logical, lost, "version_id", at), mark_deleted(chunks, lost, "version_id", at)
+
+
 def retention(df: DataFrame, finished: str, days: int, now: Column | None = None) -> DataFrame:
     """Finished rows older than so many days."""
     return df.where(F.col(finished) < (now if now is not None else F.current_timestamp()) - F.make_dt_interval(F.lit(days)))

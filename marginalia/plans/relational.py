@@ -115,7 +115,7 @@ def latest_per_key(spark, d):
 
 
 def first_seen(spark, d):
-    return R.first_seen(_t(spark, d, "documents").select("text", "doc_id", "source"), ["text"], ["doc_id"]).select("doc_id", "source")
+    return R.first_seen(_t(spark, d, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id", "source"), ["digest"], ["doc_id"]).select("doc_id", "source")
 
 
 def distinct_fields(spark, d):

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import stable_id
-from marginalia.operators.relational import require_scope
+from marginalia.operators.relational import latest_per_key, require_scope
 
 BUNDLE = """struct<mentions:array<struct<mention_id:string,text:string,entity_type:string,start_offset:int>>,
 relations:array<struct<relation_id:string,source_mention:string,target_mention:string,relation_type:string>>,
@@ -57,24 +56,27 @@ def read_text_documents(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return named.where(~empty), named.where(empty).select("path", F.lit("empty").alias("reason"))
 
 
-#: Accepted extensions and the bytes that their files begin with.
+#: Accepted extensions and the bytes that their files begin with, and what texts may be declared as.
 FORMATS = {"pdf": b"%PDF-", "docx": b"PK\x03\x04", "txt": b"", "md": b""}
+TEXT_TYPES = ("text/plain", "text/markdown", "application/octet-stream")
 
 
 def classify_files(files: DataFrame, most_bytes: int = 50_000_000) -> DataFrame:
-    """path, extension, accepted and reason of binary files (path, length, content), from name, size and first bytes."""
+    """path, extension, accepted and reason of binary files (path, length, content and, if declared, media_type), from name, size, first bytes and type."""
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     expected = F.lit(None).cast("binary")
     for kind, magic in FORMATS.items():
         expected = F.when(extension == kind, F.lit(magic)).otherwise(expected)
     head = F.substring(F.col("content"), 1, 8)
+    declared = F.lower(F.coalesce(F.col("media_type"), F.lit("application/octet-stream"))) if "media_type" in files.columns else F.lit("application/octet-stream")
     reason = (
         F.when(name.rlike(r"[\x00-\x1F]|^\.+$") | (F.length(name) > 255), "filename")
         .when(expected.isNull(), "extension")
         .when(F.col("length") > most_bytes, "size")
         .when(F.col("length") == 0, "empty")
         .when(~F.startswith(F.hex(head), F.hex(expected)), "content")
+        .when(extension.isin("txt", "md") & ~declared.isin(*TEXT_TYPES), "media_type")
     )
     return files.select("path", extension.alias("extension"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
@@ -99,6 +101,12 @@ def read_graph_artifacts(spark: SparkSession, path: str, kind: str, ids: list[st
     return graph_artifacts(spark.read.parquet(path), kind, ids or ["id", "human_readable_id"], texts or ["text", "description", "full_content", "summary"])
 
 
+def newest_artifact(spark: SparkSession, path: str, name: str) -> str | None:
+    """The Parquet file below `path` whose name holds `name` and whose path is greatest: names begin with what orders them. None without one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{name}*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.max("path")).first()[0]
+
+
 def read_json_artifacts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     rows = spark.read.option("multiLine", True).schema("id string, text string, attributes map<string,string>").json(path)
     return rows.select("id", F.lit(kind).alias("kind"), "text", F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"))
@@ -145,13 +153,14 @@ def read_index(spark: SparkSession, path: str, scope: dict[str, str]) -> tuple[D
 def upsert_vectors(points: DataFrame | None, records: DataFrame, dimension: int, config_hash: str, scope: list[str], key: list[str]) -> DataFrame:
     """points with records in place of those of the same id, which follows from scope and key.
 
-    A record of another dimension or embedding configuration fails the job; of records of one id the last by `version` counts.
+    A record of another dimension or embedding configuration fails the job; of records of one id the last by `version` counts,
+    of equal versions the one with the greatest vector.
     """
     size = F.assert_true(F.size("embedding") == dimension, F.lit(f"embedding is not of {dimension} numbers"))
     config = F.assert_true(F.col("config_hash") == config_hash, F.lit("another embedding configuration"))
     checked = records.where(F.coalesce(size.cast("string"), config.cast("string")).isNull())
     named = checked.withColumn("point_id", stable_id(*[F.col(c) for c in (*scope, *key)]))
-    last = named.withColumn("_r", F.row_number().over(W.partitionBy("point_id").orderBy(F.col("version").desc()))).where("_r = 1").drop("_r")
+    last = latest_per_key(named, ["point_id"], ["version", "embedding"])
     if points is None:
         return last
     return points.join(last.select("point_id"), "point_id", "left_anti").unionByName(last, allowMissingColumns=True)
@@ -171,3 +180,13 @@ def graph_tables(entities: DataFrame, relationships: DataFrame) -> tuple[DataFra
     nodes = named.unionByName(ends.withColumn("text", F.lit(None).cast("string"))).groupBy("node").agg(F.max("text").alias("text"))
     return nodes, edges
 
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, generation: str) -> None:
+    """Both tables as Parquet under their generation."""
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        write_scoped(table.withColumn("generation_id", F.lit(generation)), f"{path}/{name}", ["generation_id"])
+
+
+def read_graph(spark: SparkSession, path: str, generation: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = (spark.read.parquet(f"{path}/{name}").where(F.col("generation_id") == generation) for name in ("nodes", "edges"))
+    return nodes, edges

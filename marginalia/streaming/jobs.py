@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,22 @@ def tail_events(stream: DataFrame, run_id: str | None = None) -> DataFrame:
     return rows.withColumn("terminal", F.col("state").isin(*TERMINAL))
 
 
+def tail_to_end(stream: DataFrame, order: str = "event_id") -> DataFrame:
+    """Each run's events in their order up to the first that ends it, that one included; what comes after it is left out."""
+
+    def tail(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        rows = pd.concat(list(parts)).sort_values(order)
+        ends = rows["state"].isin(TERMINAL).to_numpy()
+        if ends.any():
+            state.update((True,))
+            rows = rows.iloc[: int(ends.argmax()) + 1]
+        yield rows
+
+    return stream.groupBy("run_id").applyInPandasWithState(tail, stream.schema, "ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def dedupe_usage(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Each usage event once by its idempotency key, as long as copies come within the watermark."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
@@ -46,22 +63,22 @@ def pending_trigger(stream: DataFrame, by: str, cost: str, threshold: int, most:
 
     def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, spent = state.get if state.exists else (0, 0.0)
-        out = []
         for rows in parts:
-            for value in rows[cost]:
-                pending, spent = pending + 1, spent + float(value or 0)
-                if pending < threshold:
-                    continue
-                if most is not None and pending > most:
-                    out.append((key[0], "confirm", "maximum_exceeded", pending, spent))
-                elif cost_limit is not None and spent >= cost_limit:
-                    out.append((key[0], "confirm", "cost_limit", pending, spent))
-                else:
-                    out.append((key[0], "queue", "threshold", pending, spent))
-                pending, spent = 0, 0.0
+            values = rows[cost].astype(float).fillna(0.0)
+            place = np.arange(pending + 1, pending + len(values) + 1)
+            turn = (place - 1) // threshold  # the count begins anew at the threshold, so changes fall into runs of its length
+            sums = values.groupby(turn).sum()
+            if 0 in sums.index:
+                sums.loc[0] += spent
+            done = sums.iloc[: int(place[-1] // threshold)] if len(place) else sums
+            if len(done):
+                over = most is not None and threshold > most
+                dear = (done >= cost_limit).to_numpy() if cost_limit is not None else np.zeros(len(done), bool)
+                reason = np.where(over, "maximum_exceeded", np.where(dear, "cost_limit", "threshold"))
+                yield pd.DataFrame({"workspace": key[0], "action": np.where(reason == "threshold", "queue", "confirm"), "reason": reason, "pending": threshold, "cost": done.to_numpy()})
+            if len(place):
+                pending, spent = int(place[-1] % threshold), float(sums.iloc[-1]) if place[-1] % threshold else 0.0
         state.update((pending, spent))
-        if out:
-            yield pd.DataFrame(out, columns=["workspace", "action", "reason", "pending", "cost"])
 
     kind = stream.schema[by].dataType.simpleString()
     return stream.select(by, cost).groupBy(by).applyInPandasWithState(count, f"workspace {kind}, action string, reason string, pending long, cost double", "pending long, cost double", "append", GroupStateTimeout.NoTimeout)

@@ -116,7 +116,7 @@ def test_generations(spark):
     assert got == {"g1": (True, False), "g2": (True, True), "g3": (False, False)}
     nodes = spark.createDataFrame([("a", "g1"), ("a", "g1"), ("b", "g0")], "node string, generation_id string")
     edges = spark.createDataFrame([(1, "a", "z")], "edge_id int, source string, target string")
-    assert {r.issue for r in K.replace_extracted(nodes, edges, "g1").collect()} == {"duplicate_node", "missing_end", "other_generation"}
+    assert {r.issue for r in K.extracted_issues(nodes, edges, "g1").collect()} == {"duplicate_node", "missing_end", "other_generation"}
     report = K.cutover_report(gens, {"late": F.col("created_at") > 1}).orderBy("generation_id").collect()
     assert [(r.accepted, r.reasons) for r in report][0] == (False, ["late"])
 
