@@ -274,31 +274,40 @@ class _Scores:
 _scores: dict[tuple, _Scores] = {}
 
 
-def _predict(langs: list[str], weights: np.ndarray, path: str):
+def _judge(langs: list[str], weights: np.ndarray, path: str):
+    """A function from texts to (languages, scores), which keeps the scores of words in its worker."""
     mark = (path, tuple(langs), zlib.crc32(weights.tobytes()))
 
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(texts: list[str | None]) -> tuple[list[str], list[float]]:
         alone("languages")
         pieces = pieces_of(path)
         hold("languages", _scores.clear)
         if mark not in _scores:
             _scores.clear()
         known = _scores.setdefault(mark, _Scores(weights.shape[1]))
+        lists = [_words(t or "") for t in texts]
+        preds, scores = [], []
+        for text, own, total in zip(texts, lists, known.of(pieces, weights, lists)):
+            if not langs or not text or not _has_letter(text):
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            chance = np.exp((total - total.max()) * min(1.0, SURE_WORDS / max(1, len(own))))
+            preds.append(langs[int(np.argmax(chance))])
+            scores.append(float(chance.max() / chance.sum()))
+        return preds, scores
+
+    return judged
+
+
+def _predict(langs: list[str], weights: np.ndarray, path: str):
+    judged = _judge(langs, weights, path)
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                texts = part.column(2).to_pylist()
-                lists = [_words(t or "") for t in texts]
-                totals = known.of(pieces, weights, lists)
-                preds, scores = [], []
-                for text, own, total in zip(texts, lists, totals):
-                    if not langs or not text or not _has_letter(text):
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    chance = np.exp((total - total.max()) * min(1.0, SURE_WORDS / max(1, len(own))))
-                    preds.append(langs[int(np.argmax(chance))])
-                    scores.append(float(chance.max() / chance.sum()))
+                preds, scores = judged(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return predicted
@@ -323,5 +332,25 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return plain.mapInArrow(_predict(langs, weights, path), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, least_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, path: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with at least `least_score`.
+
+    Predictions are those of identify_languages(). Rows are kept or dropped where they lie, without a shuffle. Null, empty
+    and letterless texts go, as does every row when none has a language; repeated rows stay or go together.
+    """
+    path = path or vocabulary_path()
+    langs, weights = fit_languages(docs.where(~held_out(id_col, folds, fold)), id_col, text_col, lang_col, path)
+    judged, at = _judge(langs, weights, path), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column(at)):
+                part = batch.slice(start, stop - start)
+                preds, scores = judged(part.column(at).to_pylist())
+                yield part.filter(pa.array([p != "und" and s >= least_score for p, s in zip(preds, scores)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op9_language_id(spark, sf_dir) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))

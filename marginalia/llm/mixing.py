@@ -25,6 +25,11 @@ def uniform(column: Column, seed: str = "") -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
+def text_tag(text_col: str) -> Column:
+    """Tells texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def targets(sizes: DataFrame, share: float = SHARE, copies: int = COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Target words of each source.
 
@@ -70,7 +75,7 @@ def scales(plain: DataFrame, sources: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, copies: int = COPIES, weights: tuple[int, ...] = WEIGHTS, steps: int = STEPS, seed: str = "") -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, source, size, source_size, target, inclusion, copies, taken. Each source's rate (target over size) is
+    Returns doc_id, source, size, source_size, target, inclusion, copies, taken, tag (of the text). Each source's rate (target over size) is
     allocated as whole copies of every document first. What is left of the target is a sample of unequal probabilities:
     a document's inclusion probability is proportional to its size, so that the expected words are what is left;
     documents for which it would be 1 are certain. The others are ranked in Pareto order, by random odds u/(1-u) over
@@ -84,7 +89,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat a document are documents of their own. An empty table gives no rows. Other columns are ignored, whatever their
     names. Another `seed` draws another sample.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_tag(text_col).alias("tag"))
     plain = plain.withColumn("u", uniform(F.col("doc_id"), seed))
     plain = cut(plain.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))  # counts the words once; ids and numbers only
     sources = targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), share, copies, weights)
@@ -113,7 +118,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = placed.where("step is null").withColumn("more", (p == 1).cast("int"))
     taken = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
     rows = ranked.drop("before").unionByName(sure).withColumn("copies", taken)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "inclusion", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "inclusion", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tag")
 
 
 def op7_source_mix(spark, sf_dir) -> DataFrame:
