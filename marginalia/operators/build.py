@@ -35,6 +35,27 @@ def apply_capability(df: DataFrame, name: str, **parameters) -> DataFrame:
     return df.transform(lambda rows: CAPABILITIES[name](rows, **parameters))
 
 
+class Stages:
+    """Functions from DataFrame to DataFrame by name."""
+
+    def __init__(self) -> None:
+        self.functions: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def add(self, name: str, function: Callable[[DataFrame], DataFrame]) -> None:
+        if name in self.functions:
+            raise ValueError(f"{name!r} is a stage already")
+        self.functions[name] = function
+
+    def run(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """The named stages in turn, each on what the one before made; a name without a function fails before any runs."""
+        lost = [n for n in names if n not in self.functions]
+        if lost:
+            raise ValueError(f"no stage {', '.join(lost)}")
+        for name in names:
+            df = df.transform(self.functions[name])
+        return df
+
+
 def extract_chunks(chunks: DataFrame, extractor: Callable[[str], str], id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(chunk_id, bundle): a user's function from a text to a JSON bundle, run where the chunks lie; what it raises becomes a null bundle."""
 

@@ -123,3 +123,8 @@ def orphan_refs(refs: DataFrame, ids: DataFrame) -> DataFrame:
 def readable_source(refs: DataFrame, chunks: DataFrame, documents: DataFrame, versions: DataFrame, logical: DataFrame) -> DataFrame:
     """Chunks with their document, version and, if there is one, section."""
     return refs.join(chunks, "chunk_id").join(documents, "document_id").join(versions, "version_id").join(logical, "logical_id", "left")
+
+
+def citation_summary(audited: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group of audited answers: answers, how many were accepted, and the citations that these keep."""
+    return audited.groupBy(*by).agg(F.count(F.lit(1)).alias("answers"), F.count_if("accepted").alias("accepted"), F.sum(F.size("citations")).cast("long").alias("citations"))

@@ -22,6 +22,31 @@ def chunk_packed(spark, d):
     return C.chunk_corpus(_t(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
 
 
+def chunk_paragraphs(spark, d):
+    """Conversations as texts of a paragraph a turn, the first user's turns with a heading, packed up to 60 words with 10 repeated."""
+    head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## T"), F.col("turn").cast("string"), F.lit("\n"))).otherwise("")
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(head, F.array_join(F.slice(F.split(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), " "), 1, 40), " ")).alias("p"))
+    texts = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "p"))), lambda x: x.getField("p")), "\n\n").alias("content"))
+    return C.chunk_corpus(texts, 60, 10)
+
+
+def section_pages(spark, d):
+    """Turns as sections of their conversation, some of which begin before those before them end."""
+    sections = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("turn") * 2 + F.length("text") % 4).cast("long").alias("page_start"))
+    return C.section_pages(sections)
+
+
+def applied_versions(spark, d):
+    """Odd documents as new versions of their source, numbered on; sources point to their newest."""
+    docs = _t(spark, d, "documents")
+    named = docs.select(F.col("source").alias("document_id"), F.concat(F.lit("v"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("version_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("source_hash"), "doc_id")
+    old = C.assign_versions(named.where("doc_id % 2 = 0"), named.where("false").withColumn("version_number", F.lit(0)))
+    versions = old.select("version_id", "document_id", "version_number", "source_hash")
+    documents = docs.select(F.col("source").alias("document_id")).distinct().withColumn("active_version_id", F.lit("none"))
+    every, moved = C.apply_versions(named.where("doc_id % 2 = 1 and doc_id % 5 < 4").select("document_id", "version_id", "source_hash"), documents, versions)
+    return every.join(moved, "document_id").select("document_id", "version_id", "version_number", (F.col("version_id") == F.col("active_version_id")).alias("active"))
+
+
 def link_chunks(spark, d):
     chunks = C.chunk_stride(_t(spark, d, "documents"), 100, 20)
     named = chunks.select("doc_id", "ordinal", F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"))
@@ -165,7 +190,7 @@ def select_evidence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_stride, chunk_packed, link_chunks, split_sections, tag_types, dedupe_sources, assign_versions, effective_metadata, corpus_fingerprint,
+        chunk_stride, chunk_packed, chunk_paragraphs, section_pages, applied_versions, link_chunks, split_sections, tag_types, dedupe_sources, assign_versions, effective_metadata, corpus_fingerprint,
         verbatim_overlap, reassemble, content_hashes, normalize_names, reduced_shares, redact_logs, bm25_search, keyword_search, dense_topk, rrf_fusion,
         group_by_document, expand_neighbors, eval_retrieval, document_questions, select_evidence,
     )
@@ -202,6 +227,35 @@ f2 AS (SELECT source, a, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f1 GROUP
 
 ORACLE = {
     "chunk_stride": f"WITH {_STRIDE} SELECT doc_id, (start / 80)::INT AS ordinal, md5(array_to_string(w[start + 1:start + 100], ' ')) AS content_md5 FROM c",
+    # documents have no blank lines, so each is one paragraph and is cut every 450 words
+    "chunk_packed": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 51) + 1, 450)) AS start FROM w WHERE len(w) > 0)
+        SELECT doc_id, (start / 450)::INT AS ordinal, NULL::VARCHAR AS heading, array_to_string(w[start + 1:start + 500], ' ') AS content FROM c""",
+    # packing in turn: held words, how many of them are new, the heading of the last paragraph, and what each step sends off
+    "chunk_paragraphs": r"""WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')[:40] AS t FROM conversations),
+        q AS (SELECT conv_id, i, CASE WHEN turn % 3 = 0 THEN 'T' || turn END AS head, list_filter(list_concat(CASE WHEN turn % 3 = 0 THEN ['##', 'T' || turn] ELSE [] END, t), lambda w: w <> '') AS w FROM p),
+        r AS (SELECT conv_id, 0::BIGINT AS i, []::VARCHAR[] AS held, 0::BIGINT AS fresh, 0 AS n, NULL::VARCHAR AS heading, NULL::VARCHAR AS sent, NULL::VARCHAR AS sent_heading FROM q WHERE i = 1
+          UNION ALL
+          SELECT r.conv_id, q.i, list_concat(CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN held[-10:] ELSE held END, w), CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN 0 ELSE fresh END + len(w),
+            n + (fresh > 0 AND len(held) + len(w) > 60)::INT, coalesce(head, heading), CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN array_to_string(held, ' ') END, heading
+          FROM r JOIN q ON q.conv_id = r.conv_id AND q.i = r.i + 1)
+        SELECT conv_id AS doc_id, n - 1 AS ordinal, sent_heading AS heading, sent AS content FROM r WHERE sent IS NOT NULL
+        UNION ALL SELECT conv_id, n, heading, array_to_string(held, ' ') FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM r) WHERE last = 1 AND fresh > 0""",
+    "section_pages": """SELECT doc_id, ordinal, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY doc_id ORDER BY ordinal) - 1, page_start)) AS page_end
+        FROM (SELECT conv_id AS doc_id, turn AS ordinal, turn * 2 + length(text) % 4 AS page_start FROM conversations)""",
+    "applied_versions": """WITH v AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 2, doc_id) AS n, doc_id % 2 = 1 AND doc_id = max(doc_id) FILTER (doc_id % 2 = 1) OVER (PARTITION BY source) AS active FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 < 4)
+        SELECT source AS document_id, 'v' || lpad(doc_id::VARCHAR, 8, '0') AS version_id, n AS version_number, active FROM v""",
+    "split_sections": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT doc_id, l, unnest(range(0, len(l), 4)) AS k FROM l)
+        SELECT doc_id, (k // 4)::INT AS ordinal, 'Part ' || k AS title, length(trim('## Part ' || k || chr(10) || array_to_string(l[k + 1:k + 4], chr(10))))::INT AS n_chars FROM s""",
+    "select_evidence": rf"""WITH {_KEYWORD}, h AS (SELECT k.*, d.source, d.text, lower(d.text) AS low, string_split(b.text, ' ') AS q FROM keyword k JOIN documents d ON d.doc_id = k.id JOIN benchmark b ON b.item_id = k.query_id),
+        n AS (SELECT *, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS words, len(regexp_extract_all(text, '[0-9]')) AS digits, lower(array_to_string(q[:3], ' ')) AS resolved, lower(array_to_string(q[:2], ' ')) AS mention FROM h),
+        f AS (SELECT *, contains(low, resolved) AS ful, contains(low, mention) AS ali, len(words) AS nw, len(list_filter(words, lambda w: regexp_full_match(w, '\p{{L}}+'))) AS alpha,
+          regexp_matches(low, 'malik|hisse|tapu|miras|tescil|vekal|vekâlet|icra|aile|oğlu|kızı|mülkiyet|hissedar|temsil|avukat') AS des FROM n),
+        g AS (SELECT *, digits >= greatest(5, alpha) OR regexp_matches(text, '(?:^|\s)(?:[\d.,:/-]+\s*){{2,}}(?:$|\s)') AS num FROM f),
+        s AS (SELECT *, list_filter([CASE WHEN ful THEN 'resolved_full_name' END, CASE WHEN NOT ful AND ali THEN 'alias_only' END, CASE WHEN des THEN 'descriptive_context' END, CASE WHEN nw >= 16 AND alpha >= 10 THEN 'substantive_context' END,
+            CASE WHEN num THEN 'numeric_shorthand' END, CASE WHEN nw < 5 THEN 'stub_or_fragment' END, CASE WHEN NOT ful AND NOT ali THEN 'entity_not_present' END], lambda x: x IS NOT NULL) AS sig,
+          round(score + CASE WHEN ful THEN 8 WHEN ali THEN 0.5 ELSE -3 END + des::INT * 2 + (nw >= 16 AND alpha >= 10)::INT - num::INT * 4 - (nw < 5)::INT * 3, 6)::DOUBLE AS e FROM g),
+        b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY e DESC, score DESC, id) AS r FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY e DESC, score DESC, id) AS position FROM b WHERE r = 1)
+        SELECT query_id, id AS chunk_id, e AS evidence_score, array_to_string(sig, ',') AS signals, position FROM p WHERE position <= 5""",
     "link_chunks": f"""WITH {_STRIDE}, n AS (SELECT doc_id, (start / 80)::INT AS o, max((start / 80)::INT) OVER (PARTITION BY doc_id) AS m FROM c)
         SELECT doc_id, doc_id || '-' || o AS source_chunk_id, doc_id || '-' || (o + 1) AS target_chunk_id, 'next' AS kind FROM n WHERE o < m""",
     "tag_types": """SELECT doc_id, CASE WHEN contains(h, 'licensed under') OR contains(h, 'released under') THEN 'licence' WHEN contains(h, 'all rights') THEN 'rights'

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import corpus, intake, knowledge, relational, sinks, streams
+from marginalia.plans import answers, construction, corpus, intake, knowledge, relational, sinks, streams
 
-MODULES: list = [relational, corpus, knowledge, streams, intake, sinks]
+MODULES: list = [relational, corpus, knowledge, streams, intake, sinks, answers, construction]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
