@@ -54,6 +54,35 @@ def temporal_relative(spark, d):
     return R.temporal_relative(orders, "o_orderdate", orders.where("o_orderpriority = '1-URGENT'"), "o_orderdate", "after", ["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
+def temporal_window(spark, d):
+    """Order dates as the start of ranges of which some have an end."""
+    orders = _t(spark, d, "orders").withColumn("start", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    ranges = orders.withColumn("end", F.when(F.col("o_orderkey") % 3 > 0, F.date_format(F.date_add("o_orderdate", 200), "yyyy-MM-dd")))
+    return R.temporal_filter(ranges, "start", "end", [("1994-01-01", "1996-12-31")]).select("o_orderkey", "start", "end")
+
+
+def temporal_before(spark, d):
+    """Orders before the last urgent one, of any customer."""
+    orders = _t(spark, d, "orders")
+    return R.temporal_relative(orders, "o_orderdate", orders.where("o_orderpriority = '1-URGENT' and o_orderkey % 11 = 0"), "o_orderdate", "before").select("o_orderkey")
+
+
+def filter_bounds(spark, d):
+    """Above one bound and up to another; nulls are in no range."""
+    part = _t(spark, d, "part").withColumn("size", F.when(F.col("p_partkey") % 10 > 0, F.col("p_size")))
+    return R.where_cmp(R.where_cmp(part, "size", "gt", 10), "size", "lte", 30).select("p_partkey", "size")
+
+
+def sort_many(spark, d):
+    """Nulls first in one key, last in another."""
+    c = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 100 > 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_nationkey")).alias("nation"))
+    return R.limit_records(R.sort_records(c, [("segment", "asc", "first"), ("nation", "desc", "last")], "c_custkey"), 200, 5)
+
+
+def required_scope(spark, d):
+    return R.require_scope(R.in_scope(_t(spark, d, "documents"), {"lang": "en"}), {"lang": "en"}).select("doc_id", "lang")
+
+
 def join_inner(spark, d):
     joined = R.join_records(_t(spark, d, "customer"), _t(spark, d, "nation"), [("c_nationkey", "eq", "n_nationkey")])
     return joined.select("c_custkey", "right_n_name")
@@ -177,7 +206,7 @@ def retention_cut(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        filter_eq, filter_not_eq, filter_range, filter_in, filter_contains, filter_starts_with, filter_exists, project_rename, temporal_filter,
+        filter_eq, filter_not_eq, filter_range, filter_in, filter_contains, filter_starts_with, filter_exists, project_rename, temporal_filter, temporal_window, temporal_before, filter_bounds, sort_many, required_scope,
         temporal_relative, join_inner, join_theta, join_left, join_semi, join_anti, group_count, count_distinct, agg_min_max_sum_avg, exists_any,
         sort_offset_limit, rank_top_n, rank_all, latest_per_key, first_seen, distinct_fields, compare_overlap, compare_difference, compare_values,
         compare_populations, merge_by_authority, preferred_claims, detect_conflicts, tombstone_filter, scope_filter, retention_cut,
@@ -186,6 +215,12 @@ QUERIES = {
 
 ORACLE = {
     "filter_eq": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "temporal_window": """SELECT o_orderkey, start, "end" FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS start, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate + INTERVAL 200 DAY, '%Y-%m-%d') END AS "end" FROM orders)
+        WHERE start >= '1994-01-01' AND coalesce("end", start) <= '1996-12-31'""",
+    "temporal_before": "SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 11 = 0)",
+    "filter_bounds": "SELECT p_partkey, p_size AS size FROM part WHERE p_partkey % 10 > 0 AND p_size > 10 AND p_size <= 30",
+    "sort_many": """SELECT c_custkey, CASE WHEN c_custkey % 100 > 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS nation FROM customer ORDER BY segment ASC NULLS FIRST, nation DESC NULLS LAST, c_custkey LIMIT 200 OFFSET 5""",
+    "required_scope": "SELECT doc_id, lang FROM documents WHERE lang = 'en'",
     "filter_not_eq": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'",
     "filter_range": "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20",
     "filter_in": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9)",

@@ -49,6 +49,67 @@ def stream_run_states(spark, d):
     return _ended(spark, S.run_states(rows, "1 day")).groupBy("run_id", "state").agg(F.count(F.lit(1)).alias("changes"))
 
 
+def stream_tail_to_end(spark, d):
+    """Each user's events up to the first purchase, which ends the run."""
+    rows = _stream(spark, d).select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("state"), "event_id")
+    return _ended(spark, S.tail_to_end(rows))
+
+
+def pending_costs(spark, d):
+    """Every ten changes of a user, confirmed first where they cost 250 or more."""
+    fired = _ended(spark, S.pending_trigger(_stream(spark, d), "user_id", "value", 10, cost_limit=250.0))
+    return fired.groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def pending_sizes(spark, d):
+    """Every eight changes of a user are more than five and so to be confirmed."""
+    fired = _ended(spark, S.pending_trigger(_stream(spark, d), "user_id", "value", 8, most=5))
+    return fired.groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _spoken(spark, d):
+    """Customers in sentences of six shapes, with fractions of four classes and fields in both word orders."""
+    c, k = _t(spark, d, "customer"), F.col("c_custkey")
+    n = lambda x: x.cast("string")
+    share = F.concat(n(k % 4 + 1), F.lit("/"), n(k % 3 + 6))
+    name = F.concat(F.lit("Ali Can"), n(k % 10))
+    shapes = [
+        F.concat(F.lit("ada "), n(k), F.lit(" parsel "), n(k + 1), F.lit(" üzerinde "), share, F.lit(" hissesi "), name),
+        F.concat(n(k), F.lit(" ada "), n(k + 1), F.lit(" nolu parsel, "), name, F.lit("'ın payı "), share),
+        F.concat(F.lit("tapu: "), name, F.lit(" lehine "), share, F.lit(" hisse ada "), n(k)),
+        F.concat(F.lit("karar no 12/34 gereği arsa, "), name, F.lit(" için pay "), share),
+        F.concat(F.lit("parsel no "), n(k), F.lit(" daire 7, "), name, F.lit(" adına kayıtlı")),
+        F.concat(F.lit("tapu 3/5/2020 tarihli, 4/9 ile "), name),
+    ]
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        text = F.when(k % 6 == i, shape).otherwise(text)
+    return c.select(k.alias("chunk_id"), text.alias("content")), c.select(name.alias("entity")).distinct()
+
+
+def spoken_claims(spark, d):
+    claims = P.property_claims(*_spoken(spark, d))
+    return claims.select("chunk_id", "entity", "block", "parcel", "independent_section", "normalized_share", F.concat_ws(",", "relations").alias("relations"), F.concat_ws(",", "warnings").alias("warnings"), "confidence")
+
+
+def spoken_fractions(spark, d):
+    return P.classify_shares(_spoken(spark, d)[0], "chunk_id").select("id", "turn", "fraction", "kind")
+
+
+def spoken_places(spark, d):
+    """Places after their labels, of which some are missing."""
+    c, k = _t(spark, d, "customer"), F.col("c_custkey")
+    part = lambda label, n: F.when(k % n > 0, F.concat(F.lit(f"{label}: Yer"), (k % 9).cast("string"), F.lit(", ")))
+    text = F.concat_ws("", part("il", 2), part("ilçesi", 3), part("köyü", 5), F.lit("ada 5"))
+    return P.locations(c.select(k.alias("chunk_id"), text.alias("content"))).select("chunk_id", "province", "district", "neighborhood")
+
+
+def property_conflicts(spark, d):
+    """Shares of a nation's parcels that differ between claims."""
+    properties, _ = P.aggregate_properties(P.property_claims(*_deeds(spark, d)).withColumn("sheet", F.lit(None).cast("string")).withColumn("province", F.lit(None).cast("string")).withColumn("parcel", F.lit(None).cast("string")))
+    return properties.select("entity", "identity_key", "n_claims", F.concat_ws(",", "shares").alias("shares"), "conflict")
+
+
 def _deeds(spark, d):
     """Customers as land-registry sentences about their nation."""
     c = _t(spark, d, "customer").join(F.broadcast(_t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -83,13 +144,33 @@ def ownership_facts(spark, d):
     return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("facts"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, stream_run_states, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, pending_costs, pending_sizes, stream_tail_to_end, stream_run_states, spoken_claims, spoken_fractions, spoken_places, property_conflicts, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
 
 _DEED = "de AS (SELECT c_custkey AS k, n_name AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 ORACLE = {
     "stream_dedupe": "SELECT event_id, round(value, 4) AS value FROM events",
     "stream_daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) > 500 AS over FROM events GROUP BY 1, 2",
     "stream_tail": "SELECT user_id AS run_id, event_id, event_type = 'purchase' AS terminal FROM events",
+    "stream_tail_to_end": """WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'purchase') AS stop FROM events GROUP BY 1)
+        SELECT user_id AS run_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END AS state, event_id FROM events JOIN f USING (user_id) WHERE stop IS NULL OR event_id <= stop""",
+    "pending_costs": """WITH r AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS t FROM events), s AS (SELECT user_id, t, sum(value) AS v FROM r GROUP BY 1, 2 HAVING count(*) = 10)
+        SELECT user_id AS workspace, CASE WHEN v >= 250 THEN 'confirm' ELSE 'queue' END AS action, CASE WHEN v >= 250 THEN 'cost_limit' ELSE 'threshold' END AS reason, count(*) AS n, round(sum(v), 4) AS cost FROM s GROUP BY 1, 2, 3""",
+    "pending_sizes": "SELECT user_id AS workspace, 'confirm' AS action, 'maximum_exceeded' AS reason, count(*) // 8 AS n FROM events GROUP BY 1 HAVING count(*) >= 8",
+    # state changes in order; a run that ends as running is interrupted a day after its last news, if time has come that far
+    "stream_run_states": """WITH s AS (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' ELSE 'waiting' END AS st FROM events),
+        l AS (SELECT *, lag(st) OVER (PARTITION BY user_id ORDER BY ts) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r, max(ts) OVER () AS now FROM s)
+        SELECT user_id AS run_id, st AS state, count(*) AS changes FROM l WHERE st IS DISTINCT FROM before GROUP BY 1, 2
+        UNION ALL SELECT user_id, 'interrupted', 1 FROM l WHERE r = 1 AND st = 'running' AND ts + INTERVAL 1 DAY < now - INTERVAL 10 MINUTE""",
+    "spoken_claims": """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS s, c_custkey % 4 + 1 AS a, c_custkey % 3 + 6 AS b FROM customer), w AS (SELECT *, s >= 2 AS incomplete, s = 5 AS unbound FROM c)
+        SELECT k AS chunk_id, 'Ali Can' || k % 10 AS entity, CASE WHEN s < 3 THEN k::VARCHAR END AS block, CASE s WHEN 0 THEN (k + 1)::VARCHAR WHEN 1 THEN (k + 1)::VARCHAR WHEN 4 THEN k::VARCHAR END AS parcel, CASE WHEN s = 4 THEN '7' END AS independent_section,
+        CASE WHEN s < 4 THEN (a // gcd(a, b)) || '/' || (b // gcd(a, b)) END AS normalized_share, CASE WHEN s < 4 THEN 'share_owner' WHEN s = 4 THEN 'registered_owner' ELSE '' END AS relations,
+        concat_ws(',', CASE WHEN incomplete THEN 'identity_incomplete' END, CASE WHEN unbound THEN 'owner_not_bound' END) AS warnings, round(0.9 - 0.2 * (incomplete::INT + unbound::INT), 2)::DOUBLE AS confidence FROM w""",
+    "spoken_fractions": """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS s, (c_custkey % 4 + 1) || '/' || (c_custkey % 3 + 6) AS f FROM customer)
+        SELECT k AS id, 0 AS turn, f AS fraction, 'ownership_share' AS kind FROM c WHERE s < 3 UNION ALL SELECT k, 0, '12/34', 'legal_identifier' FROM c WHERE s = 3 UNION ALL SELECT k, 1, f, 'ownership_share' FROM c WHERE s = 3
+        UNION ALL SELECT k, 0, '3/5/2020', 'date' FROM c WHERE s = 5 UNION ALL SELECT k, 1, '4/9', 'unknown_fraction' FROM c WHERE s = 5""",
+    "spoken_places": """SELECT c_custkey AS chunk_id, CASE WHEN c_custkey % 2 > 0 THEN y END AS province, CASE WHEN c_custkey % 3 > 0 THEN y END AS district, CASE WHEN c_custkey % 5 > 0 THEN y END AS neighborhood FROM (SELECT c_custkey, 'Yer' || c_custkey % 9 AS y FROM customer)""",
+    "property_conflicts": f"""WITH {_DEED}, s AS (SELECT entity, k % 300 AS b, ((k % 4 + 1) // gcd(k % 4 + 1, 8)) || '/' || (8 // gcd(k % 4 + 1, 8)) AS share FROM de)
+        SELECT entity, 'block=' || b AS identity_key, count(*) AS n_claims, string_agg(DISTINCT share, ',' ORDER BY share) AS shares, count(DISTINCT share) > 1 AS conflict FROM s GROUP BY entity, b""",
     "pending_trigger": "SELECT user_id AS workspace, 'queue' AS action, 'threshold' AS reason, count(*) // 10 AS n, (count(*) // 10 * 10)::BIGINT AS pending FROM events GROUP BY 1 HAVING count(*) >= 10",
     "cadastral_fields": "SELECT c_custkey AS chunk_id, (c_custkey % 50)::VARCHAR AS sheet, (c_custkey % 300)::VARCHAR AS block, (c_custkey % 70)::VARCHAR AS parcel, 'Ankara' AS province FROM customer",
     "share_classes": "SELECT c_custkey AS id, c_custkey % 4 + 1 AS numerator, 8::BIGINT AS denominator, 'ownership_share' AS kind FROM customer",
