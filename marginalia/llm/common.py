@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,8 +75,12 @@ def hold(name: str, drop: Callable[[], None]) -> None:
 
 def alone(name: str) -> None:
     """Drop what other operators keep in this worker: workers outlive jobs, and their memory is an executor's."""
-    for other in [x for x in _held if x != name]:
+    others = [x for x in _held if x != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def text_or_empty(column: str):

@@ -20,8 +20,8 @@ from .common import alone, documents, hold, slices
 PRIOR = 0.1
 SURE_WORDS = 20
 #: Words that a worker keeps, bytes of the words that are scored at once, and positions after which sums are brought near 1.
-KEPT_WORDS = 300_000
-AT_ONCE = 1 << 20
+KEPT_WORDS = 150_000
+AT_ONCE = 1 << 17
 STEP = 12
 #: Languages that a model may have: a bound of what driver and tasks hold, which is a number a piece and language.
 LANGUAGES = 200
