@@ -18,8 +18,8 @@ LENGTH = 200
 GRAM = 40
 #: Bytes of contexts that one suffix array holds, besides those of one gram.
 ARRAY_BYTES = 6 << 20
-#: Documents of a gram beyond which its contexts are cut into WIDTH windows each and counted instead of sorted.
-HOT_DOCUMENTS = 20_000
+#: Occurrences of a gram beyond which its contexts are cut into WIDTH windows each and counted instead of sorted.
+HOT_OCCURRENCES = 20_000
 WIDTH = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -95,7 +95,7 @@ def _select(length: int, gram: int):
                 rows, times = np.unique(rows, axis=0, return_counts=True)
                 tags = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
                 keys = batch.column(0).slice(start, stop - start).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(keys[rows[:, 0]]), pa.array(tags[rows[:, 0]]), pa.array(times > 1)], ["gram", "key", "tag", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(keys[rows[:, 0]]), pa.array(tags[rows[:, 0]]), pa.array(times)], ["gram", "key", "tag", "times"])
 
     return selected
 
@@ -107,7 +107,8 @@ def _listed(lists: pa.Array) -> np.ndarray:
 
 
 def _contexts(length: int, gram: int, width: int):
-    names = ["gram", "key", "tag", "start", "size", "context", "hot"]
+    names = ["gram", "key", "tag", "start", "size", "context", "hot", "also"]
+    member = pa.struct([("key", pa.int64()), ("tag", pa.int64()), ("start", pa.int64())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,41 +142,42 @@ def _contexts(length: int, gram: int, width: int):
                 starts = np.cumsum([0, *map(len, texts)])
                 froms, untils = windows[lows], windows[highs] + length
                 strings = [whole[a:b] for a, b in zip(froms.tolist(), untils.tolist())]
-                # equal contexts of a slice are repeats as wholes; one of them goes on to meet those of others
+                # equal contexts of a slice are sent once, with the places of the others
                 seen: dict[bytes, int] = {}
-                again = np.zeros(len(strings), bool)
-                for i, x in enumerate(strings):
-                    j = seen.setdefault(x, i)
-                    if j != i:
-                        again[i] = again[j] = True
-                sent = np.zeros(len(strings), bool)
-                sent[list(seen.values())] = True
+                one = np.array([seen.setdefault(x, i) for i, x in enumerate(strings)])
+                sent = one == np.arange(len(one))
                 doc = owner[lows]
-                known = np.flatnonzero(again)
-                if len(known):  # as runs, dealt by document, since no gram has to meet them
+                crowd = np.bincount(one, minlength=len(one))[one] > 1
+                known = np.flatnonzero(crowd & (bucket >= 0))
+                if len(known):  # those of crowded grams are repeats as wholes: runs, dealt by document, since no gram has to meet them
                     run = np.flatnonzero(np.diff(doc[known], prepend=-1) | (froms[known] > np.append(-1, untils[known][:-1])))
                     until = np.append(untils[known][run[1:] - 1], untils[known[-1]])
                     of = doc[known][run]
                     columns = [keys[of], keys[of], tags[of], froms[known][run] - starts[of], until - froms[known][run]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary()), pa.array(np.zeros(len(run), bool))], names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary()), pa.array(np.zeros(len(run), bool)), pa.nulls(len(run), pa.list_(member))], names)
+                rest = np.flatnonzero(~sent & (bucket < 0))
+                rest = rest[np.argsort(one[rest], kind="stable")]
+                ends = np.searchsorted(one[rest], np.flatnonzero(sent), side="right")
+                places = pa.StructArray.from_arrays([pa.array(x) for x in (keys[doc[rest]], tags[doc[rest]], froms[rest] - starts[doc[rest]])], fields=list(member))
+                also = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), places)
                 of, place = doc[sent], anchor[lows[sent]]
                 meets, near = hashed[place].view(np.int64).copy(), bucket[sent]
                 for i in np.flatnonzero(near >= 0):  # what all windows of such a cut share
                     core = whole[place[i] - near[i] * width : place[i] - (near[i] + 1) * width + 1 + length]
                     meets[i] = xxhash.xxh3_64_intdigest(core) - (1 << 63)
                 columns = [meets, keys[of], tags[of], froms[sent] - starts[of], untils[sent] - froms[sent]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x for x, yes in zip(strings, sent) if yes], pa.binary()), pa.array(near >= 0)], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x for x, yes in zip(strings, sent) if yes], pa.binary()), pa.array(near >= 0), also], names)
 
     return found
 
 
-def interval_tree(strings: list[bytes], length: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+def interval_tree(strings: list[bytes], length: int, weights: np.ndarray | None = None) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
     """Maximal repeats of at least `length` bytes among the strings.
 
     Returns nodes (repeat length, occurrences, parent or -1, a place) and leaves (string, offset, node). A node is an
     interval of the enhanced suffix array whose suffixes share a prefix and are preceded by different bytes (the start of
     a string counts as different from all), so it can be extended neither way; a node's occurrences are the leaves of
-    its subtree. The array holds only suffixes that can begin one: those whose first `length` bytes occur twice with
+    its subtree, each counted as often as `weights` says of its string. The array holds only suffixes that can begin one: those whose first `length` bytes occur twice with
     different bytes before them. Common prefixes of neighbours are scanned with a stack.
     """
     raw = np.frombuffer(b"".join(strings), np.uint8)
@@ -206,6 +208,7 @@ def interval_tree(strings: list[bytes], length: int) -> tuple[list[tuple[int, in
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
     common = np.minimum(common, np.minimum(stop - begin, np.roll(stop - begin, -1))[:-1]).tolist()
+    upto = np.append(0, np.cumsum(np.ones(len(who), np.int64) if weights is None else weights[who])).tolist()
     left = np.where(begin > (ends - sizes)[who], raw[begin - 1].astype(np.int64), -1).tolist()
     nodes: list[tuple[int, int, int, int]] = []
     leaf_node = [-1] * len(left)
@@ -219,7 +222,7 @@ def interval_tree(strings: list[bytes], length: int) -> tuple[list[tuple[int, in
                 stack[-1][3].extend(children)
             return
         number = len(nodes)
-        nodes.append((top[0], last - first + 1, -1, first))
+        nodes.append((top[0], upto[last + 1] - upto[first], -1, first))
         for child in children:
             nodes[child] = (*nodes[child][:2], number, nodes[child][3])
         for i in range(first, last + 1):
@@ -248,15 +251,29 @@ def _scan(length: int):
     names = ["key", "tag", "start", "size", "repeat", "parent", "occurrences"]
 
     def resolved(rows: pa.Table) -> pa.RecordBatch:
-        strings = rows["context"].to_pylist()
-        nodes, leaves = interval_tree(strings, length)
+        # a context that stands for others is in the array twice: for itself and for them
+        also = rows["also"].combine_chunks()
+        others = np.diff(also.offsets.to_numpy())
+        twice = np.flatnonzero(others)
+        contexts = rows["context"].to_pylist()
+        strings = contexts + [contexts[i] for i in twice]
+        nodes, leaves = interval_tree(strings, length, np.append(np.ones(len(contexts), np.int64), others[twice]))
         whole = b"".join(strings)
-        ids = [xxhash.xxh3_64_intdigest(whole[at : at + n]) - (1 << 63) for n, _, _, at in nodes]
-        keys, tags, starts = (rows[c].to_numpy() for c in ("key", "tag", "start"))
+        ids = np.array([xxhash.xxh3_64_intdigest(whole[at : at + n]) - (1 << 63) for n, _, _, at in nodes], np.int64)
+        size, times = (np.array([x[i] for x in nodes], np.int64) for i in (0, 1))
+        up = np.array([x[2] for x in nodes], np.int64)
         who, offset, node = (np.array([x[i] for x in leaves], np.int64) for i in range(3))
-        size = np.array([n for n, _, _, _ in nodes], np.int64)
-        up = [None if nodes[i][2] < 0 else ids[nodes[i][2]] for i in node]
-        return pa.RecordBatch.from_arrays([pa.array(keys[who]), pa.array(tags[who]), pa.array(starts[who] + offset), pa.array(size[node]), pa.array([ids[i] for i in node], pa.int64()), pa.array(up, pa.int64()), pa.array([nodes[i][1] for i in node], pa.int64())], names)
+        # members of each string: the row's own place, or those that it stands for
+        flat = also.flatten()
+        every = {c: np.concatenate([rows[c].to_numpy(), flat.field(c).to_numpy()]) for c in ("key", "tag", "start")}
+        first = np.append(np.arange(len(contexts)), len(contexts) + (np.cumsum(others) - others)[twice])
+        count = np.append(np.ones(len(contexts), np.int64), others[twice])
+        leaf = np.repeat(np.arange(len(who)), count[who])
+        at = np.repeat(first[who], count[who]) + np.arange(len(leaf)) - np.repeat(np.cumsum(count[who]) - count[who], count[who])
+        node = node[leaf]
+        parent = pa.array(ids[np.maximum(up, 0)][node], mask=up[node] < 0) if len(nodes) else pa.nulls(0, pa.int64())
+        columns = [every["key"][at], every["tag"][at], every["start"][at] + offset[leaf], size[node], ids[node]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), parent, pa.array(times[node])], names)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -309,30 +326,26 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
     return judged.where("a = b").select("key", "tag", "start", "size").unionByName(single)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS, width: int = WIDTH) -> DataFrame:
-    """Spans of the repeats of `length` bytes or more across and within documents, and groups of some of them.
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_occurrences: int = HOT_OCCURRENCES, width: int = WIDTH) -> DataFrame:
+    """The maximal repeats of `length` bytes or more across and within documents: groups with all their occurrences.
 
     Returns key (doc_id, null as the least long), tag (a hash of the text), start, size, and the repeat (a hash of its
-    bytes), its parent in the interval tree, and its occurrences. Rows without a repeat are contexts that occur twice as
-    wholes. Every window of `length` bytes selects one gram, its anchor, by content. Anchors that occur in one text only,
+    bytes), its parent in the interval tree, and its occurrences. Rows without a repeat are repeats of crowded grams. Every window of `length` bytes selects one gram, its anchor, by content. Anchors that occur in one text only,
     and once there, can't be in a repeat. Around the others the text that may repeat is cut out, so that each window is
     in one context; contexts meet others of their gram, sorted, and an enhanced suffix array over them is scanned with a
     stack. Occurrences are maximal within their contexts; adjoining ones overlap, so a longer repeat is a row of
-    occurrences. A gram of over `hot_documents` documents is too much for one task: its contexts are cut finer and
-    counted, and their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
-
-    Groups are partial: of equal contexts of one slice only one enters the tree, and their runs carry no repeat id, so
-    `occurrences` counts less than there are, depends on how rows are dealt to tasks, and a passage whose copies all lie
-    in one slice has no group. The spans that repeats cover are whole.
+    occurrences. Equal contexts of a task's slice are sent once, with the places of the others, and count as all of them.
+    A gram of over `hot_occurrences` occurrences is too much for one task: its contexts are cut finer and counted, and
+    their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
     """
     plain = keyed(docs, id_col, text_col)
-    chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, twice boolean")
-    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
-    common = cut(seen.where("a <> b or twice").select("gram", (F.col("n") > hot_documents).alias("crowded")))
+    chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, times long")
+    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("times").alias("most"), F.sum("times").alias("n"))
+    common = cut(seen.where("a <> b or most > 1").select("gram", (F.col("n") > hot_occurrences).alias("crowded")))
     wanted = chosen.select("gram", "key").join(common, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("crowded"), F.col("gram"))).alias("crowded"))
     spare = copies(docs, id_col, text_col).where("key <> first").groupBy("key").agg(F.collect_set("tag").alias("spare"))
     wanted = wanted.join(spare, "key", "left").select("key", "grams", "spare", "crowded")
-    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram, width), "gram long, key long, tag long, start long, size long, context binary, hot boolean")
+    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram, width), "gram long, key long, tag long, start long, size long, context binary, hot boolean, also array<struct<key:long,tag:long,start:long>>")
     crowd = None
     if not common.where("crowded").isEmpty():
         crowd = _crowded(contexts.where("hot"), length)
@@ -384,7 +397,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_occurrences: int = HOT_OCCURRENCES) -> DataFrame:
     """Each document without the bytes that a string of `length` bytes covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. Repeats are those of repeated_strings(); a text that other
@@ -394,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     each other, and with another text they are documents of their own. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    spans = repeated_strings(docs, length, gram, id_col, text_col, hot_documents)
+    spans = repeated_strings(docs, length, gram, id_col, text_col, hot_occurrences)
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("tag", "start", "size")).alias("spans"))
     whole = copies(docs, id_col, text_col).where(F.col("size") >= length).groupBy("key").agg(F.collect_set("tag").alias("copied"))
     joined = keyed(docs, id_col, text_col).join(spans.join(whole, "key", "full"), "key", "left")

@@ -31,10 +31,37 @@ def labels(spark):
 
 @pytest.mark.parametrize("length,gram,hot", [(60, 12, 20_000), (200, 40, 20_000), (60, 12, 2), (60, 12, 8)])
 def test_repeats(docs, length, gram, hot):
-    got = sorted(tuple(r) for r in repeats.remove_repeats(docs, length, gram, hot_documents=hot).collect())
+    got = sorted(tuple(r) for r in repeats.remove_repeats(docs, length, gram, hot_occurrences=hot).collect())
     assert got == without_repeats(ROWS, length)
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    """Passages within a text, in neighbours and in far partitions: each maximal repeat, with those that hold it, has every place of its bytes."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passages = [word(90), word(70), word(120)]
+    rows = [(i, word(150) + "".join(word(40) + passages[int(k)] for k in rng.integers(0, 3, 3)) + word(20), None, None, None) for i in range(60)]
+    texts = {i: t for i, t, *_ in rows}
+    for parts in (1, 7):
+        found = repeats.repeated_strings(frame(spark, rows, parts), 60, 12).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.repeat, []).append(r)
+        below = {}
+        for r in found:
+            below.setdefault(r.parent, set()).add(r.repeat)
+        for repeat, own in groups.items():
+            subtree = [repeat]
+            for x in subtree:
+                subtree += below.get(x, ())
+            places = {(r.key, r.start) for x in subtree for r in groups[x]}
+            text = texts[own[0].key][own[0].start : own[0].start + own[0].size]
+            every = {(i, m.start()) for i, t in texts.items() for m in re.finditer(f"(?={re.escape(text)})", t)}
+            assert {r.occurrences for r in own} == {len(places)} and places == every
+        covered = {(r.key, i) for r in found for i in range(r.start, r.start + r.size)}
+        assert all((i, at) in covered for i, t in texts.items() for p in passages for m in re.finditer(p, t) for at in range(m.start(), m.end()))
+
+
 def test_repeats_ids(spark):
     """Null ids, an id of two texts."""
     text = "".join(chr(97 + i * i % 23) for i in range(300))
