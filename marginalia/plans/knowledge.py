@@ -276,7 +276,15 @@ _USE = """us AS (SELECT event_id, user_id AS workspace_id, event_type AS model,
 _EDGE = """e AS (SELECT 'lives_in:' || c_custkey AS id, 'c' || c_custkey AS a, 'n' || c_nationkey AS b, 'lives_in' AS rel FROM customer UNION ALL
   SELECT 'works_in:' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'works_in' FROM supplier UNION ALL SELECT 'part_of:' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation)"""
 
+def _re2(pattern: str) -> str:
+    """A pattern without look-around: what borders a word is matched instead."""
+    return pattern.replace(L._B, r"(?:^|[^\p{L}\p{N}_])").replace(L._E, r"(?:$|[^\p{L}\p{N}_])").replace("'", "''")
+
+
 ORACLE = {
+    "tag_queries": f"""WITH c AS (SELECT lower(text) AS t FROM conversations), k AS (SELECT CASE WHEN regexp_matches(t, '{_re2(L.LOOKUP)}') THEN 'lookup_documents' WHEN regexp_matches(t, '{_re2(L.COUNT)}') AND regexp_matches(t, '{_re2(L.PROPERTY_TERMS)}') THEN 'count'
+        WHEN regexp_matches(t, '{_re2(L.INVENTORY)}') THEN 'list' WHEN regexp_matches(t, '{_re2(L.YEAR)}') THEN 'timeline' WHEN regexp_matches(t, '{_re2(L.IDENTIFY)}') THEN 'identify' WHEN regexp_matches(t, '{_re2(L.DESCRIBE)}') THEN 'describe' ELSE 'generic_qa' END AS operation FROM c)
+        SELECT operation, count(*) AS n FROM k GROUP BY 1""",
     "traverse_out": f"WITH {_EDGE} SELECT a AS start, a || '>' || b AS nodes, id AS edges, 1 AS hops FROM e WHERE rel = 'works_in'",
     "traverse_in": f"WITH {_EDGE} SELECT x.b AS start, x.b || '>' || x.a || '>' || y.a AS nodes, x.id || ',' || y.id AS edges, 2 AS hops FROM e x JOIN e y ON y.b = x.a WHERE x.rel = 'part_of'",
     "traverse_multi_hop": f"""WITH {_EDGE} SELECT a AS start, a || '>' || b AS nodes, id AS edges, 1 AS hops FROM e WHERE rel = 'lives_in'

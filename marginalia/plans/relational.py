@@ -138,6 +138,12 @@ def rank_all(spark, d):
     return R.rank_records(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
+def rank_payload(spark, d):
+    """A whole ranking whose records have other columns than those of the order."""
+    lines = _t(spark, d, "lineitem").select(F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("line"), "l_extendedprice", "l_returnflag", "l_shipdate")
+    return R.rank_records(lines, "l_extendedprice", "line").select("line", "rank", "l_returnflag")
+
+
 def latest_per_key(spark, d):
     events = _t(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
     return R.latest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
@@ -208,7 +214,7 @@ QUERIES = {
     for f in (
         filter_eq, filter_not_eq, filter_range, filter_in, filter_contains, filter_starts_with, filter_exists, project_rename, temporal_filter, temporal_window, temporal_before, filter_bounds, sort_many, required_scope,
         temporal_relative, join_inner, join_theta, join_left, join_semi, join_anti, group_count, count_distinct, agg_min_max_sum_avg, exists_any,
-        sort_offset_limit, rank_top_n, rank_all, latest_per_key, first_seen, distinct_fields, compare_overlap, compare_difference, compare_values,
+        sort_offset_limit, rank_top_n, rank_all, rank_payload, latest_per_key, first_seen, distinct_fields, compare_overlap, compare_difference, compare_values,
         compare_populations, merge_by_authority, preferred_claims, detect_conflicts, tombstone_filter, scope_filter, retention_cut,
     )
 }
@@ -244,6 +250,8 @@ ORACLE = {
     "sort_offset_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 10",
     "rank_top_n": """SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rank FROM orders) WHERE rank <= 3""",
     "rank_all": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rank FROM orders",
+    "rank_payload": """WITH l AS (SELECT concat_ws('-', lpad(l_orderkey::VARCHAR, 12, '0'), l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line, * FROM lineitem)
+        SELECT line, row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, line) AS rank, l_returnflag FROM l""",
     "latest_per_key": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "first_seen": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text",
     "distinct_fields": "SELECT DISTINCT lang, source FROM documents",

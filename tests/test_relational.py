@@ -102,3 +102,14 @@ def test_tombstones_twice(spark):
 def test_evidence_union(spark):
     df = spark.createDataFrame([("a", ["e2", "e1"]), ("a", ["e1"]), ("b", [])], "k string, e array<string>")
     assert dict(map(tuple, R.collect_evidence(df, ["k"], "e").collect())) == {"a": ["e1", "e2"], "b": []}
+
+
+def test_whole_ranking_with_other_columns(spark):
+    """Far more rows than a range exchange samples, and columns that only one side of the plan would need."""
+    rows = spark.range(0, 300_000, 1, 16).select("id", (F.col("id") * 7919 % 300_007).alias("score"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("payload"))
+    ranked = R.rank_records(rows, "score", "id")
+    order = ranked.orderBy("rank").select("rank", "score", "id", "payload").toPandas()
+    assert order["rank"].tolist() == list(range(1, 300_001))
+    want = sorted(((-(i * 7919 % 300_007), i) for i in range(300_000)))
+    assert order["id"].tolist() == [i for _, i in want]
+    assert (order["payload"] == "row " + order["id"].astype(str)).all()
