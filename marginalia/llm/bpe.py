@@ -20,10 +20,10 @@ from .chunks import ChunkTable, Numbered
 from .common import alone, documents, hold, slices
 
 #: Bytes of the pieces that one recursive query contracts, and of the longest piece that it is given.
-QUERY_BYTES = 200_000
+QUERY_BYTES = 100_000
 LONG_PIECE = 256
-#: Distinct pieces, and chunks, that a worker keeps before it starts anew.
-KEPT_PIECES = 350_000
+#: Distinct pieces, and chunks, that a worker keeps before it drops the later half of them.
+KEPT_PIECES = 150_000
 #: What DuckDB may use in a worker.
 MEMORY = "150MB"
 
@@ -45,7 +45,7 @@ WITH RECURSIVE state(word, tokens, done) AS (
 SELECT word, tokens FROM state WHERE done ORDER BY word
 """
 DECODE = """
-SELECT t.chunk, string_agg(v.hex, '' ORDER BY t.place) AS hex
+SELECT t.chunk, from_hex(string_agg(v.hex, '' ORDER BY t.place)) AS bytes
 FROM tokens t JOIN vocabulary v ON v.rank = t.token GROUP BY t.chunk ORDER BY t.chunk
 """
 
@@ -89,11 +89,13 @@ class Bpe:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _query(self, words: list[bytes]) -> list[list[int]]:
+    def _query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each)."""
         flat = self.single[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
         self._table("pieces", pa.table({"word": np.arange(len(words)), "tokens": pa.ListArray.from_arrays(ends, flat)}))
-        return self.db.sql(ENCODE).to_arrow_table().column("tokens").to_pylist()
+        tokens = self.db.sql(ENCODE).to_arrow_table().column("tokens").combine_chunks()
+        return tokens.flatten().to_numpy(zero_copy_only=False), np.diff(tokens.offsets.to_numpy())
 
     def _contract(self, word: bytes) -> list[int]:
         """A long piece: the cheapest pair, at its leftmost place or, where that comes to the same, at all places at once."""
@@ -119,35 +121,32 @@ class Bpe:
     def _fill(self) -> None:
         """Ids of the pieces that have got numbers since the last time."""
         new = list(islice(reversed(self.number), len(self.number) - len(self.sizes)))[::-1]
-        found: list[list[int] | None] = [None] * len(new)
-        short: list[tuple[int, bytes]] = []
-        for i, piece in enumerate(new):
-            word = piece.encode("utf-8", "surrogatepass")
-            rank = self.ranks.get(word)
-            if rank is not None:
-                found[i] = [rank]
-            elif len(word) > LONG_PIECE:
-                found[i] = self._contract(word)
-            else:
-                short.append((i, word))
-        start = total = 0
-        for i in range(len(short) + 1):
-            if i == len(short) or total > QUERY_BYTES:
-                if start < i:
-                    for (k, _), tokens in zip(short[start:i], self._query([w for _, w in short[start:i]])):
-                        found[k] = tokens
-                start, total = i, 0
-            if i < len(short):
-                total += len(short[i][1])
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        words = [piece.encode("utf-8", "surrogatepass") for piece in new]
+        known = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        parts = [(np.flatnonzero(known >= 0), known[known >= 0], np.ones(int((known >= 0).sum()), np.int64))]
+        for i in np.flatnonzero((known < 0) & (lengths > LONG_PIECE)).tolist():
+            tokens = np.array(self._contract(words[i]), np.int64)
+            parts.append((np.array([i]), tokens, np.array([len(tokens)])))
+        short = np.flatnonzero((known < 0) & (lengths <= LONG_PIECE))
+        for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // QUERY_BYTES)) + 1):
+            if len(some):
+                parts.append((some, *self._query([words[i] for i in some.tolist()])))
+        sizes = np.zeros(len(new), np.int64)
+        for at, _, own in parts:
+            sizes[at] = own
+        starts = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        for at, flat, own in parts:
+            ids[np.repeat(starts[at] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
+        self.starts = np.append(self.starts, len(self.ids) + starts)
         self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str], sure: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each); each match of the pattern is a piece of its own."""
         if len(self.number) > KEPT_PIECES:
-            self._forget()
+            self._halve()
         number, split = self.number.__getitem__, self.pattern.findall
         lists = [[*map(number, split(x))] for x in texts]
         self._fill()
@@ -158,6 +157,12 @@ class Bpe:
         total = np.append(0, ends)[np.cumsum([len(x) for x in lists])] if lists else np.zeros(0, np.int64)
         return self.ids[at], np.diff(np.append(0, total))
 
+    def _halve(self) -> None:
+        n = len(self.number) // 2
+        self.number = Numbered(islice(self.number.items(), n))
+        self.ids = self.ids[: int(self.starts[n])].copy()
+        self.starts, self.sizes = self.starts[:n].copy(), self.sizes[:n].copy()
+
     def _forget(self) -> None:
         self.number = Numbered()
         self.starts = self.sizes = np.zeros(0, np.int64)
@@ -173,8 +178,8 @@ class Bpe:
             part = flat[ends[a] : ends[b]]
             self._table("tokens", pa.table({"chunk": np.repeat(np.arange(a, b), sizes[a:b]), "place": np.arange(len(part)), "token": part.astype(np.int32)}))
             rows = self.db.sql(DECODE).to_arrow_table()
-            for chunk, text in zip(rows.column("chunk").to_pylist(), rows.column("hex").to_pylist()):
-                out[chunk] = bytes.fromhex(text)
+            for chunk, text in zip(rows.column("chunk").to_pylist(), rows.column("bytes").to_pylist()):
+                out[chunk] = text
         return out
 
 
@@ -195,7 +200,7 @@ def _encode(path: str, pattern: str, with_ids: bool):
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 numbers = table.numbers([t or "" for t in part.column(1).to_pylist()])
-                decoded = table.decoded  # after numbers(), which may begin a new one
+                decoded = table.decoded  # after numbers(), which may drop some
                 if len(decoded) < table.count:
                     done = len(decoded)
                     fresh = table.ids[table.starts[done] :] if done < len(table.starts) else table.ids[:0]

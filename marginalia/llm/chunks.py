@@ -8,7 +8,7 @@ from itertools import islice
 
 import numpy as np
 
-#: Distinct chunks that a worker keeps before it starts anew.
+#: Distinct chunks that a worker keeps before it drops the later half of them; those that were met first are the most frequent.
 KEPT_CHUNKS = 800_000
 #: A space after something that is no white space always begins a token.
 _SURE = re.compile(r"(?<=\S)(?= )")
@@ -44,6 +44,13 @@ class ChunkTable:
         self.unsure = np.zeros(0, bool)
         self.decoded: list[bytes] = []  # of the first chunks, for callers that decode; goes with them
 
+    def halve(self) -> None:
+        n = self.count // 2
+        self.known, self.count = Numbered(islice(self.known.items(), n)), n
+        self.ids = self.ids[: int(self.starts[n])].copy()
+        self.starts, self.sizes, self.unsure = self.starts[:n].copy(), self.sizes[:n].copy(), self.unsure[:n].copy()
+        del self.decoded[n:]
+
     def _fill(self) -> None:
         """Encode the chunks that have got numbers since the last time."""
         new = list(islice(reversed(self.known), len(self.known) - self.count))[::-1]
@@ -62,7 +69,7 @@ class ChunkTable:
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's chunks, in order."""
         if self.count > self.kept:
-            self.clear()
+            self.halve()
         number, found = self.known.__getitem__, []
         for text in texts:
             parts = text.replace("\n", " \n").split(" ")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,13 +75,12 @@ def hold(name: str, drop: Callable[[], None]) -> None:
 
 
 def alone(name: str) -> None:
-    """Drop what other operators keep in this worker: workers outlive jobs, and their memory is an executor's."""
-    others = [x for x in _held if x != name]
-    for other in others:
+    """Drop what other operators keep in this worker, and what is freed: workers outlive jobs, and their memory is an executor's."""
+    for other in [x for x in _held if x != name]:
         _held.pop(other)()
-    if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system, where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_or_empty(column: str):
