@@ -20,6 +20,8 @@ from .common import alone, documents, hold, shared_dir, slices
 BLOCK = 128
 PERCENTILE = 0.9
 END_ID = 2
+#: Ids of a page, about: documents in a row whose ids share blocks. A longer document is a page of its own at most.
+PAGE_IDS = 1 << 16
 #: Chunks that one call of the tokenizer encodes.
 JOINED = 100
 
@@ -192,11 +194,16 @@ def _write(path: str, end_id: int, percentile: float):
                         runs[i] = np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
                 sizes = np.array([len(r) + 1 for r in runs], np.int64)
                 flat = np.concatenate([x for r in runs for x in (r, np.array([end_id], np.uint32))])
-                payloads, index = encode_blocks(flat, sizes, percentile)
-                begin = before + np.cumsum(sizes) - sizes
+                ahead = np.cumsum(sizes) - sizes
+                first = np.flatnonzero(np.diff(ahead // PAGE_IDS, prepend=-1))  # documents that begin a page
+                ends = np.append(first[1:], len(sizes))
+                totals = np.add.reduceat(sizes, first)
+                payloads, index = encode_blocks(flat, totals, percentile)
+                begin = before + ahead[first]
                 before += int(sizes.sum())
-                columns = [pa.array(np.full(len(sizes), shard)), part.column(0), pa.array(begin), pa.array(sizes), pa.array(index, pa.binary()), pa.array(payloads, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "begin", "n_tokens", "block_starts", "payload"])
+                listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+                columns = [pa.array(np.full(len(first), shard)), pa.array(begin), pa.array(totals), listed(part.column(0)), listed(pa.array(sizes)), pa.array(index, pa.binary()), pa.array(payloads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "begin", "n_ids", "doc_ids", "sizes", "block_starts", "payload"])
 
     return written
 
@@ -205,24 +212,28 @@ def write_token_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_co
     """Encode every whole text and write the ids to `out` in ascending doc_id order (null first).
 
     Texts are dealt by ranges of doc_id and sorted before they are encoded, so one file holds one range: that is the
-    one shuffle. A file is Parquet; a row is a document with its blocks, where each block begins, and how many ids
-    precede it in its shard, so a reader can seek a document by doc_id and a block by its start.
+    one shuffle. A file is Parquet; a row is a page of documents in a row, whose ids share blocks: their doc_ids and sizes,
+    the blocks, where each block begins, and how many ids precede the page in its shard, so a reader can seek a document
+    by doc_id and a block by its start.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    kinds = "shard long, doc_id long, begin long, n_tokens long, block_starts binary, payload binary"
+    kinds = "shard long, begin long, n_ids long, doc_ids array<long>, sizes array<long>, block_starts binary, payload binary"
     dealt.mapInArrow(_write(path or default_path(), end_id, percentile), kinds).write.option("compression", "none").parquet(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, stop in slices(batch.column(5), 2 << 20):
+        for start, stop in slices(batch.column(6), 2 << 20):
             part = batch.slice(start, stop - start)
-            sizes = part.column(3).to_numpy()
-            flat = decode_blocks(part.column(5).to_pylist(), part.column(4).to_pylist(), sizes).astype("<u4")
+            totals = part.column(2).to_numpy()
+            flat = decode_blocks(part.column(6).to_pylist(), part.column(5).to_pylist(), totals).astype("<u4")
+            sizes = part.column(4).flatten().to_numpy()
             ends = np.cumsum(sizes)
+            page = np.searchsorted(np.cumsum(totals), ends, side="left")
+            begin = part.column(1).to_numpy()[page] + ends - sizes - (np.cumsum(totals) - totals)[page]
             runs = [flat[b - n : b].tobytes() for b, n in zip(ends, sizes)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(runs, pa.binary())], ["shard", "doc_id", "begin", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[page]), part.column(3).flatten(), pa.array(begin), pa.array(sizes), pa.array(runs, pa.binary())], ["shard", "doc_id", "begin", "n_tokens", "ids"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +248,10 @@ def read_token_files(spark, path: str, summed: bool = False) -> DataFrame:
     A shard's first position is the sum of the shards before it: one row a shard, which is broadcast.
     """
     files = spark.read.parquet(path)
-    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     offsets = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     last = "ids_crc32 long" if summed else "ids binary"
-    rows = files.select("shard", "doc_id", "begin", "n_tokens", "block_starts", "payload").mapInArrow(_summed if summed else _read, f"shard long, doc_id long, begin long, n_tokens long, {last}")
+    rows = files.select("shard", "begin", "n_ids", "doc_ids", "sizes", "block_starts", "payload").mapInArrow(_summed if summed else _read, f"shard long, doc_id long, begin long, n_tokens long, {last}")
     return rows.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("begin") + F.col("offset")).alias("start"), "n_tokens", last.split()[0])
 
 

@@ -115,6 +115,19 @@ def test_bpe_and_token_files(spark, docs):
     assert order(tuple(r) for r in tokenfile.token_files(df).collect()) == order(want3)
 
 
+def test_token_pages(spark, tmp_path, monkeypatch):
+    """Short documents share pages and blocks, a long one has its own; starts count all ids before a document."""
+    rows = [(i, "word " * n, None, None, None) for i, n in enumerate([1, 0, 3, 70_000, 2, 5] + [1] * 300)] + [(None, "null", None, None, None)]
+    tokenfile.write_token_files(frame(spark, rows, 2), str(tmp_path / "files"))
+    pages = spark.read.parquet(str(tmp_path / "files")).collect()
+    assert sum(p.n_ids for p in pages) == sum(sum(p.sizes) for p in pages) and len(pages) < 20
+    assert all(len(p.block_starts) == 4 * -(-p.n_ids // tokenfile.BLOCK) for p in pages)
+    found = sorted(tokenfile.read_token_files(spark, str(tmp_path / "files")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, *range(306)]
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+    assert all(len(r.ids) == 4 * r.n_tokens and r.ids[-4:] == (2).to_bytes(4, "little") for r in found)
+
+
 def test_chunks_join_to_the_text():
     def encode(chunks, sure):
         joined = "".join(chunks)
