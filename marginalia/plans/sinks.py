@@ -253,8 +253,8 @@ def curation_fingerprint(spark, d):
 
 def stage_fingerprint(spark, d):
     """Of two stages: the same rows give another fingerprint in another generation."""
-    nation = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    return C.stage_fingerprint(nation, "identity", "g1").unionByName(C.stage_fingerprint(nation, "identity", "g2")).unionByName(C.stage_fingerprint(_t(spark, d, "region").select("r_regionkey", "r_name"), "claims", "g1"))
+    customer, supplier = _t(spark, d, "customer").select("c_custkey", "c_name"), _t(spark, d, "supplier").select("s_suppkey", "s_name")
+    return C.stage_fingerprint(customer, "identity", "g1").unionByName(C.stage_fingerprint(customer, "identity", "g2")).unionByName(C.stage_fingerprint(supplier, "claims", "g1"))
 
 
 def collect_evidence(spark, d):
@@ -332,8 +332,8 @@ def _stage(stage: str, generation: str, rows: str) -> str:
     return f"SELECT '{stage}' AS stage, '{stage}:' || sha256('{generation}:' || fingerprint) AS fingerprint FROM (WITH {_digest(rows)} SELECT * FROM x3)"
 
 
-_NATION = "SELECT sha256(concat_ws(chr(31), n_name, n_nationkey::VARCHAR)) AS h FROM nation"
-_REGION = "SELECT sha256(concat_ws(chr(31), r_name, r_regionkey::VARCHAR)) AS h FROM region"
+_CUSTOMER = "SELECT sha256(concat_ws(chr(31), c_custkey::VARCHAR, c_name)) AS h FROM customer"
+_SUPPLIER = "SELECT sha256(concat_ws(chr(31), s_name, s_suppkey::VARCHAR)) AS h FROM supplier"
 
 ORACLE = {
     "active_sections": f"""SELECT doc_id AS document_id, 'v' || doc_id || '-' || part AS logical_id, part AS title, md5(part || '/' || source) AS content_md5 FROM documents, (VALUES ('a'), ('b')) p(part) WHERE doc_id % 3 <> 0 AND doc_id NOT IN ({_DEL})
@@ -377,7 +377,7 @@ ORACLE = {
     "union_lists": """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' WHEN c_acctbal < 0 THEN 'debt' ELSE 'nation' END AS list FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_nationkey = 3""",
     "curation_fingerprint": "WITH " + _digest("""SELECT sha256(concat_ws(chr(31), 'entity', n_name, n_nationkey::VARCHAR, n_regionkey::VARCHAR)) AS h FROM nation UNION ALL SELECT sha256(concat_ws(chr(31), 'alias', r_name, r_regionkey::VARCHAR)) FROM region
         UNION ALL SELECT sha256(concat_ws(chr(31), 'operation', c_custkey::VARCHAR, c_name)) FROM customer""") + " SELECT fingerprint FROM x3",
-    "stage_fingerprint": " UNION ALL ".join([_stage("identity", "g1", _NATION), _stage("identity", "g2", _NATION), _stage("claims", "g1", _REGION)]),
+    "stage_fingerprint": " UNION ALL ".join([_stage("identity", "g1", _CUSTOMER), _stage("identity", "g2", _CUSTOMER), _stage("claims", "g1", _SUPPLIER)]),
     "collect_evidence": """WITH e AS (SELECT l_suppkey, 'p' || l_partkey AS id FROM lineitem UNION SELECT l_suppkey, 'o' || (l_orderkey % 10) FROM lineitem)
         SELECT l_suppkey, count(*)::INT AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM e GROUP BY 1""",
     "stage_cost": "SELECT user_id AS workspace_id, event_type AS stage, round(coalesce(sum(value) FILTER (event_type <> 'error'), 0), 4) AS cost FROM events GROUP BY 1, 2",

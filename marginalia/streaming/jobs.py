@@ -94,19 +94,17 @@ def run_states(stream: DataFrame, stale: str = "10 minutes", late: str = "10 min
             state.remove()
             yield pd.DataFrame({"run_id": [key[0]], "state": ["interrupted"], "at": [pd.Timestamp(at + wait, unit="ms")]})
             return
-        rows = pd.concat(list(parts)).sort_values("at")
-        out = []
-        for name, when in zip(rows["state"], rows["at"]):
-            ms = int(when.timestamp() * 1000)
-            if ms >= at and name != last:
-                out.append((key[0], name, when))
-            if ms >= at:
-                last, at = name, ms
+        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
+        ms = rows["at"].astype("datetime64[ms]").astype("int64")
+        rows, ms = rows[ms >= at], ms[ms >= at]  # news older than the last is none
+        if len(rows):
+            changed = rows[rows["state"] != rows["state"].shift(fill_value=last)]
+            last, at = rows["state"].iloc[-1], int(ms.iloc[-1])
+            if len(changed):
+                yield pd.DataFrame({"run_id": key[0], "state": changed["state"].to_numpy(), "at": changed["at"].to_numpy()})
         state.update((last, at))
         if last == "running":
             state.setTimeoutTimestamp(max(at + wait, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "state", "at"])
 
     kind = stream.schema["run_id"].dataType.simpleString()
     watched = stream.withWatermark("at", late)
