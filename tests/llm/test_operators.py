@@ -172,6 +172,53 @@ def test_quality_model(spark, docs, labels):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_model_by_hand(spark, docs, labels):
+    """Every score from one matrix of all labelled rows, with the isotonic fit by its min-max formula."""
+    twice = labels.unionByName(labels.where("doc_id < 20"))  # repeated labels count each time
+    marks = {}
+    for r in twice.collect():
+        marks.setdefault(r.doc_id, []).append(r.quality)
+    stats = [(i, np.array(quality_model.statistics((t or "").encode()))) for i, t, *_ in ROWS]
+    learned = [(x, q) for i, x in stats if zlib.crc32(str(i).encode()) % 5 for q in marks.get(i, [])]
+    x, y = np.array([a for a, _ in learned]), np.array([float(q) for _, q in learned])
+    spread = x.std(0)
+    model = quality_model.Model(x.mean(0), np.where(spread > 1e-9, spread, 1.0), quality_model.FEATURES, quality_model.SEED, quality_model.WIDTH)
+    z = model.expand(x)
+    model.weights = np.linalg.solve(z.T @ z + quality_model.RIDGE * len(x) * np.eye(z.shape[1]), z.T @ y)
+    edges = np.linspace(-0.5, 1.5, quality_model.BINS + 1)
+    bins = np.clip(np.searchsorted(edges, model.raw(x)) - 1, 0, quality_model.BINS - 1)
+    used = np.unique(bins)
+    mean = lambda a, b: y[(bins >= a) & (bins <= b)].mean()
+    fit = np.array([max(min(mean(a, b) for b in used if b >= i) for a in used if a <= i) for i in used])
+    at, count = (edges[used] + edges[used + 1]) / 2, np.array([(bins == i).sum() for i in used])
+    points = [(np.average(at[np.isclose(fit, v)], weights=count[np.isclose(fit, v)]), v) for v in sorted(set(np.round(fit, 12)))]
+    model.points = tuple(np.array(p) for p in zip(*points))
+    want = sorted((i, round(float(s), 5)) for (i, _), s in zip(stats, model.score(np.array([v for _, v in stats]))))
+    got = sorted((r.doc_id, round(r.score, 5)) for r in quality_model.classify_quality(docs, twice).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-3)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    """Rows without an id, repeated rows and ids of two texts get a row each, whatever else the table holds."""
+    text = "the house over the night and nothing else that of it"
+    kinds = "doc_id long, text string, lang string, source string, label string, score double, digest string, size long, bucket int, inclusion double, same string"
+    rows = [(i, t, "en", s, "x", 0.5, "d", 7, 1, 0.1, "s") for i, t, s in [(None, text, "a"), (None, None, None), (1, text, "a"), (1, text, "a"), (1, "another text of id one", "b"), (2, "", None)]]
+    docs = spark.createDataFrame(rows, kinds)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    odd = exact.odd_ids()
+    made = {
+        "repeats": repeats.remove_repeats(docs, 40, 8), "bpe": bpe.encode_documents(docs), "files": tokenfile.token_files(docs), "model": quality_model.classify_quality(docs, labels), "exact": exact.dedup_batch(docs, odd),
+        "mix": mixing.mix_sources(docs), "rules": rules.quality_rules(docs, labels), "languages": langid.identify_languages(docs), "licenses": licenses.scan_licenses(docs, licenses.digests(spark)),
+    }
+    for name, found in made.items():
+        assert sorted(str(r.doc_id) for r in found.select("doc_id").collect()) == ["1", "1", "1", "2", "None", "None"], name
+    assert sorted(r.doc_id for r in minhash.near_duplicates(docs).collect()) == [1, 1, 1, 2]
+    assert langid.with_language(docs, 0.0).columns == docs.columns
+    kept = {(r.doc_id, r.text_sha256[:4]): (r.group_size, r.kept) for r in made["exact"].collect()}
+    assert kept[(1, hashlib.sha256(text.encode()).hexdigest()[:4])] == (3, True) and kept[(None, hashlib.sha256(text.encode()).hexdigest()[:4])] == (3, False)
+
+
 def test_quality_model_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
