@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, documents, slices, text_or_empty
+from .common import as_bytes, cut, cut_parquet, documents, slices, text_or_empty
 
 #: Bytes of the shortest repeat, and of the grams of which each window of that length selects one.
 LENGTH = 200
@@ -106,7 +106,7 @@ def _listed(lists: pa.Array) -> np.ndarray:
     return np.stack([own, lists.flatten().to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def _contexts(length: int, gram: int, width: int):
+def _contexts(length: int, gram: int, width: int, groups: bool):
     names = ["gram", "key", "tag", "start", "size", "context", "hot", "also"]
     member = pa.struct([("key", pa.int64()), ("tag", pa.int64()), ("start", pa.int64())])
 
@@ -142,20 +142,20 @@ def _contexts(length: int, gram: int, width: int):
                 starts = np.cumsum([0, *map(len, texts)])
                 froms, untils = windows[lows], windows[highs] + length
                 strings = [whole[a:b] for a, b in zip(froms.tolist(), untils.tolist())]
-                # equal contexts of a slice are sent once, with the places of the others
+                # equal contexts of a slice are sent once; where groups are asked for, with the places of the others
                 seen: dict[bytes, int] = {}
                 one = np.array([seen.setdefault(x, i) for i, x in enumerate(strings)])
                 sent = one == np.arange(len(one))
                 doc = owner[lows]
                 crowd = np.bincount(one, minlength=len(one))[one] > 1
-                known = np.flatnonzero(crowd & (bucket >= 0))
-                if len(known):  # those of crowded grams are repeats as wholes: runs, dealt by document, since no gram has to meet them
+                known = np.flatnonzero(crowd & ((bucket >= 0) | (not groups)))
+                if len(known):  # repeats as wholes: runs, dealt by document, since no gram has to meet them
                     run = np.flatnonzero(np.diff(doc[known], prepend=-1) | (froms[known] > np.append(-1, untils[known][:-1])))
                     until = np.append(untils[known][run[1:] - 1], untils[known[-1]])
                     of = doc[known][run]
                     columns = [keys[of], keys[of], tags[of], froms[known][run] - starts[of], until - froms[known][run]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(run), pa.binary()), pa.array(np.zeros(len(run), bool)), pa.nulls(len(run), pa.list_(member))], names)
-                rest = np.flatnonzero(~sent & (bucket < 0))
+                rest = np.flatnonzero(~sent & (bucket < 0) & groups)
                 rest = rest[np.argsort(one[rest], kind="stable")]
                 ends = np.searchsorted(one[rest], np.flatnonzero(sent), side="right")
                 places = pa.StructArray.from_arrays([pa.array(x) for x in (keys[doc[rest]], tags[doc[rest]], froms[rest] - starts[doc[rest]])], fields=list(member))
@@ -326,7 +326,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
     return judged.where("a = b").select("key", "tag", "start", "size").unionByName(single)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_occurrences: int = HOT_OCCURRENCES, width: int = WIDTH) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_occurrences: int = HOT_OCCURRENCES, width: int = WIDTH, groups: bool = True) -> DataFrame:
     """The maximal repeats of `length` bytes or more across and within documents: groups with all their occurrences.
 
     Returns key (doc_id, null as the least long), tag (a hash of the text), start, size, and the repeat (a hash of its
@@ -337,6 +337,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     occurrences. Equal contexts of a task's slice are sent once, with the places of the others, and count as all of them.
     A gram of over `hot_occurrences` occurrences is too much for one task: its contexts are cut finer and counted, and
     their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
+
+    Without `groups`, for callers that need spans only, equal contexts of a slice are given as runs without a repeat id;
+    one of them still meets those of other slices in the tree, so the bytes that are covered are the same.
     """
     plain = keyed(docs, id_col, text_col)
     chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, times long")
@@ -345,9 +348,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     wanted = chosen.select("gram", "key").join(common, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("crowded"), F.col("gram"))).alias("crowded"))
     spare = copies(docs, id_col, text_col).where("key <> first").groupBy("key").agg(F.collect_set("tag").alias("spare"))
     wanted = wanted.join(spare, "key", "left").select("key", "grams", "spare", "crowded")
-    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram, width), "gram long, key long, tag long, start long, size long, context binary, hot boolean, also array<struct<key:long,tag:long,start:long>>")
+    contexts = plain.join(wanted, "key", "left").mapInArrow(_contexts(length, gram, width, groups), "gram long, key long, tag long, start long, size long, context binary, hot boolean, also array<struct<key:long,tag:long,start:long>>")
     crowd = None
     if not common.where("crowded").isEmpty():
+        contexts = cut_parquet(contexts)  # read by several branches
         crowd = _crowded(contexts.where("hot"), length)
         contexts = contexts.where("not hot")
     met = contexts.drop("hot").repartition("gram").sortWithinPartitions("gram")
