@@ -339,11 +339,12 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     their rows have no repeat id. Copies of a whole text are left to the caller: only one of them is read.
 
     Without `groups`, for callers that need spans only, equal contexts of a slice are given as runs without a repeat id;
-    one of them still meets those of other slices in the tree, so the bytes that are covered are the same.
+    one of them still meets those of other slices in the tree, so the bytes that are covered are the same. A document
+    then counts as one occurrence of a gram, since it sends most of its contexts of one gram once.
     """
     plain = keyed(docs, id_col, text_col)
     chosen = plain.mapInArrow(_select(length, gram), "gram long, key long, tag long, times long")
-    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("times").alias("most"), F.sum("times").alias("n"))
+    seen = chosen.groupBy("gram").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("times").alias("most"), (F.sum("times") if groups else F.count(F.lit(1))).alias("n"))
     common = cut(seen.where("a <> b or most > 1").select("gram", (F.col("n") > hot_occurrences).alias("crowded")))
     wanted = chosen.select("gram", "key").join(common, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("crowded"), F.col("gram"))).alias("crowded"))
     spare = copies(docs, id_col, text_col).where("key <> first").groupBy("key").agg(F.collect_set("tag").alias("spare"))
@@ -411,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     each other, and with another text they are documents of their own. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    spans = repeated_strings(docs, length, gram, id_col, text_col, hot_occurrences)
+    spans = repeated_strings(docs, length, gram, id_col, text_col, hot_occurrences, groups=False)
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("tag", "start", "size")).alias("spans"))
     whole = copies(docs, id_col, text_col).where(F.col("size") >= length).groupBy("key").agg(F.collect_set("tag").alias("copied"))
     joined = keyed(docs, id_col, text_col).join(spans.join(whole, "key", "full"), "key", "left")
