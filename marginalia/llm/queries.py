@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, langid, licenses, minhash, mixing, quality_model, repeats, rules, tokenfile
+from . import ann, bpe, exact, langid, licenses, manifest, minhash, mixing, quality_model, repeats, rules, tokenfile, trie
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_language_id": langid.op9_language_id,
         "op10_license_digests": licenses.op10_license_digests,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_rotated_bits": ann.op12_rotated_bits,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.ORACLE, "op7_source_mix": mixing.ORACLE, "op10_license_digests": licenses.oracle()}
+    return {
+        "op6_exact_dedup": exact.ORACLE,
+        "op7_source_mix": mixing.ORACLE,
+        "op10_license_digests": licenses.oracle(),
+        "op11_prefix_trie": trie.ORACLE,
+        "op12_rotated_bits": ann.ORACLE,
+        "op13_merkle_manifest": manifest.oracle(),
+    }
