@@ -135,21 +135,6 @@ def advance_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumns({"stage": F.when(asked & F.coalesce(ok, F.lit(False)), F.col("to_stage")).otherwise(F.col("stage")), "violation": asked & ~F.coalesce(ok, F.lit(False))}).drop("to_stage", "evidence_count", "reviewer")
 
 
-def merge_entities(entities: DataFrame, aliases: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(entities, aliases, mentions, operations) after merges (source_id, target_id) of entities of one type.
-
-    A merged entity is superseded and its aliases and mentions move. Merges across types, or of what is not there, are
-    left out; operations tell which were done.
-    """
-    e = entities.select("entity_id", "entity_type")
-    kinds = merges.join(e.toDF("source_id", "_a"), "source_id", "left").join(e.toDF("target_id", "_b"), "target_id", "left")
-    operations = kinds.select("source_id", "target_id", F.coalesce((F.col("_a") == F.col("_b")) & (F.col("source_id") != F.col("target_id")), F.lit(False)).alias("applied"))
-    moves = operations.where("applied").select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to"))
-    move = lambda df: df.join(moves, df["entity_id"] == F.col("_from"), "left").withColumn("entity_id", F.coalesce("_to", "entity_id")).drop("_from", "_to")
-    marked = entities.join(moves, entities["entity_id"] == F.col("_from"), "left").withColumn("status", F.when(F.col("_from").isNotNull(), "superseded").otherwise(F.col("status"))).drop("_from", "_to")
-    return marked, move(aliases).distinct(), move(mentions), operations
-
-
 def split_entities(entities: DataFrame, mentions: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, mentions, checks): mentions of a split entity go where assignments (entity_id, mention_id, new_entity_id) say.
 
@@ -176,11 +161,6 @@ def apply_alias_ops(aliases: DataFrame, operations: DataFrame) -> DataFrame:
     return joined.select("entity_id", "value", F.coalesce(F.col("action") == "add", F.col("active")).alias("active"))
 
 
-def identity_history(operations: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Operations in their order within each entity."""
-    return operations.withColumn("step", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
-
-
 def entity_catalog(entities: DataFrame, aliases: DataFrame, generation: str | None = None) -> DataFrame:
     """Entities with their active aliases in order, of one generation or of all."""
     held = entities.where(F.col("generation_id") == generation) if generation else entities

@@ -99,12 +99,7 @@ def artifact_lineage(spark, d):
     return found.select("artifact_id", F.concat_ws(",", F.transform("logical_ids", lambda x: x.cast("string"))).alias("logical_ids"))
 
 
-def identity_history(spark, d):
-    ops = _t(spark, d, "events").where("event_type in ('click', 'purchase')").select("user_id", "event_id", "event_type")
-    return K.identity_history(ops, ["user_id"], "event_id").select("user_id", "event_id", "step")
-
-
-QUERIES = {f.__name__: f for f in (active_corpus, scan_population, scan_populations, classify_files, graph_artifacts, parse_extractions, orphan_refs, nodes_per_generation, plan_reindex, advance_claims, artifact_lineage, identity_history)}
+QUERIES = {f.__name__: f for f in (active_corpus, scan_population, scan_populations, classify_files, graph_artifacts, parse_extractions, orphan_refs, nodes_per_generation, plan_reindex, advance_claims, artifact_lineage)}
 
 ORACLE = {
     "active_corpus": "SELECT source AS workspace_id, doc_id AS document_id FROM documents WHERE doc_id % 3 = 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
@@ -125,5 +120,4 @@ count(*) OVER (PARTITION BY p_brand) AS enumerated, true AS complete FROM part""
         SELECT o_orderkey AS claim_id, CASE WHEN p THEN CASE WHEN ok THEN 'verified' ELSE 'supported' END WHEN ok THEN 'supported' ELSE 'extracted' END AS stage, NOT ok AS violation FROM o""",
     "artifact_lineage": """SELECT p_brand AS artifact_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS logical_ids FROM
         (SELECT DISTINCT p_brand, s_nationkey AS k FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1""",
-    "identity_history": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events WHERE event_type IN ('click', 'purchase')",
 }

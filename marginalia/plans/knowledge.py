@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import evidence as E
 from marginalia.operators import graph as G
+from marginalia.operators import identity as I
 from marginalia.operators import knowledge as K
 from marginalia.operators import logs as L
 
@@ -119,20 +120,41 @@ def link_mentions(spark, d):
     return K.link_mentions(part.select(F.col("p_partkey").alias("mention_id"), F.upper("p_name").alias("text")), catalog, True)
 
 
+def _merged_parts(spark, d):
+    """Parts in two types, and merges among them: into the part of half the key, some back from there (cycles), some to a
+    third of the key as well (double targets), some to what is not there, in an order that is not that of the keys."""
+    part = _t(spark, d, "part").withColumn("entity_type", (F.col("p_size") % 2).cast("string"))
+    k = F.col("p_partkey").cast("long")
+    one = lambda n, chosen, s, t: part.where(chosen).select((k * 4 + n).alias("x"), s.alias("source_id"), t.cast("long").alias("target_id"))
+    half, third = F.floor(k / 2), F.floor(k / 3)
+    merges = one(0, F.lit(True), k, half).unionByName(one(1, k % 5 == 0, half, k)).unionByName(one(2, k % 7 == 0, k, third)).unionByName(one(3, k % 50 == 0, k, -k))
+    return part.select(k.alias("entity_id"), "entity_type", F.lit("active").alias("status"), "p_brand"), merges.select((F.col("x") * 7919 % 2147483647).alias("seq"), "source_id", "target_id")
+
+
 def merge_entities(spark, d):
-    """Parts of one name and type merged into the first of them."""
-    part = _t(spark, d, "part")
-    entities = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("entity_type"), F.lit("active").alias("status"))
-    first = part.groupBy("p_name").agg(F.min("p_partkey").alias("target_id"))
-    merges = part.join(first, "p_name").where("p_partkey <> target_id").select(F.col("p_partkey").alias("source_id"), "target_id")
-    names = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("value"))
+    """All merges of parts, with aliases and mentions counted where they ended up."""
+    entities, merges = _merged_parts(spark, d)
     mentions = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("mention_id"))
-    done, aliases, moved, operations = K.merge_entities(entities, names, mentions, merges)
+    done, aliases, moved, _ = I.merge_entities(entities.drop("p_brand"), entities.select("entity_id", F.col("p_brand").alias("value")), mentions, merges)
     n = moved.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_mentions"))
     a = aliases.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_aliases"))
     return done.select("entity_id", "status").join(n, "entity_id", "left").join(a, "entity_id", "left")
 
 
+def identity_operations(spark, d):
+    """What each merge of parts did, and which part lived on for its target then."""
+    return I.replay_merges(*_merged_parts(spark, d))[1]
+
+
+def identity_as_of(spark, d):
+    """Which part each lived on as after the operations in the first half of the order."""
+    return I.replay_merges(*_merged_parts(spark, d), as_of=1 << 30)[0]
+
+
+def identity_history(spark, d):
+    return I.merge_history(*_merged_parts(spark, d))
+
+
 def apply_alias_ops(spark, d):
     events = _t(spark, d, "events")
     start = events.select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("value")).distinct().withColumn("active", F.lit(True))
@@ -259,7 +281,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         traverse_out, traverse_in, traverse_multi_hop, reached, resolve_endpoints, event_paths, claim_conflicts, contested_claims, conflict_report, ambiguous_names,
-        identity_candidates, resolve_mentions, build_entities, link_mentions, merge_entities, apply_alias_ops, align_spans, validate_spans, rank_citations, reconcile_items,
+        identity_candidates, resolve_mentions, build_entities, link_mentions, merge_entities, identity_operations, identity_as_of, identity_history, apply_alias_ops, align_spans, validate_spans, rank_citations, reconcile_items,
         completeness, boundary_issues, price_usage, usage_totals, daily_budget, runs_by_state, run_states, memory_window, conversation_titles, carry_focus, tag_queries,
         catalog_overview, generation_ready,
     )
@@ -281,6 +303,19 @@ def _re2(pattern: str) -> str:
     return pattern.replace(L._B, r"(?:^|[^\p{L}\p{N}_])").replace(L._E, r"(?:$|[^\p{L}\p{N}_])").replace("'", "''")
 
 
+#: The merges of _merged_parts replayed one by one: `state` has all parts after each step, `done` what each merge did.
+_REPLAY = """WITH RECURSIVE raw AS (SELECT p_partkey * 4 AS x, p_partkey AS s, p_partkey // 2 AS t FROM part UNION ALL SELECT p_partkey * 4 + 1, p_partkey // 2, p_partkey FROM part WHERE p_partkey % 5 = 0
+          UNION ALL SELECT p_partkey * 4 + 2, p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey * 4 + 3, p_partkey, -p_partkey FROM part WHERE p_partkey % 50 = 0),
+        ops AS (SELECT row_number() OVER (ORDER BY x * 7919 % 2147483647) AS step, x * 7919 % 2147483647 AS seq, s, t FROM raw),
+        state(step, id, kind, root, ended) AS (SELECT 0::BIGINT, p_partkey::BIGINT, p_size % 2, p_partkey::BIGINT, NULL::BIGINT FROM part UNION ALL
+          SELECT step, id, kind, CASE WHEN ok AND root = s THEN troot ELSE root END, CASE WHEN ok AND id = s THEN seq ELSE ended END FROM (
+            SELECT o.step, id, kind, root, ended, s, seq, max(root) FILTER (id = t) OVER () AS troot,
+              coalesce(max(root) FILTER (id = s) OVER () = s AND max(kind) FILTER (id = s) OVER () = max(kind) FILTER (id = t) OVER () AND max(root) FILTER (id = t) OVER () <> s, false) AS ok
+            FROM state JOIN ops o ON o.step = state.step + 1)),
+        done AS (SELECT seq, s, t, coalesce(a.ended = seq, false) AS applied,
+            CASE WHEN a.ended = seq THEN NULL WHEN a.id IS NULL OR b.id IS NULL THEN 'missing' WHEN a.kind <> b.kind THEN 'type' WHEN s = t THEN 'same' WHEN a.root <> s THEN 'superseded' ELSE 'same' END AS reason,
+            CASE WHEN a.ended = seq THEN b.root END AS survivor_id FROM ops o LEFT JOIN state a ON a.step = o.step AND a.id = s LEFT JOIN state b ON b.step = o.step AND b.id = t)"""
+
 ORACLE = {
     "tag_queries": f"""WITH c AS (SELECT lower(text) AS t FROM conversations), k AS (SELECT CASE WHEN regexp_matches(t, '{_re2(L.LOOKUP)}') THEN 'lookup_documents' WHEN regexp_matches(t, '{_re2(L.COUNT)}') AND regexp_matches(t, '{_re2(L.PROPERTY_TERMS)}') THEN 'count'
         WHEN regexp_matches(t, '{_re2(L.INVENTORY)}') THEN 'list' WHEN regexp_matches(t, '{_re2(L.YEAR)}') THEN 'timeline' WHEN regexp_matches(t, '{_re2(L.IDENTIFY)}') THEN 'identify' WHEN regexp_matches(t, '{_re2(L.DESCRIBE)}') THEN 'describe' ELSE 'generic_qa' END AS operation FROM c)
@@ -305,10 +340,13 @@ ORACLE = {
     "build_entities": "SELECT p_brand AS entity_id, arg_min(p_name, p_partkey) AS display_name, count(*) AS n_mentions, count(DISTINCT p_name)::INT AS n_aliases FROM part GROUP BY 1",
     "link_mentions": """WITH k AS (SELECT name, count(*) AS n, min(id) AS id FROM (SELECT lower(p_name) AS name, p_partkey AS id FROM part UNION SELECT lower(p_type), p_partkey FROM part) GROUP BY 1)
         SELECT p_partkey AS mention_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN id END AS entity_id FROM part LEFT JOIN k ON name = lower(p_name)""",
-    "merge_entities": """WITH f AS (SELECT p_partkey, p_type, p_brand, min(p_partkey) OVER (PARTITION BY p_name) AS t FROM part),
-        m AS (SELECT f.p_partkey AS id, CASE WHEN f.p_type = g.p_type THEN f.t ELSE f.p_partkey END AS t, f.p_brand FROM f JOIN part g ON g.p_partkey = f.t),
-        n AS (SELECT t, count(*) AS n FROM lineitem JOIN m ON id = l_partkey GROUP BY 1), a AS (SELECT t, count(DISTINCT p_brand) AS n FROM m GROUP BY 1)
-        SELECT id AS entity_id, CASE WHEN id = m.t THEN 'active' ELSE 'superseded' END AS status, n.n AS n_mentions, a.n AS n_aliases FROM m LEFT JOIN n ON n.t = id LEFT JOIN a ON a.t = id""",
+    "merge_entities": f"""{_REPLAY}, m AS (SELECT id, root, ended FROM state WHERE step = (SELECT max(step) FROM state)),
+        n AS (SELECT root, count(*) AS n FROM lineitem JOIN m ON id = l_partkey GROUP BY 1), a AS (SELECT root, count(DISTINCT p_brand) AS n FROM m JOIN part ON id = p_partkey GROUP BY 1)
+        SELECT id AS entity_id, CASE WHEN ended IS NULL THEN 'active' ELSE 'superseded' END AS status, n.n AS n_mentions, a.n AS n_aliases FROM m LEFT JOIN n ON n.root = id LEFT JOIN a ON a.root = id""",
+    "identity_operations": f"{_REPLAY} SELECT seq, s AS source_id, t AS target_id, applied, reason, survivor_id FROM done",
+    "identity_as_of": f"""{_REPLAY} SELECT id AS entity_id, root AS survivor_id, ended AS superseded_by_seq FROM state WHERE step = (SELECT count(*) FROM ops WHERE seq <= 1073741824)""",
+    "identity_history": f"""{_REPLAY}, rows AS (SELECT s AS entity_id, seq, 'source' AS role, survivor_id AS other_id, applied FROM done UNION ALL SELECT t, seq, 'target', s, applied FROM done UNION ALL SELECT survivor_id, seq, 'survivor', s, applied FROM done WHERE applied AND survivor_id <> t)
+        SELECT entity_id, seq, role, other_id, applied, CASE WHEN ended <= seq THEN 'superseded' ELSE 'active' END AS status FROM rows JOIN state ON id = entity_id AND state.step = (SELECT max(step) FROM state)""",
     "apply_alias_ops": """SELECT user_id AS entity_id, event_type AS value, CASE WHEN event_type IN ('click', 'purchase') THEN arg_max(value > 50, event_id) ELSE true END AS active FROM events GROUP BY 1, 2""",
     "align_spans": """WITH q AS (SELECT doc_id, text, string_split(text, ' ')[3] AS w FROM documents), r AS (SELECT *, list_filter(range(0, length(text) - length(w) + 1), lambda i: substr(text, (i + 1)::BIGINT, length(w)) = w) AS p FROM q WHERE length(w) > 1),
         s AS (SELECT *, list_min(list_transform(p, lambda i: abs(i - 7))) AS near FROM r), t AS (SELECT *, list_filter(p, lambda i: abs(i - 7) = near) AS best FROM s)

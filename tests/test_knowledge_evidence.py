@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import evidence as E
 from marginalia.operators import graph as G
+from marginalia.operators import identity as I
 from marginalia.operators import knowledge as K
 from marginalia.operators import property as P
 
@@ -80,8 +81,8 @@ def test_merge_and_split(spark):
     entities = spark.createDataFrame([("a", "p", "active"), ("b", "p", "active"), ("c", "q", "active")], "entity_id string, entity_type string, status string")
     aliases = spark.createDataFrame([("a", "x"), ("b", "x")], "entity_id string, value string")
     mentions = spark.createDataFrame([("a", "m1"), ("b", "m2")], "entity_id string, mention_id string")
-    merges = spark.createDataFrame([("b", "a"), ("c", "a")], "source_id string, target_id string")
-    done, names, moved, ops = K.merge_entities(entities, aliases, mentions, merges)
+    merges = spark.createDataFrame([(1, "b", "a"), (2, "c", "a")], "seq int, source_id string, target_id string")
+    done, names, moved, ops = I.merge_entities(entities, aliases, mentions, merges)
     assert {r.entity_id: r.status for r in done.collect()} == {"a": "active", "b": "superseded", "c": "active"}
     assert names.count() == 1 and {r.entity_id for r in moved.collect()} == {"a"}
     assert {(r.source_id, r.applied) for r in ops.collect()} == {("b", True), ("c", False)}
