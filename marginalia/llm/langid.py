@@ -23,6 +23,8 @@ SURE_WORDS = 20
 KEPT_WORDS = 150_000
 AT_ONCE = 1 << 17
 STEP = 12
+#: Bytes of the longest run of a word: a longer word is cut into runs of so many bytes at most, between characters.
+LONG_WORD = 128
 #: Languages that a model may have: a bound of what driver and tasks hold, which is a number a piece and language.
 LANGUAGES = 200
 
@@ -180,8 +182,24 @@ def _expected(pieces: Pieces, weights: np.ndarray, words: list[bytes], times: np
     return total
 
 
+def _cut(word: bytes) -> Iterator[bytes]:
+    start = 0
+    while len(word) - start > LONG_WORD:
+        stop = start + LONG_WORD
+        while word[stop] & 0xC0 == 0x80:  # within a character
+            stop -= 1
+        yield word[start:stop]
+        start = stop
+    yield word[start:]
+
+
 def _words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_APART).split()
+    """What lies between ASCII characters that are no letters, in lower case; a long word as runs, side by side, so that scripts
+    without blanks take time in proportion to the text and memory to the run."""
+    words = text.lower().encode("utf-8", "replace").translate(_APART).split()
+    if max(map(len, words), default=0) > LONG_WORD:
+        return [run for w in words for run in _cut(w)]
+    return words
 
 
 def _has_letter(text: str) -> bool:
@@ -317,8 +335,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The language of every document, learned from the documents whose crc32(id) mod `folds` is not `fold`.
 
     Returns doc_id, held_out, lang_pred, score. Words are what lies between ASCII characters that are no letters, in
-    lower case. A word's probability in a language is the sum over all its segmentations into pieces of a public
-    vocabulary (forward algorithm); a text's is the product over its words. score is the share of the best language
+    lower case; a word of over LONG_WORD bytes, as in scripts without blanks, counts as runs of so many bytes at most,
+    cut between characters. A word's probability in a language is the sum over all its segmentations into pieces of a
+    public vocabulary (forward algorithm); a text's is the product over its words. score is the share of the best language
     among all, as sure as SURE_WORDS words can make it.
 
     A null, empty or letterless text is `und` with score 0, and so is every text when no row has a language. A null
