@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -22,6 +24,8 @@ from .common import alone, documents, hold, slices
 #: Bytes of the pieces that one recursive query contracts, and of the longest piece that it is given.
 QUERY_BYTES = 100_000
 LONG_PIECE = 256
+#: Bits of a place in a long piece, below its pair's rank.
+PLACE_BITS = 40
 #: Distinct pieces, and chunks, that a worker keeps before it drops the later half of them.
 KEPT_PIECES = 150_000
 #: What DuckDB may use in a worker.
@@ -70,15 +74,10 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([c])] for c in range(256)], np.int32)
         pairs = {(self.ranks[t[:i]], self.ranks[t[i:]]): rank for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        # a merge after which no cheaper one can begin may contract all its pairs of a piece at once
-        least: dict[int, int] = {}
-        for (a, b), rank in pairs.items():
-            least[a] = min(rank, least.get(a, rank))
-            least[b] = min(rank, least.get(b, rank))
-        self.sure = {rank for rank in pairs.values() if least.get(rank, rank + 1) > rank}
         keys = np.array([a * 65536 + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(pairs.values()), np.int64)[order]
+        self.pairs = dict(zip(self.keys.tolist(), self.values.tolist()))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self._table("merges", pa.table({"pair": self.keys, "rank": self.values}))
         self._table("vocabulary", pa.table({"rank": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}))
@@ -97,26 +96,39 @@ class Bpe:
         tokens = self.db.sql(ENCODE).to_arrow_table().column("tokens").combine_chunks()
         return tokens.flatten().to_numpy(zero_copy_only=False), np.diff(tokens.offsets.to_numpy())
 
-    def _contract(self, word: bytes) -> list[int]:
-        """A long piece: the cheapest pair, at its leftmost place or, where that comes to the same, at all places at once."""
-        tokens = self.single[np.frombuffer(word, np.uint8)].astype(np.int64)
-        while len(tokens) > 1:
-            pairs = tokens[:-1] * 65536 + tokens[1:]
-            at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == pairs, self.values[at], np.iinfo(np.int64).max)
-            low = rank.min()
-            if low == np.iinfo(np.int64).max:
-                break
-            places = np.flatnonzero(rank == low)
-            if low in self.sure:
-                runs = np.cumsum(np.diff(places, prepend=places[0] - 2) > 1)  # places in a row overlap: every other counts
-                offset = np.arange(len(places)) - np.searchsorted(runs, runs)
-                places = places[offset % 2 == 0]
-            else:
-                places = places[:1]
-            tokens[places] = low
-            tokens = np.delete(tokens, places + 1)
-        return tokens.tolist()
+    def _contract(self, word: bytes) -> np.ndarray:
+        """A long piece: the cheapest pair, leftmost first, from a heap of (rank, place) over linked places.
+
+        Each merge leaves two new pairs at most, so time grows as n log n with the piece.
+        """
+        n = len(word)
+        first = self.single[np.frombuffer(word, np.uint8)].astype(np.int64)
+        tokens, after, before = (array("i", x.astype(np.int32).tobytes()) for x in (first, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        pairs = first[:-1] << 16 | first[1:]
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        places = np.flatnonzero(self.keys[at] == pairs)
+        heap = (self.values[at][places] << PLACE_BITS | places).tolist()
+        heapq.heapify(heap)
+        rank_of, mask = self.pairs.get, (1 << PLACE_BITS) - 1
+        while heap:
+            x = heapq.heappop(heap)
+            rank, i = x >> PLACE_BITS, x & mask
+            j = after[i]
+            if tokens[i] < 0 or j >= n or rank_of(tokens[i] << 16 | tokens[j]) != rank:
+                continue  # what was there has been merged meanwhile
+            k, h = after[j], before[i]
+            tokens[i], tokens[j], after[i] = rank, -1, k
+            if k < n:
+                before[k] = i
+                new = rank_of(rank << 16 | tokens[k])
+                if new is not None:
+                    heapq.heappush(heap, new << PLACE_BITS | i)
+            if h >= 0:
+                new = rank_of(tokens[h] << 16 | rank)
+                if new is not None:
+                    heapq.heappush(heap, new << PLACE_BITS | h)
+        found = np.frombuffer(tokens, np.int32)
+        return found[found >= 0].astype(np.int64)
 
     def _fill(self) -> None:
         """Ids of the pieces that have got numbers since the last time."""
@@ -126,7 +138,7 @@ class Bpe:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         parts = [(np.flatnonzero(known >= 0), known[known >= 0], np.ones(int((known >= 0).sum()), np.int64))]
         for i in np.flatnonzero((known < 0) & (lengths > LONG_PIECE)).tolist():
-            tokens = np.array(self._contract(words[i]), np.int64)
+            tokens = self._contract(words[i])
             parts.append((np.array([i]), tokens, np.array([len(tokens)])))
         short = np.flatnonzero((known < 0) & (lengths <= LONG_PIECE))
         for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // QUERY_BYTES)) + 1):
@@ -223,7 +235,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Each match of the pattern is encoded separately, without special tokens. One pass without a shuffle: a task splits
     its texts, and a recursive query contracts the leftmost cheapest pair of every distinct piece that its worker hasn't
     met, until no pair is left; an ordered aggregation turns ids back to bytes. Pieces of over 256 bytes are contracted
-    by the same rule outside the query, which would hold each of their states.
+    by the same rule outside the query, which would hold each of their states, from a heap: one of 1 MB takes seconds.
 
     Null text counts as empty: no ids, digests of nothing. Repeated rows each get their row; an empty table gives none.
     Other columns are ignored, whatever their names.
