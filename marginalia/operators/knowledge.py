@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalized_mention, stable_id
+from marginalia.sources.store import Store
 from marginalia.sources.tables import write_scoped
 
 #: Stages that a generation must have ready.
@@ -227,6 +228,16 @@ def replace_extracted(nodes: DataFrame, edges: DataFrame, generation: str, path:
         write_scoped(table.withColumn("generation_id", F.lit(generation)), f"{path}/{name}", ["generation_id"])
 
 
+def store_extracted(store: Store, number: int, nodes: DataFrame, edges: DataFrame, generation: str, writer: str = "layers") -> bool:
+    """replace_extracted() in a store: both tables of a generation move at once, and a number that was done does nothing."""
+    found = extracted_issues(nodes, edges, generation).limit(5).collect()
+    if found:
+        raise ValueError("the layer can't be written: " + ", ".join(f"{r.issue} {r.id}" for r in found))
+    own = F.col("generation_id") == generation
+    mark = lambda df: df.withColumn("generation_id", F.lit(generation))
+    return store.change(writer, number, {"nodes": (mark(nodes), ["generation_id", "node"]), "edges": (mark(edges), ["generation_id", "edge_id"])}, {"nodes": own, "edges": own})
+
+
 def generation_ready(generations: DataFrame, stages: DataFrame, names: tuple[str, ...] = STAGES) -> DataFrame:
     """Whether each generation has all stages ready, from one input and with an output; active is the newest ready one of its workspace."""
     good = (F.col("state") == "ready") & (F.col("input_fingerprint") == F.col("source_fingerprint")) & F.col("output_fingerprint").isNotNull()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: States after which a run no longer changes.
 TERMINAL = ("completed", "failed", "cancelled", "interrupted")
+#: Statuses of costs that count against a budget.
+COUNTED = ("exact", "local_zero")
 MILLION = 1_000_000
 
 
@@ -70,10 +72,14 @@ def runs_by_state(runs: DataFrame, by: list[str], states: list[str], state: str
     return runs.groupBy(*by).agg(*[F.count_if(F.col(state) == s).alias(s) for s in states])
 
 
-def daily_budget(events: DataFrame, amount: str, at: str, limit: float, by: list[str]) -> DataFrame:
-    """Spend a day and whether it is over the soft limit."""
-    days = events.groupBy(*by, F.to_date(at).alias("day")).agg(F.sum(amount).alias("spend"))
-    return days.withColumn("over", F.col("spend") > limit)
+def daily_budget(events: DataFrame, amount: str, at: str, limit: float, by: list[str], status: str | None = None) -> DataFrame:
+    """Spend a day and whether it has reached the soft limit (one of 0 or less is none).
+
+    With a status column only exact and local_zero costs count, as estimates do not.
+    """
+    rows = events.where(F.col(status).isin(*COUNTED)) if status else events
+    days = rows.groupBy(*by, F.to_date(at).alias("day")).agg(F.sum(amount).alias("spend"))
+    return days.withColumn("over", (F.col("spend") >= limit) if limit > 0 else F.lit(False))
 
 
 def nodes_per_generation(nodes: DataFrame) -> DataFrame:

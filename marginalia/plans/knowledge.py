@@ -230,7 +230,8 @@ def usage_totals(spark, d):
 
 
 def daily_budget(spark, d):
-    days = L.daily_budget(_t(spark, d, "events"), "value", "ts", 500.0, ["user_id"])
+    priced = _t(spark, d, "events").withColumn("cost_status", F.when(F.col("event_type") == "view", "estimated").when(F.col("event_type") == "click", "local_zero").otherwise("exact"))
+    days = L.daily_budget(priced, "value", "ts", 150.0, ["user_id"], "cost_status")
     return days.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("spend", 4).alias("spend"), "over")
 
 
@@ -364,7 +365,7 @@ ORACLE = {
     "price_usage": f"WITH {_USE} SELECT event_id, CASE WHEN cost IS NULL THEN 'unpriced' ELSE 'priced' END AS cost_status, round(cost, 8) AS cost FROM us",
     "usage_totals": f"""WITH {_USE} SELECT workspace_id, model, CASE GROUPING(workspace_id) * 2 + GROUPING(model) WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS view, count(*) AS events, sum(tokens)::BIGINT AS tokens,
         round(CASE WHEN count(cost) = count(*) THEN sum(cost) END, 8) AS cost FROM us GROUP BY GROUPING SETS ((), (model), (workspace_id, model))""",
-    "daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) > 500 AS over FROM events GROUP BY 1, 2",
+    "daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) >= 150 AS over FROM events WHERE event_type <> 'view' GROUP BY 1, 2",
     "runs_by_state": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1",
     "run_states": "SELECT user_id AS run_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1",
     "memory_window": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)

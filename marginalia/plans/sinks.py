@@ -13,6 +13,7 @@ from marginalia.operators import relational as R
 from marginalia.operators import retrieval as Q
 from marginalia.sources import tables as S
 from marginalia.sources.session import shared_folder
+from marginalia.sources.store import Store
 
 
 def _t(spark, sf_dir, name):
@@ -100,19 +101,21 @@ def scoped_index(spark, d):
 
 
 def vector_upsert(spark, d):
-    """Even points, then every third in two versions, of which the later counts."""
+    """Even points, then every third in two versions, of which the later counts, put into a store; the second put is retried."""
     points = _t(spark, d, "embeddings").select(F.col("label").alias("workspace_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("h").alias("config_hash"))
     scope, key = ["workspace_id"], ["chunk_id"]
-    size = points.select(F.size("embedding")).first()[0]
-    first = S.upsert_vectors(None, points.where("chunk_id % 2 = 0").withColumn("version", F.lit(1)), size, "h", scope, key)
+    size, store = points.select(F.size("embedding")).first()[0], Store(spark, shared_folder(spark, "vectors"))
+    S.store_vectors(store, 0, points.where("chunk_id % 2 = 0").withColumn("version", F.lit(1)), size, "h", scope, key)
     more = points.where("chunk_id % 3 = 0").withColumn("version", F.explode(F.array(F.lit(3), F.lit(2))))
-    return S.upsert_vectors(first, more, size, "h", scope, key).select("point_id", "chunk_id", "version")
+    for version in (F.col("version"), F.lit(9)):  # the retry has nothing to say
+        S.store_vectors(store, 1, more.withColumn("version", version), size, "h", scope, key)
+    return store.read("vectors").select("point_id", "chunk_id", "version")
 
 
 def corpus_text(spark, d):
     """Documents as text with a header, read back as lines."""
     folder = shared_folder(spark, "corpus")
-    S.write_corpus_text(_t(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("content")), folder, ["doc_id", "lang"])
+    S.write_corpus_text(_t(spark, d, "documents").select("doc_id", "lang", F.translate("text", "\n\r", "  ").alias("content")), folder, ["doc_id", "lang"])
     return spark.read.text(folder).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,14 +131,14 @@ def stored_graph(spark, d):
 
 
 def replaced_layer(spark, d):
-    """Two generations of nations and customers; the second is replaced by fewer customers."""
-    folder = shared_folder(spark, "layer")
+    """Two generations of nations and customers; the second is replaced by fewer customers, both tables at once."""
+    store = Store(spark, shared_folder(spark, "layer"))
     nodes = lambda c: c.select(F.concat(F.lit("c"), "c_custkey").alias("node")).unionByName(c.select(F.concat(F.lit("n"), "c_nationkey").alias("node")).distinct())
     edges = lambda c: c.select(F.concat(F.lit("e"), "c_custkey").alias("edge_id"), F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"))
     customer = _t(spark, d, "customer")
-    for generation, rows in (("g1", customer), ("g2", customer), ("g2", customer.where("c_acctbal > 0"))):
-        K.replace_extracted(nodes(rows).withColumn("generation_id", F.lit(generation)), edges(rows), generation, folder)
-    count = lambda name: spark.read.parquet(f"{folder}/{name}").groupBy("generation_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
+    for number, (generation, rows) in enumerate((("g1", customer), ("g2", customer), ("g2", customer.where("c_acctbal > 0")))):
+        K.store_extracted(store, number, nodes(rows).withColumn("generation_id", F.lit(generation)), edges(rows), generation)
+    count = lambda name: store.read(name).groupBy("generation_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
     return count("nodes").unionByName(count("edges"))
 
 
@@ -347,7 +350,7 @@ ORACLE = {
     "scoped_index": f"""WITH t AS (SELECT doc_id, {_TOK} AS tokens FROM documents WHERE lang = 'en'), s AS (SELECT count(*) AS n, round(avg(len(tokens)), 4) AS mean_length FROM t),
         u AS (SELECT doc_id, unnest(tokens) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, any_value(n) AS n, any_value(mean_length) AS mean_length FROM u, s GROUP BY term""",
     "vector_upsert": """SELECT left(sha256(label || chr(31) || vec_id), 32) AS point_id, vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS version FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""",
-    "corpus_text": """SELECT value, count(*) AS n FROM (SELECT unnest(['doc_id: ' || doc_id, 'lang: ' || lang, '', md5(text)]) AS value FROM documents) GROUP BY value""",
+    "corpus_text": """SELECT value, count(*) AS n FROM (SELECT unnest(['doc_id: ' || doc_id, 'lang: ' || lang, '', translate(text, chr(10) || chr(13), '  ')]) AS value FROM documents) GROUP BY value""",
     "stored_graph": """SELECT 'node' AS kind, 's' || s_suppkey AS id, s_name AS text FROM supplier UNION ALL SELECT DISTINCT 'node', 'n' || s_nationkey, NULL FROM supplier
         UNION ALL SELECT 'edge', 's' || s_suppkey || '>n' || s_nationkey, 'in' FROM supplier""",
     "replaced_layer": """WITH g AS (SELECT 'g1' AS g, * FROM customer UNION ALL SELECT 'g2', * FROM customer WHERE c_acctbal > 0)

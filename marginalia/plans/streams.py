@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import property as P
+from marginalia.sources.event_log import append_events, stream_log
 from marginalia.sources.session import shared_folder
+from marginalia.sources.store import Store
 from marginalia.streaming import jobs as S
 
 
@@ -28,8 +30,31 @@ def stream_dedupe(spark, d):
 
 
 def stream_daily_budget(spark, d):
-    days = _ended(spark, S.daily_budget_stream(_stream(spark, d), ["user_id"], "value", "ts", 500.0), "complete")
-    return days.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("spend", 4).alias("spend"), "over")
+    """Spend a day of usage that is priced, kept in a store's table as it grows."""
+    rows = _stream(spark, d).withColumn("cost_status", F.when(F.col("event_type") == "view", "estimated").when(F.col("event_type") == "click", "local_zero").otherwise("exact"))
+    days = S.daily_budget_stream(rows, ["user_id"], "value", "ts", 150.0, status="cost_status")
+    kept = S.keep_current(days, Store(spark, shared_folder(spark, "budgets")), "days", ["user_id", "day"], shared_folder(spark, "stream-checkpoints"))
+    return kept.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("spend", 4).alias("spend"), "over")
+
+
+def log_resumed(spark, d):
+    """Events appended to a log in two parts, with a stream that stops between them and goes on at its cursor."""
+    events = _t(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("state"))
+    log, out, checkpoint = (shared_folder(spark, x) for x in ("logs", "streams", "stream-checkpoints"))
+    middle = events.agg(F.avg("event_id")).first()[0] or 0
+    schema = events.schema.add("seq", "long")
+    for part in (events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)):
+        append_events(part, log, [F.col("event_id")])
+        found = S.run_to_end(S.tail_events(stream_log(spark, log, schema)), out, checkpoint)
+    return found.select("seq", "event_id", "run_id", "terminal")
+
+
+def log_from_cursor(spark, d):
+    """A log read from after its hundredth event on, each run to its end."""
+    events = _t(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("state"))
+    log = shared_folder(spark, "logs")
+    append_events(events, log, [F.col("event_id")])
+    return _ended(spark, S.tail_to_end(stream_log(spark, log, events.schema.add("seq", "long"), after=99), "seq"))
 
 
 def stream_tail(spark, d):
@@ -37,9 +62,21 @@ def stream_tail(spark, d):
     return _ended(spark, S.tail_events(rows)).select("run_id", "event_id", "terminal")
 
 
+def _pending(spark, d, **limits):
+    """Users as workspaces, events as documents that wait, purchases as updates that were made."""
+    events = _stream(spark, d).withColumn("made", F.col("event_type") == "purchase")
+    return S.pending_updates(events, "user_id", "event_id", "value", "made", **limits)
+
+
 def pending_trigger(spark, d):
-    fired = _ended(spark, S.pending_trigger(_stream(spark, d), "user_id", "value", 10))
-    return fired.groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("pending").alias("pending"))
+    return _ended(spark, _pending(spark, d, threshold=5, most=8, warning=90.0))
+
+
+def pending_state(spark, d):
+    """How many documents of each user wait when the stream has ended, read from its state."""
+    checkpoint = shared_folder(spark, "stream-checkpoints")
+    S.run_to_end(_pending(spark, d), shared_folder(spark, "streams"), checkpoint)
+    return S.state_of(spark, checkpoint, "pending")
 
 
 def stream_run_states(spark, d):
@@ -56,15 +93,13 @@ def stream_tail_to_end(spark, d):
 
 
 def pending_costs(spark, d):
-    """Every ten changes of a user, confirmed first where they cost 250 or more."""
-    fired = _ended(spark, S.pending_trigger(_stream(spark, d), "user_id", "value", 10, cost_limit=250.0))
-    return fired.groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+    """Documents of 50 or more are to be confirmed; nothing is queued by itself."""
+    return _ended(spark, _pending(spark, d, warning=50.0, automatic=False)).groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.max("pending").alias("most"))
 
 
 def pending_sizes(spark, d):
-    """Every eight changes of a user are more than five and so to be confirmed."""
-    fired = _ended(spark, S.pending_trigger(_stream(spark, d), "user_id", "value", 8, most=5))
-    return fired.groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """More than three are to be confirmed, before a threshold of eight is reached."""
+    return _ended(spark, _pending(spark, d, threshold=8, most=3)).groupBy("workspace", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.max("pending").alias("most"))
 
 
 def _spoken(spark, d):
@@ -144,18 +179,34 @@ def ownership_facts(spark, d):
     return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("facts"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, pending_costs, pending_sizes, stream_tail_to_end, stream_run_states, spoken_claims, spoken_fractions, spoken_places, property_conflicts, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, pending_state, pending_costs, pending_sizes, log_resumed, log_from_cursor, stream_tail_to_end, stream_run_states, spoken_claims, spoken_fractions, spoken_places, property_conflicts, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
 
 _DEED = "de AS (SELECT c_custkey AS k, n_name AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+#: Each event judged when it comes: a count of events since the last purchase, then size, cost and threshold, in this order.
+_JUDGED = """c AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS made FROM events),
+        p AS (SELECT *, count(*) FILTER (event_type <> 'purchase') OVER (PARTITION BY user_id, made ORDER BY event_id) AS pending FROM c)"""
+
+
+def _judged(threshold: int, most: int, warning: float, automatic: bool = True) -> str:
+    dear = f"({warning} > 0 AND coalesce(value, 0) >= {warning} AND event_type <> 'purchase')"
+    pick = lambda *x: f"CASE WHEN event_type = 'purchase' THEN '{x[0]}' WHEN pending > {most} THEN '{x[1]}' WHEN {dear} THEN '{x[2]}' WHEN {automatic} AND pending >= {threshold} THEN '{x[3]}' ELSE '{x[4]}' END"
+    action, reason = pick("reset", "confirmation_required", "confirmation_required", "queue", "none"), pick("completed", "maximum_documents_exceeded", "cost_warning", "threshold_reached", "manual_update_required")
+    return f"WITH {_JUDGED}, j AS (SELECT user_id AS workspace, event_id AS at, {action} AS action, {reason} AS reason, pending, {dear} AS cost_warning FROM p)"
+
+
+_RUNS = "SELECT event_id, user_id AS run_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END AS state, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events"
 ORACLE = {
+    "stream_daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) >= 150 AS over FROM events WHERE event_type <> 'view' GROUP BY 1, 2",
+    "pending_trigger": f"{_judged(5, 8, 90.0)} SELECT * FROM j",
+    "pending_state": f"WITH {_JUDGED} SELECT user_id, arg_max(pending, event_id) AS pending FROM p GROUP BY 1",
+    "pending_costs": f"{_judged(10, 100, 50.0, False)} SELECT workspace, action, reason, count(*) AS n, max(pending) AS most FROM j GROUP BY 1, 2, 3",
+    "pending_sizes": f"{_judged(8, 3, 0.0)} SELECT workspace, action, reason, count(*) AS n, max(pending) AS most FROM j GROUP BY 1, 2, 3",
+    "log_resumed": f"SELECT seq, event_id, run_id, state = 'completed' AS terminal FROM ({_RUNS})",
+    "log_from_cursor": f"WITH r AS (SELECT * FROM ({_RUNS}) WHERE seq > 99), f AS (SELECT run_id, min(seq) FILTER (state = 'completed') AS stop FROM r GROUP BY 1) SELECT r.* FROM r JOIN f USING (run_id) WHERE stop IS NULL OR seq <= stop",
     "stream_dedupe": "SELECT event_id, round(value, 4) AS value FROM events",
-    "stream_daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) > 500 AS over FROM events GROUP BY 1, 2",
     "stream_tail": "SELECT user_id AS run_id, event_id, event_type = 'purchase' AS terminal FROM events",
     "stream_tail_to_end": """WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'purchase') AS stop FROM events GROUP BY 1)
         SELECT user_id AS run_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END AS state, event_id FROM events JOIN f USING (user_id) WHERE stop IS NULL OR event_id <= stop""",
-    "pending_costs": """WITH r AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS t FROM events), s AS (SELECT user_id, t, sum(value) AS v FROM r GROUP BY 1, 2 HAVING count(*) = 10)
-        SELECT user_id AS workspace, CASE WHEN v >= 250 THEN 'confirm' ELSE 'queue' END AS action, CASE WHEN v >= 250 THEN 'cost_limit' ELSE 'threshold' END AS reason, count(*) AS n, round(sum(v), 4) AS cost FROM s GROUP BY 1, 2, 3""",
-    "pending_sizes": "SELECT user_id AS workspace, 'confirm' AS action, 'maximum_exceeded' AS reason, count(*) // 8 AS n FROM events GROUP BY 1 HAVING count(*) >= 8",
     # state changes in order; a run that ends as running is interrupted a day after its last news, if time has come that far
     "stream_run_states": """WITH s AS (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' ELSE 'waiting' END AS st FROM events),
         l AS (SELECT *, lag(st) OVER (PARTITION BY user_id ORDER BY ts) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r, max(ts) OVER () AS now FROM s)
@@ -171,7 +222,6 @@ ORACLE = {
     "spoken_places": """SELECT c_custkey AS chunk_id, CASE WHEN c_custkey % 2 > 0 THEN y END AS province, CASE WHEN c_custkey % 3 > 0 THEN y END AS district, CASE WHEN c_custkey % 5 > 0 THEN y END AS neighborhood FROM (SELECT c_custkey, 'Yer' || c_custkey % 9 AS y FROM customer)""",
     "property_conflicts": f"""WITH {_DEED}, s AS (SELECT entity, k % 300 AS b, ((k % 4 + 1) // gcd(k % 4 + 1, 8)) || '/' || (8 // gcd(k % 4 + 1, 8)) AS share FROM de)
         SELECT entity, 'block=' || b AS identity_key, count(*) AS n_claims, string_agg(DISTINCT share, ',' ORDER BY share) AS shares, count(DISTINCT share) > 1 AS conflict FROM s GROUP BY entity, b""",
-    "pending_trigger": "SELECT user_id AS workspace, 'queue' AS action, 'threshold' AS reason, count(*) // 10 AS n, (count(*) // 10 * 10)::BIGINT AS pending FROM events GROUP BY 1 HAVING count(*) >= 10",
     "cadastral_fields": "SELECT c_custkey AS chunk_id, (c_custkey % 50)::VARCHAR AS sheet, (c_custkey % 300)::VARCHAR AS block, (c_custkey % 70)::VARCHAR AS parcel, 'Ankara' AS province FROM customer",
     "share_classes": "SELECT c_custkey AS id, c_custkey % 4 + 1 AS numerator, 8::BIGINT AS denominator, 'ownership_share' AS kind FROM customer",
     "property_claims": f"""WITH {_DEED} SELECT k AS chunk_id, entity, (k % 50)::VARCHAR AS sheet, (k % 300)::VARCHAR AS block, (k % 70)::VARCHAR AS parcel,

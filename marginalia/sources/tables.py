@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import stable_id
 from marginalia.operators.relational import latest_per_key, require_scope
+from marginalia.sources.store import Store
 
 BUNDLE = """struct<mentions:array<struct<mention_id:string,text:string,entity_type:string,start_offset:int>>,
 relations:array<struct<relation_id:string,source_mention:string,target_mention:string,relation_type:string>>,
@@ -150,8 +151,8 @@ def read_index(spark: SparkSession, path: str, scope: dict[str, str]) -> tuple[D
     return held[0], held[1]
 
 
-def upsert_vectors(points: DataFrame | None, records: DataFrame, dimension: int, config_hash: str, scope: list[str], key: list[str]) -> DataFrame:
-    """points with records in place of those of the same id, which follows from scope and key.
+def checked_vectors(records: DataFrame, dimension: int, config_hash: str, scope: list[str], key: list[str]) -> DataFrame:
+    """One record a point, with the point_id that follows from scope and key.
 
     A record of another dimension or embedding configuration fails the job; of records of one id the last by `version` counts,
     of equal versions the one with the greatest vector.
@@ -160,12 +161,22 @@ def upsert_vectors(points: DataFrame | None, records: DataFrame, dimension: int,
     config = F.assert_true(F.col("config_hash") == config_hash, F.lit("another embedding configuration"))
     checked = records.where(F.coalesce(size.cast("string"), config.cast("string")).isNull())
     named = checked.withColumn("point_id", stable_id(*[F.col(c) for c in (*scope, *key)]))
-    last = latest_per_key(named, ["point_id"], ["version", "embedding"])
+    return latest_per_key(named, ["point_id"], ["version", "embedding"])
+
+
+def upsert_vectors(points: DataFrame | None, records: DataFrame, dimension: int, config_hash: str, scope: list[str], key: list[str]) -> DataFrame:
+    """points with records in place of those of the same id, as checked_vectors() takes them."""
+    last = checked_vectors(records, dimension, config_hash, scope, key)
     if points is None:
         return last
     return points.join(last.select("point_id"), "point_id", "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def store_vectors(store: Store, number: int, records: DataFrame, dimension: int, config_hash: str, scope: list[str], key: list[str], writer: str = "vectors") -> bool:
+    """upsert_vectors() into a store's table `vectors`; False if this number of the writer is there already."""
+    return store.change(writer, number, {"vectors": (checked_vectors(records, dimension, config_hash, scope, key), ["point_id"])})
+
+
 def write_corpus_text(docs: DataFrame, path: str, header: list[str], content: str = "content") -> None:
     """Documents as text files with a header of their fields."""
     lines = F.concat_ws("\n", *[F.concat(F.lit(f"{h}: "), F.col(h).cast("string")) for h in header], F.lit(""), F.col(content))

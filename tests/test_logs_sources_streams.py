@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import logs as L
 from marginalia.sources import tables as S
+from marginalia.sources.store import Store
 from marginalia.streaming import jobs as J
 
 OWNER = "Deniz Kaya"
@@ -152,18 +153,62 @@ def _stream(spark, tmp_path, rows, schema):
     return J.read_events(spark, str(tmp_path / "in"), df.schema)
 
 
-def test_pending_trigger(spark, tmp_path):
-    rows = [("a", 0.1)] * 5 + [("b", 5.0)] * 2
-    fired = J.run_to_end(J.pending_trigger(_stream(spark, tmp_path, rows, "w string, cost double"), "w", "cost", 2, cost_limit=1.0), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert sorted((r.workspace, r.action, r.reason) for r in fired.collect()) == [("a", "queue", "threshold"), ("a", "queue", "threshold"), ("b", "confirm", "cost_limit")]
-    # the count goes on from the checkpoint
-    again = J.run_to_end(J.pending_trigger(_stream(spark, tmp_path, [("a", 0.1)], "w string, cost double"), "w", "cost", 2, cost_limit=1.0), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert again.where("workspace = 'a'").count() == 3
+PENDING = "w string, n long, cost double, made boolean"
 
 
-def test_maximum(spark, tmp_path):
-    fired = J.run_to_end(J.pending_trigger(_stream(spark, tmp_path, [("a", 0.0)] * 2, "w string, cost double"), "w", "cost", 2, most=1), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert [(r.action, r.reason) for r in fired.collect()] == [("confirm", "maximum_exceeded")]
+def test_pending_updates(spark, tmp_path):
+    """Size before cost before threshold; a made update begins anew; the count is kept between runs, and can be read."""
+
+    def run(rows):
+        stream = J.pending_updates(_stream(spark, tmp_path, rows, PENDING), "w", "n", "cost", "made", threshold=2, most=3, warning=1.0)
+        found = J.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "ck")).collect()
+        return {(r.workspace, r.at): (r.action, r.reason, r.pending, r.cost_warning) for r in found}
+
+    found = run([("a", 1, 0.1, False), ("a", 2, None, False), ("b", 1, 1.0, False), ("a", 3, 5.0, False), ("a", 4, 5.0, False)])
+    assert found == {
+        ("a", 1): ("none", "manual_update_required", 1, False), ("a", 2): ("queue", "threshold_reached", 2, False), ("b", 1): ("confirmation_required", "cost_warning", 1, True),
+        ("a", 3): ("confirmation_required", "cost_warning", 3, True), ("a", 4): ("confirmation_required", "maximum_documents_exceeded", 4, True),
+    }
+    found = run([("a", 5, 0.0, False), ("a", 6, None, True), ("a", 7, 0.0, False), ("b", 2, 0.0, False)])
+    assert found["a", 5][1:3] == ("maximum_documents_exceeded", 5) and found["a", 6][:3] == ("reset", "completed", 0) and found["a", 7][2] == 1 and found["b", 2][:3] == ("queue", "threshold_reached", 2)
+    assert {tuple(r) for r in J.state_of(spark, str(tmp_path / "ck"), "pending").collect()} == {("a", 1), ("b", 2)}
+
+
+def test_manual_updates_are_not_queued(spark, tmp_path):
+    stream = J.pending_updates(_stream(spark, tmp_path, [("a", i, 0.0, False) for i in range(3)], PENDING), "w", "n", "cost", threshold=2, automatic=False)
+    assert {r.action for r in J.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "ck")).collect()} == {"none"}
+
+
+def test_spend_is_kept_current(spark, tmp_path):
+    """Late usage changes its day; what is later than the watermark does not; state is of days that are not over."""
+    day = lambda d, h: datetime.datetime(2026, 1, d, h)
+    store, schema = Store(spark, str(tmp_path / "store")), "w string, amount double, ts timestamp, status string"
+
+    def run(rows):
+        days = J.daily_budget_stream(_stream(spark, tmp_path, rows, schema), ["w"], "amount", "ts", 3.0, "1 day", "status")
+        return {(r.w, r.day.day): (r.spend, r.over) for r in J.keep_current(days, store, "days", ["w", "day"], str(tmp_path / "ck")).collect()}
+
+    assert run([("a", 1.0, day(1, 5), "exact"), ("a", 9.0, day(1, 6), "estimated"), ("b", 3.0, day(1, 5), "local_zero")]) == {("a", 1): (1.0, False), ("b", 1): (3.0, True)}
+    assert run([("a", 2.0, day(1, 9), "exact"), ("a", 1.0, day(2, 9), "exact")]) == {("a", 1): (3.0, True), ("b", 1): (3.0, True), ("a", 2): (1.0, False)}
+    run([("a", 1.0, day(9, 1), "exact")])
+    assert run([("a", 5.0, day(1, 9), "exact"), ("a", 1.0, day(9, 2), "exact")])["a", 1] == (3.0, True)
+    state = spark.read.format("statestore").load(str(tmp_path / "ck"))
+    assert state.count() == 1
+    versions = store.versions()
+    assert run([]) and store.versions() == versions
+
+
+def test_stale_runs_are_interrupted(spark, tmp_path):
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
+
+    def run(rows):
+        states = J.run_states(_stream(spark, tmp_path, rows, "run_id string, state string, at timestamp"), "10 minutes", "1 minute")
+        return sorted((r.run_id, r.state) for r in J.run_to_end(states, str(tmp_path / "out"), str(tmp_path / "ck")).collect())
+
+    run([("a", "running", at(0)), ("b", "cancelling", at(0)), ("c", "completed", at(0)), ("d", "running", at(0))])
+    run([("d", "running", at(9)), ("x", "queued", at(12))])
+    found = run([("x", "queued", at(13))])
+    assert ("a", "interrupted") in found and ("b", "interrupted") in found and ("c", "interrupted") not in found and ("d", "interrupted") not in found
 
 
 def test_usage_once_and_states(spark, tmp_path):
