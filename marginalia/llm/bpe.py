@@ -31,26 +31,27 @@ KEPT_PIECES = 150_000
 #: What DuckDB may use in a worker.
 MEMORY = "150MB"
 
-ENCODE = f"""
+ENCODE = """
 WITH RECURSIVE state(word, tokens, done) AS (
   SELECT word, tokens, false FROM pieces
   UNION ALL
   SELECT s.word,
          CASE WHEN f.best IS NULL THEN s.tokens
-              ELSE list_concat(list_append(s.tokens[:(f.best % 65536) - 1], (f.best // 65536)::INTEGER), s.tokens[(f.best % 65536) + 2:]) END,
+              ELSE list_concat(list_append(s.tokens[:(f.best & 65535) - 1], (f.best >> 16)::INTEGER), s.tokens[(f.best & 65535) + 2:]) END,
          f.best IS NULL
   FROM state s LEFT JOIN (
-    SELECT p.word, min(m.rank * 65536 + p.place) AS best
-    FROM (SELECT word, place, tokens[place]::BIGINT * 65536 + tokens[place + 1] AS pair
-          FROM (SELECT word, tokens, unnest(range(1, len(tokens))) AS place FROM state WHERE NOT done)) p
+    SELECT p.word, min((m.rank << 16) | p.place) AS best
+    FROM (SELECT word, place, (a::BIGINT << 16) | b AS pair
+          FROM (SELECT word, unnest(range(1, len(tokens))) AS place, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b FROM state WHERE NOT done)) p
     JOIN merges m ON m.pair = p.pair
     GROUP BY p.word) f ON f.word = s.word
   WHERE NOT s.done)
 SELECT word, tokens FROM state WHERE done ORDER BY word
 """
+#: Tokens in order, one thread: the aggregate takes them as they come. Bytes stand as the characters of the same numbers.
 DECODE = """
-SELECT t.chunk, from_hex(string_agg(v.hex, '' ORDER BY t.place)) AS bytes
-FROM tokens t JOIN vocabulary v ON v.rank = t.token GROUP BY t.chunk ORDER BY t.chunk
+SELECT chunk, string_agg(latin, '') AS bytes
+FROM (SELECT t.chunk, v.latin FROM tokens t JOIN vocabulary v ON v.rank = t.token ORDER BY t.place) GROUP BY chunk ORDER BY chunk
 """
 
 
@@ -80,7 +81,7 @@ class Bpe:
         self.pairs = dict(zip(self.keys.tolist(), self.values.tolist()))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self._table("merges", pa.table({"pair": self.keys, "rank": self.values}))
-        self._table("vocabulary", pa.table({"rank": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}))
+        self._table("vocabulary", pa.table({"rank": pa.array(list(self.ranks.values()), pa.int32()), "latin": pa.array([t.decode("latin-1") for t in self.ranks])}))
         self._forget()
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -191,7 +192,7 @@ class Bpe:
             self._table("tokens", pa.table({"chunk": np.repeat(np.arange(a, b), sizes[a:b]), "place": np.arange(len(part)), "token": part.astype(np.int32)}))
             rows = self.db.sql(DECODE).to_arrow_table()
             for chunk, text in zip(rows.column("chunk").to_pylist(), rows.column("bytes").to_pylist()):
-                out[chunk] = text
+                out[chunk] = text.encode("latin-1")
         return out
 
 
