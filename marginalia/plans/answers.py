@@ -151,32 +151,26 @@ def provenance_links(spark, d):
     return found.select("package_id", "artifact_id", F.size("evidence_ids").alias("n"), F.md5(F.concat_ws(",", "evidence_ids")).alias("ids_md5"))
 
 
-def answer_states(spark, d):
-    """Users as packages: clicks are citations, errors issues, purchases complete it, many logins make it ambiguous."""
-    events = _t(spark, d, "events").select(F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("package_id"), "event_type", "value", "event_id")
-    ranked = events.where("event_type = 'click'").select("package_id", (F.floor("value") / 64).alias("citation_score"))
-    ambiguous = events.where("event_type = 'login'").groupBy("package_id").count().where("count > 2")
-    complete = events.groupBy("package_id").agg(F.max((F.col("event_type") == "purchase").cast("int")).alias("p")).select("package_id", (F.col("p") == 1).alias("complete"))
-    return E.answer_state(events.select("package_id"), ambiguous, complete, ranked, events.where("event_type = 'error' and value > 20"))
-
-
 def audited_citations(spark, d):
-    """Answers with markers in and out of order, repeated, out of range and without any."""
-    k = F.col("turn") % 5
-    text = F.substring("text", 1, 20)
+    """Answers with markers in and out of order, repeated, of one chunk, out of range and without any."""
+    k, text = F.col("turn") % 6, F.translate("text", "[]", "()")
     content = (
-        F.when(k == 0, F.concat(text, F.lit(" [2] and [1]."))).when(k == 1, F.concat(F.lit("[3]"), text, F.lit("[3][1]"))).when(k == 2, F.concat(text, F.lit(" [4]"))).when(k == 3, text).otherwise(F.concat(F.lit("[1] "), text, F.lit(" [x] [1]")))
-    )
-    rows = _t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), content.alias("content"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("citations"))
-    return E.audit_citations(rows).select("message_id", "content", F.concat_ws(",", "citations").alias("citations"), "accepted")
+        F.when(k == 0, F.concat(text, F.lit(" [2] and [1]."))).when(k == 1, F.concat(F.lit("[3]"), text, F.lit("[3][1]"))).when(k == 2, F.concat(text, F.lit(" [5]"))).when(k == 3, text)
+        .when(k == 4, F.concat(F.lit("[4][2] "), text, F.lit(" [1] [2]"))).otherwise(F.concat(text, F.lit("[1][99999999999]")))
+    )
+    cited = F.array(*[F.struct(F.lit(doc).alias("document_id"), F.lit(chunk).alias("chunk_id"), F.lit(label).alias("label")) for doc, chunk, label in (("d", "1", "a"), ("d", "2", "b"), ("e", "1", "c"), ("d", "1", "again"))])
+    rows = _t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), content.alias("content"), cited.alias("citations"))
+    return E.audit_citations(rows).select("message_id", "content", F.array_join("citations.label", ",").alias("citations"), "accepted")
 
 
 def citation_summary(spark, d):
-    """How many answers a conversation has, how many of them hold up, and their citations."""
+    """Five counts of each turn's answer, of which every other tells what was selected."""
     k = F.col("turn") % 3
-    content = F.when(k == 0, "x [2] y [1]").when(k == 1, "[7]").otherwise("none")
-    rows = _t(spark, d, "conversations").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("message_id"), content.alias("content"), F.array(F.lit("a"), F.lit("b")).alias("citations"))
-    return E.citation_summary(E.audit_citations(rows).join(rows.select("message_id", "conv_id"), "message_id"), ["conv_id"])
+    content = F.when(k == 0, "x [2] y [1]").when(k == 1, "[7]").otherwise("[2] and [2]")
+    cited = F.array(*[F.struct(F.lit("d").alias("document_id"), F.lit(x).alias("chunk_id")) for x in ("1", "2")])
+    rows = _t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), content.alias("content"), cited.alias("citations"), "turn")
+    told = rows.where("turn % 2 = 0").select("message_id", (F.col("turn") + 5).alias("input_count"), F.when(F.col("turn") > 0, F.col("turn")).alias("selected_count"))
+    return E.citation_summary(E.audit_citations(rows), told)
 
 
 def readable_sources(spark, d):
@@ -242,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search, hybrid_stages, retrieval_states, rerank_hits, document_lookups, document_contexts, expanded_queries, question_kinds, mirrored_vectors,
-        built_projections, embedded_corpus, merged_spans, provenance_links, answer_states, audited_citations, citation_summary, readable_sources, source_details,
+        built_projections, embedded_corpus, merged_spans, provenance_links, audited_citations, citation_summary, readable_sources, source_details,
         artifact_evidence, evidence_chains, looked_up_entities, graph_sample,
     )
 }
@@ -291,12 +285,12 @@ ORACLE = {
         coalesce(lang || 'a' || CASE WHEN two THEN ',' || lang || 'b' ELSE '' END, '') AS steps, NULL AS issue FROM sp
         UNION ALL SELECT source, 'a' || doc_id, NULL, NULL, NULL, 'other_generation' FROM documents WHERE doc_id % 10 = 3""",
     "provenance_links": f"""WITH {_SPANS} SELECT source AS package_id, lang AS artifact_id, count(*)::INT AS n, md5(string_agg('a' || doc_id, ',' ORDER BY 'a' || doc_id)) AS ids_md5 FROM sp GROUP BY 1, 2""",
-    "answer_states": """WITH e AS (SELECT user_id || '-' || day(ts) AS p, event_type, value FROM events)
-        SELECT p AS package_id, CASE WHEN count(*) FILTER (event_type = 'login') > 2 THEN 'ambiguous' WHEN count(*) FILTER (event_type = 'click') = 0 THEN 'unsupported' WHEN count(*) FILTER (event_type = 'error' AND value > 20) > 0 THEN 'partial'
-        WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'corpus_complete' ELSE 'grounded' END AS state, count(*) FILTER (event_type = 'click') AS citations, round(coalesce(avg(floor(value) / 64) FILTER (event_type = 'click'), 0), 6) AS confidence FROM e GROUP BY 1""",
-    "audited_citations": """SELECT conv_id || '-' || turn AS message_id, CASE turn % 5 WHEN 0 THEN left(text, 20) || ' [1] and [2].' WHEN 1 THEN '[1]' || left(text, 20) || '[1][2]' WHEN 2 THEN left(text, 20) || ' [4]' WHEN 3 THEN left(text, 20) ELSE '[1] ' || left(text, 20) || ' [x] [1]' END AS content,
-        CASE turn % 5 WHEN 0 THEN 'b,a' WHEN 1 THEN 'c,a' WHEN 4 THEN 'a' ELSE '' END AS citations, turn % 5 NOT IN (2, 3) AS accepted FROM conversations""",
-    "citation_summary": """SELECT conv_id, count(*) AS answers, count(*) FILTER (turn % 3 = 0) AS accepted, 2 * count(*) FILTER (turn % 3 = 0) AS citations FROM conversations GROUP BY 1""",
+    "audited_citations": """WITH c AS (SELECT conv_id || '-' || turn AS message_id, turn % 6 AS k, translate(text, '[]', '()') AS t FROM conversations)
+        SELECT message_id, CASE k WHEN 0 THEN t || ' [1] and [2].' WHEN 1 THEN '[1]' || t || '[1][2]' WHEN 2 THEN t || ' [5]' WHEN 3 THEN t WHEN 4 THEN '[1][2] ' || t || ' [1] [2]' ELSE t || '[1][99999999999]' END AS content,
+        CASE k WHEN 0 THEN 'b,a' WHEN 1 THEN 'c,a' WHEN 4 THEN 'again,b' ELSE '' END AS citations, k IN (0, 1, 4) AS accepted FROM c""",
+    "citation_summary": """WITH c AS (SELECT conv_id || '-' || turn AS message_id, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS cited, CASE WHEN turn % 2 = 0 THEN turn + 5 END AS given, CASE WHEN turn % 2 = 0 AND turn > 0 THEN turn END AS chosen FROM conversations),
+        s AS (SELECT *, coalesce(chosen, cited)::BIGINT AS selected FROM c)
+        SELECT message_id, coalesce(given, selected)::BIGINT AS retrieval_candidate_count, selected AS selected_evidence_count, cited::BIGINT AS cited_evidence_count, cited::BIGINT AS user_visible_source_count, greatest(0, selected - cited)::BIGINT AS unused_selected_evidence_count FROM s""",
     "readable_sources": "SELECT doc_id AS chunk_id, upper(source) AS document_title, lang || '.txt' AS source_filename, CASE WHEN doc_id % 4 = 0 THEN lang END AS section FROM documents WHERE doc_id % 10 = 0",
     "source_details": """SELECT doc_id AS chunk_id, source AS title, 'f.txt' AS source_filename, CASE WHEN doc_id % 3 > 0 THEN lang END AS section,
         concat_ws(', ', CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN 'p. ' || doc_id || CASE WHEN doc_id % 2 = 1 THEN '-' || (doc_id + 1) ELSE '' END END, 'passage ' || (doc_id % 7 + 1)) AS location FROM documents""",

@@ -193,17 +193,47 @@ def rank_citations(spark, d):
 
 
 def reconcile_items(spark, d):
+    """Five items of a source, each with all languages as values: what is kept, and what differs from an item's first value."""
     evidence, sources = _evidence(spark, d)
     valid, _ = E.validate_evidence(evidence, sources, "g1")
-    items = _t(spark, d, "documents").select(F.col("source").alias("package_id"), F.concat(F.lit("i"), (F.col("doc_id") % 5).cast("string")).alias("item_id"), F.col("lang").alias("value"), F.array(F.col("doc_id").cast("string")).alias("evidence_ids"))
-    merged, clash = E.reconcile_items(items, valid)
-    return merged.select("package_id", F.col("value").alias("key"), F.size("evidence_ids").cast("long").alias("n")).unionByName(clash.select("package_id", F.col("item_id").alias("key"), F.col("n_values").alias("n")))
+    items = _t(spark, d, "documents").select(F.col("source").alias("package_id"), F.concat(F.lit("i"), (F.col("doc_id") % 5).cast("string")).alias("item_id"), F.col("lang").alias("value"), F.array(F.col("doc_id").cast("string")).alias("evidence_ids"), "doc_id")
+    merged, clash = E.reconcile_items(items, valid, "doc_id")
+    kept = merged.select("package_id", "item_id", "value", F.size("evidence_ids").cast("long").alias("n"), F.lit(None).cast("string").alias("first"))
+    return kept.unionByName(clash.select("package_id", "item_id", F.col("right_value").alias("value"), F.lit(0).cast("long").alias("n"), F.col("left_value").alias("first")))
+
+
+def _packages(spark, d):
+    """Users' days as packages, kinds of events as steps: (contract, steps, results, failures, items, sources)."""
+    events = _t(spark, d, "events").withColumn("package_id", F.concat_ws("-", "user_id", F.dayofmonth("ts")))
+    n, most, kind = F.count(F.lit(1)), F.max("value"), F.col("event_type")
+    grouped = events.groupBy("package_id", "user_id", "event_type").agg(n.alias("n"), most.alias("most"), F.count_if(F.col("value") > 10).alias("large"))
+    state = F.when(kind == "error", F.when(F.col("most") > 20, "failed").otherwise("partial")).when((kind == "login") & (F.col("n") > 2), "ambiguous").otherwise("success")
+    results = grouped.select(
+        "package_id", kind.alias("step_id"), state.alias("state"), F.when((kind == "click") & (F.col("n") % 3 == 0), "old").otherwise("g1").alias("generation_id"), F.when(F.col("most") < 60, "complete").otherwise("partial").alias("completeness"),
+        F.when(kind != "view", F.col("n")).alias("candidate_count"), F.col("large").alias("processed_count"), F.array(kind).alias("ready_projections"),
+        F.when(kind == "error", F.array(F.lit("logs"))).alias("missing_projections"), (F.col("n") / 8).alias("confidence"),
+    )
+    packages = events.select("package_id", "user_id").distinct()
+    contract = packages.select(
+        "package_id", F.lit("g1").alias("generation_id"), F.when(F.col("user_id") % 3 == 0, "sample").otherwise("exhaustive").alias("coverage"), F.array(F.lit("view")).alias("mandatory_projections"),
+        (F.col("user_id") % 3).alias("minimum_sources"), (F.col("user_id") % 2 == 0).alias("partial_results_allowed"),
+    )
+    steps = packages.select("package_id", F.explode(F.array(*[F.struct(F.lit(x).alias("step_id"), F.lit(x in ("click", "view")).alias("required"), F.lit(x == "click").alias("generation_required")) for x in ("click", "view", "login", "purchase", "error")])).alias("s")).select("package_id", "s.*")
+    clicks = events.where("event_type = 'click'").select("package_id", F.floor(F.col("value") / 10).alias("version_id"), F.lit(1).alias("chunk_id"))
+    return contract, steps, results, events.where("event_type = 'error' AND value > 40").select("package_id"), events.where("event_type IN ('click', 'purchase')").select("package_id"), clicks
 
 
 def completeness(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("source").alias("package_id"), F.col("lang").alias("step_id"), F.lit("g1").alias("generation_id"), F.lit(1).alias("enumerated"), F.lit(1).alias("expected"), (F.col("n_chars") > 0).alias("complete"))
-    contract = docs.select("package_id", F.lit("g1").alias("generation_id"), F.array(F.lit("de"), F.lit("en"), F.lit("xx")).alias("required")).distinct()
-    return E.completeness(docs, contract).select("package_id", "enumerated", F.concat_ws(",", "missing").alias("missing"), "same_generation", "complete")
+    contract, steps, results, failures, _, sources = _packages(spark, d)
+    found = E.completeness(contract, steps, results, failures, E.source_issues(contract, sources))
+    return found.withColumns({c: F.concat_ws(",", c) for c in ("ready_projections", "missing_projections")})
+
+
+def answer_states(spark, d):
+    contract, steps, results, failures, items, sources = _packages(spark, d)
+    issues = E.source_issues(contract, sources)
+    complete = E.completeness(contract, steps, results, failures, issues)
+    return E.answer_state(contract, results, complete, items, sources, failures.limit(0), failures, issues)
 
 
 def boundary_issues(spark, d):
@@ -282,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         traverse_out, traverse_in, traverse_multi_hop, reached, resolve_endpoints, event_paths, claim_conflicts, contested_claims, conflict_report, ambiguous_names,
-        identity_candidates, resolve_mentions, build_entities, link_mentions, merge_entities, identity_operations, identity_as_of, identity_history, apply_alias_ops, align_spans, validate_spans, rank_citations, reconcile_items,
+        identity_candidates, resolve_mentions, build_entities, link_mentions, merge_entities, identity_operations, identity_as_of, identity_history, apply_alias_ops, align_spans, validate_spans, rank_citations, reconcile_items, answer_states,
         completeness, boundary_issues, price_usage, usage_totals, daily_budget, runs_by_state, run_states, memory_window, conversation_titles, carry_focus, tag_queries,
         catalog_overview, generation_ready,
     )
@@ -294,6 +324,16 @@ cand AS (SELECT p_partkey AS mention_id, entity_id, max(evidences) AS evidences,
 _PAIRS = """pairs AS (SELECT a.p_name AS subject_id, a.p_partkey AS l, b.p_partkey AS r, a.p_type AS lt, b.p_type AS rt FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand)"""
 _EV = """ev AS (SELECT source AS package_id, doc_id::VARCHAR AS evidence_id, lang, (n_chars % 40)::INT AS s, (doc_id % 10) / 10.0::DOUBLE AS relevance, (n_chars % 10) / 10.0::DOUBLE AS quality,
   CASE WHEN doc_id % 11 = 0 THEN 'other_generation' WHEN doc_id % 7 = 0 THEN 'inexact_span' ELSE 'valid' END AS state, doc_id FROM documents)"""
+#: The packages of _packages with what decides their completeness and state, in the order of the rules.
+_PACKAGES = """WITH e AS (SELECT *, user_id || '-' || day(ts) AS package_id FROM events),
+  r AS (SELECT package_id, user_id, event_type AS step, count(*) AS n, max(value) AS most, count(*) FILTER (value > 10) AS large FROM e GROUP BY ALL),
+  s AS (SELECT *, CASE WHEN step = 'error' AND most > 20 THEN 'failed' WHEN step = 'error' THEN 'partial' WHEN step = 'login' AND n > 2 THEN 'ambiguous' ELSE 'success' END AS state FROM r),
+  p AS (SELECT package_id, user_id, bool_and(state = 'success' AND most < 60) AS whole, sum(n) FILTER (step <> 'view')::BIGINT AS candidate_count, sum(large)::BIGINT AS processed_count,
+    string_agg(step, ',' ORDER BY step) AS ready_projections, bool_or(step = 'view') AS viewed, bool_or(step = 'click') AS clicked, bool_or(step = 'error') AS logless, bool_or(step = 'click' AND n % 3 = 0) AS mismatch,
+    bool_or(state = 'ambiguous') AS ambiguous, bool_or(state IN ('partial', 'failed')) AS degraded, avg(n / 8) FILTER (state IN ('success', 'partial')) AS confidence FROM s GROUP BY ALL),
+  x AS (SELECT package_id, count(DISTINCT floor(value / 10)) FILTER (event_type = 'click') AS sources, count(*) FILTER (event_type IN ('click', 'purchase')) AS items, count(*) FILTER (event_type = 'error' AND value > 40) > 0 AS failed FROM e GROUP BY 1),
+  i AS (SELECT *, user_id % 3 AS minimum, user_id % 2 = 0 AS allowed, sources < user_id % 3 OR mismatch AS issue, concat_ws(',', CASE WHEN logless THEN 'logs' END, CASE WHEN NOT viewed THEN 'view' END) AS missing_projections FROM p JOIN x USING (package_id)),
+  done AS (SELECT *, CASE WHEN user_id % 3 <> 0 AND whole AND NOT failed AND NOT issue AND missing_projections = '' AND viewed AND clicked THEN 'complete' ELSE 'partial' END AS completeness FROM i)"""
 _USE = """us AS (SELECT event_id, user_id AS workspace_id, event_type AS model, round(value)::BIGINT AS tokens,
   CASE WHEN event_type <> 'login' THEN round(value)::BIGINT * length(event_type) * 0.5::DOUBLE / 1000000 END AS cost FROM events)"""
 _EDGE = """e AS (SELECT 'lives_in:' || c_custkey AS id, 'c' || c_custkey AS a, 'n' || c_nationkey AS b, 'lives_in' AS rel FROM customer UNION ALL
@@ -353,12 +393,13 @@ ORACLE = {
         s AS (SELECT *, list_min(list_transform(p, lambda i: abs(i - 7))) AS near FROM r), t AS (SELECT *, list_filter(p, lambda i: abs(i - 7) = near) AS best FROM s)
         SELECT doc_id AS span_id, (CASE WHEN len(best) = 1 THEN best[1] ELSE 7 END)::INT AS start_offset FROM t""",
     "validate_spans": f"WITH {_EV} SELECT package_id, evidence_id, state FROM ev",
-    "rank_citations": f"""WITH {_EV}, c AS (SELECT package_id, evidence_id, round(0.6::DOUBLE * relevance + 0.3::DOUBLE * quality + 0.1::DOUBLE * 1 / 3, 6) AS score FROM ev WHERE state = 'valid')
-        SELECT package_id, evidence_id, round(score, 4) AS score, row_number() OVER (PARTITION BY package_id ORDER BY score DESC, evidence_id) AS citation FROM c""",
-    "reconcile_items": f"""WITH {_EV}, h AS (SELECT package_id, 'i' || (doc_id % 5) AS item, lang, evidence_id FROM ev WHERE state = 'valid')
-        SELECT package_id, lang AS key, count(DISTINCT evidence_id) AS n FROM h GROUP BY 1, 2 UNION ALL SELECT package_id, item, count(DISTINCT lang) FROM h GROUP BY 1, 2 HAVING count(DISTINCT lang) > 1""",
-    "completeness": """SELECT source AS package_id, count(*) AS enumerated, array_to_string(list_filter(['de', 'en', 'xx'], lambda x: NOT list_contains(l, x)), ',') AS missing, true AS same_generation, false AS complete
-        FROM (SELECT source, lang, list(lang) OVER (PARTITION BY source) AS l FROM documents) GROUP BY source, l""",
+    "rank_citations": f"""WITH {_EV}, c AS (SELECT package_id, evidence_id, relevance * 0.6::DOUBLE + quality * 0.3::DOUBLE + 1::DOUBLE / 3 * 0.1::DOUBLE AS score FROM ev WHERE state = 'valid')
+        SELECT package_id, evidence_id, round(score, 4) AS score, row_number() OVER (PARTITION BY package_id ORDER BY score DESC, evidence_id DESC) AS citation FROM c""",
+    "reconcile_items": f"""WITH {_EV}, h AS (SELECT package_id, 'i' || (doc_id % 5) AS item_id, lang AS value, count(*) AS n, min(doc_id) AS spot FROM ev WHERE state = 'valid' GROUP BY ALL)
+        SELECT package_id, item_id, value, n, NULL::VARCHAR AS first FROM h UNION ALL SELECT package_id, item_id, value, 0, first FROM (SELECT *, first_value(value) OVER (PARTITION BY package_id, item_id ORDER BY spot) AS first FROM h) WHERE value <> first""",
+    "completeness": f"{_PACKAGES} SELECT package_id, completeness AS state, candidate_count, processed_count, ready_projections, missing_projections, mismatch AS generation_mismatch FROM done",
+    "answer_states": f"""{_PACKAGES} SELECT package_id, CASE WHEN ambiguous THEN 'ambiguous' WHEN items > 0 AND sources >= minimum AND completeness = 'complete' THEN 'corpus_complete'
+        WHEN items > 0 AND sources >= minimum AND NOT (failed OR issue OR degraded) THEN 'grounded' WHEN items > 0 AND sources >= minimum AND allowed THEN 'partial' ELSE 'unsupported' END AS state, sources, round(coalesce(confidence, 0), 6) AS confidence FROM done""",
     "boundary_issues": """SELECT source AS package_id, 'mixed_workspaces' AS issue, NULL::VARCHAR AS subject FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1
         UNION ALL SELECT source, 'duplicate_result', lang FROM documents GROUP BY source, lang HAVING count(*) > 1
         UNION ALL SELECT DISTINCT source, 'undeclared_step', lang FROM documents WHERE lang = 'fr'""",

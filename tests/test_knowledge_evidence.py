@@ -130,25 +130,70 @@ def test_evidence(spark):
     row = valid.first()
     assert valid.count() == 1 and (row.evidence_id, row.aliases, row.relevance, row.quality, row.steps) == ("e1", ["e1", "e2"], 0.9, 0.5, ["s1", "s2"])
     assert {(r.evidence_id, r.issue) for r in issues.collect()} == {("e3", "inexact_span"), ("e4", "other_generation"), ("e5", "unknown_source"), ("e6", "conflicting_id")}
-    items = spark.createDataFrame([("p", "i1", "x", ["e1"]), ("p", "i2", "x", ["e2"]), ("p", "i1", "y", ["e2"]), ("p", "i3", "z", ["e4"])], "package_id string, item_id string, value string, evidence_ids array<string>")
+    items = spark.createDataFrame([("p", "i1", "x", ["e1"]), ("p", "i2", "x", ["e2"]), ("p", "i1", "y", ["e2"]), ("p", "i3", "z", ["e4"]), ("p", "i1", "x", ["e2", "e4"])], "package_id string, item_id string, value string, evidence_ids array<string>")
     merged, clash = E.reconcile_items(items, valid)
-    assert {(r.value, tuple(r.merged)) for r in merged.collect()} == {("x", ("i1", "i2")), ("y", ("i1",))} and clash.first().item_id == "i1"
+    assert {(r.item_id, r.value, tuple(r.evidence_ids)) for r in merged.collect()} == {("i1", "x", ("e1",)), ("i2", "x", ("e1",)), ("i1", "y", ("e1",))}
+    assert [tuple(r) for r in clash.collect()] == [("p", "i1", "x", "y")]
     ranked = E.rank_citations(valid)
     assert ranked.first().citation_score == pytest.approx(0.6 * 0.9 + 0.3 * 0.5 + 0.1 * 2 / 3, abs=1e-6)
-    packages = spark.createDataFrame([("p",), ("q",)], "package_id string")
-    empty = packages.limit(0)
-    done = packages.where("package_id = 'p'").withColumn("complete", F.lit(True))
-    state = lambda i, a: {r.package_id: r.state for r in E.answer_state(packages, a, done, ranked, i).collect()}
-    assert state(empty, empty) == {"p": "corpus_complete", "q": "unsupported"}
-    assert state(issues, empty)["p"] == "partial" and state(issues, packages)["p"] == "ambiguous"
+    same = spark.createDataFrame([("p", "a", 1.0, 1.0, ["s", "t", "u", "v"]), ("p", "b", 1.0, 1.0, ["s", "t", "u"])], "package_id string, evidence_id string, relevance double, quality double, steps array<string>")
+    assert {r.evidence_id: (r.citation, r.citation_score) for r in E.rank_citations(same).collect()} == {"b": (1, 1.0), "a": (2, 1.0)}
     links = spark.createDataFrame([("p", "a1", ["e2", "e3"]), ("p", "a2", ["e3"])], "package_id string, artifact_id string, evidence_ids array<string>")
     assert [tuple(r) for r in E.valid_links(links, valid).collect()] == [("p", "a1", ["e1"])]
 
 
+STATES = [
+    # what differs from a package that has all: contract, results (step, state, generation, completeness), failures, issues, items, ambiguities -> completeness, state
+    ("all", {}, "complete", "corpus_complete"),
+    ("sample", {"coverage": "sample"}, "partial", "grounded"),
+    ("few sources", {"minimum": 3}, "partial", "unsupported"),
+    ("no item", {"items": 0}, "complete", "unsupported"),
+    ("failed", {"failures": 1}, "partial", "partial"),
+    ("failed, not allowed", {"failures": 1, "allowed": False}, "partial", "unsupported"),
+    ("issue", {"issues": 1}, "partial", "partial"),
+    ("a partial result", {"b": ("partial", "g", "complete")}, "partial", "partial"),
+    ("an ambiguous result", {"b": ("ambiguous", "g", "complete")}, "partial", "ambiguous"),
+    ("ambiguity", {"ambiguities": 1}, "complete", "ambiguous"),
+    ("not complete", {"b": ("success", "g", "partial")}, "partial", "grounded"),
+    ("another generation", {"a": ("success", "old", "complete")}, "partial", "partial"),
+    ("another generation that may be", {"b": ("success", "old", "complete")}, "complete", "corpus_complete"),
+    ("required step without result", {"a": None}, "partial", "grounded"),
+    ("missing projection", {"mandatory": ["a", "z"]}, "partial", "grounded"),
+    ("nothing", {"a": None, "b": None, "items": 0}, "unknown", "unsupported"),
+]
+
+
+def test_states(spark):
+    packages = {name: given for name, given, _, _ in STATES}
+    contract = spark.createDataFrame([(n, "g", g.get("coverage", "exhaustive"), g.get("mandatory", ["a"]), g.get("minimum", 2), g.get("allowed", True)) for n, g in packages.items()], "package_id string, generation_id string, coverage string, mandatory_projections array<string>, minimum_sources int, partial_results_allowed boolean")
+    steps = spark.createDataFrame([(n, s, s == "a", s == "a") for n in packages for s in "ab"], "package_id string, step_id string, required boolean, generation_required boolean")
+    rows = [(n, s, *r, 2, 1, ["a", s], None, 0.5 if s == "a" else 0.9) for n, g in packages.items() for s in "ab" if (r := g.get(s, ("success", "g", "complete")))]
+    results = spark.createDataFrame(rows, "package_id string, step_id string, state string, generation_id string, completeness string, candidate_count int, processed_count int, ready_projections array<string>, missing_projections array<string>, confidence double")
+    of = lambda key, default: spark.createDataFrame([(n,) for n, g in packages.items() for _ in range(g.get(key, default))], "package_id string")
+    valid = spark.createDataFrame([(n, "v", str(c)) for n in packages for c in (1, 1, 2)], "package_id string, version_id string, chunk_id string")
+    issues = of("issues", 0).unionByName(E.source_issues(contract, valid).select("package_id"))
+    complete = E.completeness(contract, steps, results, of("failures", 0), issues)
+    found = E.answer_state(contract, results, complete, of("items", 2), valid, of("ambiguities", 0), of("failures", 0), issues)
+    states = {r.package_id: r for r in found.collect()}
+    report = {r.package_id: r for r in complete.collect()}
+    assert {n: (report[n].state, states[n].state) for n in packages} == {n: (c, s) for n, _, c, s in STATES}
+    assert (states["all"].confidence, states["nothing"].confidence, states["an ambiguous result"].confidence) == (0.7, 0.0, 0.5)
+    assert (report["all"].candidate_count, report["nothing"].candidate_count, report["missing projection"].missing_projections) == (4, None, ["z"])
+
+
+def cited(*chunks):
+    return [("d", c) for c in chunks]
+
+
 def test_citations(spark):
-    df = spark.createDataFrame([(1, "x [1] y [3] z [5][1].", ["a", "b", "c", "d", "e"]), (2, "none", ["a"]), (3, "bad [2]", ["a"])], "message_id int, content string, citations array<string>")
-    got = {r.message_id: (r.content, r.citations, r.accepted) for r in E.audit_citations(df).collect()}
-    assert got == {1: ("x [1] y [2] z [3][1].", ["a", "c", "e"], True), 2: ("none", [], False), 3: ("bad [2]", [], False)}
+    df = spark.createDataFrame([(1, "x [1] y [3] z [5][1].", cited(*"abcde")), (2, "none", cited("a")), (3, "bad [2]", cited("a")), (4, "[2] [3] [1] [2]", cited("a", "b", "a")), (5, "[1][99999999999]", cited("a")), (6, "[0]", cited("a")), (7, None, cited("a"))], "message_id int, content string, citations array<struct<document_id:string,chunk_id:string>>")
+    audited = E.audit_citations(df)
+    got = {r.message_id: (r.content, [c.chunk_id for c in r.citations], r.accepted) for r in audited.collect()}
+    assert got == {
+        1: ("x [1] y [2] z [3][1].", ["a", "c", "e"], True), 2: ("none", [], False), 3: ("bad [2]", [], False), 4: ("[1] [2] [2] [1]", ["b", "a"], True), 5: ("[1][99999999999]", [], False), 6: ("[0]", [], False), 7: (None, [], False),
+    }
+    told = spark.createDataFrame([(1, 9, 4), (4, None, None), (3, 2, 0)], "message_id int, input_count int, selected_count int")
+    assert {r[0]: tuple(r)[1:] for r in E.citation_summary(audited, told).collect()} == {1: (9, 4, 3, 3, 1), 2: (0, 0, 0, 0, 0), 3: (2, 0, 0, 0, 0), 4: (2, 2, 2, 2, 0), 5: (0, 0, 0, 0, 0), 6: (0, 0, 0, 0, 0), 7: (0, 0, 0, 0, 0)}
 
 
 def test_orphans(spark):
