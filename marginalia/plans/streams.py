@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import property as P
+from marginalia.operators.names import find_names
 from marginalia.sources.event_log import append_events, stream_log
 from marginalia.sources.session import shared_folder
 from marginalia.sources.store import Store
@@ -124,7 +125,22 @@ def _spoken(spark, d):
 
 def spoken_claims(spark, d):
     claims = P.property_claims(*_spoken(spark, d))
-    return claims.select("chunk_id", "entity", "block", "parcel", "independent_section", "normalized_share", F.concat_ws(",", "relations").alias("relations"), F.concat_ws(",", "warnings").alias("warnings"), "confidence")
+    return claims.select("chunk_id", "entity", "block", "parcel", "independent_section", "normalized_share", F.concat_ws(",", "relations").alias("relations"), F.concat_ws(",", "warnings").alias("warnings"), F.concat_ws(",", "extraction_basis").alias("basis"), "record_date", "confidence")
+
+
+def spoken_execution(spark, d):
+    """What was looked at and found in all sentences."""
+    chunks, names = _spoken(spark, d)
+    chunks = chunks.withColumn("document_id", F.col("chunk_id") % 100)
+    claims = P.property_claims(chunks, names)
+    return P.property_execution(chunks, names, claims, P.aggregate_properties(claims))
+
+
+def named_texts(spark, d):
+    """Every occurrence of the parts' names among the names of parts, two at a time."""
+    part = _t(spark, d, "part")
+    texts = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.upper("p_name"), "p_name", F.lit("x")).alias("text"))
+    return find_names(texts, part.select("p_name"), "id", "text", "p_name")
 
 
 def spoken_fractions(spark, d):
@@ -140,8 +156,9 @@ def spoken_places(spark, d):
 
 
 def property_conflicts(spark, d):
-    """Shares of a nation's parcels that differ between claims."""
-    properties, _ = P.aggregate_properties(P.property_claims(*_deeds(spark, d)).withColumn("sheet", F.lit(None).cast("string")).withColumn("province", F.lit(None).cast("string")).withColumn("parcel", F.lit(None).cast("string")))
+    """Shares of a nation's blocks that differ between claims."""
+    blank = {c: F.lit(None).cast("string") for c in ("sheet", "province", "parcel")}
+    properties = P.aggregate_properties(P.property_claims(*_deeds(spark, d)).withColumns(blank))
     return properties.select("entity", "identity_key", "n_claims", F.concat_ws(",", "shares").alias("shares"), "conflict")
 
 
@@ -150,8 +167,8 @@ def _deeds(spark, d):
     c = _t(spark, d, "customer").join(F.broadcast(_t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
     share = F.concat((k % 4 + 1).cast("string"), F.lit("/"), F.lit("8 hissesi "))
-    text = F.concat(F.lit("İl: Ankara ilçe "), (k % 50).cast("string"), F.lit(" pafta "), (k % 300).cast("string"), F.lit(" ada "), (k % 70).cast("string"), F.lit(" sayılı parsel, "), share, F.col("n_name"))
-    return c.select(k.alias("chunk_id"), text.alias("content")), _t(spark, d, "nation").select(F.col("n_name").alias("entity"))
+    text = F.concat(F.lit("İl: Ankara ilçe "), (k % 50).cast("string"), F.lit(" pafta "), (k % 300).cast("string"), F.lit(" ada "), (k % 70).cast("string"), F.lit(" sayılı parsel, "), share, F.col("n_name"), F.lit(" Bey"))
+    return c.select(k.alias("chunk_id"), text.alias("content")), _t(spark, d, "nation").select(F.concat("n_name", F.lit(" Bey")).alias("entity"))
 
 
 def cadastral_fields(spark, d):
@@ -170,18 +187,17 @@ def property_claims(spark, d):
 
 
 def property_counts(spark, d):
-    properties, _ = P.aggregate_properties(P.property_claims(*_deeds(spark, d)))
+    properties = P.aggregate_properties(P.property_claims(*_deeds(spark, d)))
     return P.property_counts(properties)
 
 
 def ownership_facts(spark, d):
-    facts = P.ownership_facts(P.property_claims(*_deeds(spark, d)))
-    return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("facts"))
+    return P.ownership_facts(*_deeds(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, pending_state, pending_costs, pending_sizes, log_resumed, log_from_cursor, stream_tail_to_end, stream_run_states, spoken_claims, spoken_fractions, spoken_places, property_conflicts, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_daily_budget, stream_tail, pending_trigger, pending_state, pending_costs, pending_sizes, log_resumed, log_from_cursor, stream_tail_to_end, stream_run_states, spoken_claims, spoken_execution, named_texts, spoken_fractions, spoken_places, property_conflicts, cadastral_fields, share_classes, property_claims, property_counts, ownership_facts)}
 
-_DEED = "de AS (SELECT c_custkey AS k, n_name AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+_DEED = "de AS (SELECT c_custkey AS k, n_name || ' Bey' AS entity FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 #: Each event judged when it comes: a count of events since the last purchase, then size, cost and threshold, in this order.
 _JUDGED = """c AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS made FROM events),
         p AS (SELECT *, count(*) FILTER (event_type <> 'purchase') OVER (PARTITION BY user_id, made ORDER BY event_id) AS pending FROM c)"""
@@ -195,6 +211,10 @@ def _judged(threshold: int, most: int, warning: float, automatic: bool = True) -
 
 
 _RUNS = "SELECT event_id, user_id AS run_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END AS state, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events"
+_SPOKEN = """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS s, c_custkey % 4 + 1 AS a, c_custkey % 3 + 6 AS b FROM customer),
+  w AS (SELECT k, s, 'Ali Can' || k % 10 AS entity, CASE WHEN s < 3 THEN k::VARCHAR END AS block, CASE s WHEN 0 THEN k::VARCHAR WHEN 1 THEN (k + 1)::VARCHAR WHEN 4 THEN k::VARCHAR END AS parcel, CASE WHEN s = 4 THEN '7' END AS section,
+    CASE WHEN s < 4 THEN (a // gcd(a, b)) || '/' || (b // gcd(a, b)) END AS share, CASE WHEN s < 4 THEN 'share_owner' WHEN s = 4 THEN 'registered_owner' ELSE '' END AS relations FROM c),
+  told AS (SELECT * FROM w WHERE s NOT IN (3, 5))"""
 ORACLE = {
     "stream_daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(sum(value), 4) AS spend, sum(value) >= 150 AS over FROM events WHERE event_type <> 'view' GROUP BY 1, 2",
     "pending_trigger": f"{_judged(5, 8, 90.0)} SELECT * FROM j",
@@ -212,10 +232,14 @@ ORACLE = {
         l AS (SELECT *, lag(st) OVER (PARTITION BY user_id ORDER BY ts) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r, max(ts) OVER () AS now FROM s)
         SELECT user_id AS run_id, st AS state, count(*) AS changes FROM l WHERE st IS DISTINCT FROM before GROUP BY 1, 2
         UNION ALL SELECT user_id, 'interrupted', 1 FROM l WHERE r = 1 AND st = 'running' AND ts + INTERVAL 1 DAY < now - INTERVAL 10 MINUTE""",
-    "spoken_claims": """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS s, c_custkey % 4 + 1 AS a, c_custkey % 3 + 6 AS b FROM customer), w AS (SELECT *, s >= 2 AS incomplete, s = 5 AS unbound FROM c)
-        SELECT k AS chunk_id, 'Ali Can' || k % 10 AS entity, CASE WHEN s < 3 THEN k::VARCHAR END AS block, CASE s WHEN 0 THEN (k + 1)::VARCHAR WHEN 1 THEN (k + 1)::VARCHAR WHEN 4 THEN k::VARCHAR END AS parcel, CASE WHEN s = 4 THEN '7' END AS independent_section,
-        CASE WHEN s < 4 THEN (a // gcd(a, b)) || '/' || (b // gcd(a, b)) END AS normalized_share, CASE WHEN s < 4 THEN 'share_owner' WHEN s = 4 THEN 'registered_owner' ELSE '' END AS relations,
-        concat_ws(',', CASE WHEN incomplete THEN 'identity_incomplete' END, CASE WHEN unbound THEN 'owner_not_bound' END) AS warnings, round(0.9 - 0.2 * (incomplete::INT + unbound::INT), 2)::DOUBLE AS confidence FROM w""",
+    "spoken_claims": f"""{_SPOKEN} SELECT k AS chunk_id, entity, block, parcel, section AS independent_section, share AS normalized_share, relations,
+        CASE WHEN parcel IS NULL THEN 'missing_parcel,partial_property_identity' ELSE '' END AS warnings, concat_ws(',', CASE WHEN block IS NOT NULL THEN 'explicit_block_label' END, CASE WHEN parcel IS NOT NULL THEN 'explicit_parcel_label' END, CASE WHEN section IS NOT NULL THEN 'explicit_independent_section_label' END) AS basis,
+        NULL::VARCHAR AS record_date, 0.9::DOUBLE AS confidence FROM told""",
+    "spoken_execution": f"""{_SPOKEN} SELECT (SELECT count(DISTINCT k % 100) FROM w) AS active_documents, (SELECT count(*) FROM w) AS active_chunks, (SELECT count(DISTINCT k % 100) FROM w) AS candidate_documents, (SELECT count(*) FROM w) AS candidate_chunks,
+        (SELECT count(*) FROM told) AS extracted_claims, (SELECT count(DISTINCT (entity, block, parcel, section)) FROM told) AS deduplicated_properties, (SELECT count(DISTINCT k % 100) FROM w) AS processed_documents, (SELECT count(*) FROM w) AS processed_chunks, (SELECT count(*) FROM told) AS normalized_claims, true AS complete""",
+    "named_texts": """WITH t AS (SELECT p_partkey AS id, lower(p_name) || ' ' || lower(p_name) || ' x' AS text FROM part), n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part),
+        o AS (SELECT id, name, length(low)::INT AS n, text, low, unnest(range(0, length(text) - length(low) + 1)) AS place FROM t JOIN n ON contains(text, low))
+        SELECT id, name, place AS "at", n FROM o WHERE substr(text, (place + 1)::BIGINT, n) = low""",
     "spoken_fractions": """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS s, (c_custkey % 4 + 1) || '/' || (c_custkey % 3 + 6) AS f FROM customer)
         SELECT k AS id, 0 AS turn, f AS fraction, 'ownership_share' AS kind FROM c WHERE s < 3 UNION ALL SELECT k, 0, '12/34', 'legal_identifier' FROM c WHERE s = 3 UNION ALL SELECT k, 1, f, 'ownership_share' FROM c WHERE s = 3
         UNION ALL SELECT k, 0, '3/5/2020', 'date' FROM c WHERE s = 5 UNION ALL SELECT k, 1, '4/9', 'unknown_fraction' FROM c WHERE s = 5""",
@@ -225,7 +249,7 @@ ORACLE = {
     "cadastral_fields": "SELECT c_custkey AS chunk_id, (c_custkey % 50)::VARCHAR AS sheet, (c_custkey % 300)::VARCHAR AS block, (c_custkey % 70)::VARCHAR AS parcel, 'Ankara' AS province FROM customer",
     "share_classes": "SELECT c_custkey AS id, c_custkey % 4 + 1 AS numerator, 8::BIGINT AS denominator, 'ownership_share' AS kind FROM customer",
     "property_claims": f"""WITH {_DEED} SELECT k AS chunk_id, entity, (k % 50)::VARCHAR AS sheet, (k % 300)::VARCHAR AS block, (k % 70)::VARCHAR AS parcel,
-        ((k % 4 + 1) // gcd(k % 4 + 1, 8)) || '/' || (8 // gcd(k % 4 + 1, 8)) AS normalized_share, 0.9::DOUBLE AS confidence FROM de""",
-    "property_counts": f"WITH {_DEED} SELECT entity, count(DISTINCT (k % 50, k % 300, k % 70)) AS properties, count(DISTINCT (k % 300, k % 70)) AS parcels FROM de GROUP BY 1",
-    "ownership_facts": f"WITH {_DEED} SELECT entity, count(DISTINCT (k % 300, k % 70)) AS facts FROM de GROUP BY 1",
+        ((k % 4 + 1) // gcd(k % 4 + 1, 8)) || '/' || (8 // gcd(k % 4 + 1, 8)) AS normalized_share, 0.98::DOUBLE AS confidence FROM de""",
+    "property_counts": f"WITH {_DEED} SELECT entity, count(DISTINCT (k % 50, k % 300, k % 70)) AS properties, count(DISTINCT k % 70) AS parcels FROM de GROUP BY 1",
+    "ownership_facts": f"""WITH {_DEED} SELECT entity, (k % 50)::VARCHAR AS sheet, (k % 300)::VARCHAR AS block, (k % 70)::VARCHAR AS parcel, (k % 4 + 1) || '/8' AS share, k AS chunk FROM de QUALIFY row_number() OVER (PARTITION BY entity, k % 300, k % 70 ORDER BY k) = 1""",
 }

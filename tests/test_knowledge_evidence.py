@@ -208,7 +208,7 @@ OWNER = "Deniz Kaya"
     "text,sheet,block,parcel",
     [
         ("40 pafta 303 ada 16 parsel", "40", "303", "16"), ("40 pafta, 303 ada, 16 sayılı parsel", "40", "303", "16"), ("303 ada 16 parsel", None, "303", "16"), ("1 pafta 68 parsel", "1", None, "68"), ("68 nolu parsel", None, None, "68"),
-        ("17 ada 25 parsel", None, "17", "25"), ("248 pafta 1 ada", "248", "1", None), ("17 ada", None, "17", None), ("pafta 40 ada 303 parsel 16", "40", "303", "16"),
+        ("17 ada 25 parsel", None, "17", "25"), ("248 pafta 1 ada", "248", "1", None), ("17 ada", None, "17", None), ("pafta 40 ada 303 parsel 16", "40", "303", "16"), ("taşınmaz ada 5, 7 parsel", None, "5", "7"), ("parsel no 9", None, None, "9"),
     ],
 )
 def test_cadastral(spark, text, sheet, block, parcel):
@@ -234,10 +234,35 @@ def test_property_aggregation(spark):
     chunks = spark.createDataFrame([("c1", text), ("c2", text + " tapu"), ("c3", "başka bir metin")], "chunk_id string, content string")
     names = spark.createDataFrame([(OWNER,)], "entity string")
     claims = P.property_claims(chunks, names)
-    properties, summary = P.aggregate_properties(claims)
+    properties = P.aggregate_properties(claims)
     row = properties.first()
-    assert properties.count() == 1 and row.n_claims == 2 and tuple(summary.first()) == (2, 2)
+    assert properties.count() == 1 and row.n_claims == 2
+    assert claims.select("confidence", "identity_complete", "relations").distinct().count() == 1 and claims.first().confidence == 0.98
+    counts = P.property_execution(chunks.withColumn("document_id", F.lit("d")), names, claims, properties).first().asDict()
+    assert counts == {"active_documents": 1, "active_chunks": 3, "candidate_documents": 1, "candidate_chunks": 2, "extracted_claims": 2, "deduplicated_properties": 1, "processed_documents": 1, "processed_chunks": 2, "normalized_claims": 2, "complete": True}
     assert (row.fields.province, row.fields.district, row.fields.neighborhood, row.fields.parcel) == ("Ankara", "Çankaya", "Merkez", "68")
     assert tuple(P.property_counts(properties).first()) == (OWNER, 1, 1)
     assert properties.select(P.property_display().alias("d")).first().d == "Ankara, Çankaya, Merkez — 1 pafta, 2 ada, 68 parsel"
-    assert [tuple(r) for r in P.ownership_facts(claims).select("entity", "block", "parcel").collect()] == [(OWNER, "2", "68")]
+    told = chunks.where("false").unionByName(spark.createDataFrame([("f1", f"1 pafta 2 ada 68 parsel tapu, {OWNER} adına kayıtlıdır"), ("f2", f"2 ada 68 nolu parsel tapu, {OWNER}'in payı 1/2"), ("f3", f"9 ada 7 parsel, {OWNER} gördü"), ("f4", f"tapu: {OWNER} için 1/4 hisse"), ("f5", f"tapu: {OWNER} için 1/5 hisse")], "chunk_id string, content string"))
+    assert sorted(tuple(r)[1:] for r in P.ownership_facts(told, names).collect() if r.block) == [("1", "2", "68", None, "f1")]
+    assert [tuple(r)[1:] for r in P.ownership_facts(told, names).collect() if not r.block] == [(None, None, None, "1/5", "f5")]
+
+
+def test_claims_need_a_field(spark):
+    chunks = spark.createDataFrame([("c1", f"tapu {OWNER} 1/8 hisse"), ("c2", f"tapu 3.4.1988, {OWNER} için pay 0/8 hisse 2/0, D: 4"), ("c3", f"{OWNER}lar 7 parsel"), ("c4", f"{OWNER} 7 numara")], "chunk_id string, content string")
+    found = {r.chunk_id: r for r in P.property_claims(chunks, spark.createDataFrame([(OWNER.upper(),)], "entity string")).collect()}
+    assert set(found) == {"c2", "c3"} and found["c3"].identity_complete and not found["c2"].identity_complete
+    assert (found["c2"].record_date, found["c2"].warnings, found["c2"].extraction_basis, found["c2"].confidence) == ("3.4.1988", ["missing_parcel", "partial_property_identity"], ["explicit_independent_section_label"], 0.9)
+
+
+def test_names_in_texts(spark, monkeypatch):
+    from marginalia.operators import names as N
+
+    texts = spark.createDataFrame([(1, "ABab aba"), (2, None), (3, "STRASSE straße x_ab")], "id int, text string")
+    table = spark.createDataFrame([("ab",), ("aba",), ("straße",), ("Strasse",), ("",), (None,)], "name string")
+    want = {(1, "ab", 0), (1, "ab", 2), (1, "aba", 0), (1, "ab", 5), (1, "aba", 5), (3, "straße", 0), (3, "Strasse", 0), (3, "straße", 8), (3, "Strasse", 8), (3, "ab", 18)}
+    assert {tuple(r)[:3] for r in N.find_names(texts, table, "id", "text").collect()} == want
+    monkeypatch.setattr(N, "SHARD_CHARACTERS", 5)
+    assert {tuple(r)[:3] for r in N.find_names(texts, table, "id", "text").collect()} == want
+    whole = {tuple(r)[:3] for r in N.find_names(texts, table, "id", "text", whole_words=True).collect()}
+    assert whole == {(1, "aba", 5), (3, "straße", 0), (3, "Strasse", 0), (3, "straße", 8), (3, "Strasse", 8)}
