@@ -75,10 +75,13 @@ def embedding_text(title: Column, heading: Column, content: Column) -> Column:
 
 
 def match_reason(heading: Column, content: Column, text: Column) -> Column:
-    """The heading if it holds the text, else the sentence that does, at most 160 characters."""
-    has = lambda c: F.contains(F.lower(c), F.lower(text))
-    sentence = F.get(F.filter(F.split(content, r"(?<=[.!?])\s+|\n+"), has), F.lit(0))
-    return F.substring(F.when(has(F.coalesce(heading, F.lit(""))), heading).otherwise(F.coalesce(sentence, F.substring(content, 1, 160))), 1, 160)
+    """The heading if there is one, else the first sentence that holds the text, else the first; over 160 characters cut with an ellipsis."""
+    sentences = F.split(F.trim(content), r"(?<=[.!?])\s+|\n+")
+    wanted = F.lower(F.trim(text))
+    holds = F.filter(sentences, lambda x: (wanted != "") & F.contains(F.lower(x), wanted))
+    said = F.coalesce(F.get(holds, F.lit(0)), F.get(sentences, F.lit(0)))
+    short = F.when(F.length(said) <= 160, said).otherwise(F.concat(F.rtrim(F.substring(said, 1, 157)), F.lit("…")))
+    return F.coalesce(F.nullif(heading, F.lit("")), short)
 
 
 def redact_secrets(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,26 +13,33 @@ from pyspark.sql import functions as F
 from marginalia.operators.relational import first_seen
 
 CHUNK_WORDS, CHUNK_OVERLAP = 500, 50
+PARAGRAPH_END = re.compile(r"\n\s*\n")
 
 
 def split_logical(docs: DataFrame) -> DataFrame:
     """Sections of documents (doc_id, text) at level-2 headings; a document without one is one section.
 
-    Returns doc_id, ordinal (from 0), title (null without a heading), content. Deeper headings stay inside their section;
+    Returns doc_id, ordinal (from 0), title (without a heading the file's name without its ending, from source_original if that
+    column is there), content. Deeper headings stay inside their section;
     text before the first heading is no section. Lines are numbered and grouped within a document, in expressions: one
     row a document goes in, its sections come out, without a shuffle.
     """
     parts = F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=##[ \t]+\S)")
-    numbered = docs.select("doc_id", F.posexplode(parts).alias("at", "part"), (F.size(parts) > 1).alias("cut"))
+    file = F.regexp_extract("source_original", r"([^/]*)/*$", 1) if "source_original" in docs.columns else F.lit(None).cast("string")
+    stem = F.coalesce(F.nullif(F.regexp_extract(file, r"^(.+)\.[^.]+$", 1), F.lit("")), file)
+    numbered = docs.select("doc_id", F.posexplode(parts).alias("at", "part"), (F.size(parts) > 1).alias("cut"), stem.alias("stem"))
     kept = numbered.where((F.col("at") > 0) | ~F.col("cut"))
-    title = F.when(F.col("cut"), F.trim(F.regexp_extract("part", r"^##[ \t]+([^\n]*)", 1)))
+    title = F.when(F.col("cut"), F.trim(F.regexp_extract("part", r"^##[ \t]+([^\n]*)", 1))).otherwise(F.col("stem"))
     return kept.select("doc_id", F.when(F.col("cut"), F.col("at") - 1).otherwise(0).alias("ordinal"), title.alias("title"), F.trim(F.regexp_replace("part", r"^\n", "")).alias("content"))
 
 
 def section_pages(sections: DataFrame) -> DataFrame:
-    """page_end of each section: the page before the next one's, at least its own first."""
+    """page_end of each section: the page before the next one's, at least its own first; where no next page is known
+    the document's total_pages, if that column is there and known, else its own. Without page_start there is none."""
     following = F.lead("page_start").over(W.partitionBy("doc_id").orderBy("ordinal"))
-    return sections.withColumn("page_end", F.greatest("page_start", F.coalesce(following - 1, "page_start")))
+    total = F.col("total_pages") if "total_pages" in sections.columns else F.lit(None).cast("long")
+    end = F.when(following.isNotNull(), F.greatest("page_start", following - 1)).otherwise(F.coalesce(total, "page_start"))
+    return sections.withColumn("page_end", F.when(F.col("page_start").isNotNull(), end))
 
 
 def tag_type(sections: DataFrame, rules: list[tuple[str, list[str]]], default: str = "document") -> DataFrame:
@@ -46,32 +54,42 @@ def tag_type(sections: DataFrame, rules: list[tuple[str, list[str]]], default: s
     return sections.withColumn("document_type", F.coalesce(tag, F.lit(default)))
 
 
+def _paragraphs(text: str) -> Iterator[tuple[str | None, list[str]]]:
+    """The words of each paragraph with the heading that it stands under; a heading's line is no text."""
+    heading = None
+    for paragraph in PARAGRAPH_END.split(text.strip()):
+        line, _, rest = paragraph.partition("\n")
+        if line.startswith("#"):
+            heading, paragraph = line.lstrip("#").strip() or None, rest
+        if words := paragraph.split():
+            yield heading, words
+
+
 def _pack(text: str, limit: int, overlap: int) -> Iterator[tuple[str, str | None]]:
-    """Passages of up to `limit` words of the paragraphs in turn, each with the heading of its last paragraph."""
+    """Passages of paragraphs in turn, each with the last heading that it has; a paragraph that does not fit begins one with
+    the last `overlap` words, and one of over `limit` words is cut, each piece after the words that it repeats."""
     held: list[str] = []
-    heading = current = None
-    fresh = 0
-    for block in (b for b in text.split("\n\n") if b.strip()):
-        line = block.strip().split("\n", 1)[0]
-        if line.startswith("#"):
-            current = line.lstrip("#").strip()
-        words = block.split()
-        if fresh and len(held) + len(words) > limit:
-            yield " ".join(held), heading
-            held, fresh = held[-overlap:] if overlap else [], 0
-        held += words
-        fresh += len(words)
-        heading = current
-        while len(held) > limit:
-            yield " ".join(held[:limit]), heading
-            held = held[limit - overlap :]
-            fresh = len(held) - overlap
-    if fresh > 0:
-        yield " ".join(held), heading
+    under = None
+    tail = lambda words: words[len(words) - overlap :] if overlap < len(words) else words if overlap else []
+    for heading, words in _paragraphs(text):
+        if held and len(held) + len(words) > limit:
+            yield " ".join(held), under
+            held = tail(held)
+        under = heading or under
+        while len(words) > limit:
+            room = limit - len(held)
+            full, words = held + words[:room], words[room:]
+            yield " ".join(full), under
+            held = tail(full)
+        held = held + words
+    if held:
+        yield " ".join(held), under
 
 
 def chunk_corpus(sections: DataFrame, limit: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of sections (doc_id, content): paragraphs packed up to `limit` words, `overlap` words repeated.
+    """Chunks of sections (doc_id, content): paragraphs packed up to `limit` words, with the `overlap` last words of the one before.
+
+    A paragraph that fits by itself is not cut, so a chunk may have `limit` + `overlap` words. Lines of headings are in no chunk.
 
     Packing is sequential within a section only, so sections are packed where they lie. Returns doc_id, ordinal, heading,
     content. A section of no words has no chunk.

@@ -25,24 +25,29 @@ def _linked(spark, d):
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("workspace_id"), (F.col("doc_id") - 20).alias("previous"), (F.col("doc_id") + 20).alias("next"))
 
 
+def _reranked(spark, d):
+    """Fused lists, each hit before the documents of the same source before and after it, the first twelve reranked by length, eight kept."""
+    contents = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    chunks = _linked(spark, d).join(contents, "chunk_id")
+    return Q.hybrid_search(*_lists(spark, d), chunks, 10, ["previous", "next"], 8, lambda queries, texts: [len(t) for t in texts], 12, asked)
+
+
 def hybrid_search(spark, d):
-    """Fused lists, joined by the documents of the same source before and after each hit."""
-    out, _ = Q.hybrid_search(*_lists(spark, d), _linked(spark, d), 10, ["previous", "next"])
-    return out.select("query_id", "chunk_id", "position")
+    return _reranked(spark, d)[0]
 
 
-def hybrid_stages(spark, d):
-    """How many each stage found, for the questions that any found something for."""
-    _, stages = Q.hybrid_search(*_lists(spark, d), _linked(spark, d), 10, ["previous", "next"])
-    return stages.select("query_id", "stage", "n")
+def stage_rankings(spark, d):
+    """The ranking of every stage of the search."""
+    return _reranked(spark, d)[1]
 
 
 def retrieval_states(spark, d):
-    """Questions cut to their first three words, so that one list or both may be empty; every seventh was partial."""
+    """Questions for some of which one kind of search finds nothing, or both do; every seventh fell back."""
     sparse, dense = _lists(spark, d)
     sparse, dense = sparse.where("query_id % 3 <> 0"), dense.where("query_id % 5 <> 0")
-    _, stages = Q.hybrid_search(sparse, dense, _linked(spark, d), 10)
-    return Q.retrieval_state(stages, _t(spark, d, "benchmark").where("item_id % 7 = 0").select(F.col("item_id").alias("query_id")))
+    found, _ = Q.hybrid_search(sparse, dense, _linked(spark, d), 10)
+    return Q.retrieval_state(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), found.withColumn("partial", F.col("query_id") % 7 == 0))
 
 
 def rerank_hits(spark, d):
@@ -53,16 +58,17 @@ def rerank_hits(spark, d):
 
 
 def document_lookups(spark, d):
-    """The two best sources of each question, with the sentence that holds it or the head of the passage."""
-    found = Q.document_lookup(base._hits(spark, d).withColumn("heading", F.col("document_id")), 2)
-    return found.select("query_id", "document_id", "best_chunk", "score", F.md5("reason").alias("reason_md5"), "rank")
+    """The two best sources of each question, with a heading, the sentence that holds it or the first sentence."""
+    hits = base._hits(spark, d).withColumn("heading", F.when(F.col("chunk_id") % 3 == 0, F.col("document_id")).when(F.col("chunk_id") % 3 == 1, "")).withColumn("title", F.reverse("document_id"))
+    found = Q.document_lookup(hits, 2)
+    return found.select("query_id", "document_id", "best_chunk", "score", "reason", "rank")
 
 
 def document_contexts(spark, d):
-    """The three best sources of each question and their passages as one block of text."""
+    """The three best sources of each question, their fields and their passages as one block of text."""
     groups = Q.top_per_query(Q.group_by_document(base._hits(spark, d)), 3, ["query_id"], tie="document_id")
-    contents = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.md5("text").alias("content"))
-    return Q.document_context(groups, contents).select("query_id", F.md5("context").alias("context_md5"))
+    contents = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("about "), "source").alias("title"), F.col("lang").alias("document_type"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page"), F.translate("text", "\n\t\r", "   ").alias("content"))
+    return Q.document_context(groups, contents)
 
 
 def expanded_queries(spark, d):
@@ -235,7 +241,7 @@ def graph_sample(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, hybrid_stages, retrieval_states, rerank_hits, document_lookups, document_contexts, expanded_queries, question_kinds, mirrored_vectors,
+        hybrid_search, stage_rankings, retrieval_states, rerank_hits, document_lookups, document_contexts, expanded_queries, question_kinds, mirrored_vectors,
         built_projections, embedded_corpus, merged_spans, provenance_links, audited_citations, citation_summary, readable_sources, source_details,
         artifact_evidence, evidence_chains, looked_up_entities, graph_sample,
     )
@@ -248,28 +254,31 @@ fused AS (SELECT * FROM (SELECT query_id, id AS chunk_id, row_number() OVER (PAR
 _EXPANDED = f"""{_FUSED}, d AS (SELECT doc_id, source FROM documents), h AS (SELECT query_id, chunk_id, source, rank FROM fused JOIN d ON doc_id = chunk_id),
 e AS (SELECT query_id, chunk_id, 0 AS level, rank, 0 AS place FROM h UNION ALL SELECT query_id, d.doc_id, 1, rank, 0 FROM h JOIN d ON d.doc_id = chunk_id - 20 AND d.source = h.source
       UNION ALL SELECT query_id, d.doc_id, 1, rank, 1 FROM h JOIN d ON d.doc_id = chunk_id + 20 AND d.source = h.source),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY level, rank, place) AS r FROM e),
-expanded AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY level, rank, place) AS position FROM o WHERE r = 1)"""
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, level, place) AS r FROM e),
+expanded AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, level, place) AS position FROM o WHERE r = 1)"""
+_RERANKED = "reranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, position) AS position FROM expanded JOIN documents ON doc_id = chunk_id WHERE position <= 12)"
 _HITS = f"""{_KEYWORD}, hits AS (SELECT k.query_id, k.id, k.score, k.rank, d.source, d.text, b.text AS query, contains(lower(d.text), lower(b.text)) AS exact FROM keyword k JOIN documents d ON d.doc_id = k.id JOIN benchmark b ON b.item_id = k.query_id),
-groups AS (SELECT query_id, source AS document_id, arg_min(id, rank) AS best_chunk, round(max(score) + 0.25::DOUBLE * max(exact::INT), 6) AS score, list(id ORDER BY score DESC, id) AS chunks FROM hits GROUP BY 1, 2),
+groups AS (SELECT query_id, source AS document_id, (list(id ORDER BY exact DESC, score DESC, id))[1] AS best_chunk, round(max(score) + max(exact::INT), 6) AS score, list(id ORDER BY exact DESC, score DESC, id) AS chunks FROM hits GROUP BY 1, 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM groups)"""
 _SPANS = """sp AS (SELECT source, doc_id, lang, doc_id % 2 = 0 AS two FROM documents WHERE doc_id % 10 <> 3)"""
 
 ORACLE = {
-    "hybrid_search": f"WITH {_EXPANDED} SELECT * FROM expanded",
-    "hybrid_stages": f"""WITH {_EXPANDED} SELECT query_id, 'sparse' AS stage, count(*) AS n FROM sparse GROUP BY 1 UNION ALL SELECT query_id, 'dense', count(*) FROM keyword GROUP BY 1
-        UNION ALL SELECT query_id, 'fused', count(*) FROM fused GROUP BY 1 UNION ALL SELECT query_id, 'expanded', count(*) FROM expanded GROUP BY 1""",
+    "hybrid_search": f"WITH {_EXPANDED}, {_RERANKED} SELECT query_id, chunk_id, position, false AS partial FROM reranked WHERE position <= 8",
+    "stage_rankings": f"""WITH {_EXPANDED}, {_RERANKED} SELECT query_id, 'sparse' AS stage, id, rank::INT AS rank FROM sparse UNION ALL SELECT query_id, 'dense', id, rank FROM keyword UNION ALL SELECT query_id, 'fused', chunk_id, rank FROM fused
+        UNION ALL SELECT query_id, 'expanded', chunk_id, position FROM expanded UNION ALL SELECT query_id, 'reranked', chunk_id, position FROM reranked UNION ALL SELECT query_id, 'final', chunk_id, position FROM reranked WHERE position <= 8""",
     "retrieval_states": f"""WITH {_FUSED}, qs AS (SELECT DISTINCT query_id FROM sparse WHERE query_id % 3 <> 0 UNION SELECT query_id FROM keyword WHERE query_id % 5 <> 0)
-        SELECT query_id, CASE WHEN query_id % 7 = 0 OR query_id NOT IN (SELECT query_id FROM sparse WHERE query_id % 3 <> 0) OR query_id NOT IN (SELECT query_id FROM keyword WHERE query_id % 5 <> 0) THEN 'partial' ELSE 'grounded' END AS state FROM qs""",
+        SELECT item_id AS query_id, CASE WHEN item_id NOT IN (SELECT query_id FROM qs) THEN 'unsupported' WHEN item_id % 7 = 0 THEN 'partial' ELSE 'grounded' END AS state FROM benchmark""",
     "rerank_hits": f"""WITH {_HITS}, t AS (SELECT * FROM hits WHERE rank <= 5)
         SELECT query_id, id, 'length' AS scorer, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank) AS rerank, length(text)::DOUBLE AS rerank_score, false AS partial FROM t
         UNION ALL SELECT query_id, id, 'none', rank, NULL, true FROM t""",
-    "document_lookups": f"""WITH {_HITS} SELECT p.query_id, p.document_id, p.best_chunk, p.score, md5(CASE WHEN contains(lower(p.document_id), lower(h.query)) THEN p.document_id
-        WHEN h.exact THEN left(list_filter(string_split(regexp_replace(regexp_replace(h.text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g') || chr(1) || h.text, chr(1)), lambda x: contains(lower(x), lower(h.query)))[1], 160) ELSE left(h.text, 160) END) AS reason_md5, p.rank
-        FROM placed p JOIN hits h ON h.query_id = p.query_id AND h.id = p.best_chunk WHERE p.rank <= 2""",
+    "document_lookups": f"""WITH {_HITS}, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, reverse(document_id), document_id) AS place FROM groups),
+        s AS (SELECT p.*, h.query, string_split(regexp_replace(regexp_replace(trim(h.text), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS parts FROM pl p JOIN hits h ON h.query_id = p.query_id AND h.id = p.best_chunk WHERE place <= 2),
+        t AS (SELECT *, coalesce(list_filter(parts, lambda x: trim(query) <> '' AND contains(lower(x), lower(trim(query))))[1], parts[1]) AS said FROM s)
+        SELECT query_id, document_id, best_chunk, score, CASE WHEN best_chunk % 3 = 0 THEN document_id WHEN length(said) <= 160 THEN said ELSE rtrim(left(said, 157)) || '…' END AS reason, place AS rank FROM t""",
     "document_contexts": f"""WITH {_HITS}, c AS (SELECT query_id, rank, document_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS turn FROM placed WHERE rank <= 3),
-        b AS (SELECT query_id, rank, '[' || rank || '] ' || document_id || chr(10) || string_agg(md5(text), chr(10) ORDER BY turn) AS t FROM c JOIN documents ON doc_id = chunk GROUP BY query_id, rank, document_id)
-        SELECT query_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM b GROUP BY 1""",
+        b AS (SELECT query_id, rank, concat_ws(chr(10), 'Document', 'document_id: ' || document_id, 'document_code: ', 'title: about ' || document_id, 'page: ' || arg_min(CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE '' END, turn), 'source_original: ', 'document_type: ' || arg_min(lang, turn),
+          'matching_chunks:', string_agg('- ' || trim(translate(text, chr(10) || chr(9) || chr(13), '   ')), chr(10) ORDER BY turn)) AS t FROM c JOIN documents ON doc_id = chunk GROUP BY query_id, rank, document_id)
+        SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY 1""",
     "expanded_queries": """WITH p AS (SELECT item_id, text AS a, CASE WHEN item_id % 2 = 0 THEN array_to_string(string_split(text, ' ')[:2], ' ') END AS b, array_to_string(string_split(text, ' ')[:CASE WHEN item_id % 3 = 0 THEN 1 ELSE 2 END], ' ') AS c FROM benchmark),
         l AS (SELECT item_id, list_concat([a], CASE WHEN b IS NULL OR b = a THEN [] ELSE [b] END, CASE WHEN c = a OR c = b THEN [] ELSE [c] END) AS l FROM p)
         SELECT item_id AS query_id, (unnest(range(0, len(l))))::INT AS turn, unnest(l) AS text FROM l""",

@@ -23,16 +23,17 @@ def chunk_packed(spark, d):
 
 
 def chunk_paragraphs(spark, d):
-    """Conversations as texts of a paragraph a turn, the first user's turns with a heading, packed up to 60 words with 10 repeated."""
+    """Conversations as texts of a paragraph a turn, every third under a heading of its own, packed at the usual sizes."""
     head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## T"), F.col("turn").cast("string"), F.lit("\n"))).otherwise("")
-    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(head, F.array_join(F.slice(F.split(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), " "), 1, 40), " ")).alias("p"))
-    texts = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "p"))), lambda x: x.getField("p")), "\n\n").alias("content"))
-    return C.chunk_corpus(texts, 60, 10)
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(head, F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")).alias("p"))
+    texts = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "p"))), lambda x: x.getField("p")), " \n \n").alias("content"))
+    return C.chunk_corpus(texts)
 
 
 def section_pages(spark, d):
-    """Turns as sections of their conversation, some of which begin before those before them end."""
-    sections = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("turn") * 2 + F.length("text") % 4).cast("long").alias("page_start"))
+    """Turns as sections of their conversation, some of which begin before those before them end, or have no page."""
+    page = F.when(F.col("turn") % 7 != 5, F.col("turn") * 2 + F.length("text") % 4)
+    sections = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), page.cast("long").alias("page_start"), F.when(F.col("conv_id") % 2 == 0, 99).cast("long").alias("total_pages"))
     return C.section_pages(sections)
 
 
@@ -231,17 +232,18 @@ ORACLE = {
     "chunk_packed": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 51) + 1, 450)) AS start FROM w WHERE len(w) > 0)
         SELECT doc_id, (start / 450)::INT AS ordinal, NULL::VARCHAR AS heading, array_to_string(w[start + 1:start + 500], ' ') AS content FROM c""",
     # packing in turn: held words, how many of them are new, the heading of the last paragraph, and what each step sends off
-    "chunk_paragraphs": r"""WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')[:40] AS t FROM conversations),
-        q AS (SELECT conv_id, i, CASE WHEN turn % 3 = 0 THEN 'T' || turn END AS head, list_filter(list_concat(CASE WHEN turn % 3 = 0 THEN ['##', 'T' || turn] ELSE [] END, t), lambda w: w <> '') AS w FROM p),
-        r AS (SELECT conv_id, 0::BIGINT AS i, []::VARCHAR[] AS held, 0::BIGINT AS fresh, 0 AS n, NULL::VARCHAR AS heading, NULL::VARCHAR AS sent, NULL::VARCHAR AS sent_heading FROM q WHERE i = 1
+    "chunk_paragraphs": r"""WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, max(turn) FILTER (turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS t, list_filter(string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM conversations),
+        q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i, 'T' || t AS head, w FROM p WHERE len(w) > 0),
+        r AS (SELECT conv_id, 0::BIGINT AS i, []::VARCHAR[] AS held, 0 AS n, NULL::VARCHAR AS heading, NULL::VARCHAR AS sent, NULL::VARCHAR AS sent_heading FROM q WHERE i = 1
           UNION ALL
-          SELECT r.conv_id, q.i, list_concat(CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN held[-10:] ELSE held END, w), CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN 0 ELSE fresh END + len(w),
-            n + (fresh > 0 AND len(held) + len(w) > 60)::INT, coalesce(head, heading), CASE WHEN fresh > 0 AND len(held) + len(w) > 60 THEN array_to_string(held, ' ') END, heading
+          SELECT r.conv_id, q.i, list_concat(CASE WHEN len(held) > 0 AND len(held) + len(w) > 500 THEN held[-50:] ELSE held END, w), n + (len(held) > 0 AND len(held) + len(w) > 500)::INT, coalesce(head, heading),
+            CASE WHEN len(held) > 0 AND len(held) + len(w) > 500 THEN array_to_string(held, ' ') END, heading
           FROM r JOIN q ON q.conv_id = r.conv_id AND q.i = r.i + 1)
         SELECT conv_id AS doc_id, n - 1 AS ordinal, sent_heading AS heading, sent AS content FROM r WHERE sent IS NOT NULL
-        UNION ALL SELECT conv_id, n, heading, array_to_string(held, ' ') FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM r) WHERE last = 1 AND fresh > 0""",
-    "section_pages": """SELECT doc_id, ordinal, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY doc_id ORDER BY ordinal) - 1, page_start)) AS page_end
-        FROM (SELECT conv_id AS doc_id, turn AS ordinal, turn * 2 + length(text) % 4 AS page_start FROM conversations)""",
+        UNION ALL SELECT conv_id, n, heading, array_to_string(held, ' ') FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM r) WHERE last = 1 AND i > 0""",
+    "section_pages": """WITH s AS (SELECT conv_id AS doc_id, turn AS ordinal, CASE WHEN turn % 7 <> 5 THEN turn * 2 + length(text) % 4 END AS page_start, CASE WHEN conv_id % 2 = 0 THEN 99 END::BIGINT AS total_pages FROM conversations),
+        n AS (SELECT *, lead(page_start) OVER (PARTITION BY doc_id ORDER BY ordinal) AS following FROM s)
+        SELECT doc_id, ordinal, page_start, total_pages, CASE WHEN page_start IS NULL THEN NULL WHEN following IS NOT NULL THEN greatest(page_start, following - 1) ELSE coalesce(total_pages, page_start) END AS page_end FROM n""",
     "applied_versions": """WITH v AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 2, doc_id) AS n, doc_id % 2 = 1 AND doc_id = max(doc_id) FILTER (doc_id % 2 = 1) OVER (PARTITION BY source) AS active FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 < 4)
         SELECT source AS document_id, 'v' || lpad(doc_id::VARCHAR, 8, '0') AS version_id, n AS version_number, active FROM v""",
     "split_sections": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT doc_id, l, unnest(range(0, len(l), 4)) AS k FROM l)
@@ -282,17 +284,17 @@ ORACLE = {
         f AS (SELECT query_id, id, round(sum(1 / (rank + 60.0::DOUBLE)), 9) AS rrf_score FROM u GROUP BY 1, 2)
         SELECT query_id, id, round(rrf_score, 6) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS r FROM f) WHERE r <= 10""",
     "group_by_document": f"""WITH {_KEYWORD}, h AS (SELECT k.*, d.source, contains(lower(d.text), lower(b.text)) AS exact FROM keyword k JOIN documents d ON d.doc_id = k.id JOIN benchmark b ON b.item_id = k.query_id)
-        SELECT query_id, source AS document_id, arg_min(id, rank) AS best_chunk, round(max(score) + 0.25::DOUBLE * max(exact::INT), 6) AS score, string_agg(id::VARCHAR, ',' ORDER BY score DESC, id) AS chunks FROM h GROUP BY 1, 2""",
+        SELECT query_id, source AS document_id, (list(id ORDER BY exact DESC, score DESC, id))[1] AS best_chunk, round(max(score) + max(exact::INT), 6) AS score, string_agg(id::VARCHAR, ',' ORDER BY exact DESC, score DESC, id) AS chunks FROM h GROUP BY 1, 2""",
     "expand_neighbors": f"""WITH {_KEYWORD}, d AS (SELECT doc_id, source FROM documents),
         h AS (SELECT query_id, id AS chunk_id, source, rank FROM keyword JOIN d ON d.doc_id = id),
         e AS (SELECT query_id, chunk_id, 0 AS level, rank, 0 AS place FROM h
               UNION ALL SELECT query_id, d.doc_id, 1, rank, 0 FROM h JOIN d ON d.doc_id = chunk_id - 20 AND d.source = h.source
               UNION ALL SELECT query_id, d.doc_id, 1, rank, 1 FROM h JOIN d ON d.doc_id = chunk_id + 20 AND d.source = h.source),
-        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY level, rank, place) AS r FROM e)
-        SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY level, rank, place) AS position FROM o WHERE r = 1""",
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, level, place) AS r FROM e)
+        SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, level, place) AS position FROM o WHERE r = 1""",
     "eval_retrieval": f"""WITH {_KEYWORD}, {_VERBATIM}, j AS (SELECT answer, min(rank) AS first, count(rank) AS hits, count(*) AS wanted FROM verbatim LEFT JOIN keyword ON query_id = answer AND id = source GROUP BY 1)
         SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg((hits > 0)::INT::DOUBLE), 6) AS hit_at_k, round(avg(hits::DOUBLE / wanted), 6) AS recall_at_k FROM j""",
     "document_questions": f"""WITH {_BM25}, h AS (SELECT s.query_id, s.id, s.score, s.rank, d.source, contains(lower(d.text), lower(b.text)) AS exact
         FROM bm25 s JOIN documents d ON d.doc_id = s.id JOIN benchmark b ON b.item_id = s.query_id WHERE rank <= 20 AND score > 0)
-        SELECT query_id, source AS document_id, arg_min(id, rank) AS best_chunk, round(round(max(score) + 0.25::DOUBLE * max(exact::INT), 6), 4) AS score FROM h GROUP BY 1, 2""",
+        SELECT query_id, source AS document_id, (list(id ORDER BY exact DESC, score DESC, id))[1] AS best_chunk, round(round(max(score) + max(exact::INT), 6), 4) AS score FROM h GROUP BY 1, 2""",
 }

@@ -177,10 +177,10 @@ def embedding_texts(spark, d):
 
 
 def match_reasons(spark, d):
-    """The fifth word of each text, sought in a heading that some have, then in the sentences."""
-    docs = _t(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", " "), F.lit(4)).alias("word")).where("length(word) > 0")
-    heading = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("On "), "word")).when(F.col("doc_id") % 4 == 1, F.lit("Other"))
-    return docs.select("doc_id", F.md5(T.match_reason(heading, F.col("text"), F.col("word"))).alias("reason_md5"))
+    """The fifth word of each text, sought in its sentences where it has no heading, or an empty one."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", " "), F.lit(4)).alias("word"))
+    heading = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("On "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 4 == 1, F.lit(""))
+    return docs.select("doc_id", T.match_reason(heading, F.col("text"), F.coalesce("word", F.lit(""))).alias("reason"))
 
 
 def year_ranges(spark, d):
@@ -363,8 +363,9 @@ ORACLE = {
         UNION ALL SELECT 'chunk', 'c' || i || '-' || j, y FROM x, (VALUES (0), (1)) v(j)""",
     "stable_ids": "SELECT doc_id, left(sha256(source || chr(31) || doc_id || chr(31) || CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END), 32) AS id FROM documents",
     "embedding_texts": "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 THEN source || chr(10) ELSE '' END || coalesce(lang || chr(10), '') || text) AS text_md5 FROM documents",
-    "match_reasons": rf"""WITH w AS (SELECT doc_id, text, string_split(text, ' ')[5] AS word FROM documents), s AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?]){_WS}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: contains(lower(x), lower(word))) AS hits FROM w WHERE length(word) > 0)
-        SELECT doc_id, md5(left(CASE WHEN doc_id % 4 = 0 THEN 'On ' || word WHEN doc_id % 4 = 1 AND contains('other', lower(word)) THEN 'Other' ELSE coalesce(hits[1], left(text, 160)) END, 160)) AS reason_md5 FROM s""",
+    "match_reasons": rf"""WITH w AS (SELECT doc_id, lower(trim(coalesce(string_split(text, ' ')[5], ''))) AS word, string_split(regexp_replace(regexp_replace(trim(text), '([.!?]){_WS}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM documents),
+        s AS (SELECT *, coalesce(list_filter(parts, lambda x: word <> '' AND contains(lower(x), word))[1], parts[1]) AS said FROM w)
+        SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'On ' || doc_id WHEN length(said) <= 160 THEN said ELSE rtrim(left(said, 157)) || '…' END AS reason FROM s""",
     "year_ranges": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN year(o_orderdate)::VARCHAR END AS date_start, CASE o_orderkey % 3 WHEN 0 THEN '2001' WHEN 1 THEN year(o_orderdate)::VARCHAR END AS date_end FROM orders""",
     "id_lists": "SELECT l_orderkey, l_linenumber, l_partkey || '|' || l_suppkey AS ids FROM lineitem",
     "folder_paths": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages), q AS (SELECT page_id, string_split(trim(CASE page_id % 4 WHEN 0 THEN p || '/..' WHEN 2 THEN p || '//a' ELSE p END), '/') AS l FROM p)

@@ -14,6 +14,8 @@ from marginalia.operators import retrieval as Q
 def test_sections(spark):
     text = "# Archive\nintro\n## S.17\nfirst\n### deeper\nmore\n## Future Archive Ω 2026\nlast"
     docs = spark.createDataFrame([(1, text), (2, "no heading\n# one")], "doc_id long, text string")
+    named = docs.withColumn("source_original", F.lit("in/a.tar.gz"))
+    assert {r.title for r in C.split_logical(named).where("doc_id = 2").collect()} == {"a.tar"} and {r.title for r in C.split_logical(named).where("doc_id = 1").collect()} == {"S.17", "Future Archive Ω 2026"}
     got = sorted(tuple(r) for r in C.split_logical(docs).collect())
     assert got == [(1, 0, "S.17", "## S.17\nfirst\n### deeper\nmore"), (1, 1, "Future Archive Ω 2026", "## Future Archive Ω 2026\nlast"), (2, 0, None, "no heading\n# one")]
 
@@ -21,17 +23,19 @@ def test_sections(spark):
 def test_section_pages(spark):
     df = spark.createDataFrame([(1, 0, 1), (1, 1, 3), (1, 2, 3)], "doc_id long, ordinal int, page_start int")
     assert [r.page_end for r in C.section_pages(df).orderBy("ordinal").collect()] == [2, 3, 3]
+    assert [r.page_end for r in C.section_pages(df.withColumn("total_pages", F.lit(9))).orderBy("ordinal").collect()] == [2, 3, 9]
 
 
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "# Başlık\n\nBir iki üç.\n\nDört beş altı."), (2, None), (3, " ".join(f"w{i}" for i in range(10)))], "doc_id long, content string")
     rows = C.chunk_corpus(df, 4, 1).orderBy("doc_id", "ordinal").collect()
-    first = [r for r in rows if r.doc_id == 1]
-    assert [r.ordinal for r in first] == list(range(len(first))) and all(r.heading == "Başlık" for r in first)
-    assert all(b.content.split()[0] == a.content.split()[-1] for a, b in zip(first, first[1:]))
+    assert [(r.ordinal, r.content, r.heading) for r in rows if r.doc_id == 1] == [(0, "Bir iki üç.", "Başlık"), (1, "üç. Dört beş altı.", "Başlık")]
     long = [r.content.split() for r in rows if r.doc_id == 3]
     assert long == [["w0", "w1", "w2", "w3"], ["w3", "w4", "w5", "w6"], ["w6", "w7", "w8", "w9"]]
     assert not [r for r in rows if r.doc_id == 2]
+    texts = [(1, "## A\n \n## B\nb c\n \t\nd # e\n\n#\nf"), (2, "## only\n\n"), (3, "a b c\n\nd e f g h i j")]
+    rows = C.chunk_corpus(spark.createDataFrame(texts, "doc_id long, content string"), 5, 2).orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.content, r.heading) for r in rows] == [(1, "b c d # e", "B"), (1, "# e f", "B"), (3, "a b c", None), (3, "b c d e f", None), (3, "e f g h i j", None)]
 
 
 def test_chunk_volume(spark):
@@ -97,10 +101,10 @@ def test_text_functions(spark):
     r = df.select(
         T.normalized_mention(F.col("m")).alias("m"), T.year_range(F.col("y")).alias("y"), T.id_list(F.col("ids")).alias("ids"), T.folder_parts(F.col("p")).alias("p"), T.reduced_share(F.col("n"), F.col("d")).alias("s"),
         T.reduced_share(F.col("n"), F.lit(0)).alias("z"), T.id_list(F.lit("x, y")).alias("loose"), T.redact_secrets(F.lit("API_KEY=abc x token: q")).alias("log"),
-        T.match_reason(F.lit(None).cast("string"), F.lit("One. Ankara is here! Two."), F.lit("ankara")).alias("why"), T.embedding_text(F.lit("t"), F.lit(" "), F.lit("c")).alias("e"),
+        T.match_reason(F.lit(None).cast("string"), F.lit("One. Ankara is here! Two."), F.lit("ankara")).alias("why"), T.match_reason(F.lit(""), F.concat(F.repeat(F.lit("x"), 155), F.lit("  yyyy zzzz. b")), F.lit("no")).alias("cut"), T.embedding_text(F.lit("t"), F.lit(" "), F.lit("c")).alias("e"),
     ).first()
     assert (r.m, tuple(r.y), r.ids, r.p, r.s, r.z, r.loose) == ("fi x", ("1988", "1990"), ["a", "b"], None, "3/4", None, ["x", "y"])
-    assert r.log == "API_KEY=[redacted] x token: [redacted]" and r.why == "Ankara is here!" and r.e == "t\nc"
+    assert r.log == "API_KEY=[redacted] x token: [redacted]" and r.why == "Ankara is here!" and r.cut == "x" * 155 + "…" and r.e == "t\nc"
 
 
 def test_bm25(spark):
@@ -130,6 +134,8 @@ def test_neighbours(spark):
     hits = spark.createDataFrame([(1, "hit", "a", 1)], "query_id int, chunk_id string, workspace_id string, rank int")
     got = Q.expand_neighbors(hits, chunks, ["parent", "previous", "next", "related"]).orderBy("position").collect()
     assert [r.chunk_id for r in got] == ["hit", "parent", "neighbor"]
+    two = spark.createDataFrame([(1, "hit", "a", 1), (1, "neighbor", "a", 2), (1, "parent", "a", 3)], hits.schema)
+    assert [r.chunk_id for r in Q.expand_neighbors(two, chunks, ["next"]).orderBy("position").collect()] == ["hit", "neighbor", "parent"]
 
 
 def test_rerank(spark):
@@ -148,7 +154,14 @@ def test_hybrid(spark):
     chunks = spark.createDataFrame([("one", "w", "two"), ("two", "w", None)], "chunk_id string, workspace_id string, next string")
     out, stages = Q.hybrid_search(_list(spark, ["one"]).limit(0), _list(spark, ["one"]), chunks, 1, ["next"])
     assert [r.chunk_id for r in out.orderBy("position").collect()] == ["one", "two"]
-    assert Q.retrieval_state(stages).first().state == "partial"
+    asked = spark.createDataFrame([(1, "q"), (2, "r")], "query_id int, query string")
+    state = lambda found: {r.query_id: r.state for r in Q.retrieval_state(asked, found).collect()}
+    assert state(out) == {1: "grounded", 2: "unsupported"}  # an empty list alone makes nothing partial
+    contents = chunks.withColumn("content", F.when(F.col("chunk_id") == "two", "long text").otherwise("short"))
+    for scorer, order, kept in ((lambda q, t: [len(x) for x in t], ["two"], "grounded"), (None, ["one"], "partial")):
+        out, rankings = Q.hybrid_search(_list(spark, ["one"]).limit(0), _list(spark, ["one"]), contents, 1, ["next"], 1, scorer, 5, asked)
+        assert [r.chunk_id for r in out.collect()] == order and state(out)[1] == kept
+        assert {s: n for s, n in rankings.groupBy("stage").count().collect()} == {"dense": 1, "fused": 1, "expanded": 2, "reranked": 2, "final": 1}
 
 
 def test_evidence_selection(spark):
@@ -170,11 +183,13 @@ def test_evidence_selection(spark):
 def test_grouping_and_lookup(spark):
     hits = spark.createDataFrame([(1, "Ankara", "c1", "d", "H", "about ankara. More", 0.9, "T"), (1, "Ankara", "c2", "d", "H", "else", 0.8, "T")], "query_id int, query string, chunk_id string, document_id string, heading string, content string, score double, title string")
     row = Q.group_by_document(hits).first()
-    assert (row.chunks, row.best_chunk, row.score) == (["c1", "c2"], "c1", 1.15)
+    assert (row.chunks, row.best_chunk, row.score) == (["c1", "c2"], "c1", 1.9)
+    turned = hits.withColumn("score", F.when(F.col("chunk_id") == "c1", 0.1).otherwise(0.8))
+    assert tuple(Q.group_by_document(turned).select("best_chunk", "score").first()) == ("c1", 1.8)  # the chunk that holds the text, and the greatest score
     found = Q.document_lookup(hits, 5)
-    assert found.first().reason == "about ankara."
+    assert found.first().reason == "H" and Q.document_lookup(hits.withColumn("heading", F.lit(None).cast("string")), 5).first().reason == "about ankara."
     text = Q.document_context(found, hits.select("chunk_id", "title", "content")).first().context
-    assert text == "[1] T\nabout ankara. More\nelse"
+    assert text == "Document\ndocument_id: d\ndocument_code: \ntitle: T\npage: \nsource_original: \ndocument_type: \nmatching_chunks:\n- about ankara. More\n- else"
 
 
 def test_lineage(spark):
