@@ -56,9 +56,33 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", l
     return found
 
 
-def reachable(paths: DataFrame) -> DataFrame:
-    """Distinct (start, node) that paths end at."""
-    return paths.select("start", F.element_at("nodes", -1).alias("node")).distinct()
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", most: int | None = None, relation: str | None = None) -> DataFrame:
+    """(start, node, hops): every other node that a start leads to, with the least number of hops, up to `most` (None: all).
+
+    A fixpoint without paths: each round follows the edges of what the round before has found, and what was reached before
+    falls away, so that cycles end and a node is followed once for each start. A round's new rows are written; rounds are as
+    many as the farthest node is away.
+    """
+    chosen = edges.where(F.col("relation") == relation) if relation else edges
+    out = chosen.select(F.col("source").alias("_from"), F.col("target").alias("node"))
+    back = chosen.select(F.col("target").alias("_from"), F.col("source").alias("node"))
+    steps = materialize({"outgoing": out, "incoming": back, "either": out.unionByName(back)}[direction].where("_from <> node").distinct())
+    fresh = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
+    rounds, hop = [fresh], 0
+    while most is None or hop < most:
+        hop += 1
+        known = rounds[0]
+        for part in rounds[1:]:
+            known = known.unionByName(part)
+        found = rounds[-1].select("start", F.col("node").alias("_from")).join(steps, "_from").select("start", "node").distinct()
+        fresh = materialize(found.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh)
+    whole = rounds[0]
+    for part in rounds[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("hops > 0")
 
 
 def event_paths(events: DataFrame, participants: DataFrame, times: DataFrame, ids: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

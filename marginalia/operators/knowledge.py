@@ -57,22 +57,20 @@ def validate_extraction(rows: DataFrame, rules: dict[str, Column]) -> tuple[Data
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
 
 
-def identity_candidates(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, ascii_only: bool = False) -> DataFrame:
+def identity_candidates(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, resolved: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Entities of a mention's type whose name or active alias equals it, with the support of each.
 
-    mentions: mention_id, text, entity_type, evidence_id, version_id; entities: entity_id, entity_type, display_name;
-    aliases: entity_id, value, active. Returns mention_id, entity_id, evidences, versions: how many distinct ones of the
-    mentions of that name support the entity.
+    mentions: mention_id, text, entity_type; entities: entity_id, entity_type, display_name; aliases: entity_id, value, active;
+    resolved: entity_id, evidence_id, version_id, of the mentions that have been resolved to an entity before. Returns
+    mention_id, entity_id, evidences, versions: how many distinct ones support the entity; new mentions support nothing.
     """
     norm = lambda c: normalized_mention(F.col(c), ascii_only)
     names = entities.select("entity_id", "entity_type", norm("display_name").alias("name"))
     more = aliases.where("active").join(entities.select("entity_id", "entity_type"), "entity_id").select("entity_id", "entity_type", norm("value").alias("name"))
     known = names.unionByName(more).distinct()
-    said = mentions.select("mention_id", "entity_type", norm("text").alias("name"), "evidence_id", "version_id")
-    support = said.groupBy("entity_type", "name").agg(F.count_distinct("evidence_id").alias("evidences"), F.count_distinct("version_id").alias("versions"))
-    supported = known.join(support, ["entity_type", "name"])
-    found = said.select("mention_id", "entity_type", "name").join(supported, ["entity_type", "name"])
-    return found.groupBy("mention_id", "entity_id").agg(F.max("evidences").alias("evidences"), F.max("versions").alias("versions"))
+    support = resolved.groupBy("entity_id").agg(F.count_distinct("evidence_id").alias("evidences"), F.count_distinct("version_id").alias("versions"))
+    found = mentions.select("mention_id", "entity_type", norm("text").alias("name")).join(known, ["entity_type", "name"]).select("mention_id", "entity_id").distinct()
+    return found.join(support, "entity_id", "left").select("mention_id", "entity_id", F.coalesce("evidences", F.lit(0)).alias("evidences"), F.coalesce("versions", F.lit(0)).alias("versions"))
 
 
 def resolve_mentions(mentions: DataFrame, candidates: DataFrame, least: int = 2) -> DataFrame:
@@ -170,14 +168,15 @@ def entity_catalog(entities: DataFrame, aliases: DataFrame, generation: str | No
 
 
 def link_mentions(mentions: DataFrame, catalog: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Exact-name linking: resolved with one entity, ambiguous with more, unknown with none.
+    """Exact-name linking within a mention's type (`unknown`: any): resolved with one entity, ambiguous with more, unknown with none.
 
-    mentions: mention_id, text; catalog: entity_id, display_name, aliases.
+    mentions: mention_id, text, entity_type; catalog: entity_id, entity_type, display_name, aliases.
     """
     norm = lambda c: normalized_mention(c, ascii_only)
-    known = catalog.select("entity_id", F.explode(F.array_append("aliases", F.col("display_name"))).alias("n")).select("entity_id", norm(F.col("n")).alias("name")).distinct()
-    names = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("entity_id"))
-    joined = mentions.withColumn("name", norm(F.col("text"))).join(names, "name", "left")
+    known = catalog.select("entity_id", "entity_type", F.explode(F.array_append("aliases", F.col("display_name"))).alias("n")).select("entity_id", "entity_type", norm(F.col("n")).alias("name")).distinct()
+    any_type = known.select("entity_id", F.lit("unknown").alias("entity_type"), "name").distinct()
+    names = known.where("entity_type <> 'unknown'").unionByName(any_type).groupBy("entity_type", "name").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("entity_id"))
+    joined = mentions.withColumn("name", norm(F.col("text"))).join(names, ["entity_type", "name"], "left")
     state = F.when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
     return joined.select("mention_id", state.alias("state"), F.when(F.col("n") == 1, F.col("entity_id")).alias("entity_id"))
 

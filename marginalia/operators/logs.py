@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,23 +119,43 @@ def conversation_titles(messages: DataFrame, width: int = 72, by: str = "conv_id
 
 
 def carry_focus(turns: DataFrame, by: str = "conv_id", order: str = "turn", kind: str = "entity_type", entity: str = "entity_id", keep: int = 20, period: str | None = None, periods: int = 10) -> DataFrame:
-    """Turns with the focus they inherit: the last resolved entity of the type before them, what the last `keep` turns resolved
-    and, with a period column, the last `periods` periods that the conversation has named, oldest first."""
-    before = W.partitionBy(by, kind).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    recent = W.partitionBy(by).orderBy(order).rowsBetween(-keep, -1)
-    carried = F.coalesce(F.col(entity), F.last(entity, ignorenulls=True).over(before))
-    carried_on = turns.withColumn("focus", carried).withColumn("recent", F.array_compact(F.collect_list(entity).over(recent)))
-    if period is None:
-        return carried_on
-    # named periods are numbered, so that a frame of the last ones holds no more than it returns
-    turn = W.partitionBy(by).orderBy(order)
-    numbered = carried_on.withColumn("_n", F.count(period).over(turn.rowsBetween(W.unboundedPreceding, -1)))
-    held = F.collect_list(F.struct(F.col("_p").alias("n"), F.col(period).alias("v")))
-    marked = numbered.withColumn("_p", F.when(F.col(period).isNotNull(), F.col("_n") + 1))
-    named = marked.where(F.col("_p").isNotNull()).select(F.col(by).alias("_by"), F.col("_p"), period)
-    last = marked.select(F.col(by), F.col(order), "_n").join(named, (F.col(by) == F.col("_by")) & (F.col("_p") <= F.col("_n")) & (F.col("_p") > F.col("_n") - periods))
-    found = last.groupBy(by, order).agg(F.transform(F.sort_array(held), lambda x: x.getField("v")).alias("periods"))
-    return numbered.drop("_n").join(found, [by, order], "left").withColumn("periods", F.coalesce("periods", F.array().cast("array<string>")))
+    """Turns with the focus that they have, and the conversation's state after each: `recent`, the last `keep` distinct
+    entities, and `periods`, the last `periods` that were named; both oldest first, strings.
+
+    A turn's focus is its entity or, where it has none, the last of its type in the state, of any type for `unknown`. A focus,
+    named or inherited, moves to the end of the state. With a period column a turn's period is added as it is, repeats too.
+    Conversations are dealt by id and streamed in order, with a state of bounded size, so a long one needs no more memory.
+    """
+    cast = [F.col(c).cast("string").alias(a) for c, a in ((kind, "_kind"), (entity, "_entity"))]
+    named = turns.select("*", *cast, (F.col(period).cast("string") if period else F.lit(None).cast("string")).alias("_period"))
+    sorted_rows = named.repartition(by).sortWithinPartitions(by, order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state, last = None, {}, []
+        for batch in batches:
+            focus, recent, named = [], [], []
+            for key, what, who, when in zip(batch[by], batch["_kind"], batch["_entity"], batch["_period"]):
+                key = None if pd.isna(key) else key
+                if (key,) != held:
+                    held, state, last = (key,), {}, []
+                if who is None:
+                    who = next((e for e, k in reversed(state.items()) if what == "unknown" or k == what), None)
+                    what = state.get(who, what)
+                if who is not None:
+                    state.pop(who, None)  # an entity is there once, where it was named last
+                    state[who] = what
+                    if len(state) > keep:
+                        del state[next(iter(state))]
+                if when is not None:
+                    last = [*last, when][-periods:]
+                focus.append(who)
+                recent.append(list(state))
+                named.append(list(last))
+            yield batch.drop(columns=["_kind", "_entity", "_period"]).assign(focus=focus, recent=recent, periods=named)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema)
+    out = sorted_rows.mapInPandas(fold, f"{schema}, focus string, recent array<string>, periods array<string>")
+    return out if period else out.drop("periods")
 
 
 #: Phrasings of question kinds, of Turkish and English questions, in the order they are tried.

@@ -202,10 +202,10 @@ def merge_by_authority(current: DataFrame, incoming: DataFrame, keys: list[str],
 
 
 def preferred_claims(claims: DataFrame, keys: list[str], value: str, authority: str) -> DataFrame:
-    """The value of the highest authority of each key, where that is one value."""
+    """The value of the highest authority of each key, where that is one value; no value (null) is one, too."""
     top = claims.groupBy(*keys).agg(F.max(authority).alias("_top"))
     held = claims.join(top, keys).where(F.col(authority) == F.col("_top"))
-    found = held.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.first(value, ignorenulls=True).alias(value), F.first("_top").alias(authority))
+    found = held.groupBy(*keys).agg(F.count_distinct(F.struct(value)).alias("_n"), F.first(value, ignorenulls=True).alias(value), F.first("_top").alias(authority))
     return found.where("_n = 1").drop("_n")
 
 

@@ -43,8 +43,18 @@ def traverse_multi_hop(spark, d):
 
 
 def reached(spark, d):
+    """What suppliers reach by their nation, in two hops."""
     edges = _edges(spark, d)
-    return G.reachable(G.traverse(edges, edges.where("relation = 'works_in'").select(F.col("source").alias("node")), "either", 2, 2, "works_in"))
+    return G.reach(edges, edges.where("relation = 'works_in'").select(F.col("source").alias("node")), "either", 2, "works_in")
+
+
+def reached_in_cycles(spark, d):
+    """All that each part leads to, by two edges a part within its block of sixteen, which go round."""
+    k = F.col("p_partkey").cast("long")
+    within = lambda x: (F.floor(k / 16) * 16 + x % 16)
+    edge = lambda target: _t(spark, d, "part").select(k.alias("source"), target.alias("target"), F.lit("r").alias("relation"))
+    edges = edge(within(k * 5 + 3)).unionByName(edge(within(k * 2)))
+    return G.reach(edges, _t(spark, d, "part").select(k.alias("node")))
 
 
 def resolve_endpoints(spark, d):
@@ -99,14 +109,18 @@ def _identity(spark, d):
     return mentions, entities, aliases
 
 
+def _resolved(spark, d):
+    """Lines as mentions that have been resolved to parts before, for two thirds of the parts."""
+    return _t(spark, d, "lineitem").where("l_partkey % 3 > 0 AND l_linenumber < 3").select(F.col("l_partkey").cast("string").alias("entity_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("evidence_id"), (F.col("l_suppkey") % 4).alias("version_id"))
+
+
 def identity_candidates(spark, d):
-    return K.identity_candidates(*_identity(spark, d), ascii_only=True)
+    return K.identity_candidates(*_identity(spark, d), _resolved(spark, d), ascii_only=True)
 
 
 def resolve_mentions(spark, d):
     mentions, entities, aliases = _identity(spark, d)
-    found = K.resolve_mentions(mentions, K.identity_candidates(mentions, entities, aliases, True))
-    return found.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities"))
+    return K.resolve_mentions(mentions, K.identity_candidates(mentions, entities, aliases, _resolved(spark, d), True)).select("mention_id", "decision", F.when(F.col("decision") == "linked", F.col("entity_id")).alias("entity_id"))
 
 
 def build_entities(spark, d):
@@ -115,9 +129,11 @@ def build_entities(spark, d):
 
 
 def link_mentions(spark, d):
-    part = _t(spark, d, "part")
-    catalog = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("display_name"), F.array("p_type").alias("aliases"))
-    return K.link_mentions(part.select(F.col("p_partkey").alias("mention_id"), F.upper("p_name").alias("text")), catalog, True)
+    """Parts by name within their size's half, or any for every third."""
+    part = _t(spark, d, "part").withColumn("entity_type", F.when(F.col("p_size") > 25, "large").otherwise("small"))
+    catalog = part.select(F.col("p_partkey").alias("entity_id"), "entity_type", F.col("p_name").alias("display_name"), F.array("p_type").alias("aliases"))
+    asked = F.when(F.col("p_partkey") % 3 == 0, "unknown").otherwise(F.col("entity_type"))
+    return K.link_mentions(part.select(F.col("p_partkey").alias("mention_id"), F.upper("p_name").alias("text"), asked.alias("entity_type")), catalog, True)
 
 
 def _merged_parts(spark, d):
@@ -283,8 +299,10 @@ def conversation_titles(spark, d):
 
 
 def carry_focus(spark, d):
-    turns = _t(spark, d, "conversations").withColumn("entity_type", F.col("role")).withColumn("entity_id", F.when(F.length("text") > 150, F.substring("text", 1, 8)))
-    return L.carry_focus(turns).select("conv_id", "turn", "focus", F.size("recent").alias("n_recent"))
+    """Turns of two types and of unknown type, with the last three entities that were in focus."""
+    kind = F.when(F.col("turn") % 4 == 3, "unknown").otherwise(F.col("role"))
+    turns = _t(spark, d, "conversations").withColumn("entity_type", kind).withColumn("entity_id", F.when(F.length("text") % 3 > 0, F.concat(F.lit("e"), F.length("text") % 5)))
+    return L.carry_focus(turns, keep=3).select("conv_id", "turn", "focus", F.concat_ws(",", "recent").alias("recent"))
 
 
 def tag_queries(spark, d):
@@ -311,7 +329,7 @@ def generation_ready(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        traverse_out, traverse_in, traverse_multi_hop, reached, resolve_endpoints, event_paths, claim_conflicts, contested_claims, conflict_report, ambiguous_names,
+        traverse_out, traverse_in, traverse_multi_hop, reached, reached_in_cycles, resolve_endpoints, event_paths, claim_conflicts, contested_claims, conflict_report, ambiguous_names,
         identity_candidates, resolve_mentions, build_entities, link_mentions, merge_entities, identity_operations, identity_as_of, identity_history, apply_alias_ops, align_spans, validate_spans, rank_citations, reconcile_items, answer_states,
         completeness, boundary_issues, price_usage, usage_totals, daily_budget, runs_by_state, run_states, memory_window, conversation_titles, carry_focus, tag_queries,
         catalog_overview, generation_ready,
@@ -319,8 +337,8 @@ QUERIES = {
 }
 
 _KNOWN = """known AS (SELECT p_partkey::VARCHAR AS entity_id, lower(p_name) AS name FROM part WHERE p_size > 25 UNION SELECT p_partkey::VARCHAR, lower(p_type) FROM part WHERE p_size > 45),
-sup AS (SELECT lower(p_name) AS name, count(DISTINCT p_partkey) AS evidences, count(DISTINCT p_brand) AS versions FROM part GROUP BY 1),
-cand AS (SELECT p_partkey AS mention_id, entity_id, max(evidences) AS evidences, max(versions) AS versions FROM part JOIN sup ON sup.name = lower(p_name) JOIN known USING (name) GROUP BY 1, 2)"""
+sup AS (SELECT l_partkey::VARCHAR AS entity_id, count(DISTINCT l_orderkey || '-' || l_linenumber) AS evidences, count(DISTINCT l_suppkey % 4) AS versions FROM lineitem WHERE l_partkey % 3 > 0 AND l_linenumber < 3 GROUP BY 1),
+cand AS (SELECT p_partkey AS mention_id, entity_id, coalesce(evidences, 0) AS evidences, coalesce(versions, 0) AS versions FROM part JOIN known ON known.name = lower(p_name) LEFT JOIN sup USING (entity_id))"""
 _PAIRS = """pairs AS (SELECT a.p_name AS subject_id, a.p_partkey AS l, b.p_partkey AS r, a.p_type AS lt, b.p_type AS rt FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand)"""
 _EV = """ev AS (SELECT source AS package_id, doc_id::VARCHAR AS evidence_id, lang, (n_chars % 40)::INT AS s, (doc_id % 10) / 10.0::DOUBLE AS relevance, (n_chars % 10) / 10.0::DOUBLE AS quality,
   CASE WHEN doc_id % 11 = 0 THEN 'other_generation' WHEN doc_id % 7 = 0 THEN 'inexact_span' ELSE 'valid' END AS state, doc_id FROM documents)"""
@@ -365,7 +383,10 @@ ORACLE = {
     "traverse_in": f"WITH {_EDGE} SELECT x.b AS start, x.b || '>' || x.a || '>' || y.a AS nodes, x.id || ',' || y.id AS edges, 2 AS hops FROM e x JOIN e y ON y.b = x.a WHERE x.rel = 'part_of'",
     "traverse_multi_hop": f"""WITH {_EDGE} SELECT a AS start, a || '>' || b AS nodes, id AS edges, 1 AS hops FROM e WHERE rel = 'lives_in'
         UNION ALL SELECT x.a, x.a || '>' || x.b || '>' || y.b, x.id || ',' || y.id, 2 FROM e x JOIN e y ON y.a = x.b WHERE x.rel = 'lives_in'""",
-    "reached": "SELECT DISTINCT 's' || a.s_suppkey AS start, 's' || b.s_suppkey AS node FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey",
+    "reached": """SELECT DISTINCT 's' || a.s_suppkey AS start, 's' || b.s_suppkey AS node, 2 AS hops FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier""",
+    "reached_in_cycles": """WITH RECURSIVE e AS (SELECT p_partkey::BIGINT AS a, (p_partkey // 16 * 16 + (p_partkey * 5 + 3) % 16)::BIGINT AS b FROM part UNION SELECT p_partkey, p_partkey // 16 * 16 + p_partkey * 2 % 16 FROM part),
+        r(start, node, hops) AS (SELECT p_partkey::BIGINT, p_partkey::BIGINT, 0 FROM part UNION SELECT start, b, hops + 1 FROM r JOIN e ON a = node WHERE hops < 16)
+        SELECT start, node, min(hops) AS hops FROM r GROUP BY 1, 2 HAVING node <> start""",
     "resolve_endpoints": "SELECT n_nationkey AS edge, 'r' || n_regionkey AS source_id, CASE WHEN n_nationkey < 20 THEN 'r' || n_regionkey END AS target_id FROM nation",
     "event_paths": """WITH p AS (SELECT o_orderkey AS event_id, o_custkey AS entity_id, 'buyer' AS role FROM orders UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'seller' FROM lineitem)
         SELECT entity_id, role, event_id, o_orderpriority AS event_type, strftime(o_orderdate, '%Y-%m-%d') AS normalized_start FROM p JOIN orders ON o_orderkey = event_id
@@ -375,12 +396,12 @@ ORACLE = {
     "conflict_report": f"""WITH {_PAIRS} SELECT l AS "left", r AS "right", CASE WHEN lt = rt THEN lt ELSE least(lt, rt) || ',' || greatest(lt, rt) END AS evidence_ids FROM pairs""",
     "ambiguous_names": "SELECT p_name AS reference, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS candidates FROM part GROUP BY 1 HAVING count(*) > 1",
     "identity_candidates": f"WITH {_KNOWN} SELECT * FROM cand",
-    "resolve_mentions": f"""WITH {_KNOWN}, j AS (SELECT mention_id, count(*) AS n, count(*) FILTER (evidences >= 2 AND versions >= 2) AS sure, min(entity_id) FILTER (evidences >= 2 AND versions >= 2) AS best FROM cand GROUP BY 1),
-        k AS (SELECT CASE WHEN n IS NULL THEN 'new' WHEN sure = 1 THEN 'linked' ELSE 'unresolved' END AS decision, CASE WHEN n IS NULL THEN 'new:' || lower(p_name) WHEN sure = 1 THEN best END AS entity FROM part LEFT JOIN j ON mention_id = p_partkey)
-        SELECT decision, count(*) AS n, count(DISTINCT entity) AS entities FROM k GROUP BY 1""",
+    "resolve_mentions": f"""WITH {_KNOWN}, j AS (SELECT mention_id, count(*) AS n, count(*) FILTER (evidences >= 2 AND versions >= 2) AS sure, min(entity_id) FILTER (evidences >= 2 AND versions >= 2) AS best FROM cand GROUP BY 1)
+        SELECT p_partkey AS mention_id, CASE WHEN n IS NULL THEN 'new' WHEN sure = 1 THEN 'linked' ELSE 'unresolved' END AS decision, CASE WHEN sure = 1 THEN best END AS entity_id FROM part LEFT JOIN j ON mention_id = p_partkey""",
     "build_entities": "SELECT p_brand AS entity_id, arg_min(p_name, p_partkey) AS display_name, count(*) AS n_mentions, count(DISTINCT p_name)::INT AS n_aliases FROM part GROUP BY 1",
-    "link_mentions": """WITH k AS (SELECT name, count(*) AS n, min(id) AS id FROM (SELECT lower(p_name) AS name, p_partkey AS id FROM part UNION SELECT lower(p_type), p_partkey FROM part) GROUP BY 1)
-        SELECT p_partkey AS mention_id, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN id END AS entity_id FROM part LEFT JOIN k ON name = lower(p_name)""",
+    "link_mentions": """WITH k AS (SELECT lower(p_name) AS name, p_size > 25 AS large, p_partkey AS id FROM part UNION SELECT lower(p_type), p_size > 25, p_partkey FROM part),
+        c AS (SELECT p.p_partkey AS mention_id, count(DISTINCT id) AS n, min(id) AS id FROM part p LEFT JOIN k ON name = lower(p_name) AND (p_partkey % 3 = 0 OR large = (p_size > 25)) GROUP BY 1)
+        SELECT mention_id, CASE n WHEN 0 THEN 'unknown' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN id END AS entity_id FROM c""",
     "merge_entities": f"""{_REPLAY}, m AS (SELECT id, root, ended FROM state WHERE step = (SELECT max(step) FROM state)),
         n AS (SELECT root, count(*) AS n FROM lineitem JOIN m ON id = l_partkey GROUP BY 1), a AS (SELECT root, count(DISTINCT p_brand) AS n FROM m JOIN part ON id = p_partkey GROUP BY 1)
         SELECT id AS entity_id, CASE WHEN ended IS NULL THEN 'active' ELSE 'superseded' END AS status, n.n AS n_mentions, a.n AS n_aliases FROM m LEFT JOIN n ON n.root = id LEFT JOIN a ON a.root = id""",
@@ -413,9 +434,13 @@ ORACLE = {
         SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS position, role, left(text, 40) AS text FROM r WHERE r <= 3""",
     "conversation_titles": """SELECT conv_id, CASE WHEN length(t) > 72 THEN rtrim(left(t, 71)) || '…' ELSE t END AS title FROM
         (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM conversations WHERE role = 'user' GROUP BY 1)""",
-    "carry_focus": """WITH c AS (SELECT *, CASE WHEN length(text) > 150 THEN left(text, 8) END AS e FROM conversations)
-        SELECT conv_id, turn, coalesce(e, last_value(e IGNORE NULLS) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS focus,
-        (count(e) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))::INT AS n_recent FROM c""",
+    # a fold of each conversation's turns: the state is a list of (entity, type), the last to be in focus at its end
+    "carry_focus": """WITH RECURSIVE c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN turn % 4 = 3 THEN 'unknown' ELSE role END AS k, CASE WHEN length(text) % 3 > 0 THEN 'e' || length(text) % 5 END AS e FROM conversations),
+        r AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS turn, NULL::VARCHAR AS focus, []::STRUCT(e VARCHAR, k VARCHAR)[] AS state FROM c WHERE i = 1
+          UNION ALL
+          SELECT conv_id, i, turn, f.e, CASE WHEN f.e IS NULL THEN state ELSE list_append(list_filter(state, lambda x: x.e <> f.e), f)[-3:] END
+          FROM (SELECT r.conv_id, c.i, c.turn, state, CASE WHEN c.e IS NOT NULL THEN {'e': c.e, 'k': c.k} ELSE list_filter(state, lambda x: c.k = 'unknown' OR x.k = c.k)[-1] END AS f FROM r JOIN c ON c.conv_id = r.conv_id AND c.i = r.i + 1))
+        SELECT conv_id, turn, focus, array_to_string(list_transform(state, lambda x: x.e), ',') AS recent FROM r WHERE i > 0""",
     "catalog_overview": """SELECT workspace_id, count(*) AS documents, count(*) AS chunks FROM (SELECT source AS workspace_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) GROUP BY 1""",
     "generation_ready": """WITH s AS (SELECT user_id, event_type, sum(value) AS v FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2),
         r AS (SELECT user_id, count(*) FILTER (v > 400) AS ready_stages FROM s GROUP BY 1), g AS (SELECT DISTINCT e.user_id, coalesce(ready_stages, 0) AS ready_stages FROM events e LEFT JOIN r USING (user_id))

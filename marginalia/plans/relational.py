@@ -186,7 +186,8 @@ def merge_by_authority(spark, d):
 
 
 def preferred_claims(spark, d):
-    claims = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("authority"))
+    supplier = F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey"))  # some claim nothing
+    claims = _t(spark, d, "lineitem").select("l_partkey", supplier.alias("l_suppkey"), F.col("l_quantity").cast("int").alias("authority"))
     return R.preferred_claims(claims, ["l_partkey"], "l_suppkey", "authority")
 
 
@@ -263,7 +264,7 @@ ORACLE = {
         b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, late ORDER BY authority DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM i)
         SELECT l_partkey, authority, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY authority DESC, late DESC) AS s FROM b WHERE r = 1) WHERE s = 1""",
     "preferred_claims": """SELECT l_partkey, min(l_suppkey) AS l_suppkey, min(authority) AS authority FROM
-        (SELECT *, l_quantity::INT AS authority, max(l_quantity::INT) OVER (PARTITION BY l_partkey) AS top FROM lineitem) WHERE authority = top GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1""",
+        (SELECT l_partkey, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey END AS l_suppkey, l_quantity::INT AS authority, max(l_quantity::INT) OVER (PARTITION BY l_partkey) AS top FROM lineitem) WHERE authority = top GROUP BY 1 HAVING count(DISTINCT coalesce(l_suppkey, -1)) = 1""",
     "detect_conflicts": "SELECT p_name, count(DISTINCT p_brand) AS n_values, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "tombstone_filter": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "scope_filter": "SELECT doc_id, source, lang FROM documents WHERE source = 'src3' AND lang = 'en'",

@@ -296,7 +296,7 @@ def ingestion_levels(spark, d):
 
 
 def carried_periods(spark, d):
-    """Turns that name a year; each knows the last three years that were named before."""
+    """Turns that name a year; each knows the last three years that were named, its own too."""
     turns = _t(spark, d, "conversations").withColumn("entity_type", F.col("role")).withColumn("entity_id", F.lit(None).cast("string"))
     turns = turns.withColumn("period", F.when(F.length("text") % 2 == 0, (F.lit(1900) + F.length("text") % 100).cast("string")))
     return L.carry_focus(turns, period="period", periods=3).select("conv_id", "turn", F.concat_ws(",", "periods").alias("periods"))
@@ -390,7 +390,7 @@ ORACLE = {
     "ingestion_levels": """WITH s AS (SELECT n_regionkey AS r, n_nationkey AS n, count(c_custkey) AS a, count(DISTINCT c_mktsegment) AS b, count(DISTINCT c_mktsegment) FILTER (c_mktsegment > 'BUILDING') AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)
         SELECT r AS source_id, count(*) AS n_sections, sum(a)::BIGINT AS n_chunks, sum(b)::BIGINT AS n_entities, sum(c)::BIGINT AS n_nodes, string_agg(n || ',' || a || ',' || b || ',' || c, ';' ORDER BY n) AS sections FROM s GROUP BY 1""",
     "carried_periods": """WITH p AS (SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN (1900 + length(text) % 100)::VARCHAR END AS y FROM conversations),
-        l AS (SELECT conv_id, turn, list(y) FILTER (y IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM p)
+        l AS (SELECT conv_id, turn, list(y) FILTER (y IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM p)
         SELECT conv_id, turn, coalesce(array_to_string(l[-3:], ','), '') AS periods FROM l""",
     "reasoning_cost": """WITH u AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS a, l_quantity::BIGINT AS o, l_partkey AS i FROM lineitem)
         SELECT l_orderkey, l_linenumber, round((i * 10.0::DOUBLE + 5 * 1.0::DOUBLE + CASE WHEN a THEN (o - least(20, o)) * 20.0::DOUBLE + least(20, o) * 40.0::DOUBLE ELSE o * 20.0::DOUBLE END) / 1000000, 8) AS cost FROM u""",

@@ -17,7 +17,11 @@ def test_traverse_uses_an_edge_once(spark):
     assert paths == {("a", ()), ("ab", (1,)), ("aba", (1, 2)), ("abc", (1, 3))}
     either = {"".join(r.nodes) for r in G.traverse(edges, start, "either", 2, 2, "x").collect()}
     assert either == {"aba"}
-    assert {r.node for r in G.reachable(G.traverse(edges, start, "incoming", 1, 1)).collect()} == {"b"}
+    assert {(r.node, r.hops) for r in G.reach(edges, start, "incoming", 1).collect()} == {("b", 1)}
+    ring = spark.createDataFrame([(str(i), i, (i + 1) % 7, "r") for i in range(7)] + [("x", 3, 9, "r"), ("loop", 9, 9, "r"), ("other", 0, 50, "s")], "edge_id string, source int, target int, relation string")
+    found = G.reach(ring, spark.createDataFrame([(0,), (9,)], "node int"), relation="r").collect()
+    assert {(r.start, r.node, r.hops) for r in found} == {(0, i, i) for i in range(1, 7)} | {(0, 9, 4)}
+    assert {(r.node, r.hops) for r in G.reach(ring, spark.createDataFrame([(9,)], "node int"), "either", 2, "r").collect()} == {(3, 1), (2, 2), (4, 2)}
     with pytest.raises(ValueError):
         G.traverse(edges, start, "outgoing", 1, 11)
 
@@ -67,14 +71,18 @@ def test_identity(spark):
     entities = spark.createDataFrame([("e1", "person", "Ada Bey"), ("e2", "person", "Other")], "entity_id string, entity_type string, display_name string")
     aliases = spark.createDataFrame([("e2", "ADA  bey ", True)], "entity_id string, value string, active boolean")
     mentions = spark.createDataFrame([("m1", "ada bey", "person", "x1", "v1"), ("m2", "Ada Bey", "person", "x2", "v2"), ("m3", "Nobody", "person", "x3", "v1")], "mention_id string, text string, entity_type string, evidence_id string, version_id string")
-    both = K.identity_candidates(mentions, entities, aliases)
+    none = spark.createDataFrame([], "entity_id string, evidence_id string, version_id string")
+    known = spark.createDataFrame([("e1", "y1", "w1"), ("e1", "y2", "w2"), ("e1", "y2", "w2"), ("e2", "y3", "w1")], none.schema)
+    both = K.identity_candidates(mentions, entities, aliases, none)
+    assert {(r.evidences, r.versions) for r in both.collect()} == {(0, 0)}  # mentions do not support themselves
     assert {(r.decision, r.mention_id) for r in K.resolve_mentions(mentions, both).collect()} == {("unresolved", "m1"), ("unresolved", "m2"), ("new", "m3")}
-    one = K.identity_candidates(mentions, entities, aliases.where("false"))
+    one = K.identity_candidates(mentions, entities, aliases, known)
+    assert {(r.entity_id, r.evidences, r.versions) for r in one.collect()} == {("e1", 2, 2), ("e2", 1, 1)}
     got = {r.mention_id: (r.decision, r.entity_id) for r in K.resolve_mentions(mentions, one).collect()}
     assert got["m1"] == ("linked", "e1") and got["m3"][0] == "new"
     catalog = K.entity_catalog(entities.withColumn("generation_id", F.lit("g")), aliases, "g")
-    linked = {r.mention_id: r.state for r in K.link_mentions(mentions.select("mention_id", "text"), catalog).collect()}
-    assert linked == {"m1": "ambiguous", "m2": "ambiguous", "m3": "unknown"}
+    linked = lambda kind: {r.mention_id: r.state for r in K.link_mentions(mentions.withColumn("entity_type", F.lit(kind)), catalog).collect()}
+    assert linked("person") == linked("unknown") == {"m1": "ambiguous", "m2": "ambiguous", "m3": "unknown"} and set(linked("place").values()) == {"unknown"}
 
 
 def test_merge_and_split(spark):

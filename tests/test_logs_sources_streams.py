@@ -65,8 +65,11 @@ def test_conversations(spark):
     assert [(r.position, r.text[:2]) for r in L.memory_window(df, 2, 10).orderBy("position").collect()] == [(1, "m3"), (2, "m4")]
     title = L.conversation_titles(df).first().title
     assert len(title) == 72 and title.endswith("…")
-    turns = spark.createDataFrame([("c", 1, "person", "e1"), ("c", 2, "person", None), ("c", 3, "place", None)], "conv_id string, turn int, entity_type string, entity_id string")
-    assert [(r.focus, r.recent) for r in L.carry_focus(turns).orderBy("turn").collect()] == [("e1", []), ("e1", ["e1"]), (None, ["e1"])]
+    turns = spark.createDataFrame([("c", 1, "person", "e1", "1990"), ("c", 2, "person", None, None), ("c", 3, "place", None, "1991"), ("c", 4, "place", "e2", "1990"), ("c", 5, "person", "e1", None), ("c", 6, "unknown", None, "1992"), ("c", 7, "place", None, None), ("c", 8, "person", "e3", None), ("c", 9, "person", "e4", None), ("c", 10, "place", None, None), ("d", 1, "unknown", None, None)], "conv_id string, turn int, entity_type string, entity_id string, period string")
+    got = {(r.conv_id, r.turn): (r.focus, r.recent, r.periods) for r in L.carry_focus(turns, keep=2, period="period", periods=2).collect()}
+    assert [got["c", i][0] for i in range(1, 11)] == ["e1", "e1", None, "e2", "e1", "e1", "e2", "e3", "e4", None]
+    assert [got["c", i][1] for i in (3, 4, 5, 7, 9)] == [["e1"], ["e1", "e2"], ["e2", "e1"], ["e1", "e2"], ["e3", "e4"]]
+    assert got["c", 4][2] == ["1991", "1990"] and got["c", 10][2] == ["1990", "1992"] and got["d", 1] == (None, [], [])
 
 
 def test_scan_populations(spark):

@@ -80,6 +80,8 @@ def test_authority(spark):
     assert sorted((r.k, r.v) for r in R.merge_by_authority(now, new, ["k"], "rank").collect()) == [("x", "old"), ("y", "new"), ("z", "new")]
     claims = spark.createDataFrame([("x", 3, "a"), ("x", 3, "a"), ("x", 1, "b"), ("y", 3, "a"), ("y", 3, "b")], "k string, rank int, v string")
     assert [tuple(r) for r in R.preferred_claims(claims, ["k"], "v", "rank").collect()] == [("x", "a", 3)]
+    null = spark.createDataFrame([("x", "a", 3), ("x", None, 3), ("y", None, 2), ("y", "b", 1)], "k string, v string, rank int")
+    assert [tuple(r) for r in R.preferred_claims(null, ["k"], "v", "rank").collect()] == [("y", None, 2)]
 
 
 def test_scope(spark):
