@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -185,29 +186,73 @@ def plan_reindex(states: DataFrame, config_hash: Column) -> DataFrame:
     """What each workspace's index needs, and why. states: workspace_id, built_at, corpus_changed_at, config_hash, state."""
     reason = (
         F.when(F.col("built_at").isNull(), "never_built")
-        .when(F.col("state") == "failed", "failed")
         .when(~F.col("config_hash").eqNullSafe(config_hash), "config_changed")
+        .when(~F.col("state").eqNullSafe(F.lit("ready")), F.coalesce("state", F.lit("unknown")))
         .when(F.col("corpus_changed_at") > F.col("built_at"), "corpus_changed")
     )
     return states.select("workspace_id", F.when(reason.isNull(), "none").otherwise("full").alias("action"), F.coalesce(reason, F.lit("current")).alias("reason"))
 
 
-def shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, shingle): distinct hashes of n words in a row."""
-    words = df.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text_col)), r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
-    return words.select("id", F.explode(F.array_distinct(runs)).alias("shingle"))
+#: Grams of which the least hash is taken as a fingerprint: a run of n words has as many grams of n - WINDOW + 1 words.
+WINDOW = 5
 
 
-def verbatim_overlap(answers: DataFrame, sources: DataFrame, n: int = 12, answer_id: str = "item_id", source_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(answer, source, shared): pairs that share a run of n equal words, and how many distinct runs they share.
+def _words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)).alias("w"))
+
+
+def fingerprints(words: DataFrame, n: int) -> DataFrame:
+    """(id, gram, at): of each WINDOW grams in a row of a text's words the one of the least hash, the first of several.
 
-    Only the sources' runs that an answer has are joined. A run that many sources share joins each of them once for each
-    answer that has it, which is what is asked for.
+    Two texts that share n words in a row share the fingerprint of that window, so what they share by chance or by
+    fingerprint alone is for the caller to tell.
     """
-    a = shingles(answers, answer_id, text, n).withColumnRenamed("id", "answer")
-    s = shingles(sources, source_id, text, n).withColumnRenamed("id", "source")
-    return s.join(a, "shingle").groupBy("answer", "source").agg(F.count(F.lit(1)).alias("shared"))
+    size = n - WINDOW + 1
+    long = words.where(F.size("w") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("w", i, size)))
+    hashed = long.select("id", grams.alias("g"))
+    least = lambda i: F.slice("g", i, WINDOW)
+    places = F.transform(F.sequence(F.lit(1), F.size("g") - (WINDOW - 1)), lambda i: (F.array_position(least(i), F.array_min(least(i))) + i - 2).cast("int"))
+    chosen = hashed.select("id", "g", F.explode(F.array_distinct(places)).alias("at"))
+    return chosen.select("id", F.get("g", F.col("at")).alias("gram"), "at")
+
+
+def verbatim_runs(answers: DataFrame, sources: DataFrame, n: int = 12, answer_id: str = "item_id", source_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(answer, source, answer_start, source_start, length): every maximal run of n or more words that an answer shares with a source.
+
+    Words are runs of letters, digits and underscores, in lower case, and are counted from 0. Fingerprints find pairs and
+    diagonals (source place less answer place); on each the words themselves are compared, so no hash is taken on trust. Only
+    the sources' fingerprints that an answer has are joined, and a pair's words meet once. n is at least WINDOW. Texts of
+    fewer words than n have no run.
+    """
+    if n < WINDOW:
+        raise ValueError(f"runs have at least {WINDOW} words")
+    a, s = _words_of(answers, answer_id, text), _words_of(sources, source_id, text)
+    here, there = fingerprints(a, n), fingerprints(s, n)
+    pairs = here.select(F.col("id").alias("answer"), "gram", F.col("at").alias("x")).join(there.select(F.col("id").alias("source"), "gram", F.col("at").alias("y")), "gram")
+    pairs = pairs.groupBy("answer", "source").agg(F.collect_set(F.col("y") - F.col("x")).alias("diagonals"))  # as many as the texts have words, at most
+    held = pairs.join(a.select(F.col("id").alias("answer"), F.col("w").alias("a")), "answer").join(s.select(F.col("id").alias("source"), F.col("w").alias("s")), "source")
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for answer, source, diagonals, left, right in zip(batch["answer"], batch["source"], batch["diagonals"], batch["a"], batch["s"]):
+                for d in diagonals:
+                    first, stop = max(0, -d), min(len(left), len(right) - d)
+                    same = np.concatenate([[False], left[first:stop] == right[first + d : stop + d], [False]])
+                    edges = np.flatnonzero(same[1:] != same[:-1])
+                    for begin, end in zip(edges[::2], edges[1::2]):
+                        if end - begin >= n:
+                            out.append((answer, source, first + begin, first + begin + d, end - begin))
+            yield pd.DataFrame(out, columns=["answer", "source", "answer_start", "source_start", "length"])
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in (a, s)]
+    return held.select("answer", "source", "diagonals", "a", "s").mapInPandas(runs, f"answer {kinds[0]}, source {kinds[1]}, answer_start int, source_start int, length int")
+
+
+def verbatim_overlap(answers: DataFrame, sources: DataFrame, n: int = 12, answer_id: str = "item_id", source_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(answer, source, shared, longest): pairs that share a run of n words, how many runs they share and the longest."""
+    return verbatim_runs(answers, sources, n, answer_id, source_id, text).groupBy("answer", "source").agg(F.count(F.lit(1)).alias("shared"), F.max("length").alias("longest"))
 
 
 def reassemble(sections: DataFrame, by: str = "doc_id", order: str = "ordinal", content: str = "content") -> DataFrame:

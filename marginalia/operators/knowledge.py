@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import normalized_mention, stable_id
+from marginalia.functions.text import comparable_name, normalized_mention, stable_id
 from marginalia.sources.store import Store
 from marginalia.sources.tables import write_scoped
 
@@ -185,24 +185,42 @@ def link_mentions(mentions: DataFrame, catalog: DataFrame, ascii_only: bool = Fa
 NAME = r"(?<![\p{L}\p{N}_])((?:[A-ZÇĞİÖŞÜ][\p{L}\p{N}_'’.-]+\s+){1,3}[A-ZÇĞİÖŞÜ][\p{L}\p{N}_'’.-]+)(?![\p{L}\p{N}_])"
 
 
-def rank_names(mentions: DataFrame, chunks: DataFrame, threshold: float = 0.72, margin: float = 0.08) -> DataFrame:
-    """Full names in the corpus that contain a mention's words, scored by support; resolved if the best is good and clear.
+#: Terms of ownership and law, runs of numbers, and how many candidates a mention has.
+NAME_TERMS = ("malik", "hisse", "tapu", "miras", "vekal", "tescil", "gayrimenkul")
+NUMBERS = r"(?:^|\s)\d[\d. ,/-]{5,}(?:\s|$)"
+MOST_NAMES = 12
+#: Fixed values, in hundredths: what a full name scores, what each document and each passage adds up to a limit, what
+#: descriptive passages and metadata add, and what numbers in all passages take away.
+NAME_SCORE, BY_DOCUMENT, BY_PASSAGE, DESCRIBED, IN_METADATA, ALL_NUMBERS = 73, (4, 12), (2, 8), 6, 8, -18
 
-    mentions: mention_id, text; chunks: chunk_id, document_id, content. A name is joined by its words, so only names that
-    share one with a mention are looked at. Returns mention_id, name, score, rank, resolved.
+
+def rank_names(mentions: DataFrame, chunks: DataFrame, people: DataFrame | None = None, threshold: float = 0.72, margin: float = 0.08, most: int = MOST_NAMES) -> DataFrame:
+    """Full names in the corpus that have all of a mention's words, scored by support; resolved if the best is good and clear.
+
+    mentions: mention_id, text; chunks: chunk_id, document_id, content; people: name, as metadata have them. Words are compared
+    without a title, in lower case. A name gains by its documents and passages (each place it is named), by a passage of
+    descriptive terms, and by metadata, and loses if all its passages hold runs of numbers; ties go to more documents, then
+    to the name. A mention's first word finds the names, whose words are then compared. Returns mention_id, name, score (0 to
+    0.99), documents, passages, basis, rank (up to `most`), resolved.
     """
-    found = chunks.select("chunk_id", "document_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(1)))).alias("name"))
-    names = found.groupBy("name").agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("passages"))
-    words = names.select("name", "documents", "passages", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("word"))
-    low = mentions.select("mention_id", F.lower(F.trim("text")).alias("said"))
-    first = low.withColumn("word", F.substring_index("said", " ", 1))
-    joined = words.join(first, "word").where(F.contains(F.concat(F.lit(" "), F.lower("name"), F.lit(" ")), F.concat(F.lit(" "), F.col("said"), F.lit(" "))))
-    share = F.length("said") / F.length("name")
-    score = F.round(0.5 + 0.2 * F.least(F.lit(1.0), F.col("documents") / 3) + 0.1 * F.least(F.lit(1.0), F.col("passages") / 5) + 0.2 * share, 6)
-    w = W.partitionBy("mention_id").orderBy(F.col("score").desc(), "name")
-    ranked = joined.withColumn("score", score).withColumn("rank", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    resolved = (F.col("rank") == 1) & (F.col("score") >= threshold) & (F.col("score") - F.col("_next") >= margin)
-    return ranked.select("mention_id", "name", "score", "rank", resolved.alias("resolved"))
+    found = chunks.select("document_id", "content", F.explode(F.regexp_extract_all("content", F.lit(NAME), F.lit(1))).alias("name"))
+    described = F.lower("content").rlike("|".join(NAME_TERMS))
+    names = found.groupBy("name").agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("passages"), F.some(described).alias("described"), F.every(F.col("content").rlike(NUMBERS)).alias("numbers"))
+    known = people.select("name").distinct().withColumn("known", F.lit(True)) if people is not None else names.select("name", F.lit(True).alias("known")).limit(0)
+    tokens = lambda c: F.array_distinct(F.filter(F.split(comparable_name(F.col(c)), r"\s+"), lambda x: x != ""))
+    names = names.join(known, "name", "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("words", tokens("name"))
+    size = F.size(F.split(F.trim(comparable_name(F.col("name"))), r"\s+"))
+    asked = mentions.select("mention_id", tokens("text").alias("wanted")).withColumn("word", F.get("wanted", F.lit(0)))
+    joined = names.where(size >= 2).withColumn("word", F.explode("words")).join(asked, "word").where(F.size(F.array_except("wanted", "words")) == 0)
+    part = lambda count, rule: F.least(F.lit(rule[1]), F.col(count) * rule[0])
+    either = lambda c, n: F.when(F.col(c), n).otherwise(0)
+    points = F.greatest(F.lit(0), F.least(F.lit(99), NAME_SCORE + part("documents", BY_DOCUMENT) + part("passages", BY_PASSAGE) + either("described", DESCRIBED) + either("known", IN_METADATA) + either("numbers", ALL_NUMBERS))).cast("int")
+    basis = F.array_compact(F.array(F.lit("full_name_token"), F.concat(F.lit("documents:"), F.col("documents").cast("string")), F.when(F.col("described"), F.lit("descriptive_context")), F.when(F.col("known"), F.lit("metadata"))))
+    w = W.partitionBy("mention_id").orderBy(F.col("points").desc(), F.col("documents").desc(), "name")
+    ranked = joined.withColumns({"points": points, "basis": basis}).withColumns({"rank": F.row_number().over(w), "_next": F.lead("points").over(w)}).where(F.col("rank") <= most)
+    clear = F.col("_next").isNull() | (F.col("points") - F.col("_next") >= round(100 * margin))
+    resolved = (F.col("rank") == 1) & (F.col("points") >= round(100 * threshold)) & clear
+    return ranked.select("mention_id", "name", (F.col("points") / 100).alias("score"), "documents", "passages", "basis", "rank", resolved.alias("resolved"))
 
 
 def extracted_issues(nodes: DataFrame, edges: DataFrame, generation: str) -> DataFrame:

@@ -106,13 +106,17 @@ def entity_catalogs(spark, d):
 
 
 def ranked_names(spark, d):
-    """Names of two capitalised words in sentences about parts, sought by their second word."""
+    """Names of two capitalised words in sentences about parts, some of them with terms or numbers, sought by their words in
+    either order; those of small parts are known from metadata."""
     part = _t(spark, d, "part")
     word = lambda n: F.initcap(F.get(F.split("p_name", " "), F.lit(n)))
-    name = F.concat_ws(" ", word(0), word(1))
-    chunks = part.select(F.col("p_partkey").alias("chunk_id"), (F.col("p_size") % 4).alias("document_id"), F.concat(F.lit("seen: "), name, F.lit(" by day")).alias("content"))
-    mentions = part.select(word(1).alias("text")).distinct().select(F.lower("text").alias("mention_id"), F.lower("text").alias("text"))
-    return K.rank_names(mentions, chunks).select("mention_id", "name", F.round("score", 4).alias("score"), "rank", "resolved")
+    name, k = F.concat_ws(" ", word(0), word(1)), F.col("p_size")
+    content = F.concat(F.lit("seen: "), name, F.when(k % 3 == 0, " by tapu").otherwise(" by day"), F.when(k % 4 > 0, " 12 34 5678").otherwise(""))
+    chunks = part.select(F.col("p_partkey").alias("chunk_id"), (k % 4).alias("document_id"), content.alias("content"))
+    words = part.select(word(0).alias("a"), word(1).alias("b")).distinct()
+    mentions = words.select("b").distinct().select(F.lower("b").alias("text")).unionByName(words.select(F.concat_ws(" ", F.lit("Dr."), "b", F.upper("a")).alias("text"))).select(F.col("text").alias("mention_id"), "text")
+    found = K.rank_names(mentions, chunks, part.where("p_size < 5").select(name.alias("name")))
+    return found.withColumn("basis", F.concat_ws(",", "basis"))
 
 
 def cutover_reports(spark, d):
@@ -221,11 +225,14 @@ ORACLE = {
         UNION ALL SELECT 'check', k::VARCHAR, whole::VARCHAR FROM x WHERE asked""",
     "entity_catalogs": """SELECT p_partkey AS entity_id, p_name, concat_ws(',', CASE WHEN p_size > 25 THEN least(p_brand, CASE WHEN p_size < 30 THEN p_type ELSE p_brand END) END,
         CASE WHEN p_size > 25 AND p_size < 30 THEN greatest(p_brand, p_type) WHEN p_size <= 25 THEN p_type END) AS aliases FROM part WHERE p_size % 3 = 1""",
-    "ranked_names": r"""WITH a AS (SELECT p_partkey, p_size, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])) AS w FROM part),
-        n AS (SELECT w[1] || ' ' || w[2] AS name, lower(w[2]) AS said, count(DISTINCT p_size % 4) AS docs, count(*) AS passages FROM a GROUP BY 1, 2),
-        s AS (SELECT said, name, round(0.5::DOUBLE + 0.2::DOUBLE * least(1.0::DOUBLE, docs / 3) + 0.1::DOUBLE * least(1.0::DOUBLE, passages / 5) + 0.2::DOUBLE * (length(said) / length(name)), 6) AS score FROM n),
-        r AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, 0) AS next FROM s WINDOW w AS (PARTITION BY said ORDER BY score DESC, name))
-        SELECT said AS mention_id, name, round(score, 4) AS score, rank, rank = 1 AND score >= 0.72 AND score - next >= 0.08 AS resolved FROM r""",
+    "ranked_names": r"""WITH a AS (SELECT p_size AS k, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])) AS w FROM part),
+        n AS (SELECT w[1] AS a, w[2] AS b, w[1] || ' ' || w[2] AS name, count(DISTINCT k % 4) AS documents, count(*) AS passages, bool_or(k % 3 = 0) AS described, bool_and(k % 4 > 0) AS numbers, bool_or(k < 5) AS known FROM a GROUP BY ALL),
+        p AS (SELECT *, least(99, 73 + least(12, 4 * documents) + least(8, 2 * passages) + 6 * described::INT + 8 * known::INT - 18 * numbers::INT)::INT AS points FROM n),
+        m AS (SELECT DISTINCT lower(b) AS mention_id, [lower(b)] AS wanted FROM n UNION SELECT DISTINCT 'Dr. ' || b || ' ' || upper(a), [lower(a), lower(b)] FROM n),
+        j AS (SELECT * FROM m JOIN p ON list_has_all([lower(a), lower(b)], wanted)),
+        r AS (SELECT *, row_number() OVER w AS rank, lead(points) OVER w AS next FROM j WINDOW w AS (PARTITION BY mention_id ORDER BY points DESC, documents DESC, name))
+        SELECT mention_id, name, points / 100 AS score, documents, passages, concat_ws(',', 'full_name_token', 'documents:' || documents, CASE WHEN described THEN 'descriptive_context' END, CASE WHEN known THEN 'metadata' END) AS basis, rank,
+        rank = 1 AND points >= 72 AND (next IS NULL OR points - next >= 8) AS resolved FROM r WHERE rank <= 12""",
     "cutover_reports": """WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'error') AS e, avg(value) FILTER (event_type <> 'login') AS m FROM events GROUP BY 1),
         r AS (SELECT user_id, concat_ws(',', CASE WHEN p = 0 THEN 'no_purchase' END, CASE WHEN e > 60 THEN 'errors' END, CASE WHEN NOT coalesce(m >= 24, false) THEN 'low_mean' END) AS reasons FROM e) SELECT user_id, reasons = '' AS accepted, reasons FROM r""",
     "extracted_chunks": f"""WITH {_CH} SELECT doc_id::VARCHAR AS chunk_id, doc_id % 4 = 0 OR t = '' AS failed, CASE WHEN doc_id % 4 <> 0 AND len(w) > 1 THEN w[2] END AS second FROM w""",

@@ -93,6 +93,11 @@ def verbatim_overlap(spark, d):
     return C.verbatim_overlap(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 8)
 
 
+def verbatim_runs(spark, d):
+    """Maximal runs of twelve words or more of each benchmark passage in the documents."""
+    return C.verbatim_runs(_t(spark, d, "benchmark"), _t(spark, d, "documents"))
+
+
 def reassemble(spark, d):
     parts = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("text").alias("content"))
     return C.reassemble(parts)
@@ -192,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_stride, chunk_packed, chunk_paragraphs, section_pages, applied_versions, link_chunks, split_sections, tag_types, dedupe_sources, assign_versions, effective_metadata, corpus_fingerprint,
-        verbatim_overlap, reassemble, content_hashes, normalize_names, reduced_shares, redact_logs, bm25_search, keyword_search, dense_topk, rrf_fusion,
+        verbatim_overlap, verbatim_runs, reassemble, content_hashes, normalize_names, reduced_shares, redact_logs, bm25_search, keyword_search, dense_topk, rrf_fusion,
         group_by_document, expand_neighbors, eval_retrieval, document_questions, select_evidence,
     )
 }
@@ -216,11 +221,21 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)))), 6) AS score
        FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY 1, 2),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"""
-_SHINGLE = """unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) AS s"""
-_VERBATIM = f"""
-va AS (SELECT item_id AS answer, {_SHINGLE} FROM (SELECT item_id, {_WORDS.format('lower(text)')} AS w FROM benchmark) WHERE len(w) >= 8),
-vs AS (SELECT doc_id AS source, {_SHINGLE} FROM (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents) WHERE len(w) >= 8),
-verbatim AS (SELECT answer, source, count(*) AS shared FROM va JOIN vs USING (s) GROUP BY 1, 2)"""
+_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _runs(n: int) -> str:
+    """CTEs up to `verbatim`: maximal runs of n or more equal words, from all n-grams by their places and diagonals."""
+    grams = f"unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS s, unnest(range(0, len(w) - {n - 1})) AS x"
+    return f"""
+va AS (SELECT item_id AS answer, {grams} FROM (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark) WHERE len(w) >= {n}),
+vs AS (SELECT doc_id AS source, {grams} FROM (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents) WHERE len(w) >= {n}),
+vm AS (SELECT DISTINCT answer, source, va.x AS x, vs.x - va.x AS d FROM va JOIN vs USING (s)),
+vi AS (SELECT *, x - row_number() OVER (PARTITION BY answer, source, d ORDER BY x) AS island FROM vm),
+verbatim AS (SELECT answer, source, min(x)::INT AS answer_start, (min(x) + d)::INT AS source_start, (count(*) + {n - 1})::INT AS length FROM vi GROUP BY answer, source, d, island)"""
+
+
+_VERBATIM = _runs(8)
 _FINGER = """
 f0 AS (SELECT source, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, chr(0)))) AS h FROM documents),
 f1 AS (SELECT source, substr(h, 1, 3) AS a, substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f0 GROUP BY 1, 2, 3),
@@ -269,7 +284,8 @@ ORACLE = {
     "effective_metadata": """SELECT user_id, event_id AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END DESC, ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "corpus_fingerprint": f"WITH {_FINGER} SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM f2 GROUP BY 1",
-    "verbatim_overlap": f"WITH {_VERBATIM} SELECT * FROM verbatim",
+    "verbatim_overlap": f"WITH {_VERBATIM} SELECT answer, source, count(*) AS shared, max(length) AS longest FROM verbatim GROUP BY 1, 2",
+    "verbatim_runs": f"WITH {_runs(12)} SELECT * FROM verbatim",
     "reassemble": "SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1",
     "content_hashes": "SELECT doc_id, sha256(text) AS hash, len(regexp_extract_all(text, '[0-9]'))::BIGINT AS digits FROM documents",
     "normalize_names": "SELECT p_partkey, lower(p_name) || ' x' AS name FROM part",
@@ -292,7 +308,7 @@ ORACLE = {
               UNION ALL SELECT query_id, d.doc_id, 1, rank, 1 FROM h JOIN d ON d.doc_id = chunk_id + 20 AND d.source = h.source),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, level, place) AS r FROM e)
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, level, place) AS position FROM o WHERE r = 1""",
-    "eval_retrieval": f"""WITH {_KEYWORD}, {_VERBATIM}, j AS (SELECT answer, min(rank) AS first, count(rank) AS hits, count(*) AS wanted FROM verbatim LEFT JOIN keyword ON query_id = answer AND id = source GROUP BY 1)
+    "eval_retrieval": f"""WITH {_KEYWORD}, {_VERBATIM}, j AS (SELECT answer, min(rank) AS first, count(rank) AS hits, count(*) AS wanted FROM (SELECT DISTINCT answer, source FROM verbatim) LEFT JOIN keyword ON query_id = answer AND id = source GROUP BY 1)
         SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg((hits > 0)::INT::DOUBLE), 6) AS hit_at_k, round(avg(hits::DOUBLE / wanted), 6) AS recall_at_k FROM j""",
     "document_questions": f"""WITH {_BM25}, h AS (SELECT s.query_id, s.id, s.score, s.rank, d.source, contains(lower(d.text), lower(b.text)) AS exact
         FROM bm25 s JOIN documents d ON d.doc_id = s.id JOIN benchmark b ON b.item_id = s.query_id WHERE rank <= 20 AND score > 0)

@@ -77,7 +77,7 @@ def plan_reindex(spark, d):
     """Users as workspaces: built at their first purchase, changed at their last click."""
     at = lambda kind: F.when(F.col("event_type") == kind, F.col("ts"))
     states = _t(spark, d, "events").groupBy(F.col("user_id").alias("workspace_id")).agg(F.min(at("purchase")).alias("built_at"), F.max(at("click")).alias("corpus_changed_at"), F.max(at("purchase")).alias("_l"))
-    marked = states.withColumns({"config_hash": F.when(F.col("workspace_id") % 10 == 0, "old").otherwise("new"), "state": F.when(F.col("workspace_id") % 7 == 0, "failed").otherwise("ready")})
+    marked = states.withColumns({"config_hash": F.when(F.col("workspace_id") % 10 == 0, "old").otherwise("new"), "state": F.when(F.col("workspace_id") % 7 == 0, "failed").when(F.col("workspace_id") % 7 == 1, "building").otherwise("ready")})
     return C.plan_reindex(marked, F.lit("new"))
 
 
@@ -114,7 +114,7 @@ count(*) OVER (PARTITION BY p_brand) AS enumerated, true AS complete FROM part""
     "orphan_refs": "SELECT DISTINCT l_orderkey AS owner, l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)",
     "nodes_per_generation": "SELECT c_nationkey AS generation_id, count(*) AS nodes FROM customer GROUP BY 1",
     "plan_reindex": """WITH s AS (SELECT user_id AS w, min(ts) FILTER (event_type = 'purchase') AS b, max(ts) FILTER (event_type = 'click') AS c FROM events GROUP BY 1),
-        r AS (SELECT w, CASE WHEN b IS NULL THEN 'never_built' WHEN w % 7 = 0 THEN 'failed' WHEN w % 10 = 0 THEN 'config_changed' WHEN c > b THEN 'corpus_changed' ELSE 'current' END AS reason FROM s)
+        r AS (SELECT w, CASE WHEN b IS NULL THEN 'never_built' WHEN w % 10 = 0 THEN 'config_changed' WHEN w % 7 = 0 THEN 'failed' WHEN w % 7 = 1 THEN 'building' WHEN c > b THEN 'corpus_changed' ELSE 'current' END AS reason FROM s)
         SELECT w AS workspace_id, CASE reason WHEN 'current' THEN 'none' ELSE 'full' END AS action, reason FROM r""",
     "advance_claims": """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderstatus = 'P' AS p, coalesce(CASE WHEN o_orderstatus = 'P' THEN o_custkey % 2 = 0 ELSE n > 0 END, false) AS ok FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
         SELECT o_orderkey AS claim_id, CASE WHEN p THEN CASE WHEN ok THEN 'verified' ELSE 'supported' END WHEN ok THEN 'supported' ELSE 'extracted' END AS stage, NOT ok AS violation FROM o""",

@@ -1,6 +1,8 @@
 """Corpus preparation and retrieval on small cases."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -70,17 +72,37 @@ def test_fingerprints(spark):
 
 
 def test_reindex(spark):
-    rows = [("a", None, 1, "c", "ready"), ("b", 1, 2, "c", "ready"), ("c", 3, 2, "c", "ready"), ("d", 3, 2, "old", "ready"), ("e", 3, 2, "c", "failed")]
+    rows = [("a", None, 1, "c", "ready"), ("b", 1, 2, "c", "ready"), ("c", 3, 2, "c", "ready"), ("d", 3, 2, "old", "ready"), ("e", 3, 2, "c", "failed"), ("f", 3, 2, "c", "building"), ("g", 3, 2, "c", None)]
     df = spark.createDataFrame(rows, "workspace_id string, built_at int, corpus_changed_at int, config_hash string, state string")
     got = {r.workspace_id: (r.action, r.reason) for r in C.plan_reindex(df, F.lit("c")).collect()}
-    assert got == {"a": ("full", "never_built"), "b": ("full", "corpus_changed"), "c": ("none", "current"), "d": ("full", "config_changed"), "e": ("full", "failed")}
+    assert got == {"a": ("full", "never_built"), "b": ("full", "corpus_changed"), "c": ("none", "current"), "d": ("full", "config_changed"), "e": ("full", "failed"), "f": ("full", "building"), "g": ("full", "unknown")}
 
 
 def test_copy_guard(spark):
     source = "one two three four five six seven eight nine ten eleven twelve thirteen"
     answers = spark.createDataFrame([(1, "so: " + source.upper()), (2, "twelve eleven ten nine eight seven six five four three two one zero")], "item_id int, text string")
     found = C.verbatim_overlap(answers, spark.createDataFrame([(9, source)], "doc_id int, text string")).collect()
-    assert [(r.answer, r.source, r.shared) for r in found] == [(1, 9, 2)]
+    assert [(r.answer, r.source, r.shared, r.longest) for r in found] == [(1, 9, 1, 13)]
+
+
+def test_verbatim_runs(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    sources = [(i, text(rnd.choice([3, 11, 60]))) for i in range(12)] + [(99, "x, y; (z) " * 5)]
+    cut = lambda: rnd.choice(sources)[1].split()[rnd.randrange(9) :][:25]
+    answers = [(i, ", ".join(cut() + [text(2)] + cut()).upper()) for i in range(12)] + [(50, None), (51, "X y.Z! x y z x y z x y z")]
+    want = set()
+    for a, left in answers:
+        for s, right in sources:
+            p, q = (re.findall(r"\w+", (t or "").lower()) for t in (left, right))
+            for x in range(len(p)):
+                for y in range(len(q)):
+                    if not (x and y and p[x - 1] == q[y - 1]):
+                        n = next((k for k in range(len(p)) if x + k >= len(p) or y + k >= len(q) or p[x + k] != q[y + k]), len(p))
+                        if n >= 12:
+                            want.add((a, s, x, y, n))
+    found = C.verbatim_runs(spark.createDataFrame(answers, "item_id int, text string"), spark.createDataFrame(sources, "doc_id int, text string")).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 10
 
 
 def test_embedding(spark):

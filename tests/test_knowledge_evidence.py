@@ -111,10 +111,15 @@ def test_claims_and_aliases(spark):
 
 
 def test_name_ranking(spark):
-    chunks = spark.createDataFrame([("c1", "d1", "Dün Deniz Kaya Yılmaz geldi."), ("c2", "d2", "Sonra Deniz Kaya Yılmaz gitti."), ("c3", "d3", "Ve Deniz Kaya Yılmaz döndü.")], "chunk_id string, document_id string, content string")
-    mentions = spark.createDataFrame([(1, "kaya")], "mention_id int, text string")
-    best = K.rank_names(mentions, chunks).where("rank = 1").first()
-    assert "Deniz Kaya Yılmaz" in best["name"]
+    texts = [("c1", "d1", "dün Deniz Kaya Yılmaz geldi, tapu aldı."), ("c2", "d2", "sonra Deniz Kaya Yılmaz gitti, yine Deniz Kaya Yılmaz döndü."), ("c3", "d3", "Ali Kaya 12 34 56 78 numara"), ("c4", "d3", "Kaya geldi"), ("c5", "d4", "Can Kaya oradaydı")]
+    chunks = spark.createDataFrame(texts, "chunk_id string, document_id string, content string")
+    mentions = spark.createDataFrame([(1, "kaya"), (2, "Dr. KAYA  deniz"), (3, "kay"), (4, ""), (5, "ali kaya can")], "mention_id int, text string")
+    people = spark.createDataFrame([("Can Kaya",)], "name string")
+    found = {(r.mention_id, r.rank): (r.name, r.score, r.documents, r.passages, r.resolved) for r in K.rank_names(mentions, chunks, people).collect()}
+    assert found == {
+        (1, 1): ("Deniz Kaya Yılmaz", 0.93, 2, 3, False), (1, 2): ("Can Kaya", 0.87, 1, 1, False), (1, 3): ("Ali Kaya", 0.61, 1, 1, False), (2, 1): ("Deniz Kaya Yılmaz", 0.93, 2, 3, True),
+    }
+    assert {r.mention_id: r.resolved for r in K.rank_names(mentions, chunks).where("rank = 1").collect()} == {1: True, 2: True}
 
 
 def test_generations(spark):
