@@ -84,8 +84,11 @@ def _nodes(rebuilt: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame
 
     before = ["block", *[f"p{i}" for i in range(LANES)]]
     values = cut_parquet(blocks.groupBy(*before, "turns", *[f"s{i}" for i in range(LANES)]).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n")))
-    alone = values.groupBy(*before).agg(F.count(F.lit(1)).alias("values"))
-    values = values.join(alone, before).select("conv_id", *before, "n", (F.col("values") > 1).alias("diverge"))
+    named = ["conv_id", *before, "n"]
+    first, rest = values.where("block = 0"), values.where("block > 0")
+    several = F.lit(first.limit(2).count() > 1)  # the root's, which all conversations share
+    counts = rest.groupBy(*before).agg(F.count(F.lit(1)).alias("values"))
+    values = first.select(*named, several.alias("diverge")).unionByName(rest.join(counts, before).select(*named, (F.col("values") > 1).alias("diverge")))
     inner = "OVER (PARTITION BY conv_id, block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     found = rows.join(values, ["conv_id", "block"]).selectExpr("conv_id", "at + 1 AS depth", "n", "words", "diverge", *[f"a{i}" for i in range(LANES)], *[f"p{i} + sum(a{i}) {inner} AS b{i}" for i in range(LANES)])
     found = cut_parquet(found.selectExpr("conv_id", "depth", "n", "words", "diverge", *[f"b{i}" for i in range(LANES)], *[f"b{i} - a{i} AS q{i}" for i in range(LANES)]))
