@@ -180,14 +180,14 @@ def citation_summary(spark, d):
 
 
 def readable_sources(spark, d):
-    """Every tenth document as it is cited: with its version and, if it has one, its section."""
+    """Every document as it is cited: with its version and, if it has one, its section."""
     docs = _t(spark, d, "documents")
     name = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"))
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), name("v").alias("version_id"), name("l").alias("logical_id"))
     documents = docs.select(F.col("source").alias("document_id")).distinct().withColumn("document_title", F.upper("document_id"))
     logical = docs.where("doc_id % 4 = 0").select(name("l").alias("logical_id"), F.col("lang").alias("section"))
     versions = docs.select(name("v").alias("version_id"), F.concat("lang", F.lit(".txt")).alias("source_filename"))
-    return E.readable_source(chunks.where("chunk_id % 10 = 0").select("chunk_id"), chunks, documents, versions, logical).select("chunk_id", "document_title", "source_filename", "section")
+    return E.readable_source(chunks.select("chunk_id"), chunks, documents, versions, logical).select("chunk_id", "document_title", "source_filename", "section")
 
 
 def source_details(spark, d):
@@ -300,7 +300,7 @@ ORACLE = {
     "citation_summary": """WITH c AS (SELECT conv_id || '-' || turn AS message_id, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS cited, CASE WHEN turn % 2 = 0 THEN turn + 5 END AS given, CASE WHEN turn % 2 = 0 AND turn > 0 THEN turn END AS chosen FROM conversations),
         s AS (SELECT *, coalesce(chosen, cited)::BIGINT AS selected FROM c)
         SELECT message_id, coalesce(given, selected)::BIGINT AS retrieval_candidate_count, selected AS selected_evidence_count, cited::BIGINT AS cited_evidence_count, cited::BIGINT AS user_visible_source_count, greatest(0, selected - cited)::BIGINT AS unused_selected_evidence_count FROM s""",
-    "readable_sources": "SELECT doc_id AS chunk_id, upper(source) AS document_title, lang || '.txt' AS source_filename, CASE WHEN doc_id % 4 = 0 THEN lang END AS section FROM documents WHERE doc_id % 10 = 0",
+    "readable_sources": "SELECT doc_id AS chunk_id, upper(source) AS document_title, lang || '.txt' AS source_filename, CASE WHEN doc_id % 4 = 0 THEN lang END AS section FROM documents",
     "source_details": """SELECT doc_id AS chunk_id, source AS title, 'f.txt' AS source_filename, CASE WHEN doc_id % 3 > 0 THEN lang END AS section,
         concat_ws(', ', CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN 'p. ' || doc_id || CASE WHEN doc_id % 2 = 1 THEN '-' || (doc_id + 1) ELSE '' END END, 'passage ' || (doc_id % 7 + 1)) AS location FROM documents""",
     "artifact_evidence": "SELECT p_brand AS artifact_id, p_partkey AS evidence_id, p_type FROM part WHERE p_size > 20",

@@ -87,7 +87,7 @@ def split_entities(spark, d):
     entities = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("entity_id"), F.lit("place").alias("entity_type"), F.lit("active").alias("status"))
     mentions = c.select(F.col("c_nationkey").cast("string").alias("entity_id"), F.col("c_custkey").alias("mention_id"))
     first = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
-    marked = c.where("c_nationkey < 20").withColumn("first", first)
+    marked = c.withColumn("first", first)
     times = F.when(F.col("first") & (F.col("c_nationkey") % 3 == 0), 0).when(F.col("first") & (F.col("c_nationkey") % 4 == 0), 2).otherwise(1)
     given = marked.withColumn("times", times).where("times > 0").select(F.col("c_nationkey").cast("string").alias("entity_id"), F.col("c_custkey").alias("mention_id"), F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("new_entity_id"), F.explode(F.sequence(F.lit(1), "times")).alias("_n")).drop("_n")
     after, moved, checks = K.split_entities(entities, mentions, given)
@@ -218,7 +218,7 @@ ORACLE = {
     "built_events": f"""WITH {_MAP}, {_TIME}, p AS (SELECT o_orderkey AS k, unnest([o_custkey, o_custkey + 1, o_custkey + 2]) AS i, unnest(['buyer', 'witness', 'buyer']) AS role FROM orders)
         SELECT DISTINCT k AS event_id, e AS entity_id, role FROM p JOIN m USING (i) UNION ALL SELECT o_orderkey, k::VARCHAR, 'time' FROM orders JOIN t ON k IN (o_orderkey, o_orderkey + 1) WHERE reasons = ''""",
     "built_claims": f"WITH {_MAP} SELECT o_orderkey AS claim_id, e AS subject_id, o_orderpriority AS value FROM orders JOIN m ON i = o_custkey",
-    "split_entities": """WITH x AS (SELECT n_nationkey AS k, n_nationkey < 20 AND count(c_custkey) > 0 AS asked, n_nationkey % 3 > 0 AND n_nationkey % 4 > 0 AS whole FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
+    "split_entities": """WITH x AS (SELECT n_nationkey AS k, count(c_custkey) > 0 AS asked, n_nationkey % 3 > 0 AND n_nationkey % 4 > 0 AS whole FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
         y AS (SELECT k, asked AND whole AS done FROM x)
         SELECT 'entity' AS kind, k::VARCHAR AS id, CASE WHEN done THEN 'split' ELSE 'active' END AS value FROM y UNION ALL SELECT DISTINCT 'entity', c_nationkey || '-' || c_mktsegment, 'active' FROM customer JOIN y ON k = c_nationkey WHERE done
         UNION ALL SELECT 'mentions', CASE WHEN done THEN c_nationkey || '-' || c_mktsegment ELSE c_nationkey::VARCHAR END, count(*)::VARCHAR FROM customer JOIN y ON k = c_nationkey GROUP BY 2

@@ -42,13 +42,15 @@ def active_sections(spark, d):
 
 
 def text_files(spark, d):
-    """A text file a source, with foreign line ends; that of one source is blank and so rejected."""
+    """Text files of the documents of a source, by their ids, with foreign line ends; those of one source are blank and so rejected."""
     folder = shared_folder(spark, "texts")
     line = F.when(F.col("source") == "src0", "  ").otherwise(F.concat("text", F.lit("\r")))
-    _t(spark, d, "documents").select("source", "doc_id", line.alias("line")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.partitionBy("source").text(folder)
+    part = F.floor(F.col("doc_id") / 400)
+    rows = _t(spark, d, "documents").select("source", part.alias("part"), "doc_id", line.alias("line"))
+    rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "line").write.partitionBy("source", "part").text(folder)
     good, rejects = S.read_text_documents(spark, folder)
-    source = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
-    return good.select(source, F.lit("accepted").alias("state"), F.md5("text").alias("text_md5")).unionByName(rejects.select(source, F.col("reason").alias("state"), F.lit(None).cast("string").alias("text_md5")))
+    place = [F.regexp_extract("path", f"{x}=([^/]+)/", 1).alias(x) for x in ("source", "part")]
+    return good.select(*place, F.lit("accepted").alias("state"), "text").unionByName(rejects.select(*place, F.col("reason").alias("state"), F.lit(None).cast("string").alias("text")))
 
 
 def media_types(spark, d):
@@ -212,9 +214,8 @@ def token_kinds(spark, d):
 
 
 def composed_names(spark, d):
-    """First words with a letter taken apart into a letter and a mark, composed again."""
-    name = F.substring("text", 1, 30)
-    return _t(spark, d, "documents").select("doc_id", T.normalized_mention(F.concat(F.lit(" "), name, F.lit("  é"))).alias("name"))
+    """Texts with a letter taken apart into a letter and a mark, composed again."""
+    return _t(spark, d, "documents").select("doc_id", T.normalized_mention(F.concat(F.lit(" "), "text", F.lit("  e\u0301"))).alias("name"))
 
 
 def comparable_names(spark, d):
@@ -341,7 +342,7 @@ _SUPPLIER = "SELECT sha256(concat_ws(chr(31), s_name, s_suppkey::VARCHAR)) AS h
 ORACLE = {
     "active_sections": f"""SELECT doc_id AS document_id, 'v' || doc_id || '-' || part AS logical_id, part AS title, md5(part || '/' || source) AS content_md5 FROM documents, (VALUES ('a'), ('b')) p(part) WHERE doc_id % 3 <> 0 AND doc_id NOT IN ({_DEL})
         UNION ALL SELECT doc_id, 'v' || doc_id, source, md5(text) FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN ({_DEL})""",
-    "text_files": """SELECT source, CASE WHEN source = 'src0' THEN 'empty' ELSE 'accepted' END AS state, CASE WHEN source <> 'src0' THEN md5(string_agg(text || chr(10), '' ORDER BY doc_id)) END AS text_md5 FROM documents GROUP BY source""",
+    "text_files": """SELECT source, (doc_id // 400)::VARCHAR AS part, CASE WHEN source = 'src0' THEN 'empty' ELSE 'accepted' END AS state, CASE WHEN source <> 'src0' THEN string_agg(text || chr(10), '' ORDER BY doc_id) END AS text FROM documents GROUP BY 1, 2""",
     "media_types": """SELECT '/in/' || page_id || CASE WHEN k = 4 THEN '.exe' WHEN k < 2 THEN '.md' ELSE '.txt' END AS path, k NOT IN (1, 4) AS accepted, CASE k WHEN 1 THEN 'media_type' WHEN 4 THEN 'extension' END AS reason FROM (SELECT page_id, page_id % 5 AS k FROM pages)""",
     "newest_artifacts": "SELECT s_suppkey::VARCHAR AS id, 'entities' AS kind, s_name AS text, s_nationkey::VARCHAR AS nation FROM supplier WHERE s_nationkey < 10",
     "json_artifacts": "SELECT s_suppkey::VARCHAR AS id, 'supplier' AS kind, s_name AS text, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey::VARCHAR END AS nation, (s_suppkey % 3 > 0)::INT AS n FROM supplier",
@@ -371,7 +372,7 @@ ORACLE = {
     "folder_paths": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages), q AS (SELECT page_id, string_split(trim(CASE page_id % 4 WHEN 0 THEN p || '/..' WHEN 2 THEN p || '//a' ELSE p END), '/') AS l FROM p)
         SELECT page_id, CASE WHEN list_has_any(l, ['', '.', '..']) THEN '' ELSE array_to_string(l, '>') END AS parts, NOT list_has_any(l, ['', '.', '..']) AS ok FROM q""",
     "token_kinds": r"""SELECT doc_id, len(w)::INT AS words, len(list_filter(w, lambda x: regexp_full_match(x, '\p{L}+')))::INT AS alphabetic, len(regexp_extract_all(text, '[0-9]')) AS digits FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents)""",
-    "composed_names": rf"""SELECT doc_id, nfc_normalize(trim(regexp_replace(lower(' ' || left(text, 30) || '  e' || chr(769)), '{_WS}+', ' ', 'g'))) AS name FROM documents""",
+    "composed_names": rf"""SELECT doc_id, nfc_normalize(trim(regexp_replace(lower(' ' || text || '  e' || chr(769)), '{_WS}+', ' ', 'g'))) AS name FROM documents""",
     "comparable_names": """SELECT c_custkey, lower(nfc_normalize(CASE WHEN c_custkey % 4 = 2 THEN 'Drake ' ELSE '' END || c_name || ' e' || chr(769))) AS name FROM customer""",
     "json_fields": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN json_extract_string(props, '$.k') END AS k, NULL::VARCHAR AS other FROM events",
     "property_display": """WITH f AS (SELECT c_custkey AS k, concat_ws(', ', CASE WHEN c_custkey % 2 > 0 THEN 'Ankara' END, CASE WHEN c_custkey % 3 > 0 THEN 'Köy' END) AS place,
