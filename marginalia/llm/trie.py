@@ -38,7 +38,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     role, text = (f"coalesce({x}, '')" for x in ("role", "text"))
     digest = f"unhex(sha2(concat(octet_length({role}), ':', {role}, {text}), 256)) AS digest"
     rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", F.expr(f"{role} AS role"), F.expr(digest), F.regexp_count(F.expr(text), F.lit(WORD)).cast("long").alias("words"))
-    return numbered(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]).drop("turn", "role")
+    return numbered(cut_parquet(rows), ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]).drop("turn", "role")
 
 
 def shared_openings(numbered_turns: DataFrame) -> tuple[DataFrame, DataFrame]:
