@@ -107,17 +107,19 @@ def _written(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if there else None
 
 
-def construct(chunks: DataFrame, extractor: Callable[[str], str], path: str, generation: str, entities: DataFrame | None = None, aliases: DataFrame | None = None) -> dict[str, DataFrame]:
+def construct(chunks: DataFrame, extractor: Callable[[str], str], path: str, generation: str, entities: DataFrame | None = None, aliases: DataFrame | None = None, resolved: DataFrame | None = None) -> dict[str, DataFrame]:
     """A knowledge generation from chunks (workspace_id, version_id, chunk_id, content): one Parquet table a stage.
 
     Stages that a former run has written are read, not run again, so a job that was stopped goes on where it was. Returns
     the tables by name: extraction, mentions, identity, entities, relations, temporals, participants, event_times, claims,
-    rejects. `generation` names the folder; a new snapshot takes a new name.
+    rejects. `generation` names the folder; a new snapshot takes a new name. entities, aliases and resolved (mentions of former
+    generations) are what mentions may be linked to.
     """
     spark = chunks.sparkSession
     none = lambda schema: spark.createDataFrame([], schema)
     entities = entities if entities is not None else none("entity_id string, entity_type string, display_name string")
     aliases = aliases if aliases is not None else none("entity_id string, value string, active boolean")
+    resolved = resolved if resolved is not None else none("entity_id string, evidence_id string, version_id string")
     tables: dict[str, DataFrame] = {}
 
     def stage(name: str, made: Callable[[], DataFrame]) -> DataFrame:
@@ -138,8 +140,7 @@ def construct(chunks: DataFrame, extractor: Callable[[str], str], path: str, gen
         return exact.select(F.col("span_id").alias("mention_id"), F.col("quote").alias("text"), "entity_type", "chunk_id", "version_id", "start_offset")
 
     held = stage("mentions", mentions)
-    named = held.withColumn("evidence_id", F.col("mention_id"))
-    mapping = stage("identity", lambda: K.resolve_mentions(named, K.identity_candidates(named, entities, aliases)))
+    mapping = stage("identity", lambda: K.resolve_mentions(held, K.identity_candidates(held, entities, aliases, resolved)))
     stage("entities", lambda: K.build_entities(mapping.join(held, "mention_id")))
     mark = lambda c: F.concat_ws("/", "chunk_id", c)
     of = mapping.select("mention_id", "entity_id")

@@ -9,12 +9,15 @@ from marginalia.functions.text import stable_id
 from marginalia.operators.relational import latest_per_key, require_scope
 from marginalia.sources.store import Store
 
-BUNDLE = """struct<mentions:array<struct<mention_id:string,text:string,entity_type:string,start_offset:int>>,
-relations:array<struct<relation_id:string,source_mention:string,target_mention:string,relation_type:string>>,
-events:array<struct<event_id:string,event_type:string,participants:array<struct<mention_id:string,role:string>>,temporal_ids:array<string>>>,
-temporals:array<struct<temporal_id:string,original_text:string,normalized_start:string,normalized_end:string,precision:string>>,
-claims:array<struct<claim_id:string,subject_mention:string,predicate:string,value:string>>>""".replace("\n", "")
-KINDS = ("mentions", "relations", "events", "temporals", "claims")
+#: The kinds of an extraction bundle and their fields.
+KIND_TYPES = {
+    "mentions": "array<struct<mention_id:string,text:string,entity_type:string,start_offset:int>>",
+    "relations": "array<struct<relation_id:string,source_mention:string,target_mention:string,relation_type:string>>",
+    "events": "array<struct<event_id:string,event_type:string,participants:array<struct<mention_id:string,role:string>>,temporal_ids:array<string>>>",
+    "temporals": "array<struct<temporal_id:string,original_text:string,normalized_start:string,normalized_end:string,precision:string>>",
+    "claims": "array<struct<claim_id:string,subject_mention:string,predicate:string,value:string>>",
+}
+KINDS = tuple(KIND_TYPES)
 
 
 def active_corpus(chunks: DataFrame, documents: DataFrame, workspace: str | None = None) -> DataFrame:
@@ -114,12 +117,21 @@ def read_json_artifacts(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def parse_extractions(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "bundle") -> tuple[dict[str, DataFrame], DataFrame]:
-    """({kind: rows}, rejects) of extraction bundles in JSON: texts that don't parse, or are no object, go to the rejects."""
-    parsed = rows.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("bundle"), F.from_json(F.col(text_col), BUNDLE, {"mode": "PERMISSIVE"}).alias("b"))
-    ok = F.trim("bundle").rlike(r"(?s)^\{.*\}$") & F.col("b").isNotNull() & F.try_parse_json("bundle").isNotNull()
-    good = parsed.where(F.coalesce(ok, F.lit(False)))
-    out = {kind: good.select("chunk_id", F.inline(f"b.{kind}")) for kind in KINDS}
-    return out, parsed.where(~F.coalesce(ok, F.lit(False))).select("chunk_id", "bundle")
+    """({kind: rows}, rejects) of extraction bundles in JSON, with the reason of each reject.
+
+    A text is parsed once, to a variant, from which the kinds are taken. Rejected are texts that do not parse (json), that
+    are no object (object), and bundles of which a kind is there but not as its schema says (the kind); the kinds of a rejected
+    bundle are not taken. A kind that is absent or null has no rows, absent fields are null, and other fields are ignored.
+    """
+    parsed = rows.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("bundle"), F.try_parse_json(text_col).alias("v"))
+    whole = lambda kind: F.try_variant_get("v", f"$.{kind}", KIND_TYPES[kind])
+    there = lambda kind: F.schema_of_variant(F.try_variant_get("v", f"$.{kind}", "variant")) != "VOID"
+    wrong = [F.when(F.coalesce(there(kind), F.lit(False)) & whole(kind).isNull(), F.lit(kind)) for kind in KINDS]
+    reason = F.coalesce(F.when(F.col("v").isNull(), F.lit("json")), F.when(~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit("object")), *wrong)
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason IS NULL")
+    out = {kind: good.select("chunk_id", F.inline(whole(kind))) for kind in KINDS}
+    return out, judged.where("reason IS NOT NULL").select("chunk_id", "bundle", "reason")
 
 
 def write_scoped(df: DataFrame, path: str, scope: list[str]) -> None:

@@ -121,7 +121,13 @@ def test_extractions(spark):
     df = spark.createDataFrame([("c1", good), ("c2", "{broken"), ("c3", "[]"), ("c4", None)], "chunk_id string, bundle string")
     parts, rejects = S.parse_extractions(df)
     assert [(r.chunk_id, r.mention_id, r.start_offset) for r in parts["mentions"].collect()] == [("c1", "m", 1)]
-    assert parts["relations"].count() == 0 and {r.chunk_id for r in rejects.collect()} == {"c2", "c3", "c4"}
+    assert parts["relations"].count() == 0 and {(r.chunk_id, r.reason) for r in rejects.collect()} == {("c2", "json"), ("c3", "object"), ("c4", "json")}
+    bundles = [("a", {"mentions": None, "claims": [{"claim_id": "k", "more": 1}]}), ("b", {"mentions": "text"}), ("c", {"events": [{"event_id": "e", "participants": [{"mention_id": "m", "role": None}]}], "other": [1]}), ("d", {"mentions": [{"start_offset": "no number"}], "claims": [{"claim_id": "l"}]}), ("e", {})]
+    parts, rejects = S.parse_extractions(spark.createDataFrame([(i, json.dumps(b)) for i, b in bundles], "chunk_id string, bundle string"))
+    assert sorted(tuple(r)[:2] for r in parts["claims"].collect()) == [("a", "k"), ("d", "l")] and [tuple(r) for r in parts["mentions"].collect()] == [("d", None, None, None, None)]
+    event = parts["events"].first()
+    assert (event.chunk_id, event.participants[0].mention_id, event.temporal_ids) == ("c", "m", None)
+    assert {(r.chunk_id, r.reason) for r in rejects.collect()} == {("b", "mentions")}
 
 
 def test_index_scope(spark, tmp_path):
