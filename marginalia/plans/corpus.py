@@ -244,8 +244,10 @@ f2 AS (SELECT source, a, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f1 GROUP
 ORACLE = {
     "chunk_stride": f"WITH {_STRIDE} SELECT doc_id, (start / 80)::INT AS ordinal, md5(array_to_string(w[start + 1:start + 100], ' ')) AS content_md5 FROM c",
     # documents have no blank lines, so each is one paragraph and is cut every 450 words
-    "chunk_packed": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 51) + 1, 450)) AS start FROM w WHERE len(w) > 0)
-        SELECT doc_id, (start / 450)::INT AS ordinal, NULL::VARCHAR AS heading, array_to_string(w[start + 1:start + 500], ' ') AS content FROM c""",
+    # a text is one paragraph: full chunks as long as over 500 words are left, then the rest, each after 50 words of the one before
+    "chunk_packed": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), m AS (SELECT doc_id, w, CASE WHEN len(w) <= 500 THEN 0 ELSE (greatest(len(w), 551) - 551) // 450 + 1 END AS m FROM w WHERE len(w) > 0),
+        c AS (SELECT doc_id, w, m, unnest(range(0, m + 1)) AS i FROM m)
+        SELECT doc_id, i::INT AS ordinal, NULL::VARCHAR AS heading, array_to_string(CASE WHEN i < m THEN w[450 * i + 1:450 * i + 500] ELSE w[450 * m + 1:] END, ' ') AS content FROM c""",
     # packing in turn: held words, how many of them are new, the heading of the last paragraph, and what each step sends off
     "chunk_paragraphs": r"""WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, max(turn) FILTER (turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS t, list_filter(string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM conversations),
         q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i, 'T' || t AS head, w FROM p WHERE len(w) > 0),
