@@ -140,7 +140,7 @@ def construct(chunks: DataFrame, extractor: Callable[[str], str], path: str, gen
         return exact.select(F.col("span_id").alias("mention_id"), F.col("quote").alias("text"), "entity_type", "chunk_id", "version_id", "start_offset")
 
     held = stage("mentions", mentions)
-    mapping = stage("identity", lambda: K.resolve_mentions(held, K.identity_candidates(held, entities, aliases, resolved)))
+    mapping = stage("identity", lambda: K.resolve_by_name(held, entities, aliases, resolved))
     stage("entities", lambda: K.build_entities(mapping.join(held, "mention_id")))
     mark = lambda c: F.concat_ws("/", "chunk_id", c)
     of = mapping.select("mention_id", "entity_id")
