@@ -10,6 +10,11 @@ from marginalia.sources.session import materialize
 POINTER = ["id", "up", "seq"]
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, never broadcast: a replay has some hundred joins, and a broadcast goes through the driver."""
+    return df.hint("merge")
+
+
 def _stacked(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
@@ -25,20 +30,20 @@ def follow(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
     those that have not ended go on, so that the rounds are the logarithm of the longest way.
     """
     ids = pointers.select(F.col("id").alias("up"), F.lit(True).alias("goes_on"))
-    start = materialize(pointers.join(ids, "up", "left").select("id", F.col("up").alias("at"), F.col("seq").alias("latest"), F.col("goes_on").isNull().alias("ended")))
+    start = materialize(pointers.join(_dealt(ids), "up", "left").select("id", F.col("up").alias("at"), F.col("seq").alias("latest"), F.col("goes_on").isNull().alias("ended")))
     ended, going, steps = [start.where("ended")], start.where("NOT ended"), 1
     left = going.count()
     while left:
         known = _stacked([*ended, going]).select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("latest").alias("later"), F.col("ended").alias("over"))
-        moved = materialize(going.join(known, "at").select("id", F.col("further").alias("at"), F.greatest("latest", "later").alias("latest"), F.col("over").alias("ended")))
+        moved = materialize(going.join(_dealt(known), "at").select("id", F.col("further").alias("at"), F.greatest("latest", "later").alias("latest"), F.col("over").alias("ended")))
         ended.append(moved.where("ended"))
         going, steps, before = moved.where("NOT ended"), 2 * steps, left
         left = going.count()
         if left == before and steps >= left:
             break  # a way without a cycle would have ended
     roots = _stacked(ended).select("id", F.col("at").alias("root"), "latest")
-    cycles = going.join(going.select(F.col("at").alias("id")).distinct(), "id", "left_semi").select("id", F.col("latest").alias("seq"))
-    return roots, cycles.join(pointers.select("id", "seq"), ["id", "seq"], "left_semi")
+    cycles = going.join(_dealt(going.select(F.col("at").alias("id")).distinct()), "id", "left_semi").select("id", F.col("latest").alias("seq"))
+    return roots, cycles.join(_dealt(pointers.select("id", "seq")), ["id", "seq"], "left_semi")
 
 
 def _first(ops: DataFrame) -> DataFrame:
@@ -58,12 +63,12 @@ def surviving_pointers(ops: DataFrame) -> DataFrame:
         closing = materialize(closing)
         if closing.isEmpty():
             return pointers
-        kept = materialize(pointers.join(closing, ["id", "seq"], "left_anti").select(*POINTER))
+        kept = materialize(pointers.join(_dealt(closing), ["id", "seq"], "left_anti").select(*POINTER))
         roots, _ = follow(kept)
-        later = ops.join(closing.select("id", F.col("seq").alias("closed")), "id").where("seq > closed")
+        later = ops.join(_dealt(closing.select("id", F.col("seq").alias("closed"))), "id").where("seq > closed")
         ends = roots.select(F.col("id").alias("up"), "root", "latest")
         back = (F.col("up") == F.col("id")) | (F.coalesce(F.col("root") == F.col("id"), F.lit(False)) & (F.col("latest") < F.col("seq")))
-        pointers = materialize(kept.unionByName(_first(later.join(ends, "up", "left").where(~back).select(*POINTER))))
+        pointers = materialize(kept.unionByName(_first(later.join(_dealt(ends), "up", "left").where(~back).select(*POINTER))))
 
 
 def living_at(asked: DataFrame, pointers: DataFrame) -> DataFrame:
@@ -75,11 +80,11 @@ def living_at(asked: DataFrame, pointers: DataFrame) -> DataFrame:
     while not ways[-1].isEmpty():
         last = ways[-1]
         upper = last.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("latest").alias("later"))
-        ways.append(materialize(last.join(upper, "up").select("id", F.col("further").alias("up"), F.greatest("latest", "later").alias("latest"))))
+        ways.append(materialize(last.join(_dealt(upper), "up").select("id", F.col("further").alias("up"), F.greatest("latest", "later").alias("latest"))))
     found = asked.withColumn("living", F.col("id"))
     for way in reversed(ways[:-1]):
         up = way.select(F.col("id").alias("living"), F.col("up").alias("up_"), F.col("latest").alias("latest_"))
-        found = found.join(up, "living", "left").withColumn("living", F.when(F.col("latest_") < F.col("before"), F.col("up_")).otherwise(F.col("living"))).drop("up_", "latest_")
+        found = found.join(_dealt(up), "living", "left").withColumn("living", F.when(F.col("latest_") < F.col("before"), F.col("up_")).otherwise(F.col("living"))).drop("up_", "latest_")
     return found
 
 
@@ -94,15 +99,15 @@ def replay_merges(entities: DataFrame, merges: DataFrame, as_of: int | None = No
     """
     held = merges.where("seq IS NOT NULL" if as_of is None else F.col("seq") <= as_of).select("seq", "source_id", "target_id")
     kinds = lambda side: entities.select(F.col("entity_id").alias(f"{side}_id"), F.col("entity_type").alias(f"{side}_type"), F.lit(True).alias(f"{side}_there")).dropDuplicates([f"{side}_id"])
-    judged = held.join(kinds("source"), "source_id", "left").join(kinds("target"), "target_id", "left")
+    judged = held.join(_dealt(kinds("source")), "source_id", "left").join(_dealt(kinds("target")), "target_id", "left")
     there = F.col("source_there").isNotNull() & F.col("target_there").isNotNull()
     judged = materialize(judged.select("seq", "source_id", "target_id", F.when(~there, "missing").when(~F.col("source_type").eqNullSafe(F.col("target_type")), "type").when(F.col("source_id") == F.col("target_id"), "same").alias("refused")))
     ops = judged.where("refused IS NULL").select(F.col("source_id").alias("id"), F.col("target_id").alias("up"), "seq")
     pointers = surviving_pointers(ops)
     roots, _ = follow(pointers)
     ended = pointers.select(F.col("id").alias("entity_id"), F.col("seq").alias("superseded_by_seq"))
-    survivors = entities.select("entity_id").distinct().join(roots.select(F.col("id").alias("entity_id"), "root"), "entity_id", "left").join(ended, "entity_id", "left")
-    done = judged.join(pointers.select(F.col("id").alias("source_id"), F.col("seq").alias("done")), "source_id", "left")
+    survivors = entities.select("entity_id").distinct().join(_dealt(roots.select(F.col("id").alias("entity_id"), "root")), "entity_id", "left").join(_dealt(ended), "entity_id", "left")
+    done = judged.join(_dealt(pointers.select(F.col("id").alias("source_id"), F.col("seq").alias("done"))), "source_id", "left")
     reason = F.coalesce("refused", F.when(F.col("seq") > F.col("done"), "superseded").when(F.col("seq") == F.col("done"), None).otherwise("same"))
     done = done.select("seq", "source_id", F.col("target_id").alias("id"), F.col("seq").alias("before"), reason.alias("reason"))
     living = living_at(done, pointers)
@@ -119,8 +124,8 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, mentions: DataFrame,
     survivors, operations = replay_merges(entities, merges, as_of)
     survivors = materialize(survivors)
     gone = survivors.where("superseded_by_seq IS NOT NULL").select(F.col("entity_id").alias("_from"), F.col("survivor_id").alias("_to"))
-    move = lambda df: df.join(gone, df["entity_id"] == F.col("_from"), "left").withColumn("entity_id", F.coalesce("_to", "entity_id")).drop("_from", "_to")
-    marked = entities.join(gone, entities["entity_id"] == F.col("_from"), "left").withColumn("status", F.when(F.col("_from").isNotNull(), "superseded").otherwise(F.col("status"))).drop("_from", "_to")
+    move = lambda df: df.join(_dealt(gone), df["entity_id"] == F.col("_from"), "left").withColumn("entity_id", F.coalesce("_to", "entity_id")).drop("_from", "_to")
+    marked = entities.join(_dealt(gone), entities["entity_id"] == F.col("_from"), "left").withColumn("status", F.when(F.col("_from").isNotNull(), "superseded").otherwise(F.col("status"))).drop("_from", "_to")
     return marked, move(aliases).distinct(), move(mentions), operations
 
 
@@ -137,4 +142,4 @@ def merge_history(entities: DataFrame, merges: DataFrame) -> DataFrame:
     rows = side("source", "source_id", "survivor_id").unionByName(side("target", "target_id", "source_id")).unionByName(heir.select(F.col("survivor_id").alias("entity_id"), "seq", F.lit("survivor").alias("role"), F.col("source_id").alias("other_id"), "applied"))
     ended = survivors.select("entity_id", "superseded_by_seq")
     status = F.when(F.col("superseded_by_seq") <= F.col("seq"), "superseded").otherwise("active")
-    return rows.join(ended, "entity_id").select("entity_id", "seq", "role", "other_id", "applied", status.alias("status"))
+    return rows.join(_dealt(ended), "entity_id").select("entity_id", "seq", "role", "other_id", "applied", status.alias("status"))

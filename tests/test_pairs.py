@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import graph as G
+from marginalia.operators import identity as I
 from marginalia.operators import knowledge as K
 from marginalia.operators.relational import paired_classes
 
@@ -56,3 +57,16 @@ def test_starts_with_the_same_neighbours_are_followed_once(spark, monkeypatch):
     counted = {(r.hops): r["count"] for r in got.groupBy("hops").count().collect()}
     assert counted == {1: 200, 2: 200 * 99} and got.distinct().count() == 200 * 100
     assert max(df.count() for df in written) <= 400
+
+
+def test_replay_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    kept = I.materialize
+    monkeypatch.setattr(I, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    entities = spark.range(40).select(F.col("id").alias("entity_id"), F.lit("t").alias("entity_type"), F.lit("active").alias("status"))
+    merges = spark.range(1, 40).select(F.col("id").alias("seq"), F.col("id").alias("source_id"), F.floor(F.col("id") / 2).alias("target_id"))
+    none = spark.createDataFrame([], "entity_id long, value string")
+    marked, _, _, operations = I.merge_entities(entities, none, none, merges)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (marked, operations, I.merge_history(entities, merges))]
+    assert operations.where("applied").count() == 39 and len(plans) > 20
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
