@@ -42,15 +42,18 @@ def active_sections(spark, d):
 
 
 def text_files(spark, d):
-    """Text files of the documents of a source, by their ids, with foreign line ends; those of one source are blank and so rejected."""
+    """Text files of the documents of a source, by their ids, with foreign line ends; those of one source are blank and so rejected.
+
+    A task writes whole parts, so that the commit moves a folder a part, and the files are listed by parts, not one by one.
+    """
     folder = shared_folder(spark, "texts")
     line = F.when(F.col("source") == "src0", "  ").otherwise(F.concat("text", F.lit("\r")))
     part = F.floor(F.col("doc_id") / 400)
-    rows = _t(spark, d, "documents").select("source", part.alias("part"), "doc_id", line.alias("line"))
-    rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "line").write.partitionBy("source", "part").text(folder)
-    good, rejects = S.read_text_documents(spark, folder)
+    rows = _t(spark, d, "documents").select(part.alias("part"), "source", "doc_id", line.alias("line"))
+    rows.repartition("part").sortWithinPartitions("part", "source", "doc_id").select("part", "source", "line").write.partitionBy("part", "source").text(folder)
+    files = S.read_texts(spark, folder)
     place = [F.regexp_extract("path", f"{x}=([^/]+)/", 1).alias(x) for x in ("source", "part")]
-    return good.select(*place, F.lit("accepted").alias("state"), "text").unionByName(rejects.select(*place, F.col("reason").alias("state"), F.lit(None).cast("string").alias("text")))
+    return files.select(*place, F.coalesce("reason", F.lit("accepted")).alias("state"), F.when(F.col("reason").isNull(), F.col("text")).alias("text"))
 
 
 def media_types(spark, d):

@@ -52,12 +52,17 @@ def scan_populations(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities, total.select("resource", F.lit("exhaustive").alias("mode"), "expected", F.col("expected").alias("enumerated"), F.lit(True).alias("complete"))
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text and reason of text files, each opened once: line ends as line feeds, empty files rejected with a reason."""
+    files = spark.read.option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", True).text(path, wholetext=True)
+    reason = F.when(~F.col("value").rlike(r"\S"), "empty")
+    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"), reason.alias("reason"))
+
+
 def read_text_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of text files: line ends as line feeds, empty files rejected."""
-    files = spark.read.option("pathGlobFilter", "*.{txt,md,markdown}").option("recursiveFileLookup", True).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    empty = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
-    return named.where(~empty), named.where(empty).select("path", F.lit("empty").alias("reason"))
+    files = read_texts(spark, path)
+    return files.where("reason is null").select("path", "text"), files.where("reason is not null").select("path", "reason")
 
 
 #: Accepted extensions and the bytes that their files begin with, and what texts may be declared as.
