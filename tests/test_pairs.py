@@ -6,6 +6,7 @@ from marginalia.operators import graph as G
 from marginalia.operators import identity as I
 from marginalia.operators import knowledge as K
 from marginalia.operators.relational import paired_classes
+from marginalia.plans import knowledge
 
 
 def test_every_pair_once(spark):
@@ -29,6 +30,11 @@ def test_conflicts_with_evidence(spark):
     assert sorted(G.claim_conflicts(claims, evidence).select("left", "right", "evidence_ids").collect()) == sorted(want) and len(want) == 8
 
 
+def test_text_of_evidence_is_made_once_a_class(spark, data):
+    plan = knowledge.conflict_report(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate explode(left") < plan.index("concat_ws")
+
+
 def _identities(spark):
     mentions = spark.createDataFrame([("m1", "Ann", "p"), ("m2", "ann", "p"), ("m2", "Bob", "p"), ("m2", "bob ", "p"), ("m3", "Bob", "q"), ("m4", None, "p")], "mention_id string, text string, entity_type string")
     entities = spark.createDataFrame([("e1", "p", "Ann"), ("e2", "p", "Bob"), ("e3", "q", "Bob")], "entity_id string, entity_type string, display_name string")
