@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import graph as G
 from marginalia.operators import identity as I
 from marginalia.operators import knowledge as K
-from marginalia.operators.relational import paired_classes
+from marginalia.operators.relational import paired_classes, paired_members, short_classes
 from marginalia.plans import knowledge
 
 
@@ -35,6 +35,14 @@ def test_text_of_evidence_is_made_once_a_class(spark, data):
     assert 0 < plan.index("Generate explode(left") < plan.index("concat_ws")
 
 
+def test_few_pairs_are_made_of_a_row(spark):
+    left = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("a"))
+    right = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("b"))
+    classes = paired_classes(left, right, ["k"], "a", "b")
+    assert short_classes(classes, "b").selectExpr("max(size(a) * size(b))").first()[0] <= 1024
+    assert paired_members(classes, "a", "b").distinct().count() == 3000 * 3000
+
+
 def _identities(spark):
     mentions = spark.createDataFrame([("m1", "Ann", "p"), ("m2", "ann", "p"), ("m2", "Bob", "p"), ("m2", "bob ", "p"), ("m3", "Bob", "q"), ("m4", None, "p")], "mention_id string, text string, entity_type string")
     entities = spark.createDataFrame([("e1", "p", "Ann"), ("e2", "p", "Bob"), ("e3", "q", "Bob")], "entity_id string, entity_type string, display_name string")
