@@ -35,6 +35,15 @@ def test_text_of_evidence_is_made_once_a_class(spark, data):
     assert 0 < plan.index("Generate explode(left") < plan.index("concat_ws")
 
 
+def test_classes_conflict_in_one_order_alone(spark):
+    claims = spark.createDataFrame([(i, "s", "p", v) for i, v in enumerate(["b", "a", None, "b", "c", None, "a"])] + [(3, "s", "p", "d")], "claim_id int, subject_id string, predicate string, value string")
+    rows = [(r.claim_id, r.value) for r in claims.collect()]
+    want = sorted(str((a, b, x, y)) for a, x in rows for b, y in rows if a < b and x != y)
+    assert sorted(str((r.left, r.right, r.left_value, r.right_value)) for r in G.claim_conflicts(claims).collect()) == want
+    met = G.conflicting_classes(claims).selectExpr("sum(size(left) * size(right))").first()[0]
+    assert met == len(want) + 1  # the claim of two values, which is no pair
+
+
 def test_few_pairs_are_made_of_a_row(spark):
     left = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("a"))
     right = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("b"))
